@@ -1,0 +1,102 @@
+"""AdaBoost.R2 (Drucker, 1997) over MLlib decision trees, linear loss.
+
+A round fits a weighted tree, takes the largest and the mean weighted error in
+one aggregate, and shrinks the weights of well-predicted rows. Weights enter
+the tree directly instead of through a weighted resample, so a fit is
+deterministic. The forecast is the weighted median of the trees.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haulcast.staging import stage_table
+
+CUT_EVERY = 8
+
+
+def weighted_median(values: list[Column], weights: list[float]) -> Column:
+    """Smallest value at which half of the total weight is reached."""
+    half = F.lit(0.5 * math.fsum(weights))
+    pairs = F.array_sort(
+        F.array(*[F.struct(v.alias("v"), F.lit(float(w)).alias("w")) for v, w in zip(values, weights, strict=True)])
+    )
+    start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("median"))
+
+    def step(state: Column, pair: Column) -> Column:
+        seen = state["seen"] + pair["w"]
+        median = F.when(state["median"].isNull() & (seen >= half), pair["v"]).otherwise(state["median"])
+        return F.struct(seen.alias("seen"), median.alias("median"))
+
+    return F.aggregate(pairs, start, step, lambda state: state["median"])
+
+
+@dataclass
+class AdaBoostModel:
+    """Fitted trees with their weights."""
+
+    trees: list[DecisionTreeRegressionModel]
+    weights: list[float]
+    prediction_col: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names = [f"__{self.prediction_col}_{i}" for i in range(len(self.trees))]
+        out = df
+        for name, tree in zip(names, self.trees, strict=True):
+            out = tree.setPredictionCol(name).transform(out)
+        out = out.withColumn(self.prediction_col, weighted_median([F.col(n) for n in names], self.weights))
+        return out.drop(*names)
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree-{i}")
+        rows = [(i, float(w), self.prediction_col) for i, w in enumerate(self.weights)]
+        spark.createDataFrame(rows, "i int, weight double, prediction_col string").coalesce(1).write.mode(
+            "overwrite"
+        ).json(f"{path}/weights")
+
+    @staticmethod
+    def load(path: str, spark: SparkSession) -> AdaBoostModel:
+        rows = spark.read.schema("i int, weight double, prediction_col string").json(f"{path}/weights")
+        kept = sorted(rows.collect())  # one row per round
+        trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{row.i}") for row in kept]
+        return AdaBoostModel(trees, [row.weight for row in kept], kept[0].prediction_col)
+
+
+def fit_adaboost(train: DataFrame, base: DecisionTreeRegressor, out: str, rounds: int) -> AdaBoostModel:
+    label = base.getLabelCol()
+    tree_fit = base.copy().setWeightCol("__w").setPredictionCol("__p")
+    current = train.withColumn("__w", F.lit(1.0))
+    trees: list[DecisionTreeRegressionModel] = []
+    weights: list[float] = []
+    for i in range(rounds):
+        tree = tree_fit.fit(current)
+        error = F.abs(F.col(label) - F.col("__p"))
+        scored = tree.transform(current)
+        worst, weighted, total, n = scored.agg(
+            F.max(error), F.sum(F.col("__w") * error), F.sum("__w"), F.count("*")
+        ).first()
+        if not worst:  # a perfect tree (or no rows) ends the rounds
+            trees.append(tree)
+            weights.append(1.0)
+            break
+        loss = weighted / (worst * total)
+        if loss >= 0.5:
+            if not trees:
+                trees.append(tree)
+                weights.append(1.0)
+            break
+        beta = loss / (1.0 - loss)
+        trees.append(tree)
+        weights.append(-math.log(beta))
+        # Dividing by the mean weight keeps the weights near 1 over many rounds.
+        shrink = F.pow(F.lit(beta), F.lit(1.0) - error / F.lit(worst)) * F.lit(n / total)
+        current = scored.withColumn("__w", F.col("__w") * shrink).drop("__p")
+        if (i + 1) % CUT_EVERY == 0:
+            current = stage_table(current, "adaboost")
+    return AdaBoostModel(trees, weights, out)

@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 
 from haulcast.functions.numbers import round_even
 
-A = F.col("actual").cast("double")
-P = F.col("forecast").cast("double")
+def _actual() -> Column:
+    return F.col("actual").cast("double")
+
+
+def _forecast() -> Column:
+    return F.col("forecast").cast("double")
+
+
+def _error() -> Column:
+    return F.abs(_actual() - _forecast())
 
 
 def mean() -> Column:
-    return F.avg(A)
+    return F.avg(_actual())
 
 
 def sd() -> Column:
-    return F.stddev_pop(A)
+    return F.stddev_pop(_actual())
 
 
 def cv() -> Column:
@@ -30,11 +38,11 @@ def cv() -> Column:
 
 
 def mae() -> Column:
-    return F.avg(F.abs(A - P))
+    return F.avg(_error())
 
 
 def mse() -> Column:
-    return F.avg((A - P) * (A - P))
+    return F.avg(_error() * _error())
 
 
 def rmse() -> Column:
@@ -42,7 +50,7 @@ def rmse() -> Column:
 
 
 def interquartile() -> Column:
-    quartiles = F.percentile(A, [0.25, 0.75])
+    quartiles = F.percentile(_actual(), [0.25, 0.75])
     return F.element_at(quartiles, 2) - F.element_at(quartiles, 1)
 
 
@@ -51,7 +59,7 @@ def nrmse(kind: str) -> Column:
     spread = {
         "sd": sd,
         "mean": mean,
-        "maxmin": lambda: F.max(A) - F.min(A),
+        "maxmin": lambda: F.max(_actual()) - F.min(_actual()),
         "iq": interquartile,
     }[kind]()
     return round_even(F.try_divide(rmse(), spread), 3)
@@ -59,18 +67,18 @@ def nrmse(kind: str) -> Column:
 
 def _relative(scale: Column) -> Column:
     # A zero actual has no relative error: a miss counts 1, a hit 0.
-    miss = F.when(P != 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.avg(F.when(A == 0, miss).otherwise(F.abs(A - P) / scale))
+    miss = F.when(_forecast() != 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.avg(F.when(_actual() == 0, miss).otherwise(_error() / scale))
 
 
 def mape() -> Column:
     """Mean absolute relative error, as a fraction."""
-    return _relative(F.abs(F.nullif(A, F.lit(0.0))))
+    return _relative(F.abs(F.nullif(_actual(), F.lit(0.0))))
 
 
 def smape() -> Column:
     """Symmetric form, as a fraction and without the factor 2."""
-    return _relative(F.nullif(F.abs(A) + F.abs(P), F.lit(0.0)))
+    return _relative(F.nullif(F.abs(_actual()) + F.abs(_forecast()), F.lit(0.0)))
 
 
 METRICS = {

@@ -101,3 +101,11 @@ def truck_names(resolved: DataFrame, side: Side) -> list[str]:
 def base_table(resolved: DataFrame, side: Side, trucks: list[str] | None = None) -> DataFrame:
     """Analytics base table; ``trucks`` fixes its columns, else the top ones are looked up."""
     return abt.base_table(prepare(resolved, side), truck_names(resolved, side) if trucks is None else trucks)
+
+
+def pruned_long(resolved: DataFrame, side: Side, trucks: list[str]) -> DataFrame:
+    """Base table with one row per (day, entity, top truck), zero counts included."""
+    top = top_trucks(profile(side_rows(resolved, side)), side.top_trucks)
+    names = top.select(truck_short_name(F.col("equipment_gid")).alias("truck"))
+    cells = abt.long_counts(base_table(resolved, side, trucks), trucks)
+    return cells.join(F.broadcast(names), "truck", "left_semi").select(cells.columns)

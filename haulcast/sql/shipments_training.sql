@@ -18,4 +18,4 @@ WHERE s.principal = :principal
   AND s.domain_name LIKE :domain_pattern
   AND s.perspective = :perspective
   AND dst.domain_name LIKE :location_domain_pattern
-  AND array_contains(:segments, dst.segment)
+  AND dst.segment IN (:segment_1, :segment_2, :segment_3, :segment_4)
