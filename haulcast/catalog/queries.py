@@ -66,12 +66,16 @@ def _trucked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("truck", truck_short_name(F.col("equipment_gid")))
 
 
+def _side(spark: SparkSession, sf: str, side: history.Side) -> history.SideHistory:
+    return history.open_side(standin.resolved(spark, sf), side)
+
+
 def _region_abt(spark: SparkSession, sf: str) -> DataFrame:
-    return history.base_table(standin.resolved(spark, sf), REGION_SIDE, standin.TRUCKS)
+    return _side(spark, sf, REGION_SIDE).base_table(standin.TRUCKS)
 
 
 def _customer_abt(spark: SparkSession, sf: str) -> DataFrame:
-    return history.base_table(standin.resolved(spark, sf), CUSTOMER_SIDE, standin.TRUCKS)
+    return _side(spark, sf, CUSTOMER_SIDE).base_table(standin.TRUCKS)
 
 
 def _parsed(spark: SparkSession, sf: str, entity: str = "r_name") -> DataFrame:
@@ -99,8 +103,7 @@ def _weekend_edits(volumes: DataFrame) -> DataFrame:
 
 def _actuals(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts of the region side's top trucks, zero days included."""
-    resolved = standin.resolved(spark, sf)
-    return history.pruned_long(resolved, REGION_SIDE, standin.TRUCKS)
+    return _side(spark, sf, REGION_SIDE).long_counts()
 
 
 def _backtest(spark: SparkSession, sf: str, rules: dict[str, float]) -> DataFrame:
@@ -662,12 +665,12 @@ def rejected_edits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prep_customer(spark: SparkSession, sf: str) -> DataFrame:
-    return history.prepare(history.clean(standin.resolved(spark, sf)), CUSTOMER_SIDE)
+    return history.open_side(history.clean(standin.resolved(spark, sf)), CUSTOMER_SIDE).prepared()
 
 
 @query
 def prep_region(spark: SparkSession, sf: str) -> DataFrame:
-    return history.prepare(history.clean(standin.resolved(spark, sf)), REGION_SIDE)
+    return history.open_side(history.clean(standin.resolved(spark, sf)), REGION_SIDE).prepared()
 
 
 # --- forecasting ----------------------------------------------------------------------
@@ -679,22 +682,16 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("is_train", metrics.is_training_day(F.col("ship_date")))
 
 
-def _trained(spark: SparkSession, sf: str, side: history.Side, candidates: list[str], settings: Settings = SMALL):
-    resolved = standin.resolved(spark, sf)
-    trucks = history.truck_names(resolved, side)
-    return training.train_all(
-        side.name, history.base_table(resolved, side, trucks), trucks, settings=settings, candidates=candidates
-    )
+def _trained(spark: SparkSession, sf: str, side: history.Side, candidates: list[str]) -> training.Trained:
+    return training.train_all(_side(spark, sf, side), settings=SMALL, candidates=candidates)
 
 
 def _fit_one(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        resolved = standin.resolved(spark, sf)
-        trucks = history.truck_names(resolved, REGION_SIDE)
-        base = training.staged_table(history.base_table(resolved, REGION_SIDE, trucks), REGION_SIDE.name)
-        fitted = training.fit(
-            REGION_SIDE.name, base, trucks, standin.REGIONS, [candidate], SMALL
-        )
+        """Held-out actuals and forecasts of one candidate, every region and kept truck."""
+        opened = _side(spark, sf, REGION_SIDE)
+        base = training.staged_table(opened.base_table(), REGION_SIDE.name)
+        fitted = training.fit(REGION_SIDE.name, base, opened.truck_names(), standin.REGIONS, [candidate], SMALL)
         return fitted.backtest(base.where(~metrics.is_training_day(F.col("ship_date"))))
 
     return run
@@ -708,19 +705,19 @@ _REGISTRY["fit_gbt"] = _fit_one("gradient_boosting")
 
 @query
 def train_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _trained(spark, sf, REGION_SIDE, list(training.CANDIDATES))[1]
+    return _trained(spark, sf, REGION_SIDE, list(training.CANDIDATES)).choices
 
 
 @query
 def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes scored by models fitted on the history."""
-    trained, _ = _trained(spark, sf, REGION_SIDE, ["random_forest", "gradient_boosting"])
+    trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "gradient_boosting"])
     return forecast.forecast(trained, volume.features(_region_volumes(spark, sf)))
 
 
 @query
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
-    trained, _ = _trained(spark, sf, CUSTOMER_SIDE, ["random_forest", "gradient_boosting"])
+    trained = _trained(spark, sf, CUSTOMER_SIDE, ["random_forest", "gradient_boosting"])
     daily = volume.daily(_parsed(spark, sf, "n_name"), standin.CUSTOMER_SEGMENTS)
     return forecast.forecast(trained, volume.features(daily))
 
@@ -728,6 +725,6 @@ def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The history form: the last rows of the base table are scored directly."""
-    trained, _ = _trained(spark, sf, REGION_SIDE, ["random_forest"])
+    trained = _trained(spark, sf, REGION_SIDE, ["random_forest"])
     tail = topk.last_rows(_region_abt(spark, sf), 7 * len(standin.REGIONS), ["ship_date", "entity"])
     return forecast.forecast(trained, tail.select("ship_date", "entity", *dates.FEATURES))

@@ -11,6 +11,11 @@ def truck_short_name(gid: Column) -> Column:
     return F.substr(gid, F.locate(".", gid) + F.lit(1))
 
 
+def short_name(gid: str) -> str:
+    """The same rule for one name on the driver."""
+    return gid[gid.find(".") + 1 :]
+
+
 def fleet_column(entity: Column, truck: Column) -> Column:
     """``entity-truck``, the column name in the wide matrix."""
     return F.concat_ws("-", entity, truck)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from urllib.parse import quote
 
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
@@ -23,9 +23,12 @@ from haulcast.functions.numbers import quoted, whole
 from haulcast.models.boosting import AdaBoostModel
 from haulcast.models.candidates import CANDIDATES, FEATURES_COL, Settings
 from haulcast.operators import metrics
+from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table
 
 ALL = ""  # scope of a pooled fit
+MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
+CHOICE_TABLE = "entity string, model string, mae double"
 
 _LOADERS = {
     "GBTRegressionModel": GBTRegressionModel,
@@ -54,13 +57,16 @@ def predict(model, out: str, df: DataFrame) -> DataFrame:
 
 @dataclass
 class Trained:
-    """Fitted models of one side and the candidate chosen for each entity."""
+    """Fitted models of one side and the candidate chosen for each entity.
+
+    ``choices`` is a table (entity, model, mae) with one row per entity.
+    """
 
     side: str
     trucks: list[str]
     entities: list[str]
     models: dict[tuple[str, str, str], object]  # (scope, truck, candidate)
-    chosen: dict[str, str] = field(default_factory=dict)  # entity -> candidate
+    choices: DataFrame | None = None
 
     def scopes(self) -> list[str]:
         return sorted({scope for scope, _, _ in self.models})
@@ -115,19 +121,17 @@ class Trained:
 
         Entities without a model give no rows; ``filters.uncovered`` counts them.
         """
-        used = sorted(set(self.chosen.values()))
+        own = self.choices.select("entity", "model")
+        # At most as many names as there are candidates.
+        used = [row.model for row in own.select("model").distinct().collect()]
         rows = self._long(features, ["ship_date", "entity"], used)
-        own = F.lit(None).cast("string")
-        for candidate in used:
-            theirs = [e for e, c in self.chosen.items() if c == candidate]
-            own = F.when(F.col("entity").isin(theirs), F.lit(candidate)).otherwise(own)
-        return rows.where(F.col("model") == own).select(
+        return rows.join(own, ["entity", "model"], "left_semi").select(
             "ship_date", "entity", "truck", whole(F.col("raw")).alias("forecast")
         )
 
     def save(self, path: str, spark: SparkSession) -> None:
         """One folder per fitted model and a small table that ties them together."""
-        entries = []
+        base, entries = f"{path}/{quote(self.side, safe='')}", []
         for (scope, truck, candidate), model in self.models.items():
             folder = "/".join(quote(p, safe="") for p in (self.side, scope or "pooled", truck, candidate))
             if isinstance(model, AdaBoostModel):
@@ -135,21 +139,18 @@ class Trained:
             else:
                 model.write().overwrite().save(f"{path}/{folder}")
             entries.append((scope, truck, candidate, type(model).__name__, folder))
-        spark.createDataFrame(entries, "scope string, truck string, candidate string, kind string, folder string") \
-            .coalesce(1).write.mode("overwrite").json(f"{path}/{quote(self.side, safe='')}/models")
-        chosen = [(i, e, self.chosen.get(e)) for i, e in enumerate(self.entities)]
-        spark.createDataFrame(chosen, "i int, entity string, candidate string").coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{path}/{quote(self.side, safe='')}/entities")
+        spark.createDataFrame(entries, MODEL_TABLE).write.mode("overwrite").json(f"{base}/models")
+        names = list(enumerate(self.entities))
+        spark.createDataFrame(names, "i int, entity string").write.mode("overwrite").json(f"{base}/entities")
+        if self.choices is not None:
+            self.choices.write.mode("overwrite").json(f"{base}/choices")
 
     @staticmethod
     def load(path: str, side: str, spark: SparkSession) -> Trained:
         base = f"{path}/{quote(side, safe='')}"
-        # Both tables hold one row per model or listed entity.
-        entries = spark.read.schema(
-            "scope string, truck string, candidate string, kind string, folder string"
-        ).json(f"{base}/models").collect()
-        rows = sorted(spark.read.schema("i int, entity string, candidate string").json(f"{base}/entities").collect())
+        # One row per fitted model, and the vocabulary of the entity feature.
+        entries = spark.read.schema(MODEL_TABLE).json(f"{base}/models").collect()
+        rows = sorted(spark.read.schema("i int, entity string").json(f"{base}/entities").collect())
         models = {}
         for e in entries:
             where = f"{path}/{e.folder}"
@@ -161,7 +162,7 @@ class Trained:
             sorted({e.truck for e in entries}),
             [r.entity for r in rows],
             models,
-            {r.entity: r.candidate for r in rows if r.candidate is not None},
+            spark.read.schema(CHOICE_TABLE).json(f"{base}/choices"),
         )
 
 
@@ -176,8 +177,8 @@ def fit(
     parallel: int = 4,
 ) -> Trained:
     """Fit every candidate for every truck on the training days of ``base_table``."""
-    if len(entities) + 1 > settings.max_bins:
-        raise ValueError("max_bins must exceed the number of entities")
+    # A categorical feature needs a bin per category.
+    settings = replace(settings, max_bins=max(settings.max_bins, len(entities) + 1))
     train = featurise(base_table.where(metrics.is_training_day(F.col("ship_date"))), entities)
     scopes = list(entities) if per_entity else [ALL]
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
@@ -207,25 +208,21 @@ def staged_table(base_table: DataFrame, side: str) -> DataFrame:
 
 
 def train_all(
-    side: str,
-    base_table: DataFrame,
-    trucks: Sequence[str],
+    history: SideHistory,
     entities: Sequence[str] | None = None,
     settings: Settings = Settings(),
     candidates: Sequence[str] = tuple(CANDIDATES),
     per_entity: bool = False,
-) -> tuple[Trained, DataFrame]:
-    """Fit, compare and choose; returns the models and the table of choices.
+) -> Trained:
+    """Fit, compare and choose for every entity of a side.
 
-    Without ``entities`` the names in the base table are used; the customer
-    side has nine, and more than ``max_bins`` are refused.
+    ``entities`` restricts the side to an allow-list; else the names in the base
+    table are used. They are the vocabulary of a model feature, so the driver
+    needs them, as it does for any string index.
     """
-    staged = staged_table(base_table, side)
+    staged = staged_table(history.base_table(), history.side.name)
     if entities is None:
-        found = staged.select("entity").distinct().limit(settings.max_bins + 1).collect()
-        entities = sorted(row.entity for row in found)
-    trained = fit(side, staged, trucks, entities, candidates, settings, per_entity)
-    choices = stage_table(choose(trained, staged), f"choice-{side}")
-    # One row per listed entity.
-    trained.chosen = {row.entity: row.model for row in choices.collect()}
-    return trained, choices
+        entities = history.kept_entities or sorted(r.entity for r in staged.select("entity").distinct().collect())
+    trained = fit(history.side.name, staged, history.truck_names(), entities, candidates, settings, per_entity)
+    trained.choices = stage_table(choose(trained, staged), f"choice-{history.side.name}")
+    return trained

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from haulcast.functions import dates
 from haulcast.functions.numbers import quoted
+from haulcast.operators.joins import broadcast_counted
 
 
 def in_segments(df: DataFrame, segments: Iterable[str], column: str = "segment") -> DataFrame:
@@ -48,7 +49,8 @@ def current_or_all(df: DataFrame, column: str, as_of: date | None = None) -> Dat
 
 def allowed_entities(df: DataFrame, entities: DataFrame, column: str = "entity") -> DataFrame:
     """Keep the entities of a one-column table; repeated names do not multiply rows."""
-    return df.join(entities.select(F.col(quoted(entities.columns[0])).alias(column)), column, "left_semi")
+    names = entities.select(F.col(quoted(entities.columns[0])).alias(column)).distinct()
+    return df.join(broadcast_counted(names), column, "left_semi")
 
 
 def uncovered(df: DataFrame, listed: Iterable[str], column: str = "entity") -> DataFrame:
@@ -69,7 +71,7 @@ def canonicalise(df: DataFrame, synonyms: DataFrame, column: str) -> DataFrame:
     """Same, from a (variant, name) table with one row per variant."""
     pairs = synonyms.select(F.col("variant").alias(column), F.col("name").alias("__name"))
     return (
-        df.join(pairs, column, "left")
+        df.join(broadcast_counted(pairs), column, "left")
         .withColumn(column, F.coalesce("__name", F.col(quoted(column))))
         .select([F.col(quoted(c)) for c in df.columns])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haulcast.functions.numbers import quoted, whole
 from haulcast.functions.text import fleet_column_names
 from haulcast.models.training import Trained
-from haulcast.operators import filters, reshape
+from haulcast.operators import reshape
 
 
 def linear_rule(features: DataFrame, volume_per_truck: Mapping[str, float]) -> DataFrame:
@@ -38,4 +38,5 @@ def forecast(trained: Trained, features: DataFrame) -> DataFrame:
 
 def missing_entities(trained: Trained, features: DataFrame) -> DataFrame:
     """Entities in the input that no model covers, with their row counts."""
-    return filters.uncovered(features, list(trained.chosen))
+    known = trained.choices.select("entity")
+    return features.join(known, "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("n_rows"))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.functions.numbers import quoted, round_all_doubles
-from haulcast.functions.text import truck_short_name
+from haulcast.functions.text import short_name, truck_short_name
 from haulcast.operators import abt, filters, topk
+from haulcast.staging import stage_table
 
 
 @dataclass(frozen=True)
@@ -81,31 +82,54 @@ def top_entities(profiled: DataFrame, trucks: DataFrame, k: int) -> DataFrame:
     return topk.top_k(volume_by_entity(kept), "entity", "total_volume", k)
 
 
-def prepare(resolved: DataFrame, side: Side) -> DataFrame:
-    """Rows of the side restricted to its top truck types and entities."""
-    rows = side_rows(resolved, side)
-    profiled = profile(rows)
-    trucks = top_trucks(profiled, side.top_trucks)
-    kept = topk.keep_top(rows, "equipment_gid", trucks)
-    if side.top_entities is not None:
-        kept = topk.keep_top(kept, "entity", top_entities(profiled, trucks, side.top_entities))
-    return kept.withColumn("truck", truck_short_name(F.col("equipment_gid")))
+@dataclass(frozen=True)
+class SideHistory:
+    """One side's rows with the names its pruning keeps.
+
+    Both lists come from a ranking cut at k, so they hold at most ``top_trucks``
+    and ``top_entities`` names. As literals they prune at the scan, where a
+    join against the rankings would first read every row.
+    """
 
+    side: Side
+    rows: DataFrame
+    kept_trucks: list[str]
+    kept_entities: list[str] | None
 
-def truck_names(resolved: DataFrame, side: Side) -> list[str]:
-    """Short names of the side's top trucks: at most ``top_trucks`` of them."""
-    top = top_trucks(profile(side_rows(resolved, side)), side.top_trucks)
-    return topk.top_names(top.select(truck_short_name(F.col("equipment_gid")).alias("truck")).distinct(), "truck")
+    def truck_names(self) -> list[str]:
+        """Short names; two identifiers with one short name count together."""
+        return sorted({short_name(gid) for gid in self.kept_trucks})
 
+    def prepared(self) -> DataFrame:
+        """Rows of the kept trucks and entities, and rows that have none."""
+        gid, entity = F.col("equipment_gid"), F.col("entity")
+        out = self.rows.where(gid.isin(self.kept_trucks) | gid.isNull())
+        if self.kept_entities is not None:
+            out = out.where(entity.isin(self.kept_entities) | entity.isNull())
+        return out.withColumn("truck", truck_short_name(gid))
 
-def base_table(resolved: DataFrame, side: Side, trucks: list[str] | None = None) -> DataFrame:
-    """Analytics base table; ``trucks`` fixes its columns, else the top ones are looked up."""
-    return abt.base_table(prepare(resolved, side), truck_names(resolved, side) if trucks is None else trucks)
+    def base_table(self, trucks: list[str] | None = None) -> DataFrame:
+        """Analytics base table; ``trucks`` fixes its columns, else the kept ones are used."""
+        return abt.base_table(self.prepared(), self.truck_names() if trucks is None else trucks)
 
+    def long_counts(self) -> DataFrame:
+        """Base table with one row per (day, entity, kept truck), zero counts included."""
+        names = self.truck_names()
+        return abt.long_counts(self.base_table(names), names)
 
-def pruned_long(resolved: DataFrame, side: Side, trucks: list[str]) -> DataFrame:
-    """Base table with one row per (day, entity, top truck), zero counts included."""
-    top = top_trucks(profile(side_rows(resolved, side)), side.top_trucks)
-    names = top.select(truck_short_name(F.col("equipment_gid")).alias("truck"))
-    cells = abt.long_counts(base_table(resolved, side, trucks), trucks)
-    return cells.join(F.broadcast(names), "truck", "left_semi").select(cells.columns)
+
+def open_side(resolved: DataFrame, side: Side) -> SideHistory:
+    """Rank trucks and entities in one pass over the history.
+
+    The profile is written to the shared folder: both rankings read that small
+    table, and the history itself is read twice in all, here and for the base
+    table.
+    """
+    rows = side_rows(resolved, side)
+    profiled = stage_table(profile(rows), f"profile-{side.name}")
+    trucks = top_trucks(profiled, side.top_trucks)
+    kept_trucks = topk.top_names(trucks, "equipment_gid")
+    kept_entities = None
+    if side.top_entities is not None:
+        kept_entities = topk.top_names(top_entities(profiled, trucks, side.top_entities), "entity")
+    return SideHistory(side, rows, kept_trucks, kept_entities)

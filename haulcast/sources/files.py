@@ -32,8 +32,8 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 
 def write_matrix(matrix: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Forecast matrix sink; the matrix has one row per day, so one file will do."""
-    writer = matrix.coalesce(1).write.mode("overwrite")
+    """Forecast matrix sink, as Parquet or as CSV with a header."""
+    writer = matrix.write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
