@@ -16,7 +16,11 @@ def spark():
     session = build_session(
         "haulcast-tests",
         master="local[8]",
-        extra={"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
+        extra={
+            "spark.driver.memory": "6g",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "10000",
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
