@@ -298,21 +298,21 @@ def round_all_doubles_(spark: SparkSession, sf: str) -> DataFrame:
     return round_all_doubles(rows)
 
 
+def _or_zero_row(rows: DataFrame) -> DataFrame:
+    default = {"ship_date": F.lit(AS_OF_AFTER), "entity": F.lit("none"), "total_volume": F.lit(0.0)}
+    return filters.or_default(volume.daily(rows), default, probe=rows)
+
+
 @query
 def empty_default(spark: SparkSession, sf: str) -> DataFrame:
     """No forecast day is left, so the display gets its one zero row."""
-    current = _region_volumes(spark, sf).where(F.col("ship_date") >= F.lit(AS_OF_AFTER))
-    return filters.or_default(
-        current, {"ship_date": F.lit(AS_OF_AFTER), "entity": F.lit("none"), "total_volume": F.lit(0.0)}
-    )
+    rows = filters.in_segments(_parsed(spark, sf), standin.REGION_SEGMENTS)
+    return _or_zero_row(rows.where(F.col("ship_date") >= F.lit(AS_OF_AFTER)))
 
 
 @query
 def empty_default_unused(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.or_default(
-        _region_volumes(spark, sf),
-        {"ship_date": F.lit(AS_OF_AFTER), "entity": F.lit("none"), "total_volume": F.lit(0.0)},
-    )
+    return _or_zero_row(filters.in_segments(_parsed(spark, sf), standin.REGION_SEGMENTS))
 
 
 @query
@@ -722,6 +722,16 @@ def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.forecast(trained, volume.features(daily))
 
 
+@query
+def model_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit, write, read back, and score the whole base table with what was read."""
+    opened = _side(spark, sf, REGION_SIDE)
+    path = new_path(spark, "models")
+    training.train_all(opened, settings=SMALL, candidates=["gradient_boosting", "adaboost"]).save(path, spark)
+    loaded = training.Trained.load(path, REGION_SIDE.name, spark)
+    return loaded.score(opened.base_table().select("ship_date", "entity", *dates.FEATURES))
+
+
 @query
 def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The history form: the last rows of the base table are scored directly."""

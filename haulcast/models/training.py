@@ -15,7 +15,7 @@ from urllib.parse import quote
 
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.functions import dates
@@ -175,11 +175,12 @@ def fit(
     settings: Settings = Settings(),
     per_entity: bool = False,
     parallel: int = 4,
+    is_train: Column | None = None,
 ) -> Trained:
-    """Fit every candidate for every truck on the training days of ``base_table``."""
+    """Fit every candidate for every truck on the training rows of ``base_table``."""
     # A categorical feature needs a bin per category.
     settings = replace(settings, max_bins=max(settings.max_bins, len(entities) + 1))
-    train = featurise(base_table.where(metrics.is_training_day(F.col("ship_date"))), entities)
+    train = featurise(base_table.where(_training(is_train)), entities)
     scopes = list(entities) if per_entity else [ALL]
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
 
@@ -195,13 +196,17 @@ def fit(
     return Trained(side, list(trucks), list(entities), models)
 
 
-def choose(trained: Trained, base_table: DataFrame) -> DataFrame:
-    """Best candidate per entity on the held-out days, by mean MAE over trucks."""
-    holdout = base_table.where(~metrics.is_training_day(F.col("ship_date")))
+def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = None) -> DataFrame:
+    """Best candidate per entity on the held-out rows, by mean MAE over trucks."""
+    holdout = base_table.where(~_training(is_train))
     maes = metrics.model_mae(trained.backtest(holdout, rounded=False))
     return metrics.select_model(maes, trained.candidates())
 
 
+def _training(is_train: Column | None) -> Column:
+    return metrics.is_training_day(F.col("ship_date")) if is_train is None else is_train
+
+
 def staged_table(base_table: DataFrame, side: str) -> DataFrame:
     """The base table as a written table, so that fits never read the history again."""
     return stage_table(base_table, f"abt-{side}")
@@ -213,6 +218,7 @@ def train_all(
     settings: Settings = Settings(),
     candidates: Sequence[str] = tuple(CANDIDATES),
     per_entity: bool = False,
+    is_train: Column | None = None,
 ) -> Trained:
     """Fit, compare and choose for every entity of a side.
 
@@ -223,6 +229,15 @@ def train_all(
     staged = staged_table(history.base_table(), history.side.name)
     if entities is None:
         entities = history.kept_entities or sorted(r.entity for r in staged.select("entity").distinct().collect())
-    trained = fit(history.side.name, staged, history.truck_names(), entities, candidates, settings, per_entity)
-    trained.choices = stage_table(choose(trained, staged), f"choice-{history.side.name}")
+    trained = fit(
+        history.side.name,
+        staged,
+        history.truck_names(),
+        entities,
+        candidates,
+        settings,
+        per_entity,
+        is_train=is_train,
+    )
+    trained.choices = stage_table(choose(trained, staged, is_train), f"choice-{history.side.name}")
     return trained

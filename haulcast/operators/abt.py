@@ -36,6 +36,9 @@ def base_table(rows: DataFrame, trucks: list[str]) -> DataFrame:
     Volume and all counts come from one pass: first one row per shipment, then
     one per (day, entity). Rows without a truck add volume and no count.
     """
+    names = ["ship_date", "entity", *dates.FEATURES, *trucks]
+    if len({n.lower() for n in names}) != len(names):
+        raise ValueError(f"column names must differ: {names}")
     shipments = (
         _keyed(rows)
         .groupBy("ship_date", "entity", "truck", "shipment_xid")
@@ -45,7 +48,6 @@ def base_table(rows: DataFrame, trucks: list[str]) -> DataFrame:
     wide = shipments.groupBy("ship_date", "entity").agg(
         F.coalesce(F.sum("volume"), F.lit(0.0)).alias("total_volume"), *counts
     )
-    names = ["ship_date", "entity", *dates.FEATURES, *trucks]
     return dates.with_calendar(wide).select([F.col(quoted(n)) for n in names])
 
 

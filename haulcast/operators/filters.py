@@ -77,11 +77,15 @@ def canonicalise(df: DataFrame, synonyms: DataFrame, column: str) -> DataFrame:
     )
 
 
-def or_default(df: DataFrame, default: Mapping[str, Column]) -> DataFrame:
-    """``df``, or one literal row when ``df`` is empty."""
+def or_default(df: DataFrame, default: Mapping[str, Column], probe: DataFrame | None = None) -> DataFrame:
+    """``df``, or one literal row when ``df`` is empty.
+
+    ``probe`` names cheaper rows that are empty exactly when ``df`` is, such as
+    the input of an aggregate: the test then stops at its first row.
+    """
     spark: SparkSession = df.sparkSession
-    probe = df.select(F.lit(1).alias("hit")).limit(1)
+    found = (df if probe is None else probe).select(F.lit(1).alias("hit")).limit(1)
     row = spark.range(1, numPartitions=1).select(
         [default[f.name].cast(f.dataType).alias(f.name) for f in df.schema.fields]
     )
-    return df.unionByName(row.where(probe.scalar().isNull()))
+    return df.unionByName(row.where(found.scalar().isNull()))

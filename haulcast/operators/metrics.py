@@ -126,3 +126,11 @@ def with_forecasts(actuals: DataFrame, forecasts: DataFrame) -> DataFrame:
 def is_training_day(day: Column) -> Column:
     """Four days in five train, the fifth is held out: fixed by the date alone."""
     return F.pmod(F.datediff(day, F.lit("1970-01-01").cast("date")), F.lit(5)) < 4
+
+
+def is_training_row(seed: int, *keys: str) -> Column:
+    """Seeded 80/20 split by a hash of the key columns.
+
+    Unlike a random split it does not depend on partitions or on retried tasks.
+    """
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(100)) < 80
