@@ -47,7 +47,7 @@ REGION_ROWS = f"""{RESOLVED}, rows_r AS (
 top_r AS (SELECT equipment_gid, count(*) AS n_rows FROM rows_r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2),
 prep_r AS (SELECT * FROM rows_r WHERE equipment_gid IN (SELECT equipment_gid FROM top_r))"""
 
-CUSTOMER_ROWS = f"""{RESOLVED}, rows_c AS (
+CUSTOMER_PART = """rows_c AS (
   SELECT ship_date, CASE dest_name WHEN 'NATION_1' THEN 'NATION_0' ELSE dest_name END AS entity,
     equipment_gid, shipment_xid, total_volume, truck
   FROM resolved WHERE segment IN ('BUILDING', 'MACHINERY')),
@@ -56,6 +56,8 @@ trucked_c AS (SELECT * FROM rows_c WHERE equipment_gid IN (SELECT equipment_gid
 top_e AS (SELECT entity, sum(total_volume) AS total_volume FROM trucked_c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 9),
 prep_c AS (SELECT * FROM trucked_c WHERE entity IN (SELECT entity FROM top_e))"""
 
+CUSTOMER_ROWS = f"{RESOLVED}, {CUSTOMER_PART}"
+
 CALENDAR = """CAST(year(ship_date) AS INT) AS year, CAST(month(ship_date) AS INT) AS month,
   CAST(isodow(ship_date) AS INT) AS weekday"""
 
@@ -442,6 +444,15 @@ def all_oracles() -> dict[str, str]:
             REGION_ROWS, "SELECT ship_date, entity, equipment_gid, shipment_xid, total_volume, truck FROM prep_r"
         ),
         # forecasting
+        "model_store": _with(
+            ACTUALS, "SELECT entity, truck, count(*) AS n_forecasts, CAST(0 AS BIGINT) AS n_changed FROM actuals GROUP BY 1, 2"
+        ),
+        "train_sides": _with(
+            f"{REGION_ROWS}, {CUSTOMER_PART}",
+            """SELECT 'region' AS side, entity, 'random_forest' AS model FROM (SELECT DISTINCT entity FROM prep_r)
+            UNION ALL
+            SELECT 'customer', entity, 'random_forest' FROM top_e""",
+        ),
         "holdout_split": _with(
             ABT_R,
             """SELECT ship_date, entity, total_volume,

@@ -15,9 +15,9 @@ from haulcast.functions.text import fleet_column_names, truck_short_name
 from haulcast.models import training
 from haulcast.models.candidates import Settings
 from haulcast.operators import abt, filters, joins, metrics, reshape, topk
-from haulcast.plans import forecast, history, volume
+from haulcast.plans import batch, forecast, history, volume
 from haulcast.sources import files, sqltext, standin
-from haulcast.staging import new_path
+from haulcast.staging import new_path, stage_table, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -690,7 +690,7 @@ def _fit_one(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """Held-out actuals and forecasts of one candidate, every region and kept truck."""
         opened = _side(spark, sf, REGION_SIDE)
-        base = training.staged_table(opened.base_table(), REGION_SIDE.name)
+        base = stage_table(opened.base_table(), "abt-region")
         fitted = training.fit(REGION_SIDE.name, base, opened.truck_names(), standin.REGIONS, [candidate], SMALL)
         return fitted.backtest(base.where(~metrics.is_training_day(F.col("ship_date"))))
 
@@ -724,12 +724,32 @@ def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit, write, read back, and score the whole base table with what was read."""
+    """Forecasts that change when models are written and read back: none."""
     opened = _side(spark, sf, REGION_SIDE)
+    trained = training.train_all(opened, settings=SMALL, candidates=["gradient_boosting", "adaboost"])
     path = new_path(spark, "models")
-    training.train_all(opened, settings=SMALL, candidates=["gradient_boosting", "adaboost"]).save(path, spark)
+    trained.save(path, spark)
     loaded = training.Trained.load(path, REGION_SIDE.name, spark)
-    return loaded.score(opened.base_table().select("ship_date", "entity", *dates.FEATURES))
+    feats = opened.base_table().select("ship_date", "entity", *dates.FEATURES)
+    after = loaded.score(feats).withColumnRenamed("forecast", "after")
+    both = trained.score(feats).join(after, ["ship_date", "entity", "truck"], "full")
+    same = F.col("forecast").eqNullSafe(F.col("after"))
+    return both.groupBy("entity", "truck").agg(
+        F.count("*").alias("n_forecasts"), F.count_if(~same).alias("n_changed")
+    )
+
+
+@query
+def train_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides from one read of the shipments; how many entities each chose a model for."""
+    sides = [REGION_SIDE, CUSTOMER_SIDE]
+    with staged(batch.side_columns(standin.resolved(spark, sf), sides), "resolved", "segment") as rows:
+        parts = [
+            training.train_all(history.open_side(rows, side), settings=SMALL, candidates=["random_forest"])
+            .choices.select(F.lit(side.name).alias("side"), "entity", "model")
+            for side in sides
+        ]
+    return parts[0].unionByName(parts[1])
 
 
 @query

@@ -9,13 +9,14 @@ deterministic. The forecast is the weighted median of the trees.
 from __future__ import annotations
 
 import math
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.staging import stage_table
+from haulcast.staging import staged
 
 CUT_EVERY = 8
 
@@ -69,6 +70,11 @@ class AdaBoostModel:
 
 
 def fit_adaboost(train: DataFrame, base: DecisionTreeRegressor, out: str, rounds: int) -> AdaBoostModel:
+    with ExitStack() as tables:
+        return _rounds(train, base, out, rounds, tables)
+
+
+def _rounds(train: DataFrame, base: DecisionTreeRegressor, out: str, rounds: int, tables: ExitStack) -> AdaBoostModel:
     label = base.getLabelCol()
     tree_fit = base.copy().setWeightCol("__w").setPredictionCol("__p")
     current = train.withColumn("__w", F.lit(1.0))
@@ -98,5 +104,5 @@ def fit_adaboost(train: DataFrame, base: DecisionTreeRegressor, out: str, rounds
         shrink = F.pow(F.lit(beta), F.lit(1.0) - error / F.lit(worst)) * F.lit(n / total)
         current = scored.withColumn("__w", F.col("__w") * shrink).drop("__p")
         if (i + 1) % CUT_EVERY == 0:
-            current = stage_table(current, "adaboost")
+            current = tables.enter_context(staged(current, "adaboost"))
     return AdaBoostModel(trees, weights, out)

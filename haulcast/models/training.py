@@ -24,7 +24,7 @@ from haulcast.models.boosting import AdaBoostModel
 from haulcast.models.candidates import CANDIDATES, FEATURES_COL, Settings
 from haulcast.operators import metrics
 from haulcast.plans.history import SideHistory
-from haulcast.staging import stage_table
+from haulcast.staging import stage_table, staged
 
 ALL = ""  # scope of a pooled fit
 MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
@@ -207,11 +207,6 @@ def _training(is_train: Column | None) -> Column:
     return metrics.is_training_day(F.col("ship_date")) if is_train is None else is_train
 
 
-def staged_table(base_table: DataFrame, side: str) -> DataFrame:
-    """The base table as a written table, so that fits never read the history again."""
-    return stage_table(base_table, f"abt-{side}")
-
-
 def train_all(
     history: SideHistory,
     entities: Sequence[str] | None = None,
@@ -226,18 +221,10 @@ def train_all(
     table are used. They are the vocabulary of a model feature, so the driver
     needs them, as it does for any string index.
     """
-    staged = staged_table(history.base_table(), history.side.name)
-    if entities is None:
-        entities = history.kept_entities or sorted(r.entity for r in staged.select("entity").distinct().collect())
-    trained = fit(
-        history.side.name,
-        staged,
-        history.truck_names(),
-        entities,
-        candidates,
-        settings,
-        per_entity,
-        is_train=is_train,
-    )
-    trained.choices = stage_table(choose(trained, staged, is_train), f"choice-{history.side.name}")
+    trucks, side = history.truck_names(), history.side.name
+    with staged(history.base_table(trucks), f"abt-{side}") as base:
+        if entities is None:
+            entities = history.kept_entities or sorted(r.entity for r in base.select("entity").distinct().collect())
+        trained = fit(side, base, trucks, entities, candidates, settings, per_entity, is_train=is_train)
+        trained.choices = stage_table(choose(trained, base, is_train), f"choice-{side}")
     return trained

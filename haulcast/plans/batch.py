@@ -6,6 +6,7 @@ the stored models.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
@@ -16,7 +17,7 @@ from haulcast.models.candidates import CANDIDATES, Settings
 from haulcast.models.training import Trained, train_all
 from haulcast.operators import filters, joins, metrics, reshape, topk
 from haulcast.plans import forecast, history, volume
-from haulcast.staging import stage_table
+from haulcast.staging import stage_table, staged
 
 TRAINING_MONTHS = 25
 RECENT_MONTHS = 1
@@ -52,6 +53,36 @@ def train(
     return train_all(history.open_side(resolved, side), settings=settings, candidates=candidates)
 
 
+def train_sides(
+    shipments: DataFrame,
+    locations: DataFrame,
+    sides: Sequence[history.Side],
+    as_of: date | None = None,
+    settings: Settings = Settings(),
+    candidates: tuple[str, ...] = tuple(CANDIDATES),
+) -> dict[str, Trained]:
+    """Models of several sides from one read of the shipments.
+
+    The joined, narrow rows are written once, split by segment; every side then
+    reads only the folders of its own segments.
+    """
+    resolved = resolve(shipments, locations, TRAINING_MONTHS, as_of, closed=True)
+    with staged(side_columns(resolved, sides), "resolved", "segment") as rows:
+        return {
+            side.name: train_all(history.open_side(rows, side), settings=settings, candidates=candidates)
+            for side in sides
+        }
+
+
+def side_columns(resolved: DataFrame, sides: Sequence[history.Side]) -> DataFrame:
+    """Only the columns and segments that ``sides`` use."""
+    segments = sorted({segment for side in sides for segment in side.segments})
+    entities = sorted({side.entity_column for side in sides})
+    return filters.in_segments(resolved, segments).select(
+        "start_ts", *entities, "equipment_gid", "shipment_xid", "total_volume", "segment"
+    )
+
+
 def accuracy(trained: Trained, base_table: DataFrame) -> DataFrame:
     """Metrics of each entity's chosen model on the held-out days."""
     holdout = base_table.where(~metrics.is_training_day(base_table["ship_date"]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from haulcast.functions.numbers import quoted, round_all_doubles
 from haulcast.functions.text import short_name, truck_short_name
 from haulcast.operators import abt, filters, topk
-from haulcast.staging import stage_table
+from haulcast.staging import staged
 
 
 @dataclass(frozen=True)
@@ -126,10 +126,10 @@ def open_side(resolved: DataFrame, side: Side) -> SideHistory:
     table.
     """
     rows = side_rows(resolved, side)
-    profiled = stage_table(profile(rows), f"profile-{side.name}")
-    trucks = top_trucks(profiled, side.top_trucks)
-    kept_trucks = topk.top_names(trucks, "equipment_gid")
     kept_entities = None
-    if side.top_entities is not None:
-        kept_entities = topk.top_names(top_entities(profiled, trucks, side.top_entities), "entity")
+    with staged(profile(rows), f"profile-{side.name}") as profiled:
+        trucks = top_trucks(profiled, side.top_trucks)
+        kept_trucks = topk.top_names(trucks, "equipment_gid")
+        if side.top_entities is not None:
+            kept_entities = topk.top_names(top_entities(profiled, trucks, side.top_entities), "entity")
     return SideHistory(side, rows, kept_trucks, kept_entities)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,28 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
+def stage_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written table."""
+    return _written(df, new_path(df.sparkSession, label), partition_by)
+
+
+@contextmanager
+def staged(df: DataFrame, label: str, partition_by: str | None = None) -> Iterator[DataFrame]:
+    """The same for a table that only the block needs: its files go with it."""
     path = new_path(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
+    try:
+        yield _written(df, path, partition_by)
+    finally:
+        _delete(df.sparkSession, path)
+
+
+def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
+    writer = df.write.mode("errorifexists")
+    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    # The folder may lie on any file system that Spark can write to.
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

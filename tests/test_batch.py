@@ -14,6 +14,7 @@ from haulcast.models.candidates import Settings
 from haulcast.models.training import Trained
 from haulcast.operators import metrics
 from haulcast.plans import batch, history
+from haulcast.staging import staged
 
 AS_OF = date(2021, 6, 30)
 SIDE = history.Side("region", "dest_zone2", ("DT-A", "DT-B"), 2)
@@ -94,6 +95,19 @@ def test_accuracy_of_the_chosen_models(spark, tables, trained):
     ]
 
 
+def test_both_sides_from_one_read(spark, tables):
+    customer = history.Side("customer", "dest_name", ("DT-A", "IMT"), 1, 2)
+    out = batch.train_sides(
+        read(spark, tables, "shipments"), read(spark, tables, "locations"), [SIDE, customer], AS_OF, TINY, ("random_forest",)
+    )
+    assert out["region"].entities == ["NORTH", "SOUTH"]
+    assert len(out["customer"].entities) == 2
+    resolved = batch.resolve(read(spark, tables, "shipments"), read(spark, tables, "locations"), 25, AS_OF, True)
+    with staged(batch.side_columns(resolved, [SIDE, customer]), "resolved", "segment") as rows:
+        text = history.side_rows(rows, customer)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [segment" in text and "IN (DT-A,IMT)" in text
+
+
 def test_command_line(spark, tables, tmp_path, monkeypatch, trained):
     monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
     monkeypatch.setattr(batch.train, "__defaults__", (None, TINY, ("random_forest",)))

@@ -1,6 +1,9 @@
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haulcast import schemas
@@ -67,3 +70,17 @@ def test_forecasts_join_on_the_full_key(spark):
     other = series(spark, [(0, 9)], truck="U").select("ship_date", "entity", "truck", "forecast")
     out = metrics.with_forecasts(actual, predicted.unionByName(other)).collect()
     assert [(r.actual, r.forecast) for r in out] == [(1.0, 5.0)]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=40))
+def test_metrics_agree_with_numpy(spark, pairs):
+    a, f = (np.array(x, dtype=float) for x in zip(*pairs))
+    row = metrics.metric_table(series(spark, pairs)).first()
+    rmse = np.sqrt(np.mean((a - f) ** 2))
+    assert row.mean == pytest.approx(a.mean())
+    assert row.sd == pytest.approx(a.std(), abs=1e-12)
+    assert row.mae == pytest.approx(np.abs(a - f).mean())
+    assert row.rmse == pytest.approx(rmse)
+    spread = np.quantile(a, 0.75) - np.quantile(a, 0.25)
+    assert row.nrmse_iq == (None if spread == 0 else pytest.approx(np.round(rmse / spread, 3)))

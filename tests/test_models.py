@@ -9,7 +9,7 @@ from haulcast.models.boosting import AdaBoostModel, weighted_median
 from haulcast.models.candidates import CANDIDATES, Settings
 from haulcast.operators import metrics
 from haulcast.plans import forecast
-from haulcast.staging import new_path
+from haulcast.staging import new_path, stage_table
 
 TINY = Settings(trees=4, depth=4, boost_rounds=10, gbt_rounds=4)
 TRUCKS = ["10T.BOX", "1T"]
@@ -25,7 +25,7 @@ def base(spark):
             rows.append((date(2021, 1, 1) + timedelta(days=i), e, vol, int(vol / load), int(vol / load / 2)))
     df = spark.createDataFrame(rows, "ship_date date, entity string, total_volume double, `10T.BOX` bigint, `1T` bigint")
     named = [F.col(f"`{c}`") for c in ["ship_date", "entity", *dates.FEATURES, *TRUCKS]]
-    return training.staged_table(dates.with_calendar(df).select(named), "test")
+    return stage_table(dates.with_calendar(df).select(named), "test")
 
 
 @pytest.fixture(scope="module")

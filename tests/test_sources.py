@@ -1,10 +1,11 @@
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 
 from haulcast import schemas
 from haulcast.sources import files, jdbc, sqltext
-from haulcast.staging import new_path, shared_folder, stage_table
+from haulcast.staging import new_path, shared_folder, stage_table, staged
 
 
 def test_headerless_forecast_csv_with_byte_order_mark(spark, tmp_path):
@@ -75,6 +76,15 @@ def test_two_locations_for_one_key_fail_loudly(spark):
         sqltext.run(spark, "location_lookup", shipments=shipments, locations=locations).collect()
 
 
+def test_staged_files_go_with_the_block(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    with staged(df, "t", partition_by="s") as table:
+        assert sorted(tuple(r) for r in table.collect()) == [(1, "a"), (2, "b")]
+        written = [f.split(":")[-1] for f in table.inputFiles()]
+        assert all(Path(f).exists() for f in written)
+    assert not any(Path(f).exists() for f in written)
+
+
 def test_staging_uses_the_shared_folder(spark):
     df = spark.createDataFrame([(1, "a")], "n int, s string")
     staged = stage_table(df, "t")
