@@ -342,7 +342,8 @@ def all_oracles() -> dict[str, str]:
         "date_span": _with(RESOLVED, "SELECT min(ship_date) AS min_date, max(ship_date) AS max_date FROM resolved"),
         "metrics_basic": _with(
             BACKTEST,
-            f"SELECT entity, truck, {r6('mean', 'mean')}, {r6('sd', 'sd')}, {r6('sd / nullif(mean, 0)', 'cv')} FROM stats",
+            f"""SELECT entity, truck, {r6('mean', 'mean')}, {r6('sd', 'sd')},
+              {r6('sd / nullif(mean, 0)', 'cv')} FROM stats""",
         ),
         "metrics_errors": _with(
             BACKTEST, f"SELECT entity, truck, {r6('mae', 'mae')}, {r6('mse', 'mse')}, {r6('rmse', 'rmse')} FROM stats"
@@ -422,7 +423,9 @@ def all_oracles() -> dict[str, str]:
         ),
         "unpivot_volumes": _with(
             f"{VOLUMES}, wide AS ({_pivot('volumes', REGIONS)})",
-            " UNION ALL ".join(f"SELECT ship_date, '{e}' AS entity, \"{e}\" AS total_volume FROM wide" for e in REGIONS),
+            " UNION ALL ".join(
+                f"SELECT ship_date, '{e}' AS entity, \"{e}\" AS total_volume FROM wide" for e in REGIONS
+            ),
         ),
         "transpose_volumes": _with(week_cells, f"SELECT entity, {week_columns} FROM cells GROUP BY entity"),
         "transpose_roundtrip": _with(week_cells, "SELECT * FROM cells"),
@@ -445,7 +448,9 @@ def all_oracles() -> dict[str, str]:
         ),
         # forecasting
         "model_store": _with(
-            ACTUALS, "SELECT entity, truck, count(*) AS n_forecasts, CAST(0 AS BIGINT) AS n_changed FROM actuals GROUP BY 1, 2"
+            ACTUALS,
+            """SELECT entity, truck, count(*) AS n_forecasts, CAST(0 AS BIGINT) AS n_changed
+            FROM actuals GROUP BY 1, 2""",
         ),
         "train_sides": _with(
             f"{REGION_ROWS}, {CUSTOMER_PART}",

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from haulcast.staging import staged
 
 CUT_EVERY = 8
+WEIGHT_TABLE = "i int, weight double, prediction_col string"
 
 
 def weighted_median(values: list[Column], weights: list[float]) -> Column:
@@ -57,13 +58,11 @@ class AdaBoostModel:
         for i, tree in enumerate(self.trees):
             tree.write().overwrite().save(f"{path}/tree-{i}")
         rows = [(i, float(w), self.prediction_col) for i, w in enumerate(self.weights)]
-        spark.createDataFrame(rows, "i int, weight double, prediction_col string").coalesce(1).write.mode(
-            "overwrite"
-        ).json(f"{path}/weights")
+        spark.createDataFrame(rows, WEIGHT_TABLE).write.mode("overwrite").json(f"{path}/weights")
 
     @staticmethod
     def load(path: str, spark: SparkSession) -> AdaBoostModel:
-        rows = spark.read.schema("i int, weight double, prediction_col string").json(f"{path}/weights")
+        rows = spark.read.schema(WEIGHT_TABLE).json(f"{path}/weights")
         kept = sorted(rows.collect())  # one row per round
         trees = [DecisionTreeRegressionModel.load(f"{path}/tree-{row.i}") for row in kept]
         return AdaBoostModel(trees, [row.weight for row in kept], kept[0].prediction_col)

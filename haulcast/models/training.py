@@ -44,10 +44,6 @@ def featurise(df: DataFrame, entities: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL).transform(indexer.transform(df)).drop("__entity")
 
 
-def prediction_column(truck: str, candidate: str) -> str:
-    return f"pred_{candidate}_{truck}".replace(".", "_")
-
-
 def predict(model, out: str, df: DataFrame) -> DataFrame:
     """Add the model's prediction as column ``out``."""
     if isinstance(model, AdaBoostModel):
@@ -78,8 +74,8 @@ class Trained:
     def _scoped(self, featured: DataFrame, scope: str) -> DataFrame:
         return featured if scope == ALL else featured.where(F.col("entity") == F.lit(scope))
 
-    def _long(self, df: DataFrame, keep: list[str], pick) -> DataFrame:
-        """Rows (keep..., truck, model, forecast) for the candidates ``pick`` names."""
+    def _long(self, df: DataFrame, keep: list[str], pick: Sequence[str]) -> DataFrame:
+        """Rows (keep..., truck, model, raw forecast) for the candidates ``pick`` names."""
         featured = featurise(df, self.entities)
         parts = []
         for scope in self.scopes():
@@ -87,14 +83,10 @@ class Trained:
             for (s, truck, candidate), model in self.models.items():
                 if s != scope or candidate not in pick:
                     continue
-                out = prediction_column(truck, candidate)
+                out = f"__raw_{len(cells)}"
                 wide = predict(model, out, wide)
                 cells.append(
-                    F.struct(
-                        F.lit(truck).alias("truck"),
-                        F.lit(candidate).alias("model"),
-                        F.col(quoted(out)).alias("raw"),
-                    )
+                    F.struct(F.lit(truck).alias("truck"), F.lit(candidate).alias("model"), F.col(out).alias("raw"))
                 )
             parts.append(
                 wide.select(*[F.col(quoted(k)) for k in keep], F.explode(F.array(cells)).alias("cell")).select(
@@ -119,7 +111,7 @@ class Trained:
     def score(self, features: DataFrame) -> DataFrame:
         """Whole trucks per day, entity and truck, by each entity's own model.
 
-        Entities without a model give no rows; ``filters.uncovered`` counts them.
+        Entities without a model give no rows; ``forecast.missing_entities`` counts them.
         """
         own = self.choices.select("entity", "model")
         # At most as many names as there are candidates.
@@ -174,14 +166,16 @@ def fit(
     candidates: Sequence[str] = tuple(CANDIDATES),
     settings: Settings = Settings(),
     per_entity: bool = False,
-    parallel: int = 4,
+    parallel: int = 8,
     is_train: Column | None = None,
 ) -> Trained:
     """Fit every candidate for every truck on the training rows of ``base_table``."""
     # A categorical feature needs a bin per category.
     settings = replace(settings, max_bins=max(settings.max_bins, len(entities) + 1))
     train = featurise(base_table.where(_training(is_train)), entities)
-    scopes = list(entities) if per_entity else [ALL]
+    scopes = [ALL]
+    if per_entity:
+        scopes = sorted(row.entity for row in train.select("entity").distinct().collect())
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
 
     def run(job: tuple[str, str, str]):
@@ -197,10 +191,16 @@ def fit(
 
 
 def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = None) -> DataFrame:
-    """Best candidate per entity on the held-out rows, by mean MAE over trucks."""
+    """Best candidate per entity on the held-out rows, by mean MAE over trucks.
+
+    An entity of the history without held-out rows takes the first candidate.
+    """
     holdout = base_table.where(~_training(is_train))
     maes = metrics.model_mae(trained.backtest(holdout, rounded=False))
-    return metrics.select_model(maes, trained.candidates())
+    best = metrics.select_model(maes, trained.candidates())
+    known = base_table.where(F.col("entity").isin(trained.entities)).select("entity").distinct()
+    first = F.lit(trained.candidates()[0])
+    return known.join(best, "entity", "left").select("entity", F.coalesce("model", first).alias("model"), "mae")
 
 
 def _training(is_train: Column | None) -> Column:

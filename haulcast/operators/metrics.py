@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from haulcast.functions.numbers import round_even
 
+
 def _actual() -> Column:
     return F.col("actual").cast("double")
 
@@ -68,17 +69,17 @@ def nrmse(kind: str) -> Column:
 def _relative(scale: Column) -> Column:
     # A zero actual has no relative error: a miss counts 1, a hit 0.
     miss = F.when(_forecast() != 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.avg(F.when(_actual() == 0, miss).otherwise(_error() / scale))
+    return F.avg(F.when(_actual() == 0, miss).otherwise(F.try_divide(_error(), scale)))
 
 
 def mape() -> Column:
     """Mean absolute relative error, as a fraction."""
-    return _relative(F.abs(F.nullif(_actual(), F.lit(0.0))))
+    return _relative(F.abs(_actual()))
 
 
 def smape() -> Column:
     """Symmetric form, as a fraction and without the factor 2."""
-    return _relative(F.nullif(F.abs(_actual()) + F.abs(_forecast()), F.lit(0.0)))
+    return _relative(F.abs(_actual()) + F.abs(_forecast()))
 
 
 METRICS = {

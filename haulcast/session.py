@@ -24,7 +24,9 @@ CLUSTER = {
 }
 
 
-def build_session(app: str = "haulcast", master: str | None = None, extra: dict[str, str] | None = None) -> SparkSession:
+def build_session(
+    app: str = "haulcast", master: str | None = None, extra: dict[str, str] | None = None
+) -> SparkSession:
     """Session for ``master``; without one, whatever ``spark-submit`` chose."""
     builder = SparkSession.builder.appName(app)
     settings = dict(COMMON)

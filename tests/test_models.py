@@ -106,3 +106,20 @@ def test_weighted_median(spark):
         weighted_median(columns, [5.0, 1.0, 1.0]).alias("heavy"),
     ).first()
     assert (out.even, out.heavy) == (5.0, 9.0)
+
+
+def test_entity_without_held_out_days_takes_the_first_candidate(spark, base, trained):
+    one_day = base.where(metrics.is_training_day(F.col("ship_date"))).limit(1)
+    choice = training.choose(trained, one_day).first()
+    assert (choice.model, choice.mae) == ("random_forest", None)
+
+
+def test_listed_entity_without_history_keeps_zero_columns(spark, base):
+    out = training.fit("region", base, ["1T"], ["ATLANTIS", "EAST COAST", "NORTH"], ["random_forest"], TINY)
+    out.choices = training.choose(out, base)
+    feats = base.select("ship_date", "entity", *dates.FEATURES)
+    matrix = forecast.forecast(out, feats)
+    assert matrix.columns[1:] == ["ATLANTIS-1T", "EAST COAST-1T", "NORTH-1T"]
+    assert matrix.where(F.col("ATLANTIS-1T") != 0).count() == 0
+    moved = feats.withColumn("entity", F.lit("ATLANTIS"))
+    assert rows_of(forecast.missing_entities(out, moved)) == [("ATLANTIS", 300)]
