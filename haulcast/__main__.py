@@ -6,26 +6,33 @@
 
 Tables are Parquet in the schemas of ``haulcast.schemas``; a forecast or override
 table that ends in ``.csv`` is read as CSV. ``side.json`` holds the fields of ``Side``.
+With ``--jdbc options.json`` (url, user, password, ...) shipments, locations and
+forecast are tables or views of a database that have the columns of those schemas.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-from datetime import date
+from datetime import date, datetime, time, timedelta
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
 from haulcast import schemas
 from haulcast.models.training import Trained
 from haulcast.plans import batch, history
 from haulcast.session import build_session
-from haulcast.sources import files
+from haulcast.sources import files, jdbc
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="haulcast")
     parser.add_argument("--master")
     parser.add_argument("--as-of", type=date.fromisoformat)
+    parser.add_argument("--jdbc")
+    parser.add_argument("--tasks", type=int, default=32)
     commands = parser.add_subparsers(dest="command", required=True)
     needed = {
         "train": ("shipments", "locations", "side", "models"),
@@ -51,20 +58,30 @@ def _write(result: batch.FleetForecast, out: str) -> None:
     files.write_matrix(result.missing, f"{out}/missing")
 
 
+def _table(spark: SparkSession, args: argparse.Namespace, name: str, schema: StructType) -> DataFrame:
+    if not args.jdbc:
+        if name.endswith(".csv"):
+            return files.read_forecast_csv(spark, name)
+        return spark.read.schema(schema).parquet(name)
+    options = jdbc.connection(**json.loads(Path(args.jdbc).read_text(encoding="utf-8")))
+    split = None
+    if schema is schemas.SHIPMENTS:
+        until = datetime.combine(args.as_of or date.today(), time.min)
+        split = jdbc.partitioning("start_ts", until - timedelta(days=31 * batch.TRAINING_MONTHS), until, args.tasks)
+    return jdbc.read_table(spark, name, options, split)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _arguments(argv)
     spark = build_session("haulcast", master=args.master)
     if args.command == "volumes":
-        read = files.read_forecast_csv if args.forecast.endswith(".csv") else lambda s, p: s.read.parquet(p)
-        overrides = None
-        if args.overrides:
-            overrides = files.read_csv(spark, args.overrides, schemas.OVERRIDES)
+        overrides = files.read_csv(spark, args.overrides, schemas.OVERRIDES) if args.overrides else None
         trained = Trained.load(args.models, args.side_name, spark)
-        segments = args.segments.split(",")
-        _write(batch.from_volumes(read(spark, args.forecast), segments, trained, args.as_of, overrides), args.out)
+        uploaded = _table(spark, args, args.forecast, schemas.VOLUME_FORECAST)
+        _write(batch.from_volumes(uploaded, args.segments.split(","), trained, args.as_of, overrides), args.out)
         return
-    shipments = spark.read.schema(schemas.SHIPMENTS).parquet(args.shipments)
-    locations = spark.read.schema(schemas.LOCATIONS).parquet(args.locations)
+    shipments = _table(spark, args, args.shipments, schemas.SHIPMENTS)
+    locations = _table(spark, args, args.locations, schemas.LOCATIONS)
     side = read_side(args.side)
     if args.command == "train":
         batch.train(shipments, locations, side, args.as_of).save(args.models, spark)

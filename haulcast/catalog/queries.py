@@ -755,6 +755,8 @@ def train_sides(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The history form: the last rows of the base table are scored directly."""
-    trained = _trained(spark, sf, REGION_SIDE, ["random_forest"])
-    tail = topk.last_rows(_region_abt(spark, sf), 7 * len(standin.REGIONS), ["ship_date", "entity"])
-    return forecast.forecast(trained, tail.select("ship_date", "entity", *dates.FEATURES))
+    opened = _side(spark, sf, REGION_SIDE)
+    trained = training.train_all(opened, settings=SMALL, candidates=["random_forest"])
+    table = opened.base_table().select("ship_date", "entity", *dates.FEATURES)
+    tail = topk.last_rows(table, 7 * len(standin.REGIONS), ["ship_date", "entity"])
+    return forecast.forecast(trained, tail)

@@ -12,7 +12,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 
-from haulcast.functions import dates
 from haulcast.models.candidates import CANDIDATES, Settings
 from haulcast.models.training import Trained, train_all
 from haulcast.operators import filters, joins, metrics, reshape, topk
@@ -49,8 +48,7 @@ def train(
     candidates: tuple[str, ...] = tuple(CANDIDATES),
 ) -> Trained:
     """Models of one side from the last 25 months."""
-    resolved = resolve(shipments, locations, TRAINING_MONTHS, as_of, closed=True)
-    return train_all(history.open_side(resolved, side), settings=settings, candidates=candidates)
+    return train_sides(shipments, locations, [side], as_of, settings, candidates)[side.name]
 
 
 def train_sides(
@@ -64,7 +62,7 @@ def train_sides(
     """Models of several sides from one read of the shipments.
 
     The joined, narrow rows are written once, split by segment; every side then
-    reads only the folders of its own segments.
+    reads only the folders of its own segments. A database is asked only once.
     """
     resolved = resolve(shipments, locations, TRAINING_MONTHS, as_of, closed=True)
     with staged(side_columns(resolved, sides), "resolved", "segment") as rows:
@@ -110,16 +108,15 @@ def from_history(
 ) -> FleetForecast:
     """Score the last rows of the recent base table, seven per entity."""
     resolved = resolve(shipments, locations, RECENT_MONTHS, as_of, closed=False)
-    table = history.open_side(resolved, side).base_table(trained.trucks)
-    tail = topk.last_rows(
-        table.select("ship_date", "entity", *dates.FEATURES),
-        HORIZON_DAYS * len(trained.entities),
-        ["ship_date", "entity"],
-    )
-    volumes = tail.select("ship_date", "entity", "total_volume")
-    if overrides is not None:
-        volumes = volume.what_if(volumes, overrides)
-    return _shown(trained, stage_table(volumes, "volumes"))
+    with staged(side_columns(resolved, [side]), "recent", "segment") as rows:
+        table = history.open_side(rows, side).base_table(trained.trucks)
+        tail = topk.last_rows(
+            table.select("ship_date", "entity", "total_volume"),
+            HORIZON_DAYS * len(trained.entities),
+            ["ship_date", "entity"],
+        )
+        volumes = stage_table(tail if overrides is None else volume.what_if(tail, overrides), "volumes")
+    return _shown(trained, volumes)
 
 
 def from_volumes(

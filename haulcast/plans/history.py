@@ -121,15 +121,17 @@ class SideHistory:
 def open_side(resolved: DataFrame, side: Side) -> SideHistory:
     """Rank trucks and entities in one pass over the history.
 
-    The profile is written to the shared folder: both rankings read that small
-    table, and the history itself is read twice in all, here and for the base
-    table.
+    With two rankings the profile is written to the shared folder and both read
+    that small table; the history itself is read here and for the base table.
     """
     rows = side_rows(resolved, side)
-    kept_entities = None
+    if side.top_entities is None:
+        return SideHistory(side, rows, _kept_trucks(top_trucks(profile(rows), side.top_trucks)), None)
     with staged(profile(rows), f"profile-{side.name}") as profiled:
         trucks = top_trucks(profiled, side.top_trucks)
-        kept_trucks = topk.top_names(trucks, "equipment_gid")
-        if side.top_entities is not None:
-            kept_entities = topk.top_names(top_entities(profiled, trucks, side.top_entities), "entity")
-    return SideHistory(side, rows, kept_trucks, kept_entities)
+        entities = top_entities(profiled, trucks, side.top_entities)
+        return SideHistory(side, rows, _kept_trucks(trucks), topk.top_names(entities, "entity"))
+
+
+def _kept_trucks(top: DataFrame) -> list[str]:
+    return topk.top_names(top, "equipment_gid")

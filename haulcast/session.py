@@ -13,6 +13,8 @@ COMMON = {
     # partition into several tasks on either side of a sort-merge join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Where every partition of one side is small, hash it instead of sorting both.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.ui.enabled": "false",
 }
 

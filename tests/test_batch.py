@@ -129,3 +129,27 @@ def test_hashed_split_is_stable_and_near_four_fifths(spark):
     chosen = days.where(metrics.is_training_row(7, "d"))
     assert 3800 < chosen.count() < 4200
     assert chosen.exceptAll(days.repartition(3).where(metrics.is_training_row(7, "d"))).count() == 0
+
+
+def test_command_line_reads_a_database_in_time_slices(spark, tables, tmp_path, monkeypatch, trained):
+    asked = {}
+
+    def fake(session, table, options, split=None):
+        asked[table] = (options, split)
+        return session.read.parquet(f"{tables}/{table}")
+
+    monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
+    monkeypatch.setattr(cli.jdbc, "read_table", fake)
+    options = tmp_path / "jdbc.json"
+    options.write_text(json.dumps({"url": "jdbc:sqlserver://host", "user": "u", "password": "p"}))
+    side = tmp_path / "side.json"
+    side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["DT-A"], "top_trucks": 2}))
+    trained.save(f"{tmp_path}/models", spark)
+    cli.main(
+        ["--as-of", "2021-06-30", "--jdbc", str(options), "--tasks", "7", "history", "--shipments", "shipments",
+         "--locations", "locations", "--side", str(side), "--models", f"{tmp_path}/models", "--out", f"{tmp_path}/out"]
+    )
+    assert asked["shipments"][0]["driver"].endswith("SQLServerDriver")
+    assert (asked["shipments"][1]["numPartitions"], asked["shipments"][1]["upperBound"]) == ("7", "2021-06-30 00:00:00")
+    assert asked["locations"][1] is None
+    assert spark.read.parquet(f"{tmp_path}/out/matrix").count() == 7
