@@ -95,8 +95,10 @@ def test_counted_broadcast_respects_its_bound(spark):
         assert "BroadcastHashJoin" not in plan(facts.join(joins.broadcast_counted(names, max_rows=19), "entity"))
 
 
-def test_hot_destination_is_split(spark):
-    """A third of all shipments goes to one place: AQE cuts its partition into tasks."""
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize(("hash_limit", "join"), [("0", "SortMergeJoin"), ("64m", "ShuffledHashJoin")])
+def test_hot_destination_is_split(spark, how, hash_limit, join):
+    """A third of all shipments goes to one place: AQE cuts its partition into tasks, sorted or hashed."""
     n = 300_000
     key = F.when(F.col("id") < n // 3, F.lit("L0")).otherwise(F.concat(F.lit("L"), F.col("id") % 997))
     facts = spark.range(0, n, 1, 8).select(
@@ -106,21 +108,24 @@ def test_hot_destination_is_split(spark):
         F.concat(F.lit("L"), F.col("id")).alias("location_gid"),
         *[F.lit("n").alias(c) for c in ("location_name", "province", "city", "zone1", "zone2", "segment", "domain_name")],
     )
-    for how in ("inner", "left"):
-        with settings(
-            spark,
-            **{
-                "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
-                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
-            },
-        ):
-            out = joins.with_destination(facts, places, how)
-            counted = out.groupBy("segment").agg(F.count("*").alias("n"), F.sum("shipment_xid").alias("ids"))
-            assert [tuple(r)[1:] for r in counted.collect()] == [(n, n * (n - 1) // 2)]
-            assert "SortMergeJoin(skew=true)" in final_plan(counted)
+    with settings(
+        spark,
+        **{
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": hash_limit,
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        },
+    ):
+        counted = joins.with_destination(facts, places, how).groupBy("segment").agg(
+            F.count("*").alias("n"), F.sum("shipment_xid").alias("ids")
+        )
+        assert [tuple(r)[1:] for r in counted.collect()] == [(n, n * (n - 1) // 2)]
+        text = final_plan(counted)
+        assert f"{join}(skew=true)" in text
+        assert "AQEShuffleRead coalesced and skewed" in text
 
 
 @pytest.mark.parametrize("name", ["abt_customer", "abt_region", "join_two_roles", "vol_pivot_region", "what_if_volumes"])
