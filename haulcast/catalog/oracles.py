@@ -452,6 +452,20 @@ def all_oracles() -> dict[str, str]:
             """SELECT entity, truck, count(*) AS n_forecasts, CAST(0 AS BIGINT) AS n_changed
             FROM actuals GROUP BY 1, 2""",
         ),
+        "fit_coverage": _with(
+            ACTUALS,
+            """SELECT entity, truck, model, count(*) AS n_cells, CAST(0 AS BIGINT) AS n_missing,
+              CAST(0 AS BIGINT) AS n_outside, CAST(sum(n_shipments) AS DOUBLE) AS shipped
+            FROM actuals, (VALUES ('random_forest'), ('adaboost'), ('extra_trees'), ('gradient_boosting'),
+              ('random_forest_2')) m(model)
+            WHERE datediff('day', DATE '1970-01-01', ship_date) % 5 = 4 GROUP BY 1, 2, 3""",
+        ),
+        "fleet_coverage": _with(
+            f"{REGION_ROWS}, {VOLUMES}",
+            """SELECT entity, substr(equipment_gid, 5) AS truck, count(*) AS n_forecasts,
+              count(DISTINCT ship_date) AS n_days, CAST(0 AS BIGINT) AS n_wrong
+            FROM volumes, top_r GROUP BY 1, 2""",
+        ),
         "train_sides": _with(
             f"{REGION_ROWS}, {CUSTOMER_PART}",
             """SELECT 'region' AS side, entity, 'random_forest' AS model FROM (SELECT DISTINCT entity FROM prep_r)

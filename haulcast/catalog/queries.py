@@ -703,6 +703,30 @@ _REGISTRY["fit_extratrees"] = _fit_one("extra_trees")
 _REGISTRY["fit_gbt"] = _fit_one("gradient_boosting")
 
 
+@query
+def fit_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate forecasts every held-out cell once.
+
+    Trees that average or pick training values stay within the range of those
+    values; boosting by gradients adds trees up and may leave it.
+    """
+    opened = _side(spark, sf, REGION_SIDE)
+    trucks, base = opened.truck_names(), stage_table(opened.base_table(), "abt-region")
+    trained_on = metrics.is_training_day(F.col("ship_date"))
+    fitted = training.fit(REGION_SIDE.name, base, trucks, standin.REGIONS, settings=SMALL)
+    ranges = abt.long_counts(base.where(trained_on), trucks).groupBy("truck").agg(
+        F.min("n_shipments").alias("low"), F.max("n_shipments").alias("high")
+    )
+    cells = fitted.backtest(base.where(~trained_on)).join(ranges, "truck")
+    outside = ~F.col("forecast").between(F.col("low"), F.col("high")) & (F.col("model") != "gradient_boosting")
+    return cells.groupBy("entity", "truck", "model").agg(
+        F.count("*").alias("n_cells"),
+        F.count_if(F.col("forecast").isNull()).alias("n_missing"),
+        F.count_if(outside).alias("n_outside"),
+        F.sum("actual").alias("shipped"),
+    )
+
+
 @query
 def train_all(spark: SparkSession, sf: str) -> DataFrame:
     return _trained(spark, sf, REGION_SIDE, list(training.CANDIDATES)).choices
@@ -715,6 +739,18 @@ def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.forecast(trained, volume.features(_region_volumes(spark, sf)))
 
 
+@query
+def fleet_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every uploaded day of every region gets one forecast per kept truck, none negative."""
+    trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "adaboost"])
+    fleet = trained.score(volume.features(_region_volumes(spark, sf)))
+    return fleet.groupBy("entity", "truck").agg(
+        F.count("*").alias("n_forecasts"),
+        F.countDistinct("ship_date").alias("n_days"),
+        F.count_if(F.col("forecast").isNull() | (F.col("forecast") < 0)).alias("n_wrong"),
+    )
+
+
 @query
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
     trained = _trained(spark, sf, CUSTOMER_SIDE, ["random_forest", "gradient_boosting"])

@@ -27,6 +27,7 @@ from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table, staged
 
 ALL = ""  # scope of a pooled fit
+MAX_ENTITIES = 10_000
 MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
 CHOICE_TABLE = "entity string, model string, mae double"
 
@@ -175,7 +176,7 @@ def fit(
     train = featurise(base_table.where(_training(is_train)), entities)
     scopes = [ALL]
     if per_entity:
-        scopes = sorted(row.entity for row in train.select("entity").distinct().collect())
+        scopes = _vocabulary(train)
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
 
     def run(job: tuple[str, str, str]):
@@ -203,6 +204,14 @@ def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = No
     return known.join(best, "entity", "left").select("entity", F.coalesce("model", first).alias("model"), "mae")
 
 
+def _vocabulary(base_table: DataFrame) -> list[str]:
+    """Entity names for the string index, which the driver holds; refused beyond a bound."""
+    found = base_table.select("entity").distinct().limit(MAX_ENTITIES + 1).collect()
+    if len(found) > MAX_ENTITIES:
+        raise ValueError(f"more than {MAX_ENTITIES} entities: pass the ones to train as `entities`")
+    return sorted(row.entity for row in found)
+
+
 def _training(is_train: Column | None) -> Column:
     return metrics.is_training_day(F.col("ship_date")) if is_train is None else is_train
 
@@ -218,13 +227,12 @@ def train_all(
     """Fit, compare and choose for every entity of a side.
 
     ``entities`` restricts the side to an allow-list; else the names in the base
-    table are used. They are the vocabulary of a model feature, so the driver
-    needs them, as it does for any string index.
+    table are used.
     """
     trucks, side = history.truck_names(), history.side.name
     with staged(history.base_table(trucks), f"abt-{side}") as base:
         if entities is None:
-            entities = history.kept_entities or sorted(r.entity for r in base.select("entity").distinct().collect())
+            entities = history.kept_entities or _vocabulary(base)
         trained = fit(side, base, trucks, entities, candidates, settings, per_entity, is_train=is_train)
         trained.choices = stage_table(choose(trained, base, is_train), f"choice-{side}")
     return trained

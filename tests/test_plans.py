@@ -17,7 +17,7 @@ from haulcast.sources import standin
 
 ALL = entry_points.queries()
 FITTED = {"fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "train_all", "fleet_region", "fleet_customer",
-          "fleet_history_tail", "model_store", "train_sides"}
+          "fleet_history_tail", "model_store", "train_sides", "fit_coverage", "fleet_coverage"}
 
 
 def plan(df) -> str:
