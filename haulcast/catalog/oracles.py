@@ -132,9 +132,14 @@ fleet AS (
 
 MATRIX = f"{VOLUMES}, matrix AS ({_matrix('volumes', V_LOADS)})"
 
-EDITED = f"""{VOLUMES}, edited AS (
+GRID = f"""{VOLUMES}, grid AS (
+  SELECT d.ship_date, r.r_name AS entity, coalesce(v.total_volume, 0) AS total_volume
+  FROM (SELECT DISTINCT ship_date FROM volumes) d CROSS JOIN region r
+  LEFT JOIN volumes v ON v.ship_date = d.ship_date AND v.entity = r.r_name)"""
+
+EDITED = f"""{GRID}, edited AS (
   SELECT ship_date, entity,
-    CASE WHEN isodow(ship_date) = 6 THEN total_volume * 2 ELSE total_volume END AS total_volume FROM volumes)"""
+    CASE WHEN isodow(ship_date) = 6 THEN total_volume * 2 + 1000 ELSE total_volume END AS total_volume FROM grid)"""
 
 BACKTEST = f"""{ACTUALS}, backtest AS (
   SELECT ship_date, entity, truck, CAST(n_shipments AS DOUBLE) AS a, round_even(total_volume / 40.0::DOUBLE, 0) AS f
@@ -435,10 +440,11 @@ def all_oracles() -> dict[str, str]:
             EDITED, f"SELECT ship_date, entity, total_volume, {CALENDAR} FROM edited"
         ),
         "what_if_fleet": _with(EDITED, _matrix("edited", V_LOADS)),
+        "volume_grid": _with(GRID, "SELECT * FROM grid"),
         "rejected_edits": _with(
-            VOLUMES,
+            GRID,
             """SELECT count(*) FILTER (WHERE isodow(ship_date) = 7) AS n_rejected, count(*) AS n_rows
-            FROM volumes WHERE isodow(ship_date) >= 6""",
+            FROM grid WHERE isodow(ship_date) >= 6""",
         ),
         "prep_customer": _with(
             CUSTOMER_ROWS, "SELECT ship_date, entity, equipment_gid, shipment_xid, total_volume, truck FROM prep_c"
@@ -461,10 +467,10 @@ def all_oracles() -> dict[str, str]:
             WHERE datediff('day', DATE '1970-01-01', ship_date) % 5 = 4 GROUP BY 1, 2, 3""",
         ),
         "fleet_coverage": _with(
-            f"{REGION_ROWS}, {VOLUMES}",
+            f"{REGION_ROWS}, {GRID}",
             """SELECT entity, substr(equipment_gid, 5) AS truck, count(*) AS n_forecasts,
               count(DISTINCT ship_date) AS n_days, CAST(0 AS BIGINT) AS n_wrong
-            FROM volumes, top_r GROUP BY 1, 2""",
+            FROM grid, top_r GROUP BY 1, 2""",
         ),
         "train_sides": _with(
             f"{REGION_ROWS}, {CUSTOMER_PART}",

@@ -86,18 +86,22 @@ def _region_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return volume.daily(_parsed(spark, sf), standin.REGION_SEGMENTS)
 
 
+def _region_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return reshape.volume_grid(_region_volumes(spark, sf), standin.REGIONS)
+
+
 def _last_week(spark: SparkSession, sf: str) -> DataFrame:
     loaded = volume.load(standin.volume_forecast(spark, sf), AS_OF_LAST_WEEK)
     return reshape.volume_pivot(volume.daily(loaded, standin.REGION_SEGMENTS), standin.REGIONS)
 
 
 def _weekend_edits(volumes: DataFrame) -> DataFrame:
-    """Edited cells as text: Saturdays doubled, Sundays left unreadable."""
+    """Edited cells as text: Saturdays doubled and raised, Sundays left unreadable."""
     weekday = F.weekday("ship_date")
     return volumes.where(weekday >= 5).select(
         "ship_date",
         "entity",
-        F.when(weekday == 5, (F.col("total_volume") * 2).cast("string")).otherwise(F.lit("n/a")).alias("volume_text"),
+        F.when(weekday == 5, (F.col("total_volume") * 2 + 1000).cast("string")).otherwise(F.lit("n/a")).alias("volume_text"),
     )
 
 
@@ -121,7 +125,7 @@ def _backtest(spark: SparkSession, sf: str, rules: dict[str, float]) -> DataFram
 
 
 def _rule_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    features = volume.features(_region_volumes(spark, sf))
+    features = volume.features(_region_grid(spark, sf))
     fleet = forecast.linear_rule(features, V_LOADS)
     return forecast.matrix(features, fleet, standin.REGIONS, list(V_LOADS))
 
@@ -621,6 +625,11 @@ def unpivot_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.volume_unpivot(wide, standin.REGIONS)
 
 
+@query
+def volume_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return _region_grid(spark, sf)
+
+
 @query
 def transpose_volumes(spark: SparkSession, sf: str) -> DataFrame:
     return reshape.transpose_days(_last_week(spark, sf), standin.REGIONS, WEEK)
@@ -646,21 +655,21 @@ def fleet_rule_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def what_if_volumes(spark: SparkSession, sf: str) -> DataFrame:
-    volumes = _region_volumes(spark, sf)
-    return volume.features(volume.what_if(volumes, _weekend_edits(volumes)))
+    grid = _region_grid(spark, sf)
+    return volume.features(volume.what_if(grid, _weekend_edits(grid)))
 
 
 @query
 def what_if_fleet(spark: SparkSession, sf: str) -> DataFrame:
-    volumes = _region_volumes(spark, sf)
-    feats = volume.features(volume.what_if(volumes, _weekend_edits(volumes)))
+    grid = _region_grid(spark, sf)
+    feats = volume.features(volume.what_if(grid, _weekend_edits(grid)))
     fleet = forecast.linear_rule(feats, V_LOADS)
     return forecast.matrix(feats, fleet, standin.REGIONS, list(V_LOADS))
 
 
 @query
 def rejected_edits(spark: SparkSession, sf: str) -> DataFrame:
-    return volume.rejected_edits(_weekend_edits(_region_volumes(spark, sf)))
+    return volume.rejected_edits(_weekend_edits(_region_grid(spark, sf)))
 
 
 @query
@@ -736,14 +745,14 @@ def train_all(spark: SparkSession, sf: str) -> DataFrame:
 def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes scored by models fitted on the history."""
     trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "gradient_boosting"])
-    return forecast.forecast(trained, volume.features(_region_volumes(spark, sf)))
+    return forecast.forecast(trained, volume.features(_region_grid(spark, sf)))
 
 
 @query
 def fleet_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Every uploaded day of every region gets one forecast per kept truck, none negative."""
     trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "adaboost"])
-    fleet = trained.score(volume.features(_region_volumes(spark, sf)))
+    fleet = trained.score(volume.features(_region_grid(spark, sf)))
     return fleet.groupBy("entity", "truck").agg(
         F.count("*").alias("n_forecasts"),
         F.countDistinct("ship_date").alias("n_days"),
@@ -755,7 +764,7 @@ def fleet_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
     trained = _trained(spark, sf, CUSTOMER_SIDE, ["random_forest", "gradient_boosting"])
     daily = volume.daily(_parsed(spark, sf, "n_name"), standin.CUSTOMER_SEGMENTS)
-    return forecast.forecast(trained, volume.features(daily))
+    return forecast.forecast(trained, volume.features(reshape.volume_grid(daily, standin.NATIONS)))
 
 
 @query

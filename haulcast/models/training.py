@@ -22,12 +22,12 @@ from haulcast.functions import dates
 from haulcast.functions.numbers import quoted, whole
 from haulcast.models.boosting import AdaBoostModel
 from haulcast.models.candidates import CANDIDATES, FEATURES_COL, Settings
-from haulcast.operators import metrics
+from haulcast.operators import filters, metrics
 from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table, staged
 
 ALL = ""  # scope of a pooled fit
-MAX_ENTITIES = 10_000
+MAX_ENTITIES = 10_000  # names the driver holds as the vocabulary of the entity feature
 MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
 CHOICE_TABLE = "entity string, model string, mae double"
 
@@ -176,7 +176,7 @@ def fit(
     train = featurise(base_table.where(_training(is_train)), entities)
     scopes = [ALL]
     if per_entity:
-        scopes = _vocabulary(train)
+        scopes = filters.names_within(train, "entity", MAX_ENTITIES)
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
 
     def run(job: tuple[str, str, str]):
@@ -204,14 +204,6 @@ def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = No
     return known.join(best, "entity", "left").select("entity", F.coalesce("model", first).alias("model"), "mae")
 
 
-def _vocabulary(base_table: DataFrame) -> list[str]:
-    """Entity names for the string index, which the driver holds; refused beyond a bound."""
-    found = base_table.select("entity").distinct().limit(MAX_ENTITIES + 1).collect()
-    if len(found) > MAX_ENTITIES:
-        raise ValueError(f"more than {MAX_ENTITIES} entities: pass the ones to train as `entities`")
-    return sorted(row.entity for row in found)
-
-
 def _training(is_train: Column | None) -> Column:
     return metrics.is_training_day(F.col("ship_date")) if is_train is None else is_train
 
@@ -232,7 +224,7 @@ def train_all(
     trucks, side = history.truck_names(), history.side.name
     with staged(history.base_table(trucks), f"abt-{side}") as base:
         if entities is None:
-            entities = history.kept_entities or _vocabulary(base)
+            entities = history.kept_entities or filters.names_within(base, "entity", MAX_ENTITIES)
         trained = fit(side, base, trucks, entities, candidates, settings, per_entity, is_train=is_train)
         trained.choices = stage_table(choose(trained, base, is_train), f"choice-{side}")
     return trained

@@ -59,6 +59,15 @@ def uncovered(df: DataFrame, listed: Iterable[str], column: str = "entity") -> D
     return df.where(key.isNotNull() & ~key.isin(list(listed))).groupBy(key).agg(F.count("*").alias("n_rows"))
 
 
+def names_within(df: DataFrame, column: str, bound: int) -> list[str]:
+    """Distinct names on the driver, for columns of a wide table; refused beyond ``bound``."""
+    key = F.col(quoted(column))
+    found = df.where(key.isNotNull()).select(key).distinct().limit(bound + 1).collect()
+    if len(found) > bound:
+        raise ValueError(f"more than {bound} values of {column}: pass the ones to use")
+    return sorted(row[0] for row in found)
+
+
 def canonical(value: Column, synonyms: Mapping[str, str]) -> Column:
     """Replace listed spelling variants; other names, and NULL, pass through."""
     out = value

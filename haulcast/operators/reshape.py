@@ -26,6 +26,21 @@ def volume_unpivot(wide: DataFrame, entities: Sequence[str]) -> DataFrame:
     return wide.unpivot("ship_date", [F.col(quoted(e)) for e in entities], "entity", "total_volume")
 
 
+def volume_grid(volumes: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """Every day with every entity, cells without volume being 0.
+
+    This is the table a user edits: an empty cell can be filled, and is scored
+    as a day of no volume. The listed names are spread over the days in long
+    form, so the plan does not widen with them. ``volumes`` has one row per cell.
+    """
+    names = F.array([F.lit(e) for e in entities])
+    cells = volumes.select("ship_date").distinct().select("ship_date", F.explode(names).alias("entity"))
+    known = volumes.select("ship_date", "entity", "total_volume")
+    return cells.join(known, ["ship_date", "entity"], "left").withColumn(
+        "total_volume", F.coalesce(round_even(F.col("total_volume"), 2), F.lit(0.0))
+    )
+
+
 def transpose_days(wide: DataFrame, entities: Sequence[str], days: Sequence[date]) -> DataFrame:
     """One row per entity, one labelled column per day of the horizon.
 

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from haulcast.models.candidates import CANDIDATES, Settings
-from haulcast.models.training import Trained, train_all
+from haulcast.models.training import MAX_ENTITIES, Trained, train_all
 from haulcast.operators import filters, joins, metrics, reshape, topk
 from haulcast.plans import forecast, history, volume
 from haulcast.staging import stage_table, staged
@@ -88,11 +88,15 @@ def accuracy(trained: Trained, base_table: DataFrame) -> DataFrame:
     return metrics.metric_table(trained.backtest(holdout).join(own, ["entity", "model"], "left_semi"), clock=True)
 
 
-def _shown(trained: Trained, volumes: DataFrame) -> FleetForecast:
-    features = volume.features(volumes)
+def _shown(trained: Trained, volumes: DataFrame, overrides: DataFrame | None) -> FleetForecast:
+    """Lay out the grid of days and entities, edit it, score it."""
+    entities = filters.names_within(volumes, "entity", MAX_ENTITIES)
+    grid = reshape.volume_grid(volumes, entities)
+    edited = stage_table(grid if overrides is None else volume.what_if(grid, overrides), "volumes")
+    features = volume.features(edited)
     return FleetForecast(
-        volumes,
-        reshape.volume_pivot(volumes, trained.entities),
+        edited,
+        reshape.volume_pivot(edited, entities),
         forecast.forecast(trained, features),
         forecast.missing_entities(trained, features),
     )
@@ -115,8 +119,8 @@ def from_history(
             HORIZON_DAYS * len(trained.entities),
             ["ship_date", "entity"],
         )
-        volumes = stage_table(tail if overrides is None else volume.what_if(tail, overrides), "volumes")
-    return _shown(trained, volumes)
+        with staged(tail, "tail") as volumes:
+            return _shown(trained, volumes, overrides)
 
 
 def from_volumes(
@@ -127,7 +131,5 @@ def from_volumes(
     overrides: DataFrame | None = None,
 ) -> FleetForecast:
     """Score the uploaded forecast table, with edited cells in place of uploaded ones."""
-    volumes = volume.daily(volume.load(uploaded, as_of), segments)
-    if overrides is not None:
-        volumes = volume.what_if(volumes, overrides)
-    return _shown(trained, stage_table(volumes, "volumes"))
+    with staged(volume.daily(volume.load(uploaded, as_of), segments), "uploaded") as volumes:
+        return _shown(trained, volumes, overrides)

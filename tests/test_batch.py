@@ -73,10 +73,10 @@ def test_volume_run(spark, tables, trained):
     edits = spark.createDataFrame([(date(2021, 7, 1), "SOUTH", "40")], schemas.OVERRIDES)
     out = batch.from_volumes(read(spark, tables, "forecast"), ["DT"], trained, AS_OF, edits)
     assert {(r.ship_date, r.entity): r.total_volume for r in out.volumes.collect()}[(date(2021, 7, 1), "SOUTH")] == 40.0
-    assert out.table.columns == ["ship_date", "NORTH", "SOUTH"]
+    assert out.table.columns == ["ship_date", "MOON", "NORTH", "SOUTH"]  # what was uploaded, as a dense grid
     assert out.matrix.columns == ["ship_date", "NORTH-10T", "NORTH-20T", "SOUTH-10T", "SOUTH-20T"]
     assert sorted(r.ship_date for r in out.matrix.collect()) == [date(2021, 7, 1), date(2021, 7, 2)]
-    assert [tuple(r) for r in out.missing.collect()] == [("MOON", 1)]
+    assert [tuple(r) for r in out.missing.collect()] == [("MOON", 2)]
 
 
 def test_history_run(spark, tables, trained):

@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from haulcast.operators import filters, topk
@@ -77,3 +78,10 @@ def test_last_and_first_rows(spark):
     df = spark.createDataFrame([(d, e) for d in (1, 2, 3) for e in "ab"], "d int, e string")
     assert sorted(tuple(r) for r in topk.last_rows(df, 3, ["d", "e"]).collect()) == [(2, "b"), (3, "a"), (3, "b")]
     assert [tuple(r) for r in topk.first_rows(df, 2, ["d", "e"]).collect()] == [(1, "a"), (1, "b")]
+
+
+def test_names_on_the_driver_are_bounded(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "entity string")
+    assert filters.names_within(df, "entity", 2) == ["a", "b"]
+    with pytest.raises(ValueError, match="more than 1 values of entity"):
+        filters.names_within(df, "entity", 1)

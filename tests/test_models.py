@@ -123,10 +123,3 @@ def test_listed_entity_without_history_keeps_zero_columns(spark, base):
     assert matrix.where(F.col("ATLANTIS-1T") != 0).count() == 0
     moved = feats.withColumn("entity", F.lit("ATLANTIS"))
     assert rows_of(forecast.missing_entities(out, moved)) == [("ATLANTIS", 300)]
-
-
-def test_too_many_entities_are_refused(base, monkeypatch):
-    assert training._vocabulary(base) == ["EAST COAST", "NORTH"]
-    monkeypatch.setattr(training, "MAX_ENTITIES", 1)
-    with pytest.raises(ValueError, match="more than 1 entities"):
-        training._vocabulary(base)

@@ -80,3 +80,21 @@ def test_features_are_named(uploaded):
     out = volume.features(volume.daily(volume.parse(uploaded), ["DT"]))
     assert out.columns == ["ship_date", "entity", "total_volume", "year", "month", "weekday"]
     assert out.where(F.col("weekday") == 1).count() == 2
+
+
+def test_grid_has_every_cell_and_edits_reach_empty_ones(spark, uploaded):
+    volumes = volume.daily(volume.parse(uploaded), ["DT"])
+    grid = reshape.volume_grid(volumes, ["EAST COAST", "SOUTH"])
+    expected = {(D1, "EAST COAST"): 7.0, (D1, "SOUTH"): 3.5, (D2, "EAST COAST"): 0.0, (D2, "SOUTH"): 10.12}
+    assert {(r.ship_date, r.entity): r.total_volume for r in grid.collect()} == expected
+    edits = spark.createDataFrame([(D2, "EAST COAST", "9")], schemas.OVERRIDES)
+    edited = {(r.ship_date, r.entity): r.total_volume for r in volume.what_if(grid, edits).collect()}
+    assert edited == expected | {(D2, "EAST COAST"): 9.0}
+    wide = reshape.volume_pivot(volumes, ["EAST COAST", "SOUTH"])
+    again = reshape.volume_unpivot(wide, ["EAST COAST", "SOUTH"])
+    assert {(r.ship_date, r.entity): r.total_volume for r in again.collect()} == expected
+
+
+def test_grid_without_names_or_days_is_empty(uploaded):
+    volumes = volume.daily(volume.parse(uploaded), ["NOWHERE"])
+    assert reshape.volume_grid(volumes, ["SOUTH"]).count() == 0
