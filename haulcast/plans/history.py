@@ -126,7 +126,9 @@ def open_side(resolved: DataFrame, side: Side) -> SideHistory:
     """
     rows = side_rows(resolved, side)
     if side.top_entities is None:
-        return SideHistory(side, rows, _kept_trucks(top_trucks(profile(rows), side.top_trucks)), None)
+        counted = topk.frequencies(rows, "equipment_gid")
+        trucks = topk.top_k(counted, "equipment_gid", "n_rows", side.top_trucks)
+        return SideHistory(side, rows, _kept_trucks(trucks), None)
     with staged(profile(rows), f"profile-{side.name}") as profiled:
         trucks = top_trucks(profiled, side.top_trucks)
         entities = top_entities(profiled, trucks, side.top_entities)
