@@ -47,8 +47,12 @@ def staged(df: DataFrame, label: str, partition_by: str | None = None) -> Iterat
 
 
 def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
-    writer = df.write.mode("errorifexists")
-    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
+    if partition_by is None:
+        df.write.mode("errorifexists").parquet(path)
+    else:
+        # Few large files per folder; AQE cuts a folder that holds most rows into several tasks.
+        laid_out = df.hint("rebalance", partition_by)
+        laid_out.write.mode("errorifexists").partitionBy(partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
