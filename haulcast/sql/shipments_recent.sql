@@ -1,3 +1,4 @@
+-- The quoted names with brackets are fixed output names.
 SELECT s.shipment_gid,
        s.shipment_xid,
        s.servprov_gid,

@@ -17,7 +17,7 @@ from haulcast.plans import batch, history
 from haulcast.staging import staged
 
 AS_OF = date(2021, 6, 30)
-SIDE = history.Side("region", "dest_zone2", ("DT-A", "DT-B"), 2)
+SIDE = history.Side("region", "dest_zone2", ("LOCAL-A", "LOCAL-B"), 2)
 TINY = Settings(trees=3, depth=3, boost_rounds=2, gbt_rounds=2)
 
 
@@ -39,9 +39,9 @@ def tables(spark, tmp_path_factory):
         }
         rows.append(tuple(row[n] for n in names))
     spark.createDataFrame(rows, schemas.SHIPMENTS).write.parquet(f"{folder}/shipments")
-    places = [(f"L{i}", f"N{i}", "P", "C", "Z1", ["SOUTH", "NORTH"][i % 2], ["DT-A", "DT-B", "IMT", "DT-A"][i], "D") for i in range(4)]
+    places = [(f"L{i}", f"N{i}", "P", "C", "Z1", ["SOUTH", "NORTH"][i % 2], ["LOCAL-A", "LOCAL-B", "CHAIN", "LOCAL-A"][i], "D") for i in range(4)]
     spark.createDataFrame(places, schemas.LOCATIONS).write.parquet(f"{folder}/locations")
-    uploaded = [(1, "2021/Jul/01", "DT", "south", 20.0), (2, "2021/Jul/01", "DT", "north", 30.0), (3, "2021/Jul/02", "DT", "moon", 5.0)]
+    uploaded = [(1, "2021/Jul/01", "LOCAL", "south", 20.0), (2, "2021/Jul/01", "LOCAL", "north", 30.0), (3, "2021/Jul/02", "LOCAL", "moon", 5.0)]
     spark.createDataFrame(
         [(*u, None, None, None, None) for u in uploaded], schemas.VOLUME_FORECAST
     ).write.parquet(f"{folder}/forecast")
@@ -71,7 +71,7 @@ def test_pruning_reaches_the_shipment_scan(spark, tables):
 
 def test_volume_run(spark, tables, trained):
     edits = spark.createDataFrame([(date(2021, 7, 1), "SOUTH", "40")], schemas.OVERRIDES)
-    out = batch.from_volumes(read(spark, tables, "forecast"), ["DT"], trained, AS_OF, edits)
+    out = batch.from_volumes(read(spark, tables, "forecast"), ["LOCAL"], trained, AS_OF, edits)
     assert {(r.ship_date, r.entity): r.total_volume for r in out.volumes.collect()}[(date(2021, 7, 1), "SOUTH")] == 40.0
     assert out.table.columns == ["ship_date", "MOON", "NORTH", "SOUTH"]  # what was uploaded, as a dense grid
     assert out.matrix.columns == ["ship_date", "NORTH-10T", "NORTH-20T", "SOUTH-10T", "SOUTH-20T"]
@@ -96,7 +96,7 @@ def test_accuracy_of_the_chosen_models(spark, tables, trained):
 
 
 def test_both_sides_from_one_read(spark, tables):
-    customer = history.Side("customer", "dest_name", ("DT-A", "IMT"), 1, 2)
+    customer = history.Side("customer", "dest_name", ("LOCAL-A", "CHAIN"), 1, 2)
     out = batch.train_sides(
         read(spark, tables, "shipments"), read(spark, tables, "locations"), [SIDE, customer], AS_OF, TINY, ("random_forest",)
     )
@@ -105,20 +105,20 @@ def test_both_sides_from_one_read(spark, tables):
     resolved = batch.resolve(read(spark, tables, "shipments"), read(spark, tables, "locations"), 25, AS_OF, True)
     with staged(batch.side_columns(resolved, [SIDE, customer]), "resolved", "segment") as rows:
         text = history.side_rows(rows, customer)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [segment" in text and "IN (DT-A,IMT)" in text
+    assert "PartitionFilters: [segment" in text and "IN (LOCAL-A,CHAIN)" in text
 
 
 def test_command_line(spark, tables, tmp_path, monkeypatch, trained):
     monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
     monkeypatch.setattr(batch.train, "__defaults__", (None, TINY, ("random_forest",)))
     side = tmp_path / "side.json"
-    side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["DT-A", "DT-B"], "top_trucks": 2}))
+    side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["LOCAL-A", "LOCAL-B"], "top_trucks": 2}))
     history_args = ["--shipments", f"{tables}/shipments", "--locations", f"{tables}/locations", "--side", str(side)]
     models = ["--models", f"{tmp_path}/models"]
     cli.main(["--as-of", "2021-06-30", "train", *history_args, *models])
     assert Trained.load(f"{tmp_path}/models", "region", spark).entities == ["NORTH", "SOUTH"]
     cli.main(["--as-of", "2021-06-30", "history", *history_args, *models, "--out", f"{tmp_path}/h"])
-    forecast = ["--forecast", f"{tables}/forecast", "--segments", "DT", "--side-name", "region"]
+    forecast = ["--forecast", f"{tables}/forecast", "--segments", "LOCAL", "--side-name", "region"]
     cli.main(["--as-of", "2021-06-30", "volumes", *forecast, *models, "--out", f"{tmp_path}/v"])
     assert spark.read.parquet(f"{tmp_path}/v/matrix").count() == 2
     assert spark.read.parquet(f"{tmp_path}/h/volumes").count() == 7
@@ -143,7 +143,7 @@ def test_command_line_reads_a_database_in_time_slices(spark, tables, tmp_path, m
     options = tmp_path / "jdbc.json"
     options.write_text(json.dumps({"url": "jdbc:sqlserver://host", "user": "u", "password": "p"}))
     side = tmp_path / "side.json"
-    side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["DT-A"], "top_trucks": 2}))
+    side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["LOCAL-A"], "top_trucks": 2}))
     trained.save(f"{tmp_path}/models", spark)
     cli.main(
         ["--as-of", "2021-06-30", "--jdbc", str(options), "--tasks", "7", "history", "--shipments", "shipments",

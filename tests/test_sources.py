@@ -11,8 +11,8 @@ from haulcast.staging import new_path, shared_folder, stage_table, staged
 def test_headerless_forecast_csv_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "forecast.csv"
     lines = [
-        "7,2021/Feb/09,DT,South,655,2021-01-28 13:06:21.793,me,2021-01-28 13:06:21.793,me",
-        "6,2021/Feb/08,IMT,North,7261.5,2021-01-28 13:06:21.793,me,2021-01-28 13:06:21.793,me",
+        "7,2021/Feb/09,LOCAL,South,655,2021-01-28 13:06:21.793,me,2021-01-28 13:06:21.793,me",
+        "6,2021/Feb/08,CHAIN,North,7261.5,2021-01-28 13:06:21.793,me,2021-01-28 13:06:21.793,me",
     ]
     path.write_bytes("﻿".encode() + "\n".join(lines).encode())
     out = files.read_forecast_csv(spark, str(path)).orderBy("id").collect()

@@ -14,19 +14,19 @@ D1, D2 = date(2021, 2, 8), date(2021, 2, 9)
 @pytest.fixture()
 def uploaded(spark):
     rows = [
-        (3, "2021/Feb/09", "DT", "South", 10.125),
-        (1, "2021/Feb/08", "DT", "south", 1.0),
-        (2, "2021/Feb/08", "DT", "SOUTH", 2.5),
-        (4, "2021/Feb/08", "DT", "East Coast", 7.0),
-        (5, "2021/Xyz/08", "DT", "SOUTH", 100.0),
-        (6, "2021/Feb/08", "DT", None, 100.0),
-        (7, "2021/Feb/08", "IMT", "SOUTH", 100.0),
+        (3, "2021/Feb/09", "LOCAL", "South", 10.125),
+        (1, "2021/Feb/08", "LOCAL", "south", 1.0),
+        (2, "2021/Feb/08", "LOCAL", "SOUTH", 2.5),
+        (4, "2021/Feb/08", "LOCAL", "East Coast", 7.0),
+        (5, "2021/Xyz/08", "LOCAL", "SOUTH", 100.0),
+        (6, "2021/Feb/08", "LOCAL", None, 100.0),
+        (7, "2021/Feb/08", "CHAIN", "SOUTH", 100.0),
     ]
     return spark.createDataFrame(rows, "id int, date_str string, segment string, cust_region string, volume_forecast double")
 
 
 def test_daily_volumes(uploaded):
-    out = volume.daily(volume.parse(uploaded), ["DT"]).orderBy("ship_date", "entity").collect()
+    out = volume.daily(volume.parse(uploaded), ["LOCAL"]).orderBy("ship_date", "entity").collect()
     assert [tuple(r) for r in out] == [(D1, "EAST COAST", 7.0), (D1, "SOUTH", 3.5), (D2, "SOUTH", 10.12)]
 
 
@@ -36,7 +36,7 @@ def test_bad_dates_are_counted(uploaded):
 
 def test_pivot_unpivot_transpose(uploaded):
     names = ["EAST COAST", "SOUTH", "NORTH (M) SDN. BHD"]
-    wide = reshape.volume_pivot(volume.daily(volume.parse(uploaded), ["DT"]), names)
+    wide = reshape.volume_pivot(volume.daily(volume.parse(uploaded), ["LOCAL"]), names)
     assert sorted(tuple(r) for r in wide.collect()) == [(D1, 7.0, 3.5, 0.0), (D2, 0.0, 10.12, 0.0)]
     cells = {(r.ship_date, r.entity): r.total_volume for r in reshape.volume_unpivot(wide, names).collect()}
     assert len(cells) == 6 and cells[(D1, "SOUTH")] == 3.5
@@ -47,7 +47,7 @@ def test_pivot_unpivot_transpose(uploaded):
 
 
 def test_what_if(spark, uploaded):
-    volumes = volume.daily(volume.parse(uploaded), ["DT"])
+    volumes = volume.daily(volume.parse(uploaded), ["LOCAL"])
     edits = spark.createDataFrame(
         [(D1, "SOUTH", "50"), (D1, "SOUTH", "40"), (D1, "EAST COAST", "oops"), (D2, "NORTH", "9")], schemas.OVERRIDES
     )
@@ -57,7 +57,7 @@ def test_what_if(spark, uploaded):
 
 
 def test_matrix_keeps_days_and_columns(uploaded):
-    feats = volume.features(volume.daily(volume.parse(uploaded), ["DT"]))
+    feats = volume.features(volume.daily(volume.parse(uploaded), ["LOCAL"]))
     fleet = forecast.linear_rule(feats, {"10T": 2.0})
     out = forecast.matrix(feats, fleet, ["EAST COAST", "NORTH"], ["10T"])
     assert out.columns == ["ship_date", "EAST COAST-10T", "NORTH-10T"]
@@ -77,13 +77,13 @@ def test_error_widths(spark):
 
 
 def test_features_are_named(uploaded):
-    out = volume.features(volume.daily(volume.parse(uploaded), ["DT"]))
+    out = volume.features(volume.daily(volume.parse(uploaded), ["LOCAL"]))
     assert out.columns == ["ship_date", "entity", "total_volume", "year", "month", "weekday"]
     assert out.where(F.col("weekday") == 1).count() == 2
 
 
 def test_grid_has_every_cell_and_edits_reach_empty_ones(spark, uploaded):
-    volumes = volume.daily(volume.parse(uploaded), ["DT"])
+    volumes = volume.daily(volume.parse(uploaded), ["LOCAL"])
     grid = reshape.volume_grid(volumes, ["EAST COAST", "SOUTH"])
     expected = {(D1, "EAST COAST"): 7.0, (D1, "SOUTH"): 3.5, (D2, "EAST COAST"): 0.0, (D2, "SOUTH"): 10.12}
     assert {(r.ship_date, r.entity): r.total_volume for r in grid.collect()} == expected
