@@ -18,11 +18,13 @@ COMMON = {
     "spark.ui.enabled": "false",
 }
 
-#: On a cluster start wide and let AQE coalesce: 100 TB / ~200 MB per task.
+#: On a cluster. 100 TB in 1 GB splits are 100,000 map tasks, of which the plans read
+#: a few columns each. Some 10 TB then cross the one wide shuffle: 10,000 reducers keep
+#: each near 1 GB and the map-by-reduce blocks near 10 KB. AQE merges what turns out small.
 CLUSTER = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.files.maxPartitionBytes": "1g",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "10000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 

@@ -52,3 +52,12 @@ def read_table(
     spark: SparkSession, table: str, options: dict[str, str], split: dict[str, str] | None = None
 ) -> DataFrame:
     return spark.read.format("jdbc").options(**table_options(table, options, split)).load()
+
+
+def query_options(sql: str, options: dict[str, str]) -> dict[str, str]:
+    return {**options, "query": sql, "preferTimestampNTZ": "true"}
+
+
+def read_query(spark: SparkSession, sql: str, options: dict[str, str]) -> DataFrame:
+    """Result of a query that the database runs; one task reads it, so keep it to small results."""
+    return spark.read.format("jdbc").options(**query_options(sql, options)).load()

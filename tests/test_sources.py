@@ -50,6 +50,8 @@ def test_connection_options_come_from_the_caller():
     assert (out["dbtable"], out["numPartitions"], out["lowerBound"]) == ("shipments", "32", "2021-01-01 00:00:00")
     assert jdbc.connection("jdbc:oracle:thin:@host")["driver"] == "oracle.jdbc.OracleDriver"
     assert "password" not in jdbc.connection("jdbc:oracle:thin:@host")
+    asked = jdbc.query_options("SELECT 1", options)
+    assert asked["query"] == "SELECT 1" and "dbtable" not in asked
     with pytest.raises(ValueError):
         jdbc.partitioning("start_ts", datetime(2021, 1, 1), datetime(2021, 1, 1), 2)
 
