@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from haulcast.models import training
 from haulcast.models.candidates import Settings
 from haulcast.operators import abt, filters, joins, metrics, reshape, topk
 from haulcast.plans import batch, forecast, history, volume
+from haulcast.session import tune
 from haulcast.sources import files, sqltext, standin
 from haulcast.staging import new_path, stage_table, staged
 
@@ -48,7 +50,11 @@ def query(fn: Query) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+    return {name: partial(_tuned, fn) for name, fn in _REGISTRY.items()}
+
+
+def _tuned(fn: Query, spark: SparkSession, sf: str) -> DataFrame:
+    return fn(tune(spark), sf)
 
 
 # --- shared inputs ---------------------------------------------------------

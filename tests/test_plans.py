@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from haulcast.catalog import oracles, queries
 from haulcast.operators import filters, joins
+from haulcast.session import tune
 from haulcast.sources import standin
 
 ALL = entry_points.queries()
@@ -97,8 +98,12 @@ def test_counted_broadcast_respects_its_bound(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize(("hash_limit", "join"), [("0", "SortMergeJoin"), ("64m", "ShuffledHashJoin")])
-def test_hot_destination_is_split(spark, how, hash_limit, join):
-    """A third of all shipments goes to one place: AQE cuts its partition into tasks, sorted or hashed."""
+@pytest.mark.parametrize("grouping", ["segment", "dest_location_gid"])
+def test_hot_destination_is_split(spark, how, hash_limit, join, grouping):
+    """A third of all shipments goes to one place: AQE cuts its partition into tasks, sorted or hashed.
+
+    Grouping by the join key would reuse its partitioning; the cut has precedence.
+    """
     n = 300_000
     key = F.when(F.col("id") < n // 3, F.lit("L0")).otherwise(F.concat(F.lit("L"), F.col("id") % 997))
     facts = spark.range(0, n, 1, 8).select(
@@ -119,10 +124,11 @@ def test_hot_destination_is_split(spark, how, hash_limit, join):
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
         },
     ):
-        counted = joins.with_destination(facts, places, how).groupBy("segment").agg(
+        counted = joins.with_destination(facts, places, how).groupBy(grouping).agg(
             F.count("*").alias("n"), F.sum("shipment_xid").alias("ids")
         )
-        assert [tuple(r)[1:] for r in counted.collect()] == [(n, n * (n - 1) // 2)]
+        rows = counted.collect()
+        assert (sum(r.n for r in rows), sum(r.ids for r in rows)) == (n, n * (n - 1) // 2)
         text = final_plan(counted)
         assert f"{join}(skew=true)" in text
         assert "AQEShuffleRead coalesced and skewed" in text
@@ -139,3 +145,12 @@ def test_results_do_not_depend_on_broadcasts(spark, sf_dir, name, monkeypatch):
         df = ALL[name](spark, sf_dir)
         assert oracle.differences(df, oracle.connect(sf_dir), oracles.all_oracles()[name]) == []
         assert "BroadcastHashJoin" not in final_plan(df)
+
+
+def test_open_settings_are_filled_and_given_ones_kept(spark):
+    key, other = "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    with settings(spark, **{key: "false", other: "1m"}):
+        spark.conf.unset(other)
+        tune(spark)
+        assert spark.conf.get(key) == "false"
+        assert spark.conf.get(other) == "64m"
