@@ -108,6 +108,34 @@ SELECT doc_id, source, copy::INTEGER AS copy, rate, md5({_KEY} || '|' || copy::V
 FROM e
 """
 
+ORACLES["op1_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+sh AS (
+  SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS s FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 2)
+  UNION
+  SELECT doc_id, ws[1] FROM d WHERE len(ws) = 1
+),
+c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+f AS (SELECT s, count(*) AS df FROM sh GROUP BY s),
+o AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS k FROM sh JOIN f USING (s) JOIN c USING (doc_id)),
+pre AS (SELECT * FROM o WHERE k <= n - ceil(0.8 * n) + 1),
+cand AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb FROM pre x JOIN pre y
+  ON x.s = y.s AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+),
+lnk AS (
+  SELECT a, b FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND y.s = x.s
+  GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))
+),
+e AS (SELECT a, b FROM lnk UNION ALL SELECT b, a FROM lnk),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN e ON r.other = e.a)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

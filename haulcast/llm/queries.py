@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import mixing, quality, sharding
+from haulcast.llm import mixing, neardup, quality, sharding
 from haulcast.llm.tables import documents
 from haulcast.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(documents(spark, sf_dir)).drop("text")
     return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "host_failed", "kept")
@@ -38,6 +42,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": near_duplicates,
     "op3_quality_rules": quality_rules,
     "op7_rendezvous_shards": sharded,
     "op10_mix_sources": mixed,

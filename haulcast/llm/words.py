@@ -167,10 +167,15 @@ def grams(words: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 def run_hash(values: np.ndarray, many: int, n: int, seed: int = 0) -> np.ndarray:
     """Hash of ``n`` numbers in order, at each of the first ``many`` places."""
-    total = np.full(many, np.uint64((seed * 0x632BE59BD9B4E019 + n) & _ALL))
-    for i in range(n):
+    return chain([values[i : i + many] for i in range(n)], seed)
+
+
+def chain(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
+    """Hash over the columns of ``parts`` in order."""
+    total = np.full(len(parts[0]), np.uint64((seed * 0x632BE59BD9B4E019 + len(parts)) & _ALL))
+    for part in parts:
         total *= np.uint64(0xD6E8FEB86659FD93)
-        total += values[i : i + many]
+        total += part
         total ^= total >> np.uint64(32)
     return mix(total)
 
