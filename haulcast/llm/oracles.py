@@ -136,6 +136,25 @@ SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_i
 FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
 
+ORACLES["op9_remove_repeats"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 19], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 19)) AS i FROM d WHERE len(ws) >= 20)
+),
+bad AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(generate_series(i, i + 19)) AS j FROM bad)),
+w AS (SELECT doc_id, ws[j] AS w, j FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS j FROM d)),
+k AS (
+  SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.j) AS kept, count(*) AS n
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.j = gone.j WHERE gone.j IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

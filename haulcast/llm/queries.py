@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import mixing, neardup, quality, sharding
+from haulcast.llm import mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents
 from haulcast.session import tune
 
@@ -35,6 +35,11 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(sized, spread_by=["text_crc32"])
 
 
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = mixing.mix_sources(docs)
@@ -45,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op3_quality_rules": quality_rules,
     "op7_rendezvous_shards": sharded,
+    "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
 }
 
