@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import mixing, neardup, quality, sharding, substrings
+from haulcast.llm import licenses, mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents
 from haulcast.session import tune
 
@@ -35,6 +35,22 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(sized, spread_by=["text_crc32"])
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(documents(spark, sf_dir))
+    labels = F.array_sort(F.array_distinct(F.col("phrases.label")))
+    both = F.array_sort(F.array_union(F.col("phrases.label"), F.col("notices.label")))
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.first").alias("first_word"),
+        F.array_max("phrases.first").alias("last_word"),
+        F.concat_ws(",", labels).alias("base_labels"),
+        F.concat_ws(",", both).alias("labels"),
+        F.coalesce(F.greatest(F.array_max("phrases.score"), F.array_max("notices.score")), F.lit(0.0)).alias("score"),
+    )
+
+
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -49,6 +65,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op3_quality_rules": quality_rules,
+    "op6_license_scan": license_scan,
     "op7_rendezvous_shards": sharded,
     "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
