@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import licenses, mixing, neardup, quality, sharding, substrings
-from haulcast.llm.tables import documents
+from haulcast.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm.tables import documents, table
 from haulcast.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(sized, spread_by=["text_crc32"])
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "leaked_item", "leaked_share")
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(documents(spark, sf_dir))
     labels = F.array_sort(F.array_distinct(F.col("phrases.label")))
@@ -64,6 +69,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
+    "op2_benchmark_leaks": leaks,
     "op3_quality_rules": quality_rules,
     "op6_license_scan": license_scan,
     "op7_rendezvous_shards": sharded,
