@@ -6,9 +6,9 @@
    block, and the randomised (Nystrom) decomposition of that small sketch gives
    the leading right singular vectors: the latent space.
 3. Every window of ``WINDOW`` words, taken at each ``STRIDE``-th word, is projected
-   and compared by cosine with all windows of the benchmark items. A window
-   whose words are mostly unknown to the benchmark cannot pass step 4 and is
-   left out before.
+   and compared by cosine with all windows of the benchmark items. A candidate
+   shares ``KNOWN`` of the window's IDF weight with the item; a window that does not
+   share as much with the whole benchmark is left out before the projection.
 4. Around each candidate the longest common subsequence of item and document is
    taken. ``SURE`` of the item's words in order is a leak; from ``LIKELY`` on it is one
    if the answer (the item's last ``ANSWER`` words) is there too: a paraphrase.
@@ -39,14 +39,14 @@ from haulcast.llm.words import Words, mix, steps, words_of
 #: Hashed words that have a frequency of their own, and that are columns of A.
 IDF_BITS = 18
 COLUMNS_BITS = 14
-RANK = 48
+RANK = 32
 PASSAGE = 48
 WINDOW = 12
 STRIDE = 4
-#: Least share of a window's IDF that lies on words of the benchmark.
-KNOWN = 0.5
+#: Least share of a window's IDF that lies on words of the item it is compared with.
+KNOWN = 0.6
 #: Least cosine of a candidate.
-COSINE = 0.7
+COSINE = 0.75
 LIKELY = 0.6
 SURE = 0.8
 ANSWER = 6
@@ -101,19 +101,21 @@ def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """IDF of each hashed word over all rows of frame (text)."""
+    """IDF of each hashed word over all words of frame (text).
+
+    Passages are short and seldom repeat a word, so each occurrence counts as a passage that has it.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        seen = np.zeros((1 << IDF_BITS) + 1, np.float32)
+        seen = np.zeros((1 << IDF_BITS) + 1)
         for batch in steps(batches, "text"):
             words = _words(batch.column("text"))
-            once = np.unique((words.doc << IDF_BITS) | _slots(words.hash, IDF_BITS))
-            seen[:-1] += np.bincount(once & ((1 << IDF_BITS) - 1), minlength=1 << IDF_BITS)
-            seen[-1] += batch.num_rows
+            seen[:-1] += np.bincount(_slots(words.hash, IDF_BITS), minlength=1 << IDF_BITS)
+            seen[-1] += len(words.hash) / PASSAGE
         return seen
 
     seen = summed(texts, add, (1 << IDF_BITS) + 1)
-    return np.log((seen[-1] + 1) / (seen[:-1] + 1) + 1e-9).clip(0.05).astype(np.float32)
+    return np.log((seen[-1] + 1) / (seen[:-1] + 1)).clip(0.05).astype(np.float32)
 
 
 def _random_directions() -> np.ndarray:
@@ -135,9 +137,11 @@ def latent_space(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
             new = np.flatnonzero(place % PASSAGE == 0)
             row = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(column))))
             weight = weight / np.sqrt(np.add.reduceat(weight * weight, new))[row]
-            image = np.add.reduceat(directions[column] * weight[:, None], new, axis=0)
+            image = directions[column]
+            image *= weight[:, None]
+            image = np.ascontiguousarray(np.add.reduceat(image, new, axis=0).T, np.float64)
             for j in range(RANK):
-                total[j] += np.bincount(column, image[row, j] * weight, 1 << COLUMNS_BITS)
+                total[j] += np.bincount(column, image[j][row] * weight, 1 << COLUMNS_BITS)
         return total.T.ravel()
 
     sketch = summed(texts, add, RANK << COLUMNS_BITS).reshape(1 << COLUMNS_BITS, RANK)
@@ -171,6 +175,7 @@ class Items:
         start, end = (np.array([a[i] for a in at], np.int64) for i in (1, 2))
         self.vectors = latent(words, start, end, idf, space)
         self.masks = [_masks(w) for w in self.words]
+        self.own = np.unique(_owned(words.hash, words.doc))
 
     def candidates(self, words: Words) -> Iterator[tuple[int, int, int]]:
         """(document, item, window's first word) of likely leaks in a batch."""
@@ -192,11 +197,24 @@ class Items:
         for low in range(0, len(start), 4096):
             s, e = start[low : low + 4096], end[low : low + 4096]
             cosine = latent(words, s, e, self.idf, self.space) @ self.vectors.T
-            at, query = np.nonzero(cosine >= COSINE)
-            pairs = np.unique(s[at] * np.int64(len(self.ids)) + self.owner[query])
-            for pair in pairs.tolist():
-                place, item = divmod(pair, len(self.ids))
-                yield int(words.doc[place]), item, place
+            at, query = np.divmod(np.flatnonzero(cosine >= COSINE), cosine.shape[1])
+            pairs = np.unique(at * np.int64(len(self.ids)) + self.owner[query])
+            at, item = np.divmod(pairs, len(self.ids))
+            shared = self._shared(words.hash, weight, s[at], e[at], item)
+            for k in np.flatnonzero(shared >= KNOWN * (mass[e[at]] - mass[s[at]])).tolist():
+                yield int(words.doc[s[at[k]]]), int(item[k]), int(s[at[k]])
+
+    def _shared(
+        self, hashes: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray
+    ) -> np.ndarray:
+        """Weight of each window's words that its item has too."""
+        place = start[:, None] + np.arange(WINDOW)
+        inside = place < end[:, None]
+        place = np.minimum(place, len(hashes) - 1)
+        wanted = _owned(hashes[place], item[:, None])
+        near = np.searchsorted(self.own, wanted)
+        near[near == len(self.own)] = 0
+        return np.where(inside & (self.own[near] == wanted), weight[place], 0.0).sum(axis=1)
 
     def judge(self, words: Words) -> dict[int, tuple[float, int]]:
         """The best leak (share, item id) of each document that has one."""
@@ -209,6 +227,10 @@ class Items:
             reach = int(size * (1 + SLACK))
             low, high = max(bounds[doc], place - reach), min(bounds[doc + 1], place + WINDOW + reach)
             region = values[low:high].tolist()
+            # No subsequence is longer than the words both have.
+            there = set(region)
+            if sum(w in there for w in self.words[item]) < LIKELY * size:
+                continue
             share = common_subsequence(self.masks[item], size, region) / size
             if share < LIKELY or (share < SURE and not self.answered(item, region)):
                 continue
@@ -222,6 +244,10 @@ class Items:
         return common_subsequence(_masks(answer), len(answer), region) >= SURE * len(answer)
 
 
+def _owned(hashes: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return hashes ^ mix(np.asarray(item) + 1)
+
+
 def _masks(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, word in enumerate(words):
