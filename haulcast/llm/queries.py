@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import decontaminate, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm import decontaminate, language_model, licenses, mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents, table
 from haulcast.session import tune
 
@@ -56,6 +56,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(documents(spark, sf_dir))
+
+
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": quality_rules,
     "op6_license_scan": license_scan,
     "op7_rendezvous_shards": sharded,
+    "op8_model_scores": model_scores,
     "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
 }
