@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import decontaminate, language_model, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm import decontaminate, extraction, language_model, licenses, mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents, table
 from haulcast.session import tune
 
@@ -40,6 +40,11 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", "leaked_item", "leaked_share")
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extraction.extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(documents(spark, sf_dir))
     labels = F.array_sort(F.array_distinct(F.col("phrases.label")))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op2_benchmark_leaks": leaks,
     "op3_quality_rules": quality_rules,
+    "op4_page_texts": page_texts,
     "op6_license_scan": license_scan,
     "op7_rendezvous_shards": sharded,
     "op8_model_scores": model_scores,
