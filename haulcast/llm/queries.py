@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import decontaminate, extraction, language_model, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm import decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents, table
 from haulcast.session import tune
 
@@ -45,6 +45,12 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fuzzy_lines.judge_lines(documents(spark, sf_dir))
+    numbers = F.array_join(F.col("removed").cast("array<string>"), ",")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), numbers.alias("removed_lines"))
+
+
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(documents(spark, sf_dir))
     labels = F.array_sort(F.array_distinct(F.col("phrases.label")))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_benchmark_leaks": leaks,
     "op3_quality_rules": quality_rules,
     "op4_page_texts": page_texts,
+    "op5_repeated_lines": repeated_lines,
     "op6_license_scan": license_scan,
     "op7_rendezvous_shards": sharded,
     "op8_model_scores": model_scores,
