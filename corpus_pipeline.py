@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haulcast.llm import mixing, quality, sharding
-from haulcast.llm.tables import col, documents
+from haulcast.llm import decontaminate as leaks
+from haulcast.llm import mixing, neardup, quality, sharding
+from haulcast.llm.tables import col, documents, table
 from haulcast.session import tune
 from haulcast.staging import stage_table
 
@@ -28,6 +30,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _columns(quality.judge(quality.measure(docs)).where("kept"), docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    found = neardup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    # Rows without an id are linked with nothing and stay; rows repeating an id stay or go together.
+    return _columns(docs.join(stage_table(found, "copies"), "doc_id", "left_anti"), docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, word for word or in other words."""
+    return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that every source has an equal share."""
     return _columns(mixing.mix_sources(docs), docs)
@@ -40,6 +54,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
     ("mix_sources", mix),
     ("shard", shard),
 ]
