@@ -44,6 +44,8 @@ LOAD = 24 << 20
 SAMPLE = 64
 #: A minimiser is frequent if it starts more than this share of the sampled super-k-mers.
 FREQUENT = 1 / 4096
+#: Compression of packed strings.
+LEVEL = 3
 NULL_ID = np.iinfo(np.int64).max
 
 
@@ -99,7 +101,7 @@ def _spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def text_mark(words: Words) -> np.ndarray:
-    """A hash of each text's words, to tell apart rows that repeat an id."""
+    """A 64-bit hash of each text's words, to tell apart rows that repeat an id."""
     bounds = words.bounds
     sums = np.zeros(len(words.hash) + 1, np.uint64)
     place = np.arange(len(words.hash), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
@@ -107,19 +109,23 @@ def text_mark(words: Words) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def _marks(words: Words) -> np.ndarray:
+    return (text_mark(words) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
 
 
-_LOAD_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64()), ("words", pa.string())])
-_GONE_SCHEMA = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_LOAD_SCHEMA = pa.schema([("id", pa.int64()), ("mark", pa.int32()), ("place", pa.int32()), ("words", pa.string())])
+_GONE_SCHEMA = pa.schema([("id", pa.int64()), ("mark", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 ROWS = "bucket long, load binary, gone binary"
-RANGES = "id long, mark long, low long, high long"
+RANGES = "id long, mark int, low int, high int"
 
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -144,7 +150,7 @@ class _Load:
 
     def __init__(self, size: int, buckets: int, frequent: np.ndarray) -> None:
         self.size, self.buckets, self.frequent = size, buckets, frequent
-        self.parts: list[tuple[pa.Table, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
@@ -157,34 +163,34 @@ class _Load:
         low, high = at[first], at[last] + self.size
         text, offsets = bytes_of(codes, start[low], end[high - 1])
         doc = words.doc[low]
-        ids, marks = _ids(batch.column("id")), text_mark(words)
-        columns = [signed(key[first]), ids[doc], signed(marks[doc]), low - words.bounds[doc]]
+        ids, marks = _ids(batch.column("id")), _marks(words)
+        columns = [ids[doc], marks[doc], (low - words.bounds[doc]).astype(np.int32)]
         packed = pa.table([*map(pa.array, columns), strings(text, offsets)], schema=_LOAD_SCHEMA)
-        self.parts.append((packed, span_hash(words.hash, low, high), last - first))
+        self.parts.append((packed, span_hash(words.hash, low, high), last - first, bucket_of(key[first], self.buckets)))
         self.held += int(words.offsets[-1])
 
     def rows(self) -> Iterator[tuple[int, bytes | None, bytes | None]]:
         """(bucket, packed super-k-mers, packed ranges already known to repeat)."""
         if not self.parts:
             return
-        whole = pa.concat_tables([part[0] for part in self.parts])
-        same, more = (np.concatenate([part[i] for part in self.parts]) for i in (1, 2))
+        whole = pa.concat_tables([part[0] for part in self.parts]).combine_chunks()
+        same, more, bucket = (np.concatenate([part[i] for part in self.parts]) for i in (1, 2, 3))
         self.parts, self.held = [], 0
-        key, id_, mark, place = (whole[c].to_numpy() for c in ("key", "id", "mark", "place"))
-        bucket = bucket_of(key, self.buckets)
+        id_, mark, place = (whole[c].to_numpy() for c in ("id", "mark", "place"))
         # Equal strings stand together, the earliest place first.
         order = np.lexsort((place, id_, same))
         lead = np.append(True, same[order][1:] != same[order][:-1])
         heads = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
-        later = np.zeros(len(key), bool)
+        later = np.zeros(len(id_), bool)
         later[order] = (id_[order] != id_[heads]) | (place[order] != place[heads])
         kept = np.flatnonzero(~later)
         kept = kept[np.argsort(bucket[kept], kind="stable")]
         cut = np.flatnonzero(np.append(True, bucket[kept][1:] != bucket[kept][:-1]))
+        sorted_ = whole.take(pa.array(kept)).combine_chunks()
         for low, high in zip(cut, np.append(cut[1:], len(kept))):
-            yield int(bucket[kept[low]]), _packed(whole.take(pa.array(kept[low:high]))), None
+            yield int(bucket[kept[low]]), _packed(sorted_.slice(low, high - low)), None
         if later.any():
-            gone = [id_[later], mark[later], place[later], place[later] + more[later]]
+            gone = [id_[later], mark[later], place[later], place[later] + more[later].astype(np.int32)]
             yield int(bucket[np.argmax(later)]), None, _packed(pa.table([*map(pa.array, gone)], schema=_GONE_SCHEMA))
 
 
@@ -207,12 +213,12 @@ def later_windows(rows: pa.Table, size: int) -> pa.RecordBatch:
     twice[order[:-1][equal]] = True
     at, same = at[twice], same[twice]
     source = words.doc[at]
-    key, id_, mark, place = (whole[c].to_numpy()[source] for c in ("key", "id", "mark", "place"))
-    place = place + at - words.bounds[source]
-    order = np.lexsort((place, id_, key, same))
-    key, id_, mark, place, same = key[order], id_[order], mark[order], place[order], same[order]
-    lead = np.ones(len(key), bool)
-    lead[1:] = (same[1:] != same[:-1]) | (key[1:] != key[:-1])
+    id_, mark, place = (whole[c].to_numpy()[source] for c in ("id", "mark", "place"))
+    place = place + (at - words.bounds[source]).astype(np.int32)
+    order = np.lexsort((place, id_, same))
+    id_, mark, place, same = id_[order], mark[order], place[order], same[order]
+    lead = np.ones(len(same), bool)
+    lead[1:] = same[1:] != same[:-1]
     heads = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(lead) else lead.astype(np.int64)
     later = (id_ != id_[heads]) | (place != place[heads])
     return _range_batch(id_[later], mark[later], place[later])
@@ -289,7 +295,7 @@ def remove_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             words = words_of(batch.column("text"), fold=KEEP_CASE)
-            bounds, marks = words.bounds, signed(text_mark(words))
+            bounds, marks = words.bounds, _marks(words)
             edges = np.zeros(len(words.hash) + 1, np.int64)
             for i, gone in enumerate(batch.column("ranges").to_pylist()):
                 for r in gone or ():
