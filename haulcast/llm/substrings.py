@@ -136,6 +136,8 @@ def _unpacked(blob: bytes) -> pa.Table:
 
 def _ranges(id_: np.ndarray, mark: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """Places of removed windows joined into (id, mark, low, high)."""
+    if not len(id_):
+        return id_, mark, place, place
     order = np.lexsort((place, mark, id_))
     id_, mark, place = id_[order], mark[order], place[order]
     new = np.ones(len(id_), bool)
