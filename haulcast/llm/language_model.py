@@ -44,6 +44,8 @@ from haulcast.staging import stage_table
 FREQUENT = 1 / 20_000
 #: Of the units of a step, one in this many teaches the mixer; all are counted.
 TAUGHT = 8
+#: Bytes of text of a step: repeated units of it are handled once.
+STEP = 12 << 20
 LOAD = 24 << 20
 HELD_OUT = 1
 FOLDS = 5
@@ -131,23 +133,19 @@ def second_pass(named: DataFrame, code: Code, frequent: np.ndarray) -> tuple[Mod
         counts, online = Counts(), Mixer()
         prior = online.ones.copy(), online.seen.copy()
         words = np.zeros(len(frequent))
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             units = Units(_training(batch).column("text"))
-            key, at, n = np.unique(units.key, return_index=True, return_counts=True)
-            taught = key % np.uint64(TAUGHT) == 0
-            for part, learn in ((at[taught], True), (at, False)):
-                weight = (n[taught] if learn else n).astype(np.float64)
-                codes, offsets = units.pick(part)
-                for low, high in mixer.blocks(offsets):
-                    first, last = offsets[low], offsets[high]
-                    inside = offsets[low : high + 1] - first
-                    bits = Bits.of(code, codes[first:last], inside, units.previous[part[low:high]])
-                    steps_of = np.diff(np.append(0, bits.ends)[inside])
-                    mass = np.repeat(weight[low:high], steps_of)
-                    if learn:
-                        online.learn(bits, counts.guess(bits), mass)
-                    else:
-                        counts.add(bits, mass)
+            # Units come in the order of a hash, so the first blocks are a fair part of them.
+            _, at, n = np.unique(units.key, return_index=True, return_counts=True)
+            codes, offsets = units.pick(at)
+            for low, high in mixer.blocks(offsets):
+                first, last = offsets[low], offsets[high]
+                inside = offsets[low : high + 1] - first
+                bits = Bits.of(code, codes[first:last], inside, units.previous[at[low:high]])
+                mass = np.repeat(n[low:high].astype(np.float64), np.diff(np.append(0, bits.ends)[inside]))
+                if low * TAUGHT <= len(at):
+                    online.learn(bits, counts.guess(bits), mass)
+                counts.add(bits, mass)
             place = np.searchsorted(frequent, units.word) if len(frequent) else np.zeros(0, np.int64)
             if len(frequent):
                 place[place == len(frequent)] = 0
@@ -228,7 +226,7 @@ class _Load:
         sums = [np.bincount(units.doc, x[back], n_docs) for x in (seen, base, score)]
         columns = [batch.column("id").cast(pa.int64()), held, units.tokens() + 1, sums[0].astype(np.int64), sums[1], sums[2]]
         self.docs.append(pa.table([pa.array(c) for c in columns], schema=_DOCS))
-        # What remains is sent: one row per text and unit, negative for texts that do not train.
+        # What remains is sent, one row per place, negative for texts that do not train.
         far = np.flatnonzero(~here)
         codes, offsets = units.pick(at[far])
         text = strings(codes, offsets)
@@ -240,9 +238,8 @@ class _Load:
             )
         )
         sent = ~here[back]
-        pair, n = np.unique(units.doc[sent] * np.int64(len(key)) + back[sent], return_counts=True)
-        doc, unit = np.divmod(pair, max(len(key), 1))
-        self.rows.append((doc + self.n_docs, key[unit], np.where(held[doc], -n, n)))
+        doc = units.doc[sent]
+        self.rows.append((doc + self.n_docs, key[back[sent]], np.where(held[doc], -1, 1)))
         self.n_docs += n_docs
         self.held += len(units.codes)
 
@@ -272,7 +269,7 @@ class _Load:
             low, high = ends[i], ends[i + 1]
             part = [doc[low:high], place[low:high] - cut[i], n[low:high]]
             rows = pa.table([pa.array(x.astype(np.int32)) for x in part], schema=_ROWS)
-            yield _sent(int(bucket[cut[i]]), load, _packed(units.slice(cut[i], cut[i + 1] - cut[i])), _packed(rows), None)
+            yield _sent(int(bucket[cut[i]]), load, _packed(units.slice(cut[i], cut[i + 1] - cut[i]), 1), _packed(rows, 1), None)
 
 
 def _sent(bucket: int, load: int, units: bytes | None, rows: bytes | None, docs: bytes | None) -> pa.RecordBatch:
@@ -321,7 +318,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", buckets:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = _Load(model_of.value, frequent, counts, buckets)
         number = TaskContext.get().partitionId() << 24
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             load.add(batch)
             if load.held >= LOAD:
                 yield from load.sent(number)

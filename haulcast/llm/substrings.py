@@ -123,9 +123,9 @@ ROWS = "bucket long, load binary, gone binary"
 RANGES = "id long, mark int, low int, high int"
 
 
-def _packed(table: pa.Table) -> bytes:
+def _packed(table: pa.Table, level: int = LEVEL) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
