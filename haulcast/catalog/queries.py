@@ -37,8 +37,8 @@ LOADS = {"ECONOMY": 8.0, "LARGE": 10.0, "MEDIUM": 16.0, "PROMO": 20.0, "SMALL":
 RULES = {"rule_8": 8.0, "rule_20": 20.0, "rule_40": 40.0, "rule_80": 80.0, "rule_8_again": 8.0}
 V_LOADS = {"MEDIUM": 40000.0, "STANDARD": 90000.0}
 
-#: Small ensembles: the queries show the operators, not tuned models.
-SMALL = Settings(trees=8, depth=5, boost_rounds=3, gbt_rounds=5)
+#: Models of a side are fitted once for a session and its tables, with all candidates at their full sizes.
+_FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame]] = {}
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -380,9 +380,9 @@ def backtest_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fleet_spine_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Every forecast day; days on which the listed region ships nothing stay."""
+    """Every forecast day of every region; days without volumes to score stay."""
     feats = volume.features(_region_volumes(spark, sf))
-    fleet = forecast.linear_rule(feats.where(F.col("entity") == "MIDDLE EAST"), V_LOADS)
+    fleet = forecast.linear_rule(feats.where(F.col("total_volume") > 0), V_LOADS)
     return reshape.spine_join(feats, fleet)
 
 

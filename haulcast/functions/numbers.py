@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Digits with an optional sign, decimal point and exponent.
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def quoted(name: str) -> str:
     """Column reference that survives dots, spaces and brackets in ``name``."""
     return "`" + name.replace("`", "``") + "`"
@@ -41,5 +45,7 @@ def round_all_doubles(df: DataFrame, places: int = 2) -> DataFrame:
 
 
 def edited_number(text: Column) -> Column:
-    """Text typed into a table cell; NULL when it is not a number."""
-    return F.trim(text).try_cast("double")
+    """Text typed into a table cell; NULL when it is not a plain finite decimal number."""
+    typed = F.trim(text)
+    value = F.when(typed.rlike(PLAIN_NUMBER), typed.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)

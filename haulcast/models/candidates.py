@@ -21,12 +21,13 @@ FEATURES_COL = "features"
 class Settings:
     """Size of the ensembles. The defaults follow common library defaults.
 
-    MLlib grows a tree level by level and holds at most depth 30; a forest of
-    unlimited depth is therefore cut at ``depth``.
+    MLlib grows a tree level by level, to depth 30 at most, and cuts a feature at
+    ``max_bins`` - 1 points at most: forests of unlimited depth on exact values
+    are approximated so far.
     """
 
     trees: int = 100
-    depth: int = 12
+    depth: int = 30
     boost_rounds: int = 50
     gbt_rounds: int = 100
     boost_depth: int = 3

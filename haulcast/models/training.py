@@ -1,19 +1,21 @@
 """Training: one pooled fit per truck and candidate, one choice per entity.
 
-A pooled fit takes the entity as a categorical feature, so the number of fits
-does not grow with the entities. ``per_entity=True`` fits every entity alone.
-The base table is written to the shared folder first: the fits read days times
-entities rows, never the shipment history.
+A pooled fit knows an entity by the mean count of its training rows for the
+truck: one number, so neither the number of fits nor the bins of a feature
+depend on how many entities there are. ``per_entity=True`` fits every entity
+alone, without that feature. The base table is written to the shared folder
+first: the fits read days times entities rows, never the shipment history.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import quote
 
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,9 @@ from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table, staged
 
 ALL = ""  # scope of a pooled fit
-MAX_ENTITIES = 10_000  # names the driver holds as the vocabulary of the entity feature
 MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
 CHOICE_TABLE = "entity string, model string, mae double"
+ENCODING_TABLE = "entity string, means array<double>"
 
 _LOADERS = {
     "GBTRegressionModel": GBTRegressionModel,
@@ -37,33 +39,49 @@ _LOADERS = {
 }
 
 
-def featurise(df: DataFrame, entities: Sequence[str]) -> DataFrame:
-    """Feature vector by name. ``entities`` fixes the index, without a pass over the data."""
-    indexer = StringIndexerModel.from_labels(list(entities), inputCol="entity", outputCol="__entity")
-    indexer = indexer.setHandleInvalid("skip")
-    inputs = [*dates.FEATURES, "__entity"]
-    return VectorAssembler(inputCols=inputs, outputCol=FEATURES_COL).transform(indexer.transform(df)).drop("__entity")
+def encode(train: DataFrame, trucks: Sequence[str]) -> DataFrame:
+    """(entity, means): mean training count of each truck, in the order of ``trucks``."""
+    means = F.array(*[F.avg(F.col(quoted(t)).cast("double")) for t in trucks])
+    return train.where(F.col("entity").isNotNull()).groupBy("entity").agg(means.alias("means"))
 
 
-def predict(model, out: str, df: DataFrame) -> DataFrame:
-    """Add the model's prediction as column ``out``."""
+def featurise(df: DataFrame, encodings: DataFrame, n_trucks: int, pooled: bool) -> DataFrame:
+    """One feature vector per truck; entities without training rows are left out."""
+    known = encodings.select("entity", *[F.col("means")[i].alias(f"__mean_{i}") for i in range(n_trucks)])
+    out = df.join(known, "entity")
+    for i in range(n_trucks):
+        inputs = [*dates.FEATURES, f"__mean_{i}"] if pooled else list(dates.FEATURES)
+        out = VectorAssembler(inputCols=inputs, outputCol=_features(i)).transform(out)
+    return out
+
+
+def _features(i: int) -> str:
+    return f"{FEATURES_COL}_{i}"
+
+
+def predict(model, features: str, out: str, df: DataFrame) -> DataFrame:
+    """Add the model's prediction from column ``features`` as column ``out``."""
     if isinstance(model, AdaBoostModel):
-        return AdaBoostModel(model.trees, model.weights, out).transform(df)
-    return model.copy().setPredictionCol(out).transform(df)
+        trees = [tree.copy().setFeaturesCol(features) for tree in model.trees]
+        return AdaBoostModel(trees, model.weights, out).transform(df)
+    return model.copy().setFeaturesCol(features).setPredictionCol(out).transform(df)
 
 
 @dataclass
 class Trained:
     """Fitted models of one side and the candidate chosen for each entity.
 
-    ``choices`` is a table (entity, model, mae) with one row per entity.
+    ``choices`` is a table (entity, model, mae) with one row per entity,
+    ``encodings`` one of (entity, means). ``entities`` names the columns of wide results.
     """
 
     side: str
     trucks: list[str]
     entities: list[str]
     models: dict[tuple[str, str, str], object]  # (scope, truck, candidate)
+    encodings: DataFrame
     choices: DataFrame | None = None
+    accuracy: DataFrame | None = None  # metrics of each entity's own model on the held-out rows
 
     def scopes(self) -> list[str]:
         return sorted({scope for scope, _, _ in self.models})
@@ -77,7 +95,9 @@ class Trained:
 
     def _long(self, df: DataFrame, keep: list[str], pick: Sequence[str]) -> DataFrame:
         """Rows (keep..., truck, model, raw forecast) for the candidates ``pick`` names."""
-        featured = featurise(df, self.entities)
+        if not self.models:
+            raise ValueError(f"side {self.side} has no fitted model: its training window holds no rows")
+        featured = featurise(df, self.encodings, len(self.trucks), ALL in self.scopes())
         parts = []
         for scope in self.scopes():
             wide, cells = self._scoped(featured, scope), []
@@ -85,7 +105,7 @@ class Trained:
                 if s != scope or candidate not in pick:
                     continue
                 out = f"__raw_{len(cells)}"
-                wide = predict(model, out, wide)
+                wide = predict(model, _features(self.trucks.index(truck)), out, wide)
                 cells.append(
                     F.struct(F.lit(truck).alias("truck"), F.lit(candidate).alias("model"), F.col(out).alias("raw"))
                 )
@@ -115,12 +135,16 @@ class Trained:
         Entities without a model give no rows; ``forecast.missing_entities`` counts them.
         """
         own = self.choices.select("entity", "model")
-        # At most as many names as there are candidates.
-        used = [row.model for row in own.select("model").distinct().collect()]
-        rows = self._long(features, ["ship_date", "entity"], used)
-        return rows.join(own, ["entity", "model"], "left_semi").select(
-            "ship_date", "entity", "truck", whole(F.col("raw")).alias("forecast")
-        )
+        # At most as many names as there are candidates; each model sees its own entities only.
+        used = sorted(row.model for row in own.select("model").distinct().collect())
+        parts = []
+        for model in used or self.candidates()[:1]:
+            mine = features.join(own.where(F.col("model") == F.lit(model)).select("entity"), "entity", "left_semi")
+            parts.append(self._long(mine, ["ship_date", "entity"], [model]))
+        if not parts:
+            self._long(features, ["ship_date", "entity"], [])
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows.select("ship_date", "entity", "truck", whole(F.col("raw")).alias("forecast"))
 
     def save(self, path: str, spark: SparkSession) -> None:
         """One folder per fitted model and a small table that ties them together."""
@@ -133,10 +157,13 @@ class Trained:
                 model.write().overwrite().save(f"{path}/{folder}")
             entries.append((scope, truck, candidate, type(model).__name__, folder))
         spark.createDataFrame(entries, MODEL_TABLE).write.mode("overwrite").json(f"{base}/models")
+        self.encodings.write.mode("overwrite").json(f"{base}/encodings")
         names = list(enumerate(self.entities))
         spark.createDataFrame(names, "i int, entity string").write.mode("overwrite").json(f"{base}/entities")
         if self.choices is not None:
             self.choices.write.mode("overwrite").json(f"{base}/choices")
+        if self.accuracy is not None:
+            self.accuracy.write.mode("overwrite").parquet(f"{base}/accuracy")
 
     @staticmethod
     def load(path: str, side: str, spark: SparkSession) -> Trained:
@@ -155,6 +182,7 @@ class Trained:
             sorted({e.truck for e in entries}),
             [r.entity for r in rows],
             models,
+            spark.read.schema(ENCODING_TABLE).json(f"{base}/encodings"),
             spark.read.schema(CHOICE_TABLE).json(f"{base}/choices"),
         )
 
@@ -171,24 +199,26 @@ def fit(
     is_train: Column | None = None,
 ) -> Trained:
     """Fit every candidate for every truck on the training rows of ``base_table``."""
-    # A categorical feature needs a bin per category.
-    settings = replace(settings, max_bins=max(settings.max_bins, len(entities) + 1))
-    train = featurise(base_table.where(_training(is_train)), entities)
-    scopes = [ALL]
-    if per_entity:
-        scopes = filters.names_within(train, "entity", MAX_ENTITIES)
+    train = base_table.where(_training(is_train) & F.col("entity").isin(list(entities)))
+    encodings = stage_table(encode(train, trucks), f"encodings-{side}")
+    # One scope per entity where each is fitted alone: as many jobs as that asks for.
+    scopes = sorted(r.entity for r in encodings.select("entity").collect()) if per_entity else [ALL]
+    train = featurise(train, encodings, len(trucks), not per_entity)
+    if encodings.isEmpty():
+        return Trained(side, list(trucks), list(entities), {}, encodings)
     jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
 
     def run(job: tuple[str, str, str]):
         scope, truck, candidate = job
         rows = train if scope == ALL else train.where(F.col("entity") == F.lit(scope))
-        rows = rows.select(FEATURES_COL, F.col(quoted(truck)).cast("double").alias("label"))
+        features = F.col(_features(list(trucks).index(truck))).alias(FEATURES_COL)
+        rows = rows.select(features, F.col(quoted(truck)).cast("double").alias("label"))
         return job, CANDIDATES[candidate](rows, "label", "prediction", settings)
 
     # Independent Spark jobs; the driver only waits for them.
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         models = dict(pool.map(run, jobs))
-    return Trained(side, list(trucks), list(entities), models)
+    return Trained(side, list(trucks), list(entities), models, encodings)
 
 
 def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = None) -> DataFrame:
@@ -224,7 +254,12 @@ def train_all(
     trucks, side = history.truck_names(), history.side.name
     with staged(history.base_table(trucks), f"abt-{side}") as base:
         if entities is None:
-            entities = history.kept_entities or filters.names_within(base, "entity", MAX_ENTITIES)
+            entities = history.kept_entities or filters.names(base, "entity")
         trained = fit(side, base, trucks, entities, candidates, settings, per_entity, is_train=is_train)
+        if not trained.models:
+            raise ValueError(f"side {side}: the training window holds no rows of its segments")
         trained.choices = stage_table(choose(trained, base, is_train), f"choice-{side}")
+        own = trained.choices.select("entity", "model")
+        held = trained.backtest(base.where(~_training(is_train))).join(own, ["entity", "model"], "left_semi")
+        trained.accuracy = stage_table(metrics.metric_table(held, clock=True), f"accuracy-{side}")
     return trained

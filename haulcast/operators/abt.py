@@ -17,7 +17,7 @@ def daily_volume(rows: DataFrame) -> DataFrame:
 
 
 def truck_counts(rows: DataFrame) -> DataFrame:
-    """Distinct shipments per day, entity and truck type.
+    """Distinct shipments per day, entity and truck type; rows without an id count as one shipment, as in the base table.
 
     The shuffle that removes duplicates is hashed on the shipment as well, so a
     hot day or customer spreads over all tasks; what follows is pre-aggregated.
@@ -26,7 +26,7 @@ def truck_counts(rows: DataFrame) -> DataFrame:
         _keyed(rows)
         .where(F.col("truck").isNotNull())
         .groupBy("ship_date", "entity", "truck")
-        .agg(F.countDistinct("shipment_xid").alias("n_shipments"))
+        .agg(F.countDistinct(F.struct("shipment_xid")).alias("n_shipments"))
     )
 
 

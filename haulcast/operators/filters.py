@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,32 @@ from pyspark.sql import functions as F
 
 from haulcast.functions import dates
 from haulcast.functions.numbers import quoted
-from haulcast.operators.joins import broadcast_counted
+
+
+#: The column by which a stored history is laid out in folders.
+DAY = "ship_date"
+
+
+@dataclass(frozen=True)
+class SourceFilter:
+    """Which shipments a run counts: equal values, or texts that a domain contains. Unset fields filter nothing."""
+
+    principal: str | None = None
+    perspective: str | None = None
+    domain: str | None = None
+    domain_contains: str | None = None
+    location_domain_contains: str | None = None
+
+    def shipments(self, df: DataFrame) -> DataFrame:
+        equal = {"principal": self.principal, "perspective": self.perspective, "domain_name": self.domain}
+        for column, value in equal.items():
+            if value is not None:
+                df = df.where(F.col(column) == F.lit(value))
+        return df if self.domain_contains is None else contains(df, "domain_name", self.domain_contains)
+
+    def locations(self, df: DataFrame) -> DataFrame:
+        text = self.location_domain_contains
+        return df if text is None else contains(df, "domain_name", text)
 
 
 def in_segments(df: DataFrame, segments: Iterable[str], column: str = "segment") -> DataFrame:
@@ -28,11 +54,18 @@ def trailing_months(
     """Rows of the last ``months`` months; ``closed`` also bounds them by ``as_of``.
 
     Both bounds fold to literals, so they reach the reader as pushed filters.
+    A history laid out by ``ship_date`` gets the same bounds on the day, which
+    leave all other day folders unread.
     """
     moment = dates.as_of_timestamp(as_of)
-    kept = F.col(quoted(column)) >= dates.months_before(moment, months)
+    first = dates.months_before(moment, months)
+    kept = F.col(quoted(column)) >= first
     if closed:
         kept = kept & (F.col(quoted(column)) <= moment)
+    if DAY in df.columns and column != DAY:
+        kept = kept & (F.col(DAY) >= F.to_date(first))
+        if closed:
+            kept = kept & (F.col(DAY) <= F.to_date(moment))
     return df.where(kept)
 
 
@@ -50,7 +83,7 @@ def current_or_all(df: DataFrame, column: str, as_of: date | None = None) -> Dat
 def allowed_entities(df: DataFrame, entities: DataFrame, column: str = "entity") -> DataFrame:
     """Keep the entities of a one-column table; repeated names do not multiply rows."""
     names = entities.select(F.col(quoted(entities.columns[0])).alias(column)).distinct()
-    return df.join(broadcast_counted(names), column, "left_semi")
+    return df.join(names, column, "left_semi")
 
 
 def uncovered(df: DataFrame, listed: Iterable[str], column: str = "entity") -> DataFrame:
@@ -59,13 +92,10 @@ def uncovered(df: DataFrame, listed: Iterable[str], column: str = "entity") -> D
     return df.where(key.isNotNull() & ~key.isin(list(listed))).groupBy(key).agg(F.count("*").alias("n_rows"))
 
 
-def names_within(df: DataFrame, column: str, bound: int) -> list[str]:
-    """Distinct names on the driver, for columns of a wide table; refused beyond ``bound``."""
+def names(df: DataFrame, column: str) -> list[str]:
+    """Distinct names on the driver, for the columns of a wide table. Long results need none."""
     key = F.col(quoted(column))
-    found = df.where(key.isNotNull()).select(key).distinct().limit(bound + 1).collect()
-    if len(found) > bound:
-        raise ValueError(f"more than {bound} values of {column}: pass the ones to use")
-    return sorted(row[0] for row in found)
+    return sorted(row[0] for row in df.where(key.isNotNull()).select(key).distinct().collect())
 
 
 def canonical(value: Column, synonyms: Mapping[str, str]) -> Column:
@@ -77,10 +107,12 @@ def canonical(value: Column, synonyms: Mapping[str, str]) -> Column:
 
 
 def canonicalise(df: DataFrame, synonyms: DataFrame, column: str) -> DataFrame:
-    """Same, from a (variant, name) table with one row per variant."""
-    pairs = synonyms.select(F.col("variant").alias(column), F.col("name").alias("__name"))
+    """Same, from a (variant, name) table; a variant may be repeated, but not with two names."""
+    several = F.raise_error(F.concat(F.lit("two names for "), F.col("variant"))).cast("string")
+    name = F.when(F.min("name").eqNullSafe(F.max("name")), F.min("name")).otherwise(several)
+    pairs = synonyms.groupBy("variant").agg(name.alias("__name")).withColumnRenamed("variant", column)
     return (
-        df.join(broadcast_counted(pairs), column, "left")
+        df.join(pairs, column, "left")
         .withColumn(column, F.coalesce("__name", F.col(quoted(column))))
         .select([F.col(quoted(c)) for c in df.columns])
     )

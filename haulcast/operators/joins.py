@@ -16,30 +16,6 @@ DESTINATION = {
 }
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as the optimizer estimates it; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_within(df: DataFrame, bounded_by: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
-    """Broadcast ``df`` only if the table that bounds its rows is small on disk.
-
-    For a table widened by many-to-one lookups the optimizer multiplies the
-    sizes of its inputs; the scan of the base table is the honest bound. Above
-    it no hint is given and Spark shuffles, splitting hot keys through AQE.
-    """
-    return F.broadcast(df) if scan_bytes(bounded_by) <= max_bytes else df
-
-
-def broadcast_counted(names: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a table of names after counting that it has at most ``max_rows``.
-
-    For tables whose size the optimizer cannot know, such as in-memory rows.
-    The count stops at the bound; a longer table is joined by shuffle instead.
-    """
-    return F.broadcast(names) if names.limit(max_rows + 1).count() <= max_rows else names
-
-
 def destinations(locations: DataFrame) -> DataFrame:
     """Location table in the destination role."""
     return locations.select(

@@ -113,10 +113,10 @@ def model_mae(backtest: DataFrame) -> DataFrame:
 
 
 def select_model(maes: DataFrame, order: list[str]) -> DataFrame:
-    """Lowest MAE per entity; the earlier model in ``order`` wins a tie."""
+    """Lowest MAE per entity; the earlier model in ``order`` wins a tie, unlisted ones come last. NULL errors never win."""
     position = F.array_position(F.array([F.lit(m) for m in order]), F.col("model"))
-    rank = F.struct(F.col("mae"), position)
-    return maes.groupBy("entity").agg(F.min_by("model", rank).alias("model"), F.min("mae").alias("mae"))
+    rank = F.struct(F.col("mae"), F.when(position > 0, position).otherwise(len(order) + 1), F.col("model"))
+    return maes.where(F.col("mae").isNotNull() & ~F.isnan("mae")).groupBy("entity").agg(F.min_by("model", rank).alias("model"), F.min("mae").alias("mae"))
 
 
 def with_forecasts(actuals: DataFrame, forecasts: DataFrame) -> DataFrame:

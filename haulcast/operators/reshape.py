@@ -26,14 +26,17 @@ def volume_unpivot(wide: DataFrame, entities: Sequence[str]) -> DataFrame:
     return wide.unpivot("ship_date", [F.col(quoted(e)) for e in entities], "entity", "total_volume")
 
 
-def volume_grid(volumes: DataFrame, entities: Sequence[str]) -> DataFrame:
-    """Every day with every entity, cells without volume being 0.
+def volume_grid(volumes: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
+    """Every day with every entity (of ``entities``, or of the table), cells without volume being 0.
 
     This is the table a user edits: an empty cell can be filled, and is scored
     as a day of no volume. The listed names are spread over the days in long
     form, so the plan does not widen with them. ``volumes`` has one row per cell.
     """
-    names = F.array([F.lit(e) for e in entities])
+    if entities is None:
+        names = volumes.agg(F.sort_array(F.collect_set("entity"))).scalar()
+    else:
+        names = F.array([F.lit(e) for e in entities]).cast("array<string>")
     cells = volumes.select("ship_date").distinct().select("ship_date", F.explode(names).alias("entity"))
     known = volumes.select("ship_date", "entity", "total_volume")
     return cells.join(known, ["ship_date", "entity"], "left").withColumn(
@@ -56,6 +59,11 @@ def transpose_days(wide: DataFrame, entities: Sequence[str], days: Sequence[date
     return cells.groupBy("entity").agg(*columns)
 
 
+def days_left_out(wide: DataFrame, days: Sequence[date]) -> DataFrame:
+    """Days of ``wide`` that a horizon of ``days`` does not show."""
+    return wide.where(F.col("ship_date").isNull() | ~F.col("ship_date").isin(list(days))).select("ship_date").distinct()
+
+
 def days_to_rows(transposed: DataFrame, day_labels: Sequence[str]) -> DataFrame:
     """Inverse: labelled day columns straight to (ship_date, entity, total_volume)."""
     texts = transposed.select("entity", *[F.col(quoted(d)).cast("string").alias(d) for d in day_labels])

@@ -36,7 +36,9 @@ def keep_top(df: DataFrame, key: str, top: DataFrame) -> DataFrame:
 def drop_top(df: DataFrame, key: str, top: DataFrame) -> DataFrame:
     """Complement of ``keep_top``: rows whose key is set and not in ``top``."""
     marked = top.select(F.col(quoted(key)))
-    return df.where(F.col(quoted(key)).isNotNull()).join(F.broadcast(marked), key, "left_anti").select(df.columns)
+    return df.where(F.col(quoted(key)).isNotNull()).join(F.broadcast(marked), key, "left_anti").select(
+        [F.col(quoted(c)) for c in df.columns]
+    )
 
 
 def top_names(top: DataFrame, key: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.functions.numbers import quoted, round_all_doubles
@@ -41,9 +41,15 @@ def clean(resolved: DataFrame) -> DataFrame:
     return round_all_doubles(resolved).withColumn("ship_date", F.to_date("start_ts"))
 
 
+def entity_key(name: Column, side: Side) -> Column:
+    """The name under which history, uploads and edits of a side meet: upper case, spelling variants replaced."""
+    upper = {variant.upper(): kept.upper() for variant, kept in side.synonyms.items()}
+    return filters.canonical(F.upper(name), upper)
+
+
 def side_rows(resolved: DataFrame, side: Side) -> DataFrame:
     """The side's segments with canonical entity names, before any pruning."""
-    entity = filters.canonical(F.col(quoted(side.entity_column)), side.synonyms)
+    entity = entity_key(F.col(quoted(side.entity_column)), side)
     return filters.in_segments(resolved, side.segments).select(
         F.to_date("start_ts").alias("ship_date"),
         entity.alias("entity"),

@@ -47,19 +47,30 @@ def daily(parsed: DataFrame, segments=None) -> DataFrame:
 def what_if(volumes: DataFrame, overrides: DataFrame) -> DataFrame:
     """Edited cells replace uploaded volumes; text that is no number changes nothing.
 
-    Overrides are reduced to one value per cell first, so a cell edited twice
-    cannot multiply rows. Both sides are keyed by (day, entity) and small.
+    Names follow the rule of uploads: upper case. Overrides are reduced to one
+    value per cell first, so a cell edited twice cannot multiply rows: the last
+    readable edit by ``edit_no`` where the table has that column, else the largest.
     """
-    edits = (
-        overrides.select("ship_date", "entity", edited_number(F.col("volume_text")).alias("edited"))
-        .groupBy("ship_date", "entity")
-        .agg(F.max("edited").alias("edited"))
-    )
+    edits = _edits(overrides).groupBy("ship_date", "entity").agg(F.max_by("edited", "edit_no").alias("edited"))
     return volumes.join(edits, ["ship_date", "entity"], "left").select(
         "ship_date", "entity", F.coalesce("edited", "total_volume").alias("total_volume")
     )
 
 
+def _edits(overrides: DataFrame) -> DataFrame:
+    """Readable edits: (ship_date, entity, edited, edit_no)."""
+    value = edited_number(F.col("volume_text"))
+    order = F.struct("edit_no", value) if "edit_no" in overrides.columns else F.struct(value)
+    rows = overrides.select("ship_date", F.upper("entity").alias("entity"), value.alias("edited"), order.alias("edit_no"))
+    return rows.where(F.col("edited").isNotNull())
+
+
+def unmatched_edits(volumes: DataFrame, overrides: DataFrame) -> DataFrame:
+    """How many readable edits name a cell that the table does not have."""
+    cells = volumes.select("ship_date", "entity").distinct()
+    return _edits(overrides).join(cells, ["ship_date", "entity"], "left_anti").agg(F.count("*").alias("n_unmatched"))
+
+
 def rejected_edits(overrides: DataFrame) -> DataFrame:
     bad = F.col("volume_text").isNotNull() & edited_number(F.col("volume_text")).isNull()
     return overrides.agg(F.count_if(bad).alias("n_rejected"), F.count("*").alias("n_rows"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 #: Settings that hold on a laptop and on a cluster alike.
@@ -45,7 +46,7 @@ def build_session(
             settings["spark.sql.shuffle.partitions"] = "8"
             settings["spark.driver.bindAddress"] = "127.0.0.1"
             settings["spark.driver.host"] = "127.0.0.1"
-    else:
+    elif not SparkConf().get("spark.master", "local").startswith("local"):
         settings.update(CLUSTER)
     settings.update(extra or {})
     for key, value in settings.items():

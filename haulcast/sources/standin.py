@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.functions import dates
-from haulcast.operators.joins import broadcast_within
 
 # The six truck types and the entity names of the test data, in column order.
 TRUCKS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -48,13 +47,13 @@ def _gid(prefix: str, column: str):
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(broadcast_within(region, region), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", "n_name", "r_name"
     )
 
 
 def _located(spark: SparkSession, sf_dir: str, base: DataFrame, nation_key: str) -> DataFrame:
-    places = broadcast_within(_places(spark, sf_dir), table(spark, sf_dir, "nation"))
+    places = _places(spark, sf_dir)
     return base.join(places, F.col(nation_key) == F.col("n_nationkey"))
 
 
@@ -77,7 +76,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = shaped(customer, "CUST", "c_custkey", "c_nationkey", "c_name", F.col("c_mktsegment")).unionByName(
         shaped(supplier, "SUPP", "s_suppkey", "s_nationkey", "s_name", F.lit(None).cast("string"))
     )
-    return broadcast_within(both, customer.unionByName(supplier, allowMissingColumns=True))
+    return both
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,12 +122,10 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     customer = table(spark, sf_dir, "customer")
     dest = _located(spark, sf_dir, customer, "c_nationkey").select("c_custkey", "c_mktsegment", "n_name", "r_name")
-    dest = broadcast_within(dest, customer)
     orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
     placed = orders.join(dest, F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", "c_mktsegment", "n_name", "r_name"
     )
-    placed = broadcast_within(placed, orders)
     return (
         table(spark, sf_dir, "lineitem")
         .join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -150,7 +147,7 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volume_forecast(spark: SparkSession, sf_dir: str, entity: str = "r_name") -> DataFrame:
     """Uploaded forecast rows: text dates, lower-case region or customer names."""
     customer = table(spark, sf_dir, "customer")
-    dest = broadcast_within(_located(spark, sf_dir, customer, "c_nationkey"), customer)
+    dest = _located(spark, sf_dir, customer, "c_nationkey")
     return (
         table(spark, sf_dir, "orders")
         .join(dest, F.col("o_custkey") == F.col("c_custkey"))

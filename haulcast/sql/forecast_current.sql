@@ -1,3 +1,4 @@
+-- Text that is no date is no current day.
 SELECT *
 FROM {forecast}
-WHERE to_date(date_str, 'yyyy/MMM/dd') >= CAST(:as_of AS DATE)
+WHERE try_to_date(date_str, 'yyyy/MMM/dd') >= CAST(:as_of AS DATE)

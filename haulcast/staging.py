@@ -6,6 +6,7 @@ executor costs a re-read and never a recomputation of the history.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,8 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
+    # One process is driver and executor: a folder of its own, as in tests.
     folder = tempfile.mkdtemp(prefix="haulcast-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -56,6 +58,11 @@ def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``new_path`` named."""
+    _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     # The folder may lie on any file system that Spark can write to.
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from haulcast.session import build_session
 
     session = build_session(
@@ -18,6 +18,7 @@ def spark():
         master="local[8]",
         extra={
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.maxMetadataStringLength": "10000",
         },

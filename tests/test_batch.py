@@ -12,7 +12,7 @@ from haulcast import __main__ as cli
 from haulcast import schemas
 from haulcast.models.candidates import Settings
 from haulcast.models.training import Trained
-from haulcast.operators import metrics
+from haulcast.operators import filters, metrics
 from haulcast.plans import batch, history
 from haulcast.staging import staged
 
@@ -86,15 +86,61 @@ def test_history_run(spark, tables, trained):
     assert out.missing.count() == 0
 
 
-def test_accuracy_of_the_chosen_models(spark, tables, trained):
-    resolved = batch.resolve(read(spark, tables, "shipments"), read(spark, tables, "locations"), 25, AS_OF, True)
-    table = history.open_side(resolved, SIDE).base_table()
-    out = batch.accuracy(trained, table)
-    assert sorted((r.entity, r.truck) for r in out.collect()) == [
+def test_accuracy_of_the_chosen_models(trained):
+    assert sorted((r.entity, r.truck) for r in trained.accuracy.collect()) == [
         (e, t) for e in ("NORTH", "SOUTH") for t in ("10T", "20T")
     ]
 
 
+def test_runs_count_only_the_asked_shipments(spark, tables):
+    shipments, locations = read(spark, tables, "shipments"), read(spark, tables, "locations")
+    mine = shipments.withColumns({"principal": F.lit("P"), "perspective": F.lit("S"), "domain_name": F.lit("BASE/X")})
+    others = [mine.withColumn(c, F.lit("other")) for c in ("principal", "perspective", "domain_name")]
+    for other in others:
+        mine = mine.unionByName(other)
+    keep = filters.SourceFilter("P", "S", domain_contains="BASE", location_domain_contains="D")
+    out = batch.resolve(mine, locations, 25, AS_OF, True, keep)
+    alone = batch.resolve(shipments, locations, 25, AS_OF, True)
+    assert out.count() == alone.count() == 1190
+    nowhere = filters.SourceFilter(location_domain_contains="none")
+    assert batch.resolve(mine, locations, 25, AS_OF, True, nowhere).count() == 0
+
+
+def test_empty_upload_shows_one_zero_row(spark, tables, trained):
+    uploaded = read(spark, tables, "forecast")
+    for rows in (uploaded, uploaded.limit(0)):
+        out = batch.from_volumes(rows, ["NO SEGMENT"], trained, AS_OF)
+        assert [(r.ship_date, r.entity, r.total_volume) for r in out.volumes.collect()] == [(AS_OF, "NORTH", 0.0)]
+        assert out.matrix.count() == 1
+
+
+def test_empty_history_is_named(spark, tables):
+    shipments = read(spark, tables, "shipments").limit(0)
+    with pytest.raises(ValueError, match="no rows"):
+        batch.train(shipments, read(spark, tables, "locations"), SIDE, AS_OF, TINY, ("random_forest",))
+
+
+def test_what_a_run_cannot_use_is_counted(spark, tables, trained):
+    uploaded = read(spark, tables, "forecast")
+    bad = uploaded.limit(1).withColumn("date_str", F.lit("no date"))
+    day = date(2021, 7, 1)
+    edits = [(day, "south", "NaN"), (day, "South", "41"), (day, "south", "1d"), (date(2030, 1, 1), "SOUTH", "5")]
+    edits = spark.createDataFrame(edits, schemas.OVERRIDES)
+    out = batch.from_volumes(uploaded.unionByName(bad), ["LOCAL"], trained, AS_OF, edits)
+    assert {r.reason: r.n_rejected for r in out.rejected.collect()} == {
+        "unreadable date": 1, "unreadable edit": 2, "edit without a cell": 1
+    }
+    assert out.volumes.where("entity = 'SOUTH' and total_volume = 41").count() == 1
+
+
+def test_names_meet_in_upper_case_and_by_synonyms(spark, tables):
+    places = read(spark, tables, "locations").withColumn("zone2", F.lower("zone2"))
+    mixed = batch.train(read(spark, tables, "shipments"), places, SIDE, AS_OF, TINY, ("random_forest",))
+    assert mixed.entities == ["NORTH", "SOUTH"]
+    out = batch.from_volumes(read(spark, tables, "forecast"), ["LOCAL"], mixed, AS_OF, synonyms={"Moon": "North"})
+    assert out.missing.count() == 0 and out.fleet.where("forecast > 0").count() > 0
+
+
 def test_both_sides_from_one_read(spark, tables):
     customer = history.Side("customer", "dest_name", ("LOCAL-A", "CHAIN"), 1, 2)
     out = batch.train_sides(
@@ -110,7 +156,7 @@ def test_both_sides_from_one_read(spark, tables):
 
 def test_command_line(spark, tables, tmp_path, monkeypatch, trained):
     monkeypatch.setattr(cli, "build_session", lambda *a, **k: spark)
-    monkeypatch.setattr(batch.train, "__defaults__", (None, TINY, ("random_forest",)))
+    monkeypatch.setattr(batch.train_sides, "__defaults__", (None, TINY, ("random_forest",), *batch.train_sides.__defaults__[3:]))
     side = tmp_path / "side.json"
     side.write_text(json.dumps({"name": "region", "entity_column": "dest_zone2", "segments": ["LOCAL-A", "LOCAL-B"], "top_trucks": 2}))
     history_args = ["--shipments", f"{tables}/shipments", "--locations", f"{tables}/locations", "--side", str(side)]
@@ -122,6 +168,9 @@ def test_command_line(spark, tables, tmp_path, monkeypatch, trained):
     cli.main(["--as-of", "2021-06-30", "volumes", *forecast, *models, "--out", f"{tmp_path}/v"])
     assert spark.read.parquet(f"{tmp_path}/v/matrix").count() == 2
     assert spark.read.parquet(f"{tmp_path}/h/volumes").count() == 7
+    assert spark.read.parquet(f"{tmp_path}/models/region/accuracy").count() == 4
+    long = spark.read.parquet(f"{tmp_path}/v/fleet")
+    assert sorted(long.columns) == sorted(schemas.FLEET_LONG.names) and long.count() == 2 * 2 * 2
 
 
 def test_hashed_split_is_stable_and_near_four_fifths(spark):

@@ -80,8 +80,21 @@ def test_last_and_first_rows(spark):
     assert [tuple(r) for r in topk.first_rows(df, 2, ["d", "e"]).collect()] == [(1, "a"), (1, "b")]
 
 
-def test_names_on_the_driver_are_bounded(spark):
+def test_names_on_the_driver(spark):
     df = spark.createDataFrame([("b",), ("a",), ("a",), (None,)], "entity string")
-    assert filters.names_within(df, "entity", 2) == ["a", "b"]
-    with pytest.raises(ValueError, match="more than 1 values of entity"):
-        filters.names_within(df, "entity", 1)
+    assert filters.names(df, "entity") == ["a", "b"]
+
+
+def test_variant_with_two_names_fails_and_repeats_do_not_multiply(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "entity string, n int")
+    pairs = spark.createDataFrame([("x", "z"), ("x", "z")], "variant string, name string")
+    assert sorted(tuple(r) for r in filters.canonicalise(df, pairs, "entity").collect()) == [("y", 2), ("z", 1)]
+    with pytest.raises(Exception, match="two names for x"):
+        filters.canonicalise(df, pairs.unionByName(pairs.withColumn("name", F.lit("w"))), "entity").collect()
+
+
+def test_top_k_by_a_column_with_a_dot(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 2)], "`a.b` string, n int")
+    top = df.where("n = 1").select("`a.b`")
+    assert [tuple(r) for r in topk.drop_top(df, "a.b", top).collect()] == [("y", 2)]
+    assert [tuple(r) for r in topk.keep_top(df, "a.b", top).collect()] == [("x", 1)]

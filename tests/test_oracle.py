@@ -5,9 +5,11 @@ from __future__ import annotations
 import __spark_entry__ as entry_points
 import oracle
 import pytest
+from haulcast.catalog.oracles import all_oracles
+from haulcast.catalog.queries import all_queries
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = all_queries()
+SQL = all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +19,8 @@ def con(sf_dir):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(entry_points.oracle_sql())
+    assert set(QUERIES) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -6,7 +6,6 @@ import re
 from contextlib import contextmanager
 from datetime import date
 
-import __spark_entry__ as entry_points
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 from haulcast.catalog import oracles, queries
 from haulcast.operators import filters, joins
 from haulcast.session import tune
-from haulcast.sources import standin
+from haulcast.sources import files, standin
 
-ALL = entry_points.queries()
+ALL = queries.all_queries()
 FITTED = {"fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "train_all", "fleet_region", "fleet_customer",
           "fleet_history_tail", "model_store", "train_sides", "fit_coverage", "fleet_coverage"}
 
@@ -77,23 +76,21 @@ def test_time_window_reaches_the_reader(spark, sf_dir):
     assert "LessThanOrEqual(l_shipdate,2001-06-01T00:00)" in text
 
 
-def test_broadcast_only_within_the_bound(spark, sf_dir):
-    customer = standin.table(spark, sf_dir, "customer")
-    facts = standin.table(spark, sf_dir, "orders")
-    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        on = F.col("o_custkey") == F.col("c_custkey")
-        small = plan(facts.join(joins.broadcast_within(customer, customer), on))
-        large = plan(facts.join(joins.broadcast_within(customer, customer, max_bytes=10), on))
-    assert "BroadcastHashJoin" in small
-    assert "BroadcastHashJoin" not in large
+def test_lookup_without_broadcasts_is_a_hashed_join(spark, sf_dir):
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    with settings(spark, **off):
+        text = plan(ALL["scalar_subquery_lookup"](spark, sf_dir))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "SortMergeJoin" in text
 
 
-def test_counted_broadcast_respects_its_bound(spark):
-    names = spark.createDataFrame([(f"e{i}",) for i in range(20)], "entity string")
-    facts = spark.range(100).select(F.concat(F.lit("e"), F.col("id")).alias("entity"))
-    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        assert "BroadcastHashJoin" in plan(facts.join(joins.broadcast_counted(names), "entity"))
-        assert "BroadcastHashJoin" not in plan(facts.join(joins.broadcast_counted(names, max_rows=19), "entity"))
+def test_time_window_prunes_day_folders(spark, tmp_path):
+    rows = spark.range(90).select(
+        F.col("id"), F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2021-01-01").cast("timestamp_ntz")).alias("start_ts")
+    )
+    files.write_history(rows.withColumn("ship_date", F.to_date("start_ts")), str(tmp_path / "h"))
+    kept = filters.trailing_months(spark.read.parquet(str(tmp_path / "h")), "start_ts", 1, date(2021, 3, 20))
+    assert re.search(r"PartitionFilters: \[[^\]]*ship_date[^\]]*>= 2021-02-20", plan(kept))
+    assert kept.count() == rows.where("start_ts >= '2021-02-20' and start_ts <= '2021-03-20'").count()
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -135,9 +132,8 @@ def test_hot_destination_is_split(spark, how, hash_limit, join, grouping):
 
 
 @pytest.mark.parametrize("name", ["abt_customer", "abt_region", "join_two_roles", "vol_pivot_region", "what_if_volumes"])
-def test_results_do_not_depend_on_broadcasts(spark, sf_dir, name, monkeypatch):
+def test_results_do_not_depend_on_broadcasts(spark, sf_dir, name):
     """Dimensions beyond the bound: the same rows through shuffles."""
-    monkeypatch.setattr(standin, "broadcast_within", lambda df, bounded_by, max_bytes=0: df)
     with settings(
         spark,
         **{"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"},

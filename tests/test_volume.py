@@ -35,7 +35,7 @@ def test_bad_dates_are_counted(uploaded):
 
 
 def test_pivot_unpivot_transpose(uploaded):
-    names = ["EAST COAST", "SOUTH", "NORTH (M) SDN. BHD"]
+    names = ["EAST COAST", "SOUTH", "HILLS (x.y) z"]
     wide = reshape.volume_pivot(volume.daily(volume.parse(uploaded), ["LOCAL"]), names)
     assert sorted(tuple(r) for r in wide.collect()) == [(D1, 7.0, 3.5, 0.0), (D2, 0.0, 10.12, 0.0)]
     cells = {(r.ship_date, r.entity): r.total_volume for r in reshape.volume_unpivot(wide, names).collect()}
