@@ -2,13 +2,18 @@
 
 1. Each task turns texts into sets of word shingles, their minima, and band keys.
    Documents of equal sets form a class at once (exact copies, however many).
-2. Classes that share a band key are candidates. In every bucket the smallest
-   class meets all others: as many pairs as members, not their square.
+2. Classes that share a band key are candidates. In every bucket one hub meets all
+   others: as many pairs as members, not their square. The hub is the member
+   whose buckets are fullest, which in a group of edited copies is one near the
+   common original.
 3. Pairs pass a check of signatures, then of the full sets in integers.
 4. Links become components by alternating large-star and small-star.
-5. Buckets that still hold several components are finished: every member outside
-   the bucket's largest component meets all members of other components. Members
-   of one component need no test, as a link between them changes nothing.
+5. Buckets of three or more that still hold several components have pairs that were not
+   met. Their members are finished exactly: a similar pair must share one of the
+   rarest shingles of both (the share of a set that the threshold lets differ,
+   plus one), early enough in the order of rarity that what follows can suffice;
+   only members with such a shingle in common are compared, across components. An edited copy whose edits leave it similar to nobody
+   has none in common with anybody.
 
 With 40 bands of 5 minima a pair at the threshold of 0.8 shares no bucket with
 probability 1e-7; the signature check cuts seven deviations below the threshold.
@@ -25,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcast.llm.components import components
@@ -139,10 +144,8 @@ def similar(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(first) + len(second) - shared)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar."""
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    whole = stage_table(full_sets(docs.join(wanted, "id", "left_semi"), sets), "sets")
+def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar, as edges (u, v)."""
     one = whole.select(F.col("id").alias("a"), F.col("elements").alias("e_a"))
     two = whole.select(F.col("id").alias("b"), F.col("elements").alias("e_b"))
 
@@ -152,36 +155,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: Sets, percent: int) -> D
                 similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
                 for x, y in zip(batch.column("e_a"), batch.column("e_b"))
             ]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            edges = [batch.column("a"), batch.column("b")]
+            yield pa.RecordBatch.from_arrays(edges, names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "e_a", "e_b").mapInArrow(run, "u long, v long")
+
+
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """Rows (key, id) of buckets with several members, with the members' number ``size``."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return buckets.join(sizes, "key")
+
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "e_a", "e_b").mapInArrow(run, "a long, b long")
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """In each bucket its hub with every other member."""
+    fullest = shared.groupBy("id").agg(F.sum("size").alias("rank"))
+    ranked = shared.join(fullest, "id")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("id"))).alias("hub"))
+    met = shared.join(hubs.select("key", (-F.col("hub.id")).alias("hub")), "key").where("id <> hub")
+    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, sets: Sets, hashes: MinHash, percent: int) -> DataFrame:
-    """Edges (u, v) among the candidate pairs, written once."""
-    near = stage_table(_agreeing(pairs, reps, hashes, percent), "near-pairs")
-    return stage_table(_confirmed(near, docs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+def open_members(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of the members of buckets that hold pairs of different components no hub has met."""
+    inside = shared.where("size > 2").join(roots, shared["id"] == roots["node"], "left")
+    inside = inside.select("key", "id", F.coalesce("root", "id").alias("root"))
+    several = inside.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return inside.join(several.select("key"), "key", "left_semi").select("id", "root").distinct()
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """In each bucket (key, id) its smallest id with every other one."""
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").select("key", "a")
-    return buckets.withColumnRenamed("id", "b").join(hubs, "key").where("b > a").select("a", "b").distinct()
+def rarest(whole: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, place): the rarest elements of each set, as many as ``percent`` lets differ and one; only those in several sets.
 
+    ``place`` is the element's place (from 1) in its set, in one order of elements for all sets.
+    """
 
-def open_pairs(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket whose components differ, without those inside its largest component or tested with the hub."""
-    inside = buckets.join(roots, buckets["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    hubs = inside.groupBy("key").agg(
-        F.min("id").alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")
-    ).where("low < high")
-    mixed = stage_table(inside.join(hubs.select("key", "hub"), "key"), "open-buckets")
-    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-    few = mixed.join(largest, "key").where("root <> largest")
-    one = few.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), "largest", "hub")
-    two = mixed.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
-    met = one.join(two, "key").where("rx <> ry and (ry = largest or x < y) and x <> hub and y <> hub")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for id_, blob in zip(batch.column("id"), batch.column("elements")):
+                keys = pa.array(np.frombuffer(blob.as_buffer(), np.int64))
+                for at in range(0, len(keys), 1 << 16):
+                    piece = keys.slice(at, 1 << 16)
+                    columns = [piece, pa.repeat(id_, len(piece)), pa.repeat(pa.scalar(len(keys), pa.int64()), len(piece))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n"])
+
+    elements = whole.mapInArrow(run, "key long, id long, n long")
+    common = elements.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    held = elements.join(common, "key")
+    mine = Window.partitionBy("id")
+    # Elements of one set only come first in the order and need no row of their own.
+    place = F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("df", "key"))
+    least = F.ceil(F.col("n") * percent / 100)
+    return held.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("key", "id", "n", "place")
+
+
+def open_pairs(rare: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar, without those inside an element's largest component.
+
+    Similar sets have a first common element, in the order of ``place``; all further ones stand after it in both.
+    """
+    inside = stage_table(rare.join(members, "id"), "rare")
+    sizes = inside.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots"))
+    mixed = inside.join(largest.where("roots > 1").drop("roots"), "key")
+    one = mixed.where("root <> largest").select(
+        "key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px")
+    )
+    two = mixed.select(
+        "key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"), "largest"
+    )
+    across = F.expr("rx <> ry and (ry = largest or x < y)")
+    most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
+    enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = one.join(two, (one["key"] == two["key"]) & across & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -189,19 +235,24 @@ def linked_classes(docs: DataFrame, sets: Sets, hashes: MinHash, percent: int) -
     """(id, n, component) of frame (id, text) without null ids; component is null for empty sets."""
     rows = stage_table(sketch(docs, sets, hashes), "sketch")
     classes = rows.where("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    member = stage_table(rows.select("id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("id", "n", "rep"), "member")
+    own = rows.select("id", "n", "set_a", "set_b")
+    member = stage_table(own.join(classes, ["set_a", "set_b"], "left").select("id", "n", "rep"), "member")
     chosen = member.where("rep = id").select("id").distinct()
-    reps = stage_table(rows.where("n > 0").join(chosen, "id", "left_semi").select("id", "n", "signature", "bands"), "reps")
-    buckets = reps.select(F.explode("bands").alias("key"), "id")
-    found = links(docs, reps, hub_pairs(buckets), sets, hashes, percent)
+    reps = rows.where("n > 0").join(chosen, "id", "left_semi")
+    shared = stage_table(shared_buckets(reps.select(F.explode("bands").alias("key"), "id")), "buckets")
+    near = stage_table(_agreeing(hub_pairs(shared), reps, hashes, percent), "near-pairs")
+    # Texts of all bucket members are fetched once. Their ids grow with the rows, so they are never broadcast.
+    wanted = shared.select("id").distinct().hint("merge")
+    whole = stage_table(full_sets(docs.join(wanted, "id", "left_semi"), sets), "sets")
+    found = stage_table(confirmed(near, whole, percent), "links")
     # A repeated id whose rows have different texts ties their classes together.
     several = member.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     ties = several.join(member, "id").select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    found = found.unionAll(ties)
-    roots = stage_table(components(found), "roots")
-    rest = stage_table(open_pairs(buckets, roots), "open-pairs")
-    if not rest.isEmpty():
-        more = links(docs, reps, rest, sets, hashes, percent)
+    roots = stage_table(components(found.unionAll(ties)), "roots")
+    left = stage_table(open_members(shared, roots), "open")
+    if not left.isEmpty():
+        rest = open_pairs(rarest(whole.join(left.select("id"), "id", "left_semi"), percent), left, percent)
+        more = stage_table(confirmed(rest, whole, percent), "links")
         if not more.isEmpty():
             stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = stage_table(components(stars.unionAll(more)), "roots")
