@@ -41,7 +41,7 @@ h AS (
 p AS (SELECT rule, avg(failed / n) AS mu, var_pop(failed / n) AS v FROM h GROUP BY rule),
 s AS (
   SELECT source, CASE WHEN v > 0 THEN (failed + mu * k) / (n + k) ELSE mu END AS rate FROM (
-    SELECT h.*, mu, v, CASE WHEN v > 0 THEN greatest(mu * (1 - mu) / v - 1, 0) END AS k FROM h JOIN p USING (rule))
+    SELECT h.*, mu, v, CASE WHEN v > 0 THEN greatest(mu * (1 - mu) / v - 1, 10) END AS k FROM h JOIN p USING (rule))
 ),
 hv AS (SELECT source, max(rate) > 0.5 AS host_failed FROM s GROUP BY source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

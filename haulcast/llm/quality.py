@@ -35,6 +35,8 @@ MAX_REPEAT = 30  # percent of words
 MAX_SYMBOLS = 25  # per 100 words
 MAX_DUP_LINES = 50  # percent of lines with a word
 
+#: Documents that the prior weighs as much as, at least: so many must speak for a host against all others.
+PRIOR_WEIGHT = 10.0
 #: Shrunk share of failing documents beyond which a host is refused.
 HOST_LIMIT = 0.5
 
@@ -112,7 +114,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     raw = F.col("failed") / F.col("n")
     prior = by_rule.groupBy("rule").agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"))
     # Moments of a beta distribution; its weight is without bound where all hosts agree.
-    weight = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0)))
+    weight = F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(PRIOR_WEIGHT)))
     shrunk = F.when(weight.isNull(), F.col("m")).otherwise(
         (F.col("failed") + F.col("m") * weight) / (F.col("n") + weight)
     )
