@@ -6,7 +6,7 @@
    block, and the randomised (Nystrom) decomposition of that small sketch gives
    the leading right singular vectors: the latent space.
 3. Every window of ``WINDOW`` words, taken at each ``STRIDE``-th word, is projected
-   and compared by cosine with all windows of the benchmark items. A candidate
+   and compared by cosine with windows all along the benchmark items. A candidate
    shares ``KNOWN`` of the window's IDF weight with the item; a window that does not
    share as much with the whole benchmark is left out before the projection.
 4. Around each candidate the longest common subsequence of item and document is
@@ -39,14 +39,16 @@ from haulcast.llm.words import Words, mix, steps, words_of
 #: Hashed words that have a frequency of their own, and that are columns of A.
 IDF_BITS = 18
 COLUMNS_BITS = 14
-RANK = 32
+RANK = 24
 PASSAGE = 48
 WINDOW = 12
 STRIDE = 4
+#: The item's windows start at each so many words: a document's window is at most one word off one of them.
+ITEM_STRIDE = 3
 #: Least share of a window's IDF that lies on words of the item it is compared with.
-KNOWN = 0.6
+KNOWN = 0.5
 #: Least cosine of a candidate.
-COSINE = 0.75
+COSINE = 0.7
 LIKELY = 0.6
 SURE = 0.8
 ANSWER = 6
@@ -154,6 +156,11 @@ def latent_space(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
     return (left[:, singular > 0]).astype(np.float32) if (singular > 0).any() else left[:, :1].astype(np.float32)
 
 
+def _offsets(last: int) -> list[int]:
+    """Each ITEM_STRIDE-th place up to ``last``, and that."""
+    return sorted({*range(0, last, ITEM_STRIDE), max(last, 0)})
+
+
 class Items:
     """A block of benchmark items, ready for the search."""
 
@@ -164,10 +171,12 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.words = [words.hash[bounds[i] : bounds[i + 1]].tolist() for i in range(len(rows))]
         self.known = np.unique(words.hash)
+        self.slots = np.zeros(1 << IDF_BITS, bool)
+        self.slots[_slots(self.known, IDF_BITS)] = True
         at = [
             (k, bounds[k] + i, min(bounds[k] + i + WINDOW, bounds[k + 1]))
             for k in range(len(rows))
-            for i in range(max(int(bounds[k + 1] - bounds[k]) - WINDOW + 1, 1))
+            for i in _offsets(int(bounds[k + 1] - bounds[k]) - WINDOW)
             if bounds[k + 1] > bounds[k]
         ]
         self.owner = np.array([a[0] for a in at], np.int64)
@@ -183,9 +192,14 @@ class Items:
         if not n or not len(self.owner):
             return
         weight = self.idf[_slots(words.hash, IDF_BITS)].astype(np.float64)
-        near = np.searchsorted(self.known, words.hash)
+        # Few words share a slot with a word of the benchmark; only those are looked up.
+        maybe = np.flatnonzero(self.slots[_slots(words.hash, IDF_BITS)])
+        near = np.searchsorted(self.known, words.hash[maybe])
         near[near == len(self.known)] = 0
-        known = np.append(0.0, np.cumsum(np.where(self.known[near] == words.hash, weight, 0.0)))
+        sure = maybe[self.known[near] == words.hash[maybe]]
+        held_weight = np.zeros(n)
+        held_weight[sure] = weight[sure]
+        known = np.append(0.0, np.cumsum(held_weight))
         mass = np.append(0.0, np.cumsum(weight))
         bounds = words.bounds
         place = np.arange(n) - bounds[words.doc]
@@ -220,10 +234,13 @@ class Items:
         """The best leak (share, item id) of each document that has one."""
         found: dict[int, tuple[float, int]] = {}
         values, bounds = words.hash, words.bounds
+        met: dict[tuple[int, int], int] = {}
         for doc, item, place in self.candidates(words):
             size = len(self.words[item])
-            if doc in found and found[doc][0] >= 1.0 and found[doc][1] <= self.ids[item]:
+            # The region around a window half an item back holds all that this one's would, copies included.
+            if place - met.get((doc, item), -size) <= size // 2:
                 continue
+            met[doc, item] = place
             reach = int(size * (1 + SLACK))
             low, high = max(bounds[doc], place - reach), min(bounds[doc + 1], place + WINDOW + reach)
             region = values[low:high].tolist()
