@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from haulcast.sources.standin import CUSTOMERS, NATIONS, REGIONS, TRUCKS
+# The names of the test data, written out here and not taken from the code under test.
+TRUCKS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+NATIONS = [f"NATION_{i}" for i in range(25)]
+CUSTOMERS = [n for n in NATIONS if n != "NATION_1"]
 
 # --- inputs as common table expressions ------------------------------------------
 
@@ -58,6 +62,15 @@ prep_c AS (SELECT * FROM trucked_c WHERE entity IN (SELECT entity FROM top_e))""
 
 CUSTOMER_ROWS = f"{RESOLVED}, {CUSTOMER_PART}"
 
+#: Days held out of training, and the uploaded days and customers.
+HELD = "datediff('day', DATE '1970-01-01', ship_date) % 5 = 4"
+CUSTOMER_DAYS = """uploads AS (
+  SELECT CAST(o_orderdate AS DATE) AS ship_date, CASE n_name WHEN 'NATION_1' THEN 'NATION_0' ELSE n_name END AS entity
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+upload_days AS (SELECT DISTINCT ship_date FROM uploads),
+upload_names AS (SELECT DISTINCT entity FROM uploads)"""
+
 CALENDAR = """CAST(year(ship_date) AS INT) AS year, CAST(month(ship_date) AS INT) AS month,
   CAST(isodow(ship_date) AS INT) AS weekday"""
 
@@ -125,10 +138,10 @@ def _matrix(table: str, loads: dict[str, str]) -> str:
 SPINE = """spine AS (SELECT DISTINCT ship_date FROM volumes),
 fleet AS (
   SELECT ship_date, entity, 'MEDIUM' AS truck, CAST(round_even(total_volume / 40000.0::DOUBLE, 0) AS BIGINT) AS forecast
-  FROM volumes WHERE entity = 'MIDDLE EAST'
+  FROM volumes WHERE total_volume > 0
   UNION ALL
   SELECT ship_date, entity, 'STANDARD', CAST(round_even(total_volume / 90000.0::DOUBLE, 0) AS BIGINT)
-  FROM volumes WHERE entity = 'MIDDLE EAST')"""
+  FROM volumes WHERE total_volume > 0)"""
 
 MATRIX = f"{VOLUMES}, matrix AS ({_matrix('volumes', V_LOADS)})"
 
@@ -474,9 +487,61 @@ def all_oracles() -> dict[str, str]:
         ),
         "train_sides": _with(
             f"{REGION_ROWS}, {CUSTOMER_PART}",
-            """SELECT 'region' AS side, entity, 'random_forest' AS model FROM (SELECT DISTINCT entity FROM prep_r)
+            f"""SELECT 'region' AS side, entity, count(DISTINCT ship_date) AS n_held, TRUE AS is_lowest
+            FROM prep_r WHERE {HELD} GROUP BY entity
             UNION ALL
-            SELECT 'customer', entity, 'random_forest' FROM top_e""",
+            SELECT 'customer', entity, count(DISTINCT ship_date), TRUE FROM prep_c WHERE {HELD} GROUP BY entity""",
+        ),
+        "train_all": _with(
+            REGION_ROWS,
+            f"""SELECT entity, count(DISTINCT ship_date) AS n_held, TRUE AS is_lowest
+            FROM prep_r WHERE {HELD} GROUP BY entity""",
+        ),
+        **{
+            name: _with(
+                ACTUALS,
+                f"""SELECT a.truck, count(*) AS n_cells, CAST(sum(n_shipments) AS DOUBLE) AS shipped,
+                  round_even(avg(abs(n_shipments - mean)) * 1000000, 0) / 1000000 AS mean_mae, TRUE AS learned
+                FROM actuals a JOIN (SELECT entity, truck, avg(n_shipments) AS mean FROM actuals WHERE NOT {HELD} GROUP BY 1, 2) m
+                  ON a.entity = m.entity AND a.truck = m.truck
+                WHERE {HELD} GROUP BY 1""",
+            )
+            for name in ("fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "fit_rf_2")
+        },
+        "accuracy_table": _with(
+            ACTUALS,
+            f"""SELECT entity, truck, round_even(avg(n_shipments) * 1000000, 0) / 1000000 AS mean,
+              round_even(stddev_pop(n_shipments) * 1000000, 0) / 1000000 AS sd,
+              round_even(stddev_pop(n_shipments) / nullif(avg(n_shipments), 0) * 1000000, 0) / 1000000 AS cv, TRUE AS ordered
+            FROM actuals WHERE {HELD} GROUP BY 1, 2""",
+        ),
+        "resolved_run": _with(
+            BOTH,
+            """SELECT CAST(start_ts AS DATE) AS ship_date, location_name AS dest_name, segment, count(*) AS n_rows,
+              sum(total_volume) AS total_volume
+            FROM shipments s JOIN locations d ON s.dest_location_gid = d.location_gid
+            WHERE principal = 'N' AND perspective = 'O' AND s.domain_name LIKE '%Brand#1%' AND d.domain_name LIKE '%CUST%'
+              AND start_ts BETWEEN TIMESTAMP '1999-05-01' AND TIMESTAMP '2001-06-01' GROUP BY 1, 2, 3""",
+        ),
+        "fleet_region": _with(
+            GRID,
+            "SELECT ship_date, CAST(10 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_wrong FROM grid GROUP BY 1",
+        ),
+        "fleet_customer": _with(
+            f"{CUSTOMER_ROWS}, {CUSTOMER_DAYS}",
+            """SELECT entity, substr(equipment_gid, 5) AS truck, count(*) AS n_forecasts,
+              count(DISTINCT ship_date) AS n_days, CAST(0 AS BIGINT) AS n_wrong
+            FROM upload_days, top_e, top_c GROUP BY 1, 2""",
+        ),
+        "fleet_customer_missing": _with(
+            f"{CUSTOMER_ROWS}, {CUSTOMER_DAYS}",
+            """SELECT entity, (SELECT count(*) FROM upload_days) AS n_rows FROM upload_names
+            WHERE entity NOT IN (SELECT entity FROM top_e)""",
+        ),
+        "fleet_history_tail": _with(
+            ABT_R,
+            """SELECT ship_date, entity, CAST(2 AS BIGINT) AS n_trucks, CAST(0 AS BIGINT) AS n_wrong
+            FROM (SELECT ship_date, entity FROM abt_r ORDER BY 1 DESC, 2 DESC LIMIT 35)""",
         ),
         "holdout_split": _with(
             ABT_R,

@@ -14,12 +14,11 @@ from haulcast.functions import dates
 from haulcast.functions.numbers import quoted, round_all_doubles, round_even, whole
 from haulcast.functions.text import fleet_column_names, truck_short_name
 from haulcast.models import training
-from haulcast.models.candidates import Settings
 from haulcast.operators import abt, filters, joins, metrics, reshape, topk
 from haulcast.plans import batch, forecast, history, volume
 from haulcast.session import tune
 from haulcast.sources import files, sqltext, standin
-from haulcast.staging import new_path, stage_table, staged
+from haulcast.staging import new_path, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -697,17 +696,50 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("is_train", metrics.is_training_day(F.col("ship_date")))
 
 
-def _trained(spark: SparkSession, sf: str, side: history.Side, candidates: list[str]) -> training.Trained:
-    return training.train_all(_side(spark, sf, side), settings=SMALL, candidates=candidates)
+def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame]:
+    """All five candidates of a side at full size, and the base table they were fitted on.
+
+    Fitting is the same work for every query below, so a session does it once per
+    side; the written base table and the models are what the queries share.
+    """
+    key = (spark.sparkContext.applicationId, sf, side.name)
+    if key not in _FITTED:
+        opened = _side(spark, sf, side)
+        base = stage_table(opened.base_table(), f"abt-{side.name}")
+        entities = opened.kept_entities or filters.names(base, "entity")
+        trained = training.fit(side.name, base, opened.truck_names(), entities)
+        trained.choices = stage_table(training.choose(trained, base), f"choice-{side.name}")
+        _FITTED[key] = trained, base
+    return _FITTED[key]
+
+
+def _held(base: DataFrame) -> DataFrame:
+    return base.where(~metrics.is_training_day(F.col("ship_date")))
+
+
+def _against_mean(trained: training.Trained, base: DataFrame, candidate: str) -> DataFrame:
+    """Per truck: held-out cells, MAE of the entities' training means there, and whether the candidate learned.
+
+    It learned if its MAE on the training days is below that of the training means.
+    """
+    means = trained.encodings.select(
+        "entity", F.explode(F.map_from_arrays(F.array([F.lit(t) for t in trained.trucks]), "means")).alias("truck", "mean")
+    )
+    held = ~metrics.is_training_day(F.col("ship_date"))
+    cells = trained.backtest(base, rounded=False).where(F.col("model") == candidate).join(means, ["entity", "truck"])
+    by_mean, own = F.abs(F.col("actual") - F.col("mean")), F.abs(F.col("actual") - F.col("forecast"))
+    return cells.groupBy("truck").agg(
+        F.count_if(held).alias("n_cells"),
+        F.sum(F.when(held, F.col("actual"))).alias("shipped"),
+        round_even(F.avg(F.when(held, by_mean)), 6).alias("mean_mae"),
+        (F.avg(F.when(~held, own)) < F.avg(F.when(~held, by_mean))).alias("learned"),
+    )
 
 
 def _fit_one(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        """Held-out actuals and forecasts of one candidate, every region and kept truck."""
-        opened = _side(spark, sf, REGION_SIDE)
-        base = stage_table(opened.base_table(), "abt-region")
-        fitted = training.fit(REGION_SIDE.name, base, opened.truck_names(), standin.REGIONS, [candidate], SMALL)
-        return fitted.backtest(base.where(~metrics.is_training_day(F.col("ship_date"))))
+        """One candidate over every region, against forecasting the mean."""
+        return _against_mean(*_fitted(spark, sf, REGION_SIDE), candidate)
 
     return run
 
@@ -716,6 +748,7 @@ _REGISTRY["fit_rf"] = _fit_one("random_forest")
 _REGISTRY["fit_adaboost"] = _fit_one("adaboost")
 _REGISTRY["fit_extratrees"] = _fit_one("extra_trees")
 _REGISTRY["fit_gbt"] = _fit_one("gradient_boosting")
+_REGISTRY["fit_rf_2"] = _fit_one("random_forest_2")
 
 
 @query
@@ -725,14 +758,12 @@ def fit_coverage(spark: SparkSession, sf: str) -> DataFrame:
     Trees that average or pick training values stay within the range of those
     values; boosting by gradients adds trees up and may leave it.
     """
-    opened = _side(spark, sf, REGION_SIDE)
-    trucks, base = opened.truck_names(), stage_table(opened.base_table(), "abt-region")
-    trained_on = metrics.is_training_day(F.col("ship_date"))
-    fitted = training.fit(REGION_SIDE.name, base, trucks, standin.REGIONS, settings=SMALL)
-    ranges = abt.long_counts(base.where(trained_on), trucks).groupBy("truck").agg(
+    trained, base = _fitted(spark, sf, REGION_SIDE)
+    trained_on = base.where(metrics.is_training_day(F.col("ship_date")))
+    ranges = abt.long_counts(trained_on, trained.trucks).groupBy("truck").agg(
         F.min("n_shipments").alias("low"), F.max("n_shipments").alias("high")
     )
-    cells = fitted.backtest(base.where(~trained_on)).join(ranges, "truck")
+    cells = trained.backtest(_held(base)).join(ranges, "truck")
     outside = ~F.col("forecast").between(F.col("low"), F.col("high")) & (F.col("model") != "gradient_boosting")
     return cells.groupBy("entity", "truck", "model").agg(
         F.count("*").alias("n_cells"),
@@ -742,46 +773,110 @@ def fit_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _choice_is_lowest(trained: training.Trained, base: DataFrame) -> DataFrame:
+    """Per entity: held-out days, and whether no candidate has a smaller error than the chosen one."""
+    maes = metrics.model_mae(trained.backtest(_held(base), rounded=False))
+    least = maes.groupBy("entity").agg(F.min("mae").alias("least"))
+    days = _held(base).groupBy("entity").agg(F.count("*").alias("n_held"))
+    own = trained.choices.join(maes.withColumnRenamed("mae", "own"), ["entity", "model"])
+    return own.join(least, "entity").join(days, "entity").select(
+        "entity", "n_held", (F.abs(F.col("own") - F.col("least")) < 1e-9).alias("is_lowest")
+    )
+
+
 @query
 def train_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _trained(spark, sf, REGION_SIDE, list(training.CANDIDATES)).choices
+    return _choice_is_lowest(*_fitted(spark, sf, REGION_SIDE))
+
+
+@query
+def train_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides, each entity with the candidate of the lowest error."""
+    parts = [
+        _choice_is_lowest(*_fitted(spark, sf, side)).withColumn("side", F.lit(side.name))
+        for side in (REGION_SIDE, CUSTOMER_SIDE)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def accuracy_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the held-out days by each entity's own model: what depends on the actuals alone."""
+    trained, base = _fitted(spark, sf, REGION_SIDE)
+    own = trained.choices.select("entity", "model")
+    table = metrics.metric_table(trained.backtest(_held(base)).join(own, ["entity", "model"], "left_semi"), places=6)
+    return table.select("entity", "truck", "mean", "sd", "cv", (F.col("rmse") >= F.col("mae")).alias("ordered"))
+
+
+@query
+def resolved_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows a run counts: one principal and perspective, domains by their text, the last 25 months."""
+    keep = filters.SourceFilter("N", "O", domain_contains="Brand#1", location_domain_contains="CUST")
+    rows = batch.resolve(standin.shipments(spark, sf), standin.locations(spark, sf), 25, AS_OF, True, keep)
+    return rows.groupBy("ship_date", "dest_name", "segment").agg(
+        F.count("*").alias("n_rows"), F.sum("total_volume").alias("total_volume")
+    )
+
+
+def _shape(matrix: DataFrame) -> DataFrame:
+    """Per day of a matrix: its columns, and empty cells."""
+    cells = [F.col(quoted(c)) for c in matrix.columns if c != "ship_date"]
+    wrong = sum(F.when(c.isNull(), 1).otherwise(0) for c in cells)
+    return matrix.select("ship_date", F.lit(len(cells)).cast("long").alias("n_columns"), wrong.cast("long").alias("n_wrong"))
 
 
 @query
 def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
-    """Uploaded volumes scored by models fitted on the history."""
-    trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "gradient_boosting"])
-    return forecast.forecast(trained, volume.features(_region_grid(spark, sf)))
+    """Uploaded volumes scored by models fitted on the history, as a matrix."""
+    trained, _ = _fitted(spark, sf, REGION_SIDE)
+    return _shape(forecast.forecast(trained, volume.features(_region_grid(spark, sf))))
 
 
 @query
 def fleet_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Every uploaded day of every region gets one forecast per kept truck, none negative."""
-    trained = _trained(spark, sf, REGION_SIDE, ["random_forest", "adaboost"])
+    """Every uploaded day of every region gets one forecast per kept truck."""
+    trained, _ = _fitted(spark, sf, REGION_SIDE)
     fleet = trained.score(volume.features(_region_grid(spark, sf)))
+    return _covered(fleet)
+
+
+def _covered(fleet: DataFrame) -> DataFrame:
     return fleet.groupBy("entity", "truck").agg(
         F.count("*").alias("n_forecasts"),
         F.countDistinct("ship_date").alias("n_days"),
-        F.count_if(F.col("forecast").isNull() | (F.col("forecast") < 0)).alias("n_wrong"),
+        F.count_if(F.col("forecast").isNull()).alias("n_wrong"),
     )
 
 
+def _customer_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploaded customer volumes under the names of the history."""
+    parsed = _parsed(spark, sf, "n_name")
+    named = parsed.withColumn("entity", history.entity_key(F.col("entity"), CUSTOMER_SIDE))
+    return volume.features(reshape.volume_grid(volume.daily(named, standin.CUSTOMER_SEGMENTS)))
+
+
 @query
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
-    trained = _trained(spark, sf, CUSTOMER_SIDE, ["random_forest", "gradient_boosting"])
-    daily = volume.daily(_parsed(spark, sf, "n_name"), standin.CUSTOMER_SEGMENTS)
-    return forecast.forecast(trained, volume.features(reshape.volume_grid(daily, standin.NATIONS)))
+    """Uploaded volumes of the kept customers, spelling variants under their name."""
+    trained, _ = _fitted(spark, sf, CUSTOMER_SIDE)
+    return _covered(trained.score(_customer_features(spark, sf)))
+
+
+@query
+def fleet_customer_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers of the upload that no model covers, with their days."""
+    trained, _ = _fitted(spark, sf, CUSTOMER_SIDE)
+    return forecast.missing_entities(trained, _customer_features(spark, sf))
 
 
 @query
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts that change when models are written and read back: none."""
-    opened = _side(spark, sf, REGION_SIDE)
-    trained = training.train_all(opened, settings=SMALL, candidates=["gradient_boosting", "adaboost"])
+    trained, base = _fitted(spark, sf, REGION_SIDE)
     path = new_path(spark, "models")
     trained.save(path, spark)
     loaded = training.Trained.load(path, REGION_SIDE.name, spark)
-    feats = opened.base_table().select("ship_date", "entity", *dates.FEATURES)
+    feats = base.select("ship_date", "entity", *dates.FEATURES)
     after = loaded.score(feats).withColumnRenamed("forecast", "after")
     both = trained.score(feats).join(after, ["ship_date", "entity", "truck"], "full")
     same = F.col("forecast").eqNullSafe(F.col("after"))
@@ -790,24 +885,13 @@ def model_store(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def train_sides(spark: SparkSession, sf: str) -> DataFrame:
-    """Both sides from one read of the shipments; how many entities each chose a model for."""
-    sides = [REGION_SIDE, CUSTOMER_SIDE]
-    with staged(batch.side_columns(standin.resolved(spark, sf), sides), "resolved", "segment") as rows:
-        parts = [
-            training.train_all(history.open_side(rows, side), settings=SMALL, candidates=["random_forest"])
-            .choices.select(F.lit(side.name).alias("side"), "entity", "model")
-            for side in sides
-        ]
-    return parts[0].unionByName(parts[1])
-
-
 @query
 def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The history form: the last rows of the base table are scored directly."""
-    opened = _side(spark, sf, REGION_SIDE)
-    trained = training.train_all(opened, settings=SMALL, candidates=["random_forest"])
-    table = opened.base_table().select("ship_date", "entity", *dates.FEATURES)
+    trained, base = _fitted(spark, sf, REGION_SIDE)
+    table = base.select("ship_date", "entity", *dates.FEATURES)
     tail = topk.last_rows(table, 7 * len(standin.REGIONS), ["ship_date", "entity"])
-    return forecast.forecast(trained, tail)
+    fleet = trained.score(tail)
+    return fleet.groupBy("ship_date", "entity").agg(
+        F.count("*").alias("n_trucks"), F.count_if(F.col("forecast").isNull()).alias("n_wrong")
+    )

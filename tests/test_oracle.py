@@ -28,9 +28,8 @@ def test_equals_duckdb(spark, sf_dir, con, name):
     assert oracle.differences(QUERIES[name](spark, sf_dir), con, SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_model_queries_give_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark, sf_dir):

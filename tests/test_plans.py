@@ -17,7 +17,8 @@ from haulcast.sources import files, standin
 
 ALL = queries.all_queries()
 FITTED = {"fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "train_all", "fleet_region", "fleet_customer",
-          "fleet_history_tail", "model_store", "train_sides", "fit_coverage", "fleet_coverage"}
+          "fleet_history_tail", "model_store", "train_sides", "fit_coverage", "fleet_coverage", "fit_rf_2",
+          "accuracy_table", "fleet_customer_missing"}
 
 
 def plan(df) -> str:
