@@ -155,6 +155,43 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGIN
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+ORACLES["op5_repeated_lines"] = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS no, array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ') AS t
+  FROM (SELECT doc_id, unnest(xs) AS x, unnest(generate_series(1, len(xs))) AS i
+    FROM (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS xs FROM documents))
+),
+k AS (SELECT * FROM l WHERE t <> ''),
+u AS (SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT t FROM k)),
+sh AS (
+  SELECT DISTINCT id, substr(t, i, 8) AS s
+  FROM (SELECT id, t, unnest(generate_series(1, greatest(length(t) - 7, 1))) AS i FROM u)
+),
+c AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+f AS (SELECT s, count(*) AS df FROM sh GROUP BY s),
+o AS (SELECT id, s, n, row_number() OVER (PARTITION BY id ORDER BY df, s) AS r FROM sh JOIN f USING (s) JOIN c USING (id)),
+pre AS (SELECT * FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+cand AS (
+  SELECT DISTINCT x.id AS a, y.id AS b, x.n AS na, y.n AS nb FROM pre x JOIN pre y
+  ON x.s = y.s AND x.id < y.id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+),
+lnk AS (
+  SELECT a, b FROM cand JOIN sh x ON x.id = a JOIN sh y ON y.id = b AND y.s = x.s
+  GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))
+),
+e AS (SELECT a, b FROM lnk UNION ALL SELECT b, a FROM lnk),
+reach AS (SELECT id, id AS other FROM u UNION SELECT r.id, e.b FROM reach r JOIN e ON r.other = e.a),
+m AS (SELECT id, min(other) AS root FROM reach GROUP BY id),
+p AS (SELECT doc_id, no, row_number() OVER (PARTITION BY root ORDER BY doc_id, no) AS r FROM k JOIN u USING (t) JOIN m USING (id)),
+g AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r > 1) AS n_removed,
+    string_agg(no::VARCHAR, ',' ORDER BY no) FILTER (WHERE r > 1) AS removed_lines FROM p GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(removed_lines, '') AS removed_lines
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
 
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.llm import decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings
-from haulcast.llm.tables import documents, table
+from haulcast.llm.tables import documents, small_batches, table
 from haulcast.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,6 @@ QUERIES: dict[str, Query] = {
 
 def all_queries() -> dict[str, Query]:
     def tuned(query: Query) -> Query:
-        return lambda spark, sf_dir: query(tune(spark), sf_dir)
+        return lambda spark, sf_dir: query(small_batches(tune(spark)), sf_dir)
 
     return {name: tuned(query) for name, query in QUERIES.items()}

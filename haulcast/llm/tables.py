@@ -24,6 +24,19 @@ def only(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[col(df, old).alias(new) for new, old in wanted.items()])
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold a batch whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let the session send at most BATCH_ROWS rows to Python at once; smaller settings stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0") or 0)
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
 def spread(df: DataFrame) -> int:
     """Shuffle partitions of the session: a first figure for how far to deal rows out."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
