@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from haulcast.llm import decontaminate as leaks
 from haulcast.llm import mixing, neardup, quality, sharding
-from haulcast.llm.tables import col, documents, table
+from haulcast.llm.tables import col, documents, small_batches, table
 from haulcast.session import tune
 from haulcast.staging import stage_table
 
@@ -32,6 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    small_batches(spark)
     found = neardup.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     # Rows without an id are linked with nothing and stay; rows repeating an id stay or go together.
     return _columns(docs.join(stage_table(found, "copies"), "doc_id", "left_anti"), docs)
@@ -39,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, word for word or in other words."""
+    small_batches(spark)
     return leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
