@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 from haulcast import schemas
 from haulcast.models.training import Trained
 from haulcast.operators.filters import SourceFilter
+from haulcast.operators.metrics import is_training_row
 from haulcast.plans import batch, history
 from haulcast.session import build_session
 from haulcast.sources import files, jdbc
@@ -54,6 +55,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         for option in options:
             command.add_argument(f"--{option}", required=True)
     commands.choices["volumes"].add_argument("--overrides")
+    commands.choices["train"].add_argument("--split-seed", type=int)
     commands.choices["history"].add_argument("--overrides")
     return parser.parse_args(argv)
 
@@ -84,7 +86,10 @@ def _table(spark: SparkSession, args: argparse.Namespace, name: str, schema: Str
         # Slices of the window that the command reads.
         months = batch.TRAINING_MONTHS if args.command == "train" else batch.RECENT_MONTHS
         until = datetime.combine(args.as_of or date.today(), time.min)
-        split = jdbc.partitioning("start_ts", until - timedelta(days=31 * months), until, args.tasks)
+        first = until - timedelta(days=31 * months)
+        split = jdbc.partitioning("start_ts", first, until, args.tasks)
+        if jdbc.is_oracle(options):
+            name = jdbc.since(name, "start_ts", first)
     return jdbc.read_table(spark, name, options, split)
 
 
@@ -106,7 +111,9 @@ def main(argv: list[str] | None = None) -> None:
     locations = _table(spark, args, args.locations, schemas.LOCATIONS)
     sides = [read_side(path) for path in args.side.split(",")]
     if args.command == "train":
-        for trained in batch.train_sides(shipments, locations, sides, args.as_of, keep=keep).values():
+        # Every fifth day is held out, or a fifth of the rows by a seeded hash.
+        is_train = None if args.split_seed is None else is_training_row(args.split_seed, "ship_date", "entity")
+        for trained in batch.train_sides(shipments, locations, sides, args.as_of, keep=keep, is_train=is_train).values():
             trained.save(args.models, spark)
     else:
         trained = Trained.load(args.models, sides[0].name, spark)

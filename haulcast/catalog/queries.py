@@ -37,7 +37,7 @@ RULES = {"rule_8": 8.0, "rule_20": 20.0, "rule_40": 40.0, "rule_80": 80.0, "rule
 V_LOADS = {"MEDIUM": 40000.0, "STANDARD": 90000.0}
 
 #: Models of a side are fitted once for a session and its tables, with all candidates at their full sizes.
-_FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame]] = {}
+_FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame, DataFrame]] = {}
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -696,8 +696,8 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("is_train", metrics.is_training_day(F.col("ship_date")))
 
 
-def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame]:
-    """All five candidates of a side at full size, and the base table they were fitted on.
+def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame, DataFrame]:
+    """All five candidates of a side at full size, the base table they were fitted on, and all their forecasts for it.
 
     Fitting is the same work for every query below, so a session does it once per
     side; the written base table and the models are what the queries share.
@@ -709,15 +709,15 @@ def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.
         entities = opened.kept_entities or filters.names(base, "entity")
         trained = training.fit(side.name, base, opened.truck_names(), entities)
         trained.choices = stage_table(training.choose(trained, base), f"choice-{side.name}")
-        _FITTED[key] = trained, base
+        _FITTED[key] = trained, base, stage_table(trained.backtest(base, rounded=False), f"backtest-{side.name}")
     return _FITTED[key]
 
 
-def _held(base: DataFrame) -> DataFrame:
-    return base.where(~metrics.is_training_day(F.col("ship_date")))
+def _held(rows: DataFrame) -> DataFrame:
+    return rows.where(~metrics.is_training_day(F.col("ship_date")))
 
 
-def _against_mean(trained: training.Trained, base: DataFrame, candidate: str) -> DataFrame:
+def _against_mean(trained: training.Trained, forecasts: DataFrame, candidate: str) -> DataFrame:
     """Per truck: held-out cells, MAE of the entities' training means there, and whether the candidate learned.
 
     It learned if its MAE on the training days is below that of the training means.
@@ -726,7 +726,7 @@ def _against_mean(trained: training.Trained, base: DataFrame, candidate: str) ->
         "entity", F.explode(F.map_from_arrays(F.array([F.lit(t) for t in trained.trucks]), "means")).alias("truck", "mean")
     )
     held = ~metrics.is_training_day(F.col("ship_date"))
-    cells = trained.backtest(base, rounded=False).where(F.col("model") == candidate).join(means, ["entity", "truck"])
+    cells = forecasts.where(F.col("model") == candidate).join(means, ["entity", "truck"])
     by_mean, own = F.abs(F.col("actual") - F.col("mean")), F.abs(F.col("actual") - F.col("forecast"))
     return cells.groupBy("truck").agg(
         F.count_if(held).alias("n_cells"),
@@ -739,7 +739,8 @@ def _against_mean(trained: training.Trained, base: DataFrame, candidate: str) ->
 def _fit_one(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """One candidate over every region, against forecasting the mean."""
-        return _against_mean(*_fitted(spark, sf, REGION_SIDE), candidate)
+        trained, _, forecasts = _fitted(spark, sf, REGION_SIDE)
+        return _against_mean(trained, forecasts, candidate)
 
     return run
 
@@ -758,12 +759,12 @@ def fit_coverage(spark: SparkSession, sf: str) -> DataFrame:
     Trees that average or pick training values stay within the range of those
     values; boosting by gradients adds trees up and may leave it.
     """
-    trained, base = _fitted(spark, sf, REGION_SIDE)
+    trained, base, forecasts = _fitted(spark, sf, REGION_SIDE)
     trained_on = base.where(metrics.is_training_day(F.col("ship_date")))
     ranges = abt.long_counts(trained_on, trained.trucks).groupBy("truck").agg(
         F.min("n_shipments").alias("low"), F.max("n_shipments").alias("high")
     )
-    cells = trained.backtest(_held(base)).join(ranges, "truck")
+    cells = _held(forecasts).withColumn("forecast", F.rint("forecast")).join(ranges, "truck")
     outside = ~F.col("forecast").between(F.col("low"), F.col("high")) & (F.col("model") != "gradient_boosting")
     return cells.groupBy("entity", "truck", "model").agg(
         F.count("*").alias("n_cells"),
@@ -773,9 +774,9 @@ def fit_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _choice_is_lowest(trained: training.Trained, base: DataFrame) -> DataFrame:
+def _choice_is_lowest(trained: training.Trained, base: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Per entity: held-out days, and whether no candidate has a smaller error than the chosen one."""
-    maes = metrics.model_mae(trained.backtest(_held(base), rounded=False))
+    maes = metrics.model_mae(_held(forecasts))
     least = maes.groupBy("entity").agg(F.min("mae").alias("least"))
     days = _held(base).groupBy("entity").agg(F.count("*").alias("n_held"))
     own = trained.choices.join(maes.withColumnRenamed("mae", "own"), ["entity", "model"])
@@ -802,9 +803,10 @@ def train_sides(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def accuracy_table(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics of the held-out days by each entity's own model: what depends on the actuals alone."""
-    trained, base = _fitted(spark, sf, REGION_SIDE)
+    trained, _, forecasts = _fitted(spark, sf, REGION_SIDE)
     own = trained.choices.select("entity", "model")
-    table = metrics.metric_table(trained.backtest(_held(base)).join(own, ["entity", "model"], "left_semi"), places=6)
+    held = _held(forecasts).withColumn("forecast", F.rint("forecast"))
+    table = metrics.metric_table(held.join(own, ["entity", "model"], "left_semi"), places=6)
     return table.select("entity", "truck", "mean", "sd", "cv", (F.col("rmse") >= F.col("mae")).alias("ordered"))
 
 
@@ -828,14 +830,14 @@ def _shape(matrix: DataFrame) -> DataFrame:
 @query
 def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes scored by models fitted on the history, as a matrix."""
-    trained, _ = _fitted(spark, sf, REGION_SIDE)
+    trained, _, _ = _fitted(spark, sf, REGION_SIDE)
     return _shape(forecast.forecast(trained, volume.features(_region_grid(spark, sf))))
 
 
 @query
 def fleet_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Every uploaded day of every region gets one forecast per kept truck."""
-    trained, _ = _fitted(spark, sf, REGION_SIDE)
+    trained, _, _ = _fitted(spark, sf, REGION_SIDE)
     fleet = trained.score(volume.features(_region_grid(spark, sf)))
     return _covered(fleet)
 
@@ -858,21 +860,21 @@ def _customer_features(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes of the kept customers, spelling variants under their name."""
-    trained, _ = _fitted(spark, sf, CUSTOMER_SIDE)
+    trained, _, _ = _fitted(spark, sf, CUSTOMER_SIDE)
     return _covered(trained.score(_customer_features(spark, sf)))
 
 
 @query
 def fleet_customer_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Customers of the upload that no model covers, with their days."""
-    trained, _ = _fitted(spark, sf, CUSTOMER_SIDE)
+    trained, _, _ = _fitted(spark, sf, CUSTOMER_SIDE)
     return forecast.missing_entities(trained, _customer_features(spark, sf))
 
 
 @query
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """Forecasts that change when models are written and read back: none."""
-    trained, base = _fitted(spark, sf, REGION_SIDE)
+    trained, base, _ = _fitted(spark, sf, REGION_SIDE)
     path = new_path(spark, "models")
     trained.save(path, spark)
     loaded = training.Trained.load(path, REGION_SIDE.name, spark)
@@ -888,7 +890,7 @@ def model_store(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     """The history form: the last rows of the base table are scored directly."""
-    trained, base = _fitted(spark, sf, REGION_SIDE)
+    trained, base, _ = _fitted(spark, sf, REGION_SIDE)
     table = base.select("ship_date", "entity", *dates.FEATURES)
     tail = topk.last_rows(table, 7 * len(standin.REGIONS), ["ship_date", "entity"])
     fleet = trained.score(tail)

@@ -58,17 +58,6 @@ VOLUME_FORECAST = _schema(
     ("updated_by", T.StringType()),
 )
 
-ABT_LONG = _schema(
-    ("ship_date", T.DateType()),
-    ("entity", T.StringType()),
-    ("total_volume", T.DoubleType()),
-    ("year", T.IntegerType()),
-    ("month", T.IntegerType()),
-    ("weekday", T.IntegerType()),
-    ("truck", T.StringType()),
-    ("n_shipments", T.LongType()),
-)
-
 FLEET_LONG = _schema(
     ("ship_date", T.DateType()),
     ("entity", T.StringType()),
@@ -76,15 +65,6 @@ FLEET_LONG = _schema(
     ("forecast", T.LongType()),
 )
 
-BACKTEST = _schema(
-    ("ship_date", T.DateType()),
-    ("entity", T.StringType()),
-    ("truck", T.StringType()),
-    ("model", T.StringType()),
-    ("actual", T.DoubleType()),
-    ("forecast", T.DoubleType()),
-)
-
 OVERRIDES = _schema(
     ("ship_date", T.DateType()),
     ("entity", T.StringType()),

@@ -9,6 +9,10 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from haulcast.functions.numbers import quoted
 
 # Driver class per database, as published by the vendors.
 DRIVERS = {
@@ -45,13 +49,33 @@ def partitioning(column: str, lower: datetime, upper: datetime, tasks: int) -> d
 def table_options(
     table: str, options: dict[str, str], split: dict[str, str] | None = None, fetch_rows: int = 10_000
 ) -> dict[str, str]:
-    return {**options, **(split or {}), "dbtable": table, "fetchsize": str(fetch_rows), "preferTimestampNTZ": "true"}
+    plain = "false" if is_oracle(options) else "true"
+    return {**options, **(split or {}), "dbtable": table, "fetchsize": str(fetch_rows), "preferTimestampNTZ": plain}
+
+
+def since(table: str, column: str, lower: datetime) -> str:
+    """``table`` cut by the database itself, as a subquery with a standard timestamp literal.
+
+    Spark leaves a zone-less timestamp unquoted when it pushes a filter to Oracle,
+    so the window goes along as text instead.
+    """
+    return f"(SELECT * FROM {table} WHERE {column} >= TIMESTAMP '{lower:%Y-%m-%d %H:%M:%S}') windowed"
+
+
+def is_oracle(options: dict[str, str]) -> bool:
+    return options.get("url", "").startswith("jdbc:oracle:")
+
+
+def without_zone(df: DataFrame) -> DataFrame:
+    """Time stamps of a reader that gave them a zone, as the plans expect them."""
+    zoned = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({name: F.col(quoted(name)).cast("timestamp_ntz") for name in zoned}) if zoned else df
 
 
 def read_table(
     spark: SparkSession, table: str, options: dict[str, str], split: dict[str, str] | None = None
 ) -> DataFrame:
-    return spark.read.format("jdbc").options(**table_options(table, options, split)).load()
+    return without_zone(spark.read.format("jdbc").options(**table_options(table, options, split)).load())
 
 
 def query_options(sql: str, options: dict[str, str]) -> dict[str, str]:

@@ -6,13 +6,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from haulcast import schemas
 from haulcast.operators import metrics
 
 
+BACKTEST = "ship_date date, entity string, truck string, model string, actual double, forecast double"
+
+
 def series(spark, pairs, entity="E", truck="T", model="m"):
     rows = [(date(2021, 1, 1) + timedelta(days=i), entity, truck, model, float(a), float(f)) for i, (a, f) in enumerate(pairs)]
-    return spark.createDataFrame(rows, schemas.BACKTEST)
+    return spark.createDataFrame(rows, BACKTEST)
 
 
 def test_zero_rules(spark):

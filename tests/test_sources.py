@@ -83,12 +83,23 @@ def test_connection_options_come_from_the_caller():
     assert (out["dbtable"], out["numPartitions"], out["lowerBound"]) == ("shipments", "32", "2021-01-01 00:00:00")
     assert jdbc.connection("jdbc:oracle:thin:@host")["driver"] == "oracle.jdbc.OracleDriver"
     assert "password" not in jdbc.connection("jdbc:oracle:thin:@host")
+    oracle = jdbc.table_options("t", jdbc.connection("jdbc:oracle:thin:@host"))
+    assert (out["preferTimestampNTZ"], oracle["preferTimestampNTZ"]) == ("true", "false")
+    window = jdbc.since("s", "start_ts", datetime(2021, 1, 2, 3))
+    assert window == "(SELECT * FROM s WHERE start_ts >= TIMESTAMP '2021-01-02 03:00:00') windowed"
     asked = jdbc.query_options("SELECT 1", options)
     assert asked["query"] == "SELECT 1" and "dbtable" not in asked
     with pytest.raises(ValueError):
         jdbc.partitioning("start_ts", datetime(2021, 1, 1), datetime(2021, 1, 1), 2)
 
 
+def test_times_with_a_zone_lose_it(spark):
+    df = spark.sql("SELECT TIMESTAMP '2021-01-02 03:04:05' AS `a.b`, 1 AS n")
+    out = jdbc.without_zone(df)
+    assert dict(out.dtypes) == {"a.b": "timestamp_ntz", "n": "int"}
+    assert out.first()[0] == datetime(2021, 1, 2, 3, 4, 5)
+
+
 def test_every_stored_sql_text_runs_on_empty_tables(spark):
     shipments = spark.createDataFrame([], schemas.SHIPMENTS)
     locations = spark.createDataFrame([], schemas.LOCATIONS)
