@@ -14,6 +14,7 @@ from haulcast.functions import dates
 from haulcast.functions.numbers import quoted, round_all_doubles, round_even, whole
 from haulcast.functions.text import fleet_column_names, truck_short_name
 from haulcast.models import training
+from haulcast.models.candidates import Settings
 from haulcast.operators import abt, filters, joins, metrics, reshape, topk
 from haulcast.plans import batch, forecast, history, volume
 from haulcast.session import tune
@@ -36,7 +37,11 @@ LOADS = {"ECONOMY": 8.0, "LARGE": 10.0, "MEDIUM": 16.0, "PROMO": 20.0, "SMALL":
 RULES = {"rule_8": 8.0, "rule_20": 20.0, "rule_40": 40.0, "rule_80": 80.0, "rule_8_again": 8.0}
 V_LOADS = {"MEDIUM": 40000.0, "STANDARD": 90000.0}
 
-#: Models of a side are fitted once for a session and its tables, with all candidates at their full sizes.
+#: Full ensembles, but forests stop at depth 12: to the engine's own default of 30 one forest of the
+#: small tables takes five times as long, and the queries fit eighteen.
+FULL = Settings(depth=12)
+
+#: Models of a side are fitted once for a session and its tables, with all candidates.
 _FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame, DataFrame]] = {}
 
 _REGISTRY: dict[str, Query] = {}
@@ -697,7 +702,7 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame, DataFrame]:
-    """All five candidates of a side at full size, the base table they were fitted on, and all their forecasts for it.
+    """All five candidates of a side, the base table they were fitted on, and all their forecasts for it.
 
     Fitting is the same work for every query below, so a session does it once per
     side; the written base table and the models are what the queries share.
@@ -707,7 +712,7 @@ def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.
         opened = _side(spark, sf, side)
         base = stage_table(opened.base_table(), f"abt-{side.name}")
         entities = opened.kept_entities or filters.names(base, "entity")
-        trained = training.fit(side.name, base, opened.truck_names(), entities)
+        trained = training.fit(side.name, base, opened.truck_names(), entities, settings=FULL)
         trained.choices = stage_table(training.choose(trained, base), f"choice-{side.name}")
         _FITTED[key] = trained, base, stage_table(trained.backtest(base, rounded=False), f"backtest-{side.name}")
     return _FITTED[key]
