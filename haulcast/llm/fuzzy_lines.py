@@ -12,8 +12,8 @@
 5. Of each component the earliest line (smallest document id, then line number)
    stays; all others, exact copies included, go.
 
-With 14 bands of 4 minima a pair at the threshold of 0.8 shares no bucket with
-probability 0.0006 (for a pair of similarity 0.9: 8e-7).
+With 12 bands of 4 minima a pair at the threshold of 0.8 shares no bucket with
+probability 0.002 (for a pair of similarity 0.9: 3e-6).
 
 Defined cases: null and empty texts have no lines; lines without a word are never
 counted, linked or removed; a line shorter than a shingle is one shingle; a row
@@ -28,60 +28,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.llm.components import components
 from haulcast.llm.minhash import MinHash
-from haulcast.llm.neardup import confirmed, full_sets, hub_pairs, open_members, open_pairs, rarest
+from haulcast.llm.neardup import full_sets, hub_pairs, open_members, open_pairs, rarest, similar
 from haulcast.llm.substrings import NULL_ID, _packed, _unpacked, bucket_of
 from haulcast.llm.tables import only, spread
-from haulcast.llm.words import SPACES, bytes_of, mix, signed, span_hash, span_hash_bytes, steps, strings, text_buffer
+from haulcast.llm.words import KEEP_CASE, bytes_of, signed, span_hash, span_hash_bytes, span_sums, steps, strings, text_buffer, words_of
 from haulcast.staging import stage_table
 
-SHINGLE = 7
+SHINGLE = 8
 PERCENT = 80
-HASHES = MinHash(bands=14, rows=4, seed=5)
+HASHES = MinHash(bands=12, rows=4, seed=5)
 #: Shingles hashed at once, so that they stay in the processor's cache.
 CHUNK = 1 << 14
 LOAD = 24 << 20
+#: Bytes of text taken at once.
+STEP = 2 << 20
 
 
 class Lines:
     """Lines with a word of a batch of texts, normalised: lower case, single blanks, trimmed."""
 
     def __init__(self, column: pa.Array) -> None:
-        import pyarrow.compute as pc
-
-        codes, offsets = text_buffer(pc.utf8_lower(column.fill_null("") if column.null_count else column))
-        mark = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + (np.arange(len(codes), dtype=np.uint64) << np.uint64(8))), out=mark[1:])
-        size = np.diff(offsets)
-        # Every text ends in a line break of its own.
-        whole = np.full(len(codes) + len(size), 0x0A, np.uint8)
-        whole[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes
-        blank = SPACES[whole]
-        ends = whole == 0x0A
-        word = ~blank
-        # Kept are word bytes, and a blank after a word if a word follows in the line.
-        after = np.zeros(len(whole), bool)
-        after[1:] = word[:-1]
-        place = np.arange(len(whole))
-        next_word = np.minimum.accumulate(np.where(word, place, len(whole))[::-1])[::-1] if len(whole) else place
-        next_end = np.minimum.accumulate(np.where(ends, place, len(whole))[::-1])[::-1] if len(whole) else place
-        kept = word | (blank & after & (next_word < next_end) & ~ends)
-        line = np.cumsum(ends) - ends
-        out = np.where(word, whole, 0x20)[kept].astype(np.uint8)
-        counts = np.bincount(line[kept], minlength=int(ends.sum()))
-        full = np.flatnonzero(counts)
-        self.codes = out
-        self.offsets = np.append(0, np.cumsum(counts[full]))
-        bounds = offsets + np.arange(len(offsets))
-        first = np.searchsorted(np.flatnonzero(ends), bounds, "left")
-        self.doc = np.searchsorted(first, full, "right") - 1
-        self.number = full - first[self.doc]
-        self.n = np.bincount(self.doc, minlength=len(size))
-        self.hash = span_hash_bytes(out, self.offsets[:-1], self.offsets[1:])
+        words = words_of(pc.utf8_lower(column), fold=KEEP_CASE)
+        breaks = np.flatnonzero(words.codes == 0x0A)
+        before = np.searchsorted(breaks, words.offsets[:-1])
+        number = np.searchsorted(breaks, words.start) - before[words.doc]
+        new = np.ones(len(words.start), bool)
+        new[1:] = (words.doc[1:] != words.doc[:-1]) | (number[1:] != number[:-1])
+        self.words, self.first = words, np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(new)) - 1 if len(new) else self.first
+        self.doc, self.number = words.doc[self.first], number[self.first]
+        self.n = np.bincount(self.doc, minlength=len(column))
+        self.hash = span_hash(words.hash, self.first, self.last + 1)
+
+    def text(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of some lines, words joined by one blank."""
+        w, first, last = self.words, self.first[lines], self.last[lines]
+        many = last - first + 1
+        at = np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        stop = w.end[at] + 1
+        closing = np.cumsum(many) - 1
+        stop[closing] -= 1
+        out, offsets = bytes_of(w.codes, w.start[at], stop)
+        inner = np.ones(len(at), bool)
+        inner[closing] = False
+        out[offsets[1:][inner] - 1] = 0x20
+        return out, np.append(0, offsets[1:][closing])
 
 
 def _text_marks(column: pa.Array) -> np.ndarray:
@@ -93,7 +90,7 @@ def line_table(named: DataFrame) -> DataFrame:
     """(id, mark, numbers, lines) of frame (id, text): hashes of each row's lines and their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             lines = Lines(batch.column("text"))
             ends = pa.array(np.append(0, np.cumsum(lines.n)).astype(np.int32))
             columns = [
@@ -107,17 +104,21 @@ def line_table(named: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "id long, mark long, numbers array<int>, lines array<long>")
 
 
+#: A random number per character, the same in every task.
+_VALUES = np.random.default_rng(77).integers(1, 1 << 64, 1 << 16, dtype=np.uint64)
+
+
 def shingles(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of SHINGLE characters of the lines, and where each line's begin."""
     lead = (codes & 0xC0) != 0x80
     chars = np.frombuffer(codes.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    sizes = np.add.reduceat(lead.astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
+    sizes = np.add.reduceat(lead, offsets[:-1], dtype=np.int64) if len(offsets) > 1 else np.zeros(0, np.int64)
     ends = np.append(0, np.cumsum(sizes))
     many = np.maximum(sizes - SHINGLE + 1, 1)
     starts = np.append(0, np.cumsum(many))
     at = np.arange(starts[-1]) - np.repeat(starts[:-1] - ends[:-1], many)
     stop = np.minimum(at + SHINGLE, np.repeat(ends[1:], many))
-    return span_hash(mix(chars.astype(np.uint64)), at, stop), starts
+    return span_sums(_VALUES[chars & 0xFFFF] + (chars >> 16), at, stop), starts
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -143,7 +144,8 @@ def minima(found: np.ndarray, starts: np.ndarray, hashes: MinHash) -> np.ndarray
     return out
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+#: A bucket is part of the key, so half of the key tells apart what it holds; a rare clash is one candidate more.
+_KEYS = pa.schema([("key", pa.int32()), ("id", pa.int64())])
 
 
 def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
@@ -159,6 +161,7 @@ def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
             key = np.concatenate(keys)[first].reshape(-1)
             id_ = np.repeat(id_, hashes.bands)
             bucket = bucket_of(key, buckets)
+            key = (key >> 32).astype(np.int32)
             order = np.lexsort((key, bucket))
             key, id_, bucket = key[order], id_[order], bucket[order]
             cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -167,14 +170,14 @@ def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
                 columns = [pa.array([int(bucket[low])]), pa.array([blob], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys"])
 
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             lines = Lines(batch.column("text"))
             id_, first = np.unique(signed(lines.hash), return_index=True)
-            codes, offsets = bytes_of(lines.codes, lines.offsets[first], lines.offsets[first + 1])
+            codes, offsets = lines.text(first)
             if len(id_):
                 keys.append(signed(hashes.band_keys(minima(*shingles(codes, offsets), hashes))))
                 ids.append(id_)
-            held += len(lines.codes)
+            held += len(lines.words.codes)
             if held >= LOAD:
                 yield from blobs()
                 keys, ids, held = [], [], 0
@@ -185,20 +188,21 @@ def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
         for batch in batches:
             for at, blob in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist()):
                 if at != bucket and parts:
-                    yield _meeting(pa.concat_tables(parts))
+                    yield _meeting(pa.concat_tables(parts), bucket)
                     parts = []
                 bucket = at
                 parts.append(_unpacked(blob))
         if parts:
-            yield _meeting(pa.concat_tables(parts))
+            yield _meeting(pa.concat_tables(parts), bucket)
 
     rows = named.mapInArrow(send, "bucket long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(meet, "key long, id long, size long")
 
 
-def _meeting(rows: pa.Table) -> pa.RecordBatch:
-    """Distinct (key, id) of keys with several ids."""
+def _meeting(rows: pa.Table, bucket: int) -> pa.RecordBatch:
+    """Distinct (key, id) of keys with several ids, the bucket in the key's upper half."""
     key, id_ = (rows[c].to_numpy() for c in ("key", "id"))
+    key = (np.int64(bucket) << 32) | key.view(np.uint32).astype(np.int64)
     order = np.argsort(key)
     key, id_ = key[order], id_[order]
     same = key[1:] == key[:-1]
@@ -248,7 +252,7 @@ def _class_texts(named: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataF
     keyed = named.select(F.coalesce("id", F.lit(int(NULL_ID))).alias("doc_"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", STEP):
             found = Lines(batch.column("text"))
             marks = signed(_text_marks(batch.column("text")))
             at = {(d, n): i for i, (d, n) in enumerate(zip(found.doc.tolist(), found.number.tolist()))}
@@ -259,22 +263,38 @@ def _class_texts(named: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataF
                         ids.append(place["id"])
                         index.append(at[doc, place["number"]])
             index = np.array(index, np.int64)
-            codes, offsets = bytes_of(found.codes, found.offsets[index], found.offsets[index + 1])
+            codes, offsets = found.text(index)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), strings(codes, offsets)], names=["id", "text"])
 
-    return keyed.join(places, "doc_").select("text", "places").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+    return keyed.join(places, "doc_").select("text", "places").mapInArrow(run, "id long, text string")
+
+
+def confirmed_lines(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose shingle sets are similar, as edges (u, v). Texts travel: they are an eighth of their sets."""
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "t_a", STEP // 4):
+            sides = zip(_sets(batch.column("t_a")), _sets(batch.column("t_b")))
+            keep = [similar(x, y, percent) for x, y in sides]
+            edges = [batch.column("a"), batch.column("b")]
+            yield pa.RecordBatch.from_arrays(edges, names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
 
 def line_components(named: DataFrame, lines: DataFrame, percent: int, hashes: MinHash, buckets: int) -> DataFrame:
     """(node, root) of the line classes that are similar to another one."""
     shared = stage_table(shared_keys(named, hashes, buckets), "line-buckets")
-    whole = stage_table(full_sets(_class_texts(named, lines, shared.select("id").distinct()), _sets), "line-sets")
-    found = confirmed(hub_pairs(shared), whole, percent)
+    texts = stage_table(_class_texts(named, lines, shared.select("id").distinct()), "line-texts")
+    found = confirmed_lines(hub_pairs(shared), texts, percent)
     roots = stage_table(components(forests(found)), "line-roots")
     left = stage_table(open_members(shared, roots), "line-open")
     if not left.isEmpty():
-        rare = rarest(whole.join(left.select("id"), "id", "left_semi"), percent)
-        more = stage_table(confirmed(open_pairs(rare, left, percent), whole, percent), "line-links")
+        some = texts.join(left.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        rare = rarest(full_sets(some, _sets, STEP // 4), percent)
+        more = stage_table(confirmed_lines(open_pairs(rare, left, percent), texts, percent), "line-links")
         if not more.isEmpty():
             stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = stage_table(components(forests(stars.unionAll(more))), "line-roots")
@@ -311,10 +331,12 @@ def remove_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent
     """``df`` with the removed lines cut out of its text."""
     found = judge_lines(df, key, text, percent).select(F.col(key).alias("__key"), "mark", "removed").distinct()
 
+    names, place = df.columns, df.columns.index(text)
+
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text):
-            mark = pa.array(signed(_text_marks(batch.column(df.columns.index(text)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, mark], names=[*df.columns, "__mark"])
+            mark = pa.array(signed(_text_marks(batch.column(place))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, mark], names=[*names, "__mark"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     marked = df.mapInArrow(marks, f"{schema}, __mark long")

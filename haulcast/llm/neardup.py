@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from haulcast.llm.components import components
 from haulcast.llm.minhash import MinHash, set_digest
 from haulcast.llm.tables import only
-from haulcast.llm.words import grams, run_hash, signed, steps, words_of
+from haulcast.llm.words import STEP, grams, run_hash, signed, steps, words_of
 from haulcast.staging import stage_table
 
 HASHES = MinHash(bands=40, rows=5)
@@ -121,11 +121,11 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, hashes: MinHash, percent: int)
     return joined.mapInArrow(run, "a long, b long")
 
 
-def full_sets(df: DataFrame, sets: Sets) -> DataFrame:
+def full_sets(df: DataFrame, sets: Sets, limit: int = STEP) -> DataFrame:
     """(id, elements) of frame (id, text): the sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, "text", limit):
             found = pa.array([x.tobytes() for x in sets(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), found], names=["id", "elements"])
 

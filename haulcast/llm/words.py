@@ -185,12 +185,20 @@ def chain(parts: list[np.ndarray], seed: int = 0) -> np.ndarray:
     return mix(total)
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the numbers ``start:end`` in order, for many spans that may overlap."""
+def span_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial of the numbers ``start:end`` for many spans: a hash in its upper bits if the numbers are random."""
     t = _tables(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * t.up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * t.down[start] + (end - start).astype(np.uint64))
+    out = sums[end]
+    out -= sums[start]
+    out *= t.down[start]
+    return out
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the numbers ``start:end`` in order, for many spans that may overlap."""
+    return mix(span_sums(values, start, end) + (end - start).astype(np.uint64))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
