@@ -45,9 +45,9 @@ PERCENT = 80
 HASHES = MinHash(bands=12, rows=4, seed=5)
 #: Shingles hashed at once, so that they stay in the processor's cache.
 CHUNK = 1 << 14
-LOAD = 24 << 20
+LOAD = 12 << 20
 #: Bytes of text taken at once.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 class Lines:
