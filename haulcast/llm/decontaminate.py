@@ -62,7 +62,10 @@ Adder = Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 
 
 def summed(df: DataFrame, add: Adder, size: int) -> np.ndarray:
-    """Sum of the vectors that ``add`` makes of each partition, added up in Spark by parts of the vector."""
+    """Sum of the vectors that ``add`` makes of each partition, added up in Spark by parts of the vector.
+
+    Sent as doubles: counts are exact up to 2**53.
+    """
     cut = np.linspace(0, size, PARTS + 1).astype(int)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,20 +79,20 @@ def summed(df: DataFrame, add: Adder, size: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("vector").to_pylist()):
-                piece = np.frombuffer(blob, np.float32)
-                sums[part] = sums[part] + piece if part in sums else piece.astype(np.float64)
+                piece = np.frombuffer(blob)
+                sums[part] = sums[part] + piece if part in sums else piece
         for part, piece in sums.items():
             yield _part(part, piece)
 
     out = np.zeros(size)
     parts = df.mapInArrow(make, "part int, vector binary").repartition(PARTS, "part").mapInArrow(total, "part int, vector binary")
     for row in parts.collect():
-        out[cut[row["part"]] : cut[row["part"] + 1]] = np.frombuffer(row["vector"], np.float32)
+        out[cut[row["part"]] : cut[row["part"] + 1]] = np.frombuffer(row["vector"])
     return out
 
 
 def _part(part: int, piece: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([part], pa.int32()), pa.array([piece.astype(np.float32).tobytes()], pa.binary())]
+    columns = [pa.array([part], pa.int32()), pa.array([piece.astype(np.float64).tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["part", "vector"])
 
 

@@ -139,10 +139,10 @@ class Bits:
 class Counts:
     """How often each slot saw each outcome: ``2 * slot + bit``."""
 
-    tables: list[np.ndarray] = field(default_factory=lambda: [np.zeros(2 << b, np.float32) for b in TABLE_BITS])
+    tables: list[np.ndarray] = field(default_factory=lambda: [np.zeros(2 << b, np.int32) for b in TABLE_BITS])
 
     def add(self, bits: Bits, weight: np.ndarray) -> None:
-        weight = weight.astype(np.float32)
+        weight = weight.astype(np.int32)
         for table, slot in zip(self.tables, bits.slots):
             np.add.at(table, (slot << np.uint32(1)) | bits.bit, weight)
 
@@ -155,7 +155,8 @@ class Counts:
         """The same for the slots of some bits only."""
         out = np.empty((PREDICTORS, len(bits.node)), np.float32)
         for k, (t, slot) in enumerate(zip(self.tables, bits.slots)):
-            out[k] = np.log((t[2 * slot + 1] + np.float32(0.4)) / (t[2 * slot] + np.float32(0.4)))
+            zeros, ones = (t[2 * slot + b].astype(np.float32) + np.float32(0.4) for b in (0, 1))
+            out[k] = np.log(ones / zeros)
         return out.clip(-LIMIT, LIMIT)
 
 

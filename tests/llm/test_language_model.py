@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from haulcast.llm import language_model as LM
 from haulcast.llm import mixer
+from haulcast.llm.decontaminate import summed
 
 
 def base(rows):
@@ -85,3 +86,18 @@ def test_probabilities_of_all_next_bytes_sum_to_one():
     whole = model.log10(texts, np.arange(0, 3 * 256 + 1, 3), np.zeros(256, np.int64))
     head = model.log10(np.frombuffer(prefix, np.uint8), np.array([0, 2]), np.zeros(1, np.int64))
     assert (10 ** (whole - head)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_sums_of_large_counts_are_exact(spark):
+    large = [2.0**24 + 1, 2.0**40 + 3, 1.0]
+    rows = spark.range(4).repartition(2)
+    assert summed(rows, lambda batches: np.array(large), 3).tolist() == [2 * x for x in large]
+
+
+def test_a_slot_counts_past_the_steps_of_a_float():
+    code = mixer.Code.of(np.arange(256))
+    counts = mixer.Counts()
+    bits = mixer.Bits.of(code, np.frombuffer(b"a ", np.uint8), np.array([0, 2]), np.array([0]))
+    for weight in (1 << 24, 1, 1):
+        counts.add(bits, np.full(len(bits.node), weight))
+    assert all(t.max() % 2**24 == 2 for t in counts.tables[:2])
