@@ -4,7 +4,7 @@ A unit is the bytes up to and including a separator (or the end of the text), so
 its end is known as soon as it is read. Each byte is a path in a binary code
 tree; every step of a path is a bit that several predictors guess, each from
 counts under a hash of the tree node and its own context: the unit so far with
-the previous word, the unit so far, its last three bytes, or its last byte. Their
+the previous word, the unit so far, its last three, two, or one bytes. Their
 guesses are combined by weights that the node selects, and the result is
 refined by a table of what happened at like guesses. Each bit's two
 probabilities sum to one, so those of all texts do.
@@ -22,15 +22,13 @@ from haulcast.llm.words import _tables, mix
 
 END = 0xFF
 #: Hash bits of the predictors' tables, in the order of ``_contexts``.
-TABLE_BITS = (20, 20, 20, 18)
+TABLE_BITS = (20, 20, 20, 18, 18)
 PREDICTORS = len(TABLE_BITS)
 #: Classes of previous words.
-PREVIOUS = 8
+PREVIOUS = 64
 NODES = 256
 STEPS = 33
 LIMIT = 8.0
-#: Log odds of a trained table are held in steps of one SCALE-th.
-SCALE = 15.0
 #: Bytes taken at once.
 BLOCK = 1 << 17
 LEARN = 0.4
@@ -96,13 +94,14 @@ def _contexts(codes: np.ndarray, offsets: np.ndarray, previous: np.ndarray) -> l
         shifted[j:] = codes[:-j] if j < len(codes) else 0
         shifted[place < j] = 0
         back.append(shifted)
-    three = back[0] | back[1] << np.uint64(8) | back[2] << np.uint64(16)
+    two = back[0] | back[1] << np.uint64(8)
     with_word = prefix ^ np.repeat(mix(previous.astype(np.uint64) + np.uint64(1)), size)
     first = back[0] | np.minimum(place, 3).astype(np.uint64) << np.uint64(8)
     return [
         (with_word >> np.uint64(32)).astype(np.uint32),
         prefix.astype(np.uint32),
-        (mix(three) >> np.uint64(32)).astype(np.uint32),
+        (mix(two | back[2] << np.uint64(16)) >> np.uint64(32)).astype(np.uint32),
+        (mix(two + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32),
         (mix(first + np.uint64(1 << 41)) >> np.uint64(32)).astype(np.uint32),
     ]
 
@@ -147,9 +146,8 @@ class Counts:
             np.add.at(table, (slot << np.uint32(1)) | bits.bit, weight)
 
     def guesses(self) -> list[np.ndarray]:
-        """Log odds of a one in each slot, in steps of 1 / SCALE."""
-        odds = [np.log((t[1::2] + 0.4) / (t[::2] + 0.4)).clip(-LIMIT, LIMIT) for t in self.tables]
-        return [np.rint(x * SCALE).astype(np.int8) for x in odds]
+        """Log odds of a one in each slot."""
+        return [np.log((t[1::2] + 0.4) / (t[::2] + 0.4)).clip(-LIMIT, LIMIT).astype(np.float32) for t in self.tables]
 
     def guess(self, bits: Bits) -> np.ndarray:
         """The same for the slots of some bits only."""
@@ -216,7 +214,7 @@ class Model:
     def log10(self, codes: np.ndarray, offsets: np.ndarray, previous: np.ndarray) -> np.ndarray:
         """log10 probability of each unit after a word of class ``previous``."""
         out = np.zeros(len(offsets) - 1)
-        mixer = Mixer(self.weights / np.float32(SCALE), np.zeros(0), np.zeros(0))
+        mixer = Mixer(self.weights, np.zeros(0), np.zeros(0))
         for low, high in blocks(offsets):
             first, last = offsets[low], offsets[high]
             inside = offsets[low : high + 1] - first

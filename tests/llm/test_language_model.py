@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from haulcast.llm import language_model as LM
 from haulcast.llm import mixer
@@ -101,3 +102,23 @@ def test_a_slot_counts_past_the_steps_of_a_float():
     for weight in (1 << 24, 1, 1):
         counts.add(bits, np.full(len(bits.node), weight))
     assert all(t.max() % 2**24 == 2 for t in counts.tables[:2])
+
+
+def test_the_last_two_bytes_are_a_context_and_odds_are_not_rounded():
+    units, offsets = np.frombuffer(b"wxabc vyabd vzcbd ", np.uint8), np.array([0, 6, 12, 18])
+    contexts = mixer._contexts(units, offsets, np.array([0, 7, 63]))
+    assert len(contexts) == mixer.PREDICTORS == 5 and LM.PREVIOUS == 64
+    # Before the fifth byte of each unit: "ab", "ab" and "cb".
+    assert any(c[4] == c[10] != c[16] for c in contexts)
+    code, counts = mixer.Code.of(np.arange(256)), mixer.Counts()
+    bits = mixer.Bits.of(code, units, offsets, np.array([0, 7, 63]))
+    counts.add(bits, np.arange(len(bits.node)) + 1)
+    exact = counts.guess(bits)
+    for table, slot, wanted in zip(counts.guesses(), bits.slots, exact):
+        assert table[slot] == pytest.approx(wanted, rel=1e-5)
+
+
+def test_all_classes_of_previous_words_are_told_apart():
+    texts = [f"{w} end" for w in range(2000)]
+    units = LM.Units(pa.array(texts))
+    assert set(units.previous.tolist()) == set(range(64))
