@@ -42,8 +42,6 @@ from haulcast.staging import stage_table
 
 #: Words with a larger share of the training tokens are frequent: fewer than 1 / FREQUENT.
 FREQUENT = 1 / 20_000
-#: Of the units of a step, one in this many teaches the mixer; all are counted.
-TAUGHT = 8
 #: Bytes of text of a step: repeated units of it are handled once.
 STEP = 12 << 20
 LOAD = 24 << 20
@@ -123,6 +121,19 @@ def first_pass(named: DataFrame) -> tuple[Code, list[int]]:
     return Code.of(counts), sorted(row["item"] for row in often)
 
 
+def teach(code: Code, units: Units, counts: Counts, online: Mixer) -> None:
+    """All units teach the mixer from the counts so far and are counted then, each once with its weight."""
+    _, at, n = np.unique(units.key, return_index=True, return_counts=True)
+    codes, offsets = units.pick(at)
+    for low, high in mixer.blocks(offsets):
+        first, last = offsets[low], offsets[high]
+        inside = offsets[low : high + 1] - first
+        bits = Bits.of(code, codes[first:last], inside, units.previous[at[low:high]])
+        mass = np.repeat(n[low:high].astype(np.float64), np.diff(np.append(0, bits.ends)[inside]))
+        online.learn(bits, counts.guess(bits), mass)
+        counts.add(bits, mass)
+
+
 def second_pass(named: DataFrame, code: Code, frequent: np.ndarray) -> tuple[Model, np.ndarray]:
     """The trained model, and exact training counts of the frequent words."""
     sizes = [2 << b for b in mixer.TABLE_BITS]
@@ -135,17 +146,7 @@ def second_pass(named: DataFrame, code: Code, frequent: np.ndarray) -> tuple[Mod
         words = np.zeros(len(frequent))
         for batch in steps(batches, "text", STEP):
             units = Units(_training(batch).column("text"))
-            # Units come in the order of a hash, so the first blocks are a fair part of them.
-            _, at, n = np.unique(units.key, return_index=True, return_counts=True)
-            codes, offsets = units.pick(at)
-            for low, high in mixer.blocks(offsets):
-                first, last = offsets[low], offsets[high]
-                inside = offsets[low : high + 1] - first
-                bits = Bits.of(code, codes[first:last], inside, units.previous[at[low:high]])
-                mass = np.repeat(n[low:high].astype(np.float64), np.diff(np.append(0, bits.ends)[inside]))
-                if low * TAUGHT <= len(at):
-                    online.learn(bits, counts.guess(bits), mass)
-                counts.add(bits, mass)
+            teach(code, units, counts, online)
             place = np.searchsorted(frequent, units.word) if len(frequent) else np.zeros(0, np.int64)
             if len(frequent):
                 place[place == len(frequent)] = 0

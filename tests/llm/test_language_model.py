@@ -122,3 +122,11 @@ def test_all_classes_of_previous_words_are_told_apart():
     texts = [f"{w} end" for w in range(2000)]
     units = LM.Units(pa.array(texts))
     assert set(units.previous.tolist()) == set(range(64))
+
+
+def test_every_unit_teaches_the_mixer():
+    units = LM.Units(pa.array([" ".join(f"word{i}" for i in range(60000)) + " the" * 500]))
+    code, counts, online = mixer.Code.of(np.arange(256)), mixer.Counts(), mixer.Mixer()
+    LM.teach(code, units, counts, online)
+    assert len(units.codes) > 4 * mixer.BLOCK
+    assert online.total == counts.tables[0].sum() == code.length[units.codes].sum()
