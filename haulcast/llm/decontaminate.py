@@ -11,7 +11,9 @@
    share as much with the whole benchmark is left out before the projection.
 4. Around each candidate the longest common subsequence of item and document is
    taken. ``SURE`` of the item's words in order is a leak; from ``LIKELY`` on it is one
-   if the answer (the item's last ``ANSWER`` words) is there too: a paraphrase.
+   if the answer (the item's last ``ANSWER`` words) is there too: a paraphrase. A
+   run of ``RUN`` of the item's words without a break that is more than half of it
+   is a leak too, with or without the answer.
 
 Documents never leave their task, and no pair of rows is shuffled: items are
 the stated query set and go in blocks of ``BLOCK`` to all rows. The driver holds
@@ -52,6 +54,7 @@ COSINE = 0.7
 LIKELY = 0.6
 SURE = 0.8
 ANSWER = 6
+RUN = 13
 #: Items sent to the tasks at once.
 BLOCK = 2000
 #: Words of the item's length that the document may have more around the window.
@@ -187,6 +190,7 @@ class Items:
         start, end = (np.array([a[i] for a in at], np.int64) for i in (1, 2))
         self.vectors = latent(words, start, end, idf, space)
         self.masks = [_masks(w) for w in self.words]
+        self.runs = [_runs(w, run_of(len(w))) for w in self.words]
         self.own = np.unique(_owned(words.hash, words.doc))
 
     def candidates(self, words: Words) -> Iterator[tuple[int, int, int]]:
@@ -249,10 +253,11 @@ class Items:
             region = values[low:high].tolist()
             # No subsequence is longer than the words both have.
             there = set(region)
-            if sum(w in there for w in self.words[item]) < LIKELY * size:
+            if sum(w in there for w in self.words[item]) < min(LIKELY * size, run_of(size)):
                 continue
             share = common_subsequence(self.masks[item], size, region) / size
-            if share < LIKELY or (share < SURE and not self.answered(item, region)):
+            likely = share >= SURE or (share >= LIKELY and self.answered(item, region))
+            if not likely and self.runs[item].isdisjoint(_runs(region, run_of(size))):
                 continue
             if doc not in found or (share, -self.ids[item]) > (found[doc][0], -found[doc][1]):
                 found[doc] = (share, self.ids[item])
@@ -264,6 +269,15 @@ class Items:
         return common_subsequence(_masks(answer), len(answer), region) >= SURE * len(answer)
 
 
+def run_of(size: int) -> int:
+    """Words without a break that make a leak of an item of ``size`` words."""
+    return min(max(RUN, size // 2 + 1), size)
+
+
+def _runs(words: list[int], size: int) -> set[tuple[int, ...]]:
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
 def _owned(hashes: np.ndarray, item: np.ndarray) -> np.ndarray:
     return hashes ^ mix(np.asarray(item) + 1)
 

@@ -84,3 +84,15 @@ def test_longest_common_subsequence():
     for _ in range(100):
         a, b = ([draw.randrange(4) for _ in range(draw.randrange(1, 12))] for _ in range(2))
         assert D.common_subsequence(D._masks(a), len(a), b) == subsequence(a, b)
+
+
+def test_a_long_unbroken_run_without_the_answer_is_a_leak(spark, docs, corpus):
+    _, rows, truth = corpus
+    draw = random.Random(4)
+    item = [f"q{draw.randrange(10**6)}" for _ in range(60)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    clean = dict(rows)[1].split() if 1 not in truth else []
+    cuts = {2000: item[:47], 2001: item[:33], 2002: item[10:45], 2003: item[:20], 2004: item[:30]}
+    added = [(i, " ".join([*clean[:50], *cut, *clean[50:]])) for i, cut in cuts.items()]
+    out = D.find_leaks(docs([*rows, *added]), bench).where("contaminated").collect()
+    assert {r.doc_id: r.leaked_item for r in out} == {2000: 7, 2001: 7, 2002: 7}
