@@ -193,5 +193,40 @@ FROM documents d LEFT JOIN g USING (doc_id)
 """
 
 
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    near = """a{i} AS (
+  SELECT r, min(dist) AS dist, arg_min(c, (dist, c)) AS c
+  FROM (SELECT r, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS dist FROM v JOIN c{i} m USING (d) GROUP BY r, c) GROUP BY r
+)"""
+    moved = """s{i} AS (SELECT c, d, sum(v.x)::BIGINT AS t, count(*) AS n FROM a{i} JOIN v USING (r) GROUP BY c, d),
+c{j} AS (
+  SELECT c, d, coalesce((t - ((t % n) + n) % n) // n, m.x) AS x FROM c{i} m LEFT JOIN s{i} USING (c, d)
+)"""
+    steps = [near.format(i=0)]
+    for i in range(rounds):
+        steps += [moved.format(i=i, j=i + 1), near.format(i=i + 1)]
+    chain = ",\n".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+v AS (
+  SELECT r, d, floor(256 * e[d]::DOUBLE)::BIGINT AS x FROM (SELECT r, e, unnest(generate_series(1, 64)) AS d FROM kept)
+),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR) NULLS LAST, e) - 1 AS c FROM kept),
+c0 AS (SELECT c, d, x FROM f JOIN v USING (r) WHERE c < {k}),
+{chain},
+t AS (SELECT c, sum(dist)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY c),
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, dist AS distance, cluster_inertia,
+  (SELECT sum(cluster_inertia)::BIGINT FROM t) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN t USING (c) JOIN h USING (c)
+"""
+
+
+ORACLES["op13_vector_clusters"] = _clusters()
+
+
 def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm import centroids, decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings
 from haulcast.llm.tables import documents, small_batches, table
 from haulcast.session import tune
 
@@ -82,6 +82,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "copy", "rate", "mix_order", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia"]
+    return out.select(*columns, centroids.text_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": near_duplicates,
     "op2_benchmark_leaks": leaks,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_model_scores": model_scores,
     "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
+    "op13_vector_clusters": clusters,
 }
 
 
