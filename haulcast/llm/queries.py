@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import centroids, decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings
+from haulcast.llm import centroids, decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings, token_files
 from haulcast.llm.tables import documents, small_batches, table
 from haulcast.session import tune
+from haulcast.staging import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +84,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "copy", "rate", "mix_order", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-ids")
+    token_files.write_tokens(documents(spark, sf_dir), path, token_files.Format(public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.read_tokens(spark, path)
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
     columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia"]
@@ -99,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_model_scores": model_scores,
     "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
+    "op11_token_ids": token_ids,
     "op13_vector_clusters": clusters,
 }
 
