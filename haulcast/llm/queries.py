@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulcast.llm import centroids, decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings, token_files
+from haulcast.llm import alignment, centroids, decontaminate, extraction, fuzzy_lines, language_model, licenses, mixing, neardup, quality, sharding, substrings, token_files
 from haulcast.llm.tables import documents, small_batches, table
 from haulcast.session import tune
 from haulcast.staging import new_path
@@ -90,6 +90,11 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path)
 
 
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pair = alignment.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_texts(documents(spark, sf_dir), pair).drop("groups")
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
     columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia"]
@@ -108,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op9_remove_repeats": remove_repeats,
     "op10_mix_sources": mixed,
     "op11_token_ids": token_ids,
+    "op12_token_alignment": aligned,
     "op13_vector_clusters": clusters,
 }
 

@@ -18,7 +18,7 @@ from haulcast.llm.words import bytes_of
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 #: Distinct pieces that a task keeps before it starts anew. It only saves work: results don't depend on it.
-KEEP = 1 << 20
+KEEP = 1 << 19
 
 
 class PieceCache:
