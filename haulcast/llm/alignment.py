@@ -228,9 +228,13 @@ def _group_texts(links: Links, a_ids: np.ndarray, b_ids: np.ndarray, n_groups: n
 
 
 def _cut(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of the pieces of all texts: a piece starts at a blank after a visible ASCII character."""
+    """Start, end and text number of the pieces of all texts.
+
+    A piece starts at a blank after a visible ASCII character; a blank that ends its text stays with the piece before.
+    """
     visible = (codes[:-1] > 0x20) & (codes[:-1] < 0x7F)
     inner = np.flatnonzero((codes[1:] == 0x20) & visible) + 1
+    inner = np.setdiff1d(inner, offsets[1:] - 1, assume_unique=False)
     start = np.union1d(inner, offsets[:-1][offsets[:-1] < offsets[1:]])
     end = np.append(start[1:], offsets[-1])[: len(start)]
     return start, end, np.searchsorted(offsets, start, "right") - 1

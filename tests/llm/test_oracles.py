@@ -22,23 +22,39 @@ HARD = [
     (11, "one two three four five six seven eight nine ten " * 3, "d"),
 ]
 
+HARD_VECTORS = [
+    (1, [0.25] * 64),
+    (2, None),
+    (3, [0.5] * 63),
+    (4, [None] * 64),
+    (5, [float("nan")] * 64),
+    *[(10 + i, [((i * 37 + d * 11) % 29) / 29 - 0.5 for d in range(64)]) for i in range(90)],
+]
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
 
 @pytest.fixture(scope="module")
 def hard(spark, docs, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("hard"))
     df = docs([(i, t, s) for i, t, s in HARD])
     df.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    vectors(spark, HARD_VECTORS).coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
 @pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_hard_rows(spark, hard, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{hard}/documents.parquet/*.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{hard}/{table}.parquet/*.parquet'")
     assert oracle.differences(all_queries()[name](spark, hard), con, all_oracles()[name]) == []
 
 
 @pytest.mark.parametrize("name", sorted(set(all_queries()) - {"op2_benchmark_leaks", "op4_page_texts"}))
 def test_empty_documents(spark, docs, tmp_path, name):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors(spark, []).write.parquet(f"{tmp_path}/embeddings.parquet")
     assert all_queries()[name](spark, str(tmp_path)).count() == 0
