@@ -42,7 +42,7 @@ if TYPE_CHECKING:
     from sentencepiece import SentencePieceProcessor
 
 #: Bytes of text whose documents ask together for the counts of their pairs.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 B_BITS = 20
 
 DOC, PLAN, ASKED = 0, 1, 2

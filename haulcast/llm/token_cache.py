@@ -18,7 +18,9 @@ from haulcast.llm.words import bytes_of
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 #: Distinct pieces that a task keeps before it starts anew. It only saves work: results don't depend on it.
-KEEP = 1 << 19
+KEEP = 1 << 18
+#: Pieces that the library encodes in one call.
+AT_ONCE = 1 << 11
 
 
 class PieceCache:
@@ -109,7 +111,9 @@ def json_encoder(path: str, specials_are_text: bool = False) -> Encode:
     tokenizer.encode_special_tokens = specials_are_text
 
     def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's results are large objects: only some are held at a time.
+        groups = (texts[i : i + AT_ONCE] for i in range(0, len(texts), AT_ONCE))
+        ids = [e.ids for g in groups for e in tokenizer.encode_batch_fast(g, add_special_tokens=False)]
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for some in ids for i in some), np.int64, int(counts.sum())), counts
 
