@@ -22,11 +22,12 @@ WORD, LOW_BITS = U(16), U(32)
 #: Length of a settled interval. The limits below keep a gate and two digits coded after it above 0.
 LEAST, WIDEST = U(1 << 32), U((1 << 48) - 1)
 
-CONTEXT_BITS = 12
+CONTEXT_BITS = 11
 CONFIDENT = 3
 GATES = 2 * (CONFIDENT + 1) ** 2
 GATE_STEP, GATE_LIMIT = 16, 1 << 9
 DIGIT_STEP, DIGIT_LIMIT = 24, 1 << 11
+DIGIT_ROWS = 1 << 10
 #: Predictions are stored as id + 1, with their confidence in the bits above.
 ID_SHIFT, ID_MASK = np.uint32(24), np.uint32((1 << 24) - 1)
 TRUST = np.uint32(1 << 24)
@@ -189,8 +190,8 @@ def _run(coder: Encoder, lengths: np.ndarray, size: int, ids: np.ndarray | None)
     lanes, steps = len(lengths), int(lengths[0])
     n_digits = max(1, -(-(size - 1).bit_length() // 4))
     gates = Counts(lanes * GATES, 4, GATE_STEP, GATE_LIMIT)
-    # How many values the digits above each digit can have.
-    above = [-(-size // 16 ** (n_digits - k)) for k in range(n_digits)]
+    # How many values the digits above each digit can have; those of one remainder share a row.
+    above = [min(-(-size // 16 ** (n_digits - k)), DIGIT_ROWS) for k in range(n_digits)]
     digits = [Counts(lanes * n, 16, DIGIT_STEP, DIGIT_LIMIT) for n in above]
     one_order, two_orders = Guesses(lanes), Guesses(lanes)
     out = np.zeros((steps, lanes), np.uint32) if ids is None else ids
@@ -217,7 +218,7 @@ def _run(coder: Encoder, lengths: np.ndarray, size: int, ids: np.ndarray | None)
         whole = None if token is None else token[missed].astype(np.int64) - 1
         value = np.zeros(len(missed), np.int64)
         for k, counts in enumerate(digits):
-            context = missed * above[k] + value
+            context = missed * above[k] + value % above[k]
             rows = counts.look(context)
             digit = part.code(rows + counts.least, None if whole is None else (whole >> 4 * (n_digits - 1 - k)) & 15)
             counts.add(context, rows, digit)
