@@ -485,14 +485,14 @@ def all_oracles() -> dict[str, str]:
               count(DISTINCT ship_date) AS n_days, CAST(0 AS BIGINT) AS n_wrong
             FROM grid, top_r GROUP BY 1, 2""",
         ),
-        "train_sides": _with(
+        "train_sides_digest": _with(
             f"{REGION_ROWS}, {CUSTOMER_PART}",
             f"""SELECT 'region' AS side, entity, count(DISTINCT ship_date) AS n_held, TRUE AS is_lowest
             FROM prep_r WHERE {HELD} GROUP BY entity
             UNION ALL
             SELECT 'customer', entity, count(DISTINCT ship_date), TRUE FROM prep_c WHERE {HELD} GROUP BY entity""",
         ),
-        "train_all": _with(
+        "train_all_digest": _with(
             REGION_ROWS,
             f"""SELECT entity, count(DISTINCT ship_date) AS n_held, TRUE AS is_lowest
             FROM prep_r WHERE {HELD} GROUP BY entity""",
@@ -506,9 +506,9 @@ def all_oracles() -> dict[str, str]:
                   ON a.entity = m.entity AND a.truck = m.truck
                 WHERE {HELD} GROUP BY 1""",
             )
-            for name in ("fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "fit_rf_2")
+            for name in ("fit_rf_digest", "fit_adaboost_digest", "fit_extratrees_digest", "fit_gbt_digest", "fit_rf_2_digest")
         },
-        "accuracy_table": _with(
+        "accuracy_digest": _with(
             ACTUALS,
             f"""SELECT entity, truck, round_even(avg(n_shipments) * 1000000, 0) / 1000000 AS mean,
               round_even(stddev_pop(n_shipments) * 1000000, 0) / 1000000 AS sd,
@@ -523,11 +523,11 @@ def all_oracles() -> dict[str, str]:
             WHERE principal = 'N' AND perspective = 'O' AND s.domain_name LIKE '%Brand#1%' AND d.domain_name LIKE '%CUST%'
               AND start_ts BETWEEN TIMESTAMP '1999-05-01' AND TIMESTAMP '2001-06-01' GROUP BY 1, 2, 3""",
         ),
-        "fleet_region": _with(
+        "fleet_region_shape": _with(
             GRID,
-            "SELECT ship_date, CAST(10 AS BIGINT) AS n_columns, CAST(0 AS BIGINT) AS n_wrong FROM grid GROUP BY 1",
+            "SELECT ship_date, CAST(10 AS BIGINT) AS n_columns, TRUE AS sends_trucks FROM grid GROUP BY 1",
         ),
-        "fleet_customer": _with(
+        "fleet_customer_coverage": _with(
             f"{CUSTOMER_ROWS}, {CUSTOMER_DAYS}",
             """SELECT entity, substr(equipment_gid, 5) AS truck, count(*) AS n_forecasts,
               count(DISTINCT ship_date) AS n_days, CAST(0 AS BIGINT) AS n_wrong
@@ -538,7 +538,7 @@ def all_oracles() -> dict[str, str]:
             """SELECT entity, (SELECT count(*) FROM upload_days) AS n_rows FROM upload_names
             WHERE entity NOT IN (SELECT entity FROM top_e)""",
         ),
-        "fleet_history_tail": _with(
+        "fleet_tail_coverage": _with(
             ABT_R,
             """SELECT ship_date, entity, CAST(2 AS BIGINT) AS n_trucks, CAST(0 AS BIGINT) AS n_wrong
             FROM (SELECT ship_date, entity FROM abt_r ORDER BY 1 DESC, 2 DESC LIMIT 35)""",

@@ -37,10 +37,6 @@ LOADS = {"ECONOMY": 8.0, "LARGE": 10.0, "MEDIUM": 16.0, "PROMO": 20.0, "SMALL":
 RULES = {"rule_8": 8.0, "rule_20": 20.0, "rule_40": 40.0, "rule_80": 80.0, "rule_8_again": 8.0}
 V_LOADS = {"MEDIUM": 40000.0, "STANDARD": 90000.0}
 
-#: Full ensembles, but forests stop at depth 12: to the engine's own default of 30 one forest of the
-#: small tables takes five times as long, and the queries fit eighteen.
-FULL = Settings(depth=12)
-
 #: Models of a side are fitted once for a session and its tables, with all candidates.
 _FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame, DataFrame]] = {}
 
@@ -712,9 +708,11 @@ def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.
         opened = _side(spark, sf, side)
         base = stage_table(opened.base_table(), f"abt-{side.name}")
         entities = opened.kept_entities or filters.names(base, "entity")
-        trained = training.fit(side.name, base, opened.truck_names(), entities, settings=FULL)
-        trained.choices = stage_table(training.choose(trained, base), f"choice-{side.name}")
-        _FITTED[key] = trained, base, stage_table(trained.backtest(base, rounded=False), f"backtest-{side.name}")
+        trained = training.fit(side.name, base, opened.truck_names(), entities, settings=Settings())
+        forecasts = stage_table(trained.backtest(base, rounded=False), f"backtest-{side.name}")
+        trained.choices = stage_table(training.choose_by(trained, _held(forecasts), base), f"choice-{side.name}")
+        trained.accuracy = stage_table(training.own_accuracy(trained, _held(forecasts)), f"accuracy-{side.name}")
+        _FITTED[key] = trained, base, forecasts
     return _FITTED[key]
 
 
@@ -727,10 +725,9 @@ def _against_mean(trained: training.Trained, forecasts: DataFrame, candidate: st
 
     It learned if its MAE on the training days is below that of the training means.
     """
-    means = trained.encodings.select(
-        "entity", F.explode(F.map_from_arrays(F.array([F.lit(t) for t in trained.trucks]), "means")).alias("truck", "mean")
-    )
     held = ~metrics.is_training_day(F.col("ship_date"))
+    first = forecasts.where(~held & (F.col("model") == candidate))
+    means = first.groupBy("entity", "truck").agg(F.avg("actual").alias("mean"))
     cells = forecasts.where(F.col("model") == candidate).join(means, ["entity", "truck"])
     by_mean, own = F.abs(F.col("actual") - F.col("mean")), F.abs(F.col("actual") - F.col("forecast"))
     return cells.groupBy("truck").agg(
@@ -742,6 +739,16 @@ def _against_mean(trained: training.Trained, forecasts: DataFrame, candidate: st
 
 
 def _fit_one(candidate: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Actual and forecast of one candidate on every held-out day, region and truck."""
+        _, _, forecasts = _fitted(spark, sf, REGION_SIDE)
+        mine = _held(forecasts).where(F.col("model") == candidate)
+        return mine.select("ship_date", "entity", "truck", "actual", "forecast")
+
+    return run
+
+
+def _fit_digest(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """One candidate over every region, against forecasting the mean."""
         trained, _, forecasts = _fitted(spark, sf, REGION_SIDE)
@@ -750,11 +757,15 @@ def _fit_one(candidate: str) -> Query:
     return run
 
 
-_REGISTRY["fit_rf"] = _fit_one("random_forest")
-_REGISTRY["fit_adaboost"] = _fit_one("adaboost")
-_REGISTRY["fit_extratrees"] = _fit_one("extra_trees")
-_REGISTRY["fit_gbt"] = _fit_one("gradient_boosting")
-_REGISTRY["fit_rf_2"] = _fit_one("random_forest_2")
+for _name, _candidate in (
+    ("fit_rf", "random_forest"),
+    ("fit_adaboost", "adaboost"),
+    ("fit_extratrees", "extra_trees"),
+    ("fit_gbt", "gradient_boosting"),
+    ("fit_rf_2", "random_forest_2"),
+):
+    _REGISTRY[_name] = _fit_one(_candidate)
+    _REGISTRY[f"{_name}_digest"] = _fit_digest(_candidate)
 
 
 @query
@@ -792,26 +803,42 @@ def _choice_is_lowest(trained: training.Trained, base: DataFrame, forecasts: Dat
 
 @query
 def train_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidate that each region is given, and its error on the held-out days."""
+    return _fitted(spark, sf, REGION_SIDE)[0].choices
+
+
+@query
+def train_all_digest(spark: SparkSession, sf: str) -> DataFrame:
     return _choice_is_lowest(*_fitted(spark, sf, REGION_SIDE))
 
 
+def _both_sides(spark: SparkSession, sf: str, of: Callable[..., DataFrame]) -> DataFrame:
+    parts = [of(*_fitted(spark, sf, s)).withColumn("side", F.lit(s.name)) for s in (REGION_SIDE, CUSTOMER_SIDE)]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def train_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """The choices of both sides."""
+    return _both_sides(spark, sf, lambda trained, base, forecasts: trained.choices)
+
+
+@query
+def train_sides_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides, each entity with the candidate of the lowest error."""
-    parts = [
-        _choice_is_lowest(*_fitted(spark, sf, side)).withColumn("side", F.lit(side.name))
-        for side in (REGION_SIDE, CUSTOMER_SIDE)
-    ]
-    return parts[0].unionByName(parts[1])
+    return _both_sides(spark, sf, _choice_is_lowest)
 
 
 @query
 def accuracy_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Metrics of the held-out days by each entity's own model: what depends on the actuals alone."""
-    trained, _, forecasts = _fitted(spark, sf, REGION_SIDE)
-    own = trained.choices.select("entity", "model")
-    held = _held(forecasts).withColumn("forecast", F.rint("forecast"))
-    table = metrics.metric_table(held.join(own, ["entity", "model"], "left_semi"), places=6)
+    """Metrics of the held-out days by each entity's own model."""
+    return _fitted(spark, sf, REGION_SIDE)[0].accuracy.drop("date_time")
+
+
+@query
+def accuracy_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """What depends on the actuals alone."""
+    table = round_all_doubles(_fitted(spark, sf, REGION_SIDE)[0].accuracy, 6)
     return table.select("entity", "truck", "mean", "sd", "cv", (F.col("rmse") >= F.col("mae")).alias("ordered"))
 
 
@@ -826,17 +853,23 @@ def resolved_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _shape(matrix: DataFrame) -> DataFrame:
-    """Per day of a matrix: its columns, and empty cells."""
+    """Per day of a matrix: its columns, and whether trucks are asked for at all and none below zero."""
     cells = [F.col(quoted(c)) for c in matrix.columns if c != "ship_date"]
-    wrong = sum(F.when(c.isNull(), 1).otherwise(0) for c in cells)
-    return matrix.select("ship_date", F.lit(len(cells)).cast("long").alias("n_columns"), wrong.cast("long").alias("n_wrong"))
+    total, least = sum(cells[1:], cells[0]), F.least(*cells)
+    n_columns = F.lit(len(cells)).cast("long").alias("n_columns")
+    return matrix.select("ship_date", n_columns, ((total > 0) & (least >= 0)).alias("sends_trucks"))
 
 
 @query
 def fleet_region(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes scored by models fitted on the history, as a matrix."""
     trained, _, _ = _fitted(spark, sf, REGION_SIDE)
-    return _shape(forecast.forecast(trained, volume.features(_region_grid(spark, sf))))
+    return forecast.forecast(trained, volume.features(_region_grid(spark, sf)))
+
+
+@query
+def fleet_region_shape(spark: SparkSession, sf: str) -> DataFrame:
+    return _shape(fleet_region(spark, sf))
 
 
 @query
@@ -866,7 +899,12 @@ def _customer_features(spark: SparkSession, sf: str) -> DataFrame:
 def fleet_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Uploaded volumes of the kept customers, spelling variants under their name."""
     trained, _, _ = _fitted(spark, sf, CUSTOMER_SIDE)
-    return _covered(trained.score(_customer_features(spark, sf)))
+    return trained.score(_customer_features(spark, sf))
+
+
+@query
+def fleet_customer_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return _covered(fleet_customer(spark, sf))
 
 
 @query
@@ -898,7 +936,11 @@ def fleet_history_tail(spark: SparkSession, sf: str) -> DataFrame:
     trained, base, _ = _fitted(spark, sf, REGION_SIDE)
     table = base.select("ship_date", "entity", *dates.FEATURES)
     tail = topk.last_rows(table, 7 * len(standin.REGIONS), ["ship_date", "entity"])
-    fleet = trained.score(tail)
-    return fleet.groupBy("ship_date", "entity").agg(
+    return trained.score(tail)
+
+
+@query
+def fleet_tail_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return fleet_history_tail(spark, sf).groupBy("ship_date", "entity").agg(
         F.count("*").alias("n_trucks"), F.count_if(F.col("forecast").isNull()).alias("n_wrong")
     )

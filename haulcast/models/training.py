@@ -1,190 +1,140 @@
-"""Training: one pooled fit per truck and candidate, one choice per entity.
+"""Training: every candidate for every entity and truck, one choice per entity.
 
-A pooled fit knows an entity by the mean count of its training rows for the
-truck: one number, so neither the number of fits nor the bins of a feature
-depend on how many entities there are. ``per_entity=True`` fits every entity
-alone, without that feature. The base table is written to the shared folder
-first: the fits read days times entities rows, never the shipment history.
+An entity and a truck make a unit with a model of its own per candidate, grown on
+that unit's training days alone. All units of a side are fitted by one job, however
+many entities there are: Spark brings the days of a unit together, a task grows
+its trees. The base table is written to the shared folder first: the fits read days
+times entities rows, never the shipment history.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from urllib.parse import quote
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcast.functions import dates
-from haulcast.functions.numbers import quoted, whole
-from haulcast.models.boosting import AdaBoostModel
-from haulcast.models.candidates import CANDIDATES, FEATURES_COL, Settings
-from haulcast.operators import filters, metrics
+from haulcast.functions.numbers import whole
+from haulcast.models import scoring, store
+from haulcast.models.candidates import CANDIDATES, Ensemble, Settings, Unit
+from haulcast.operators import abt, filters, metrics
 from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table, staged
 
-ALL = ""  # scope of a pooled fit
-MODEL_TABLE = "scope string, truck string, candidate string, kind string, folder string"
-CHOICE_TABLE = "entity string, model string, mae double"
-ENCODING_TABLE = "entity string, means array<double>"
-
-_LOADERS = {
-    "GBTRegressionModel": GBTRegressionModel,
-    "RandomForestRegressionModel": RandomForestRegressionModel,
-}
-
-
-def encode(train: DataFrame, trucks: Sequence[str]) -> DataFrame:
-    """(entity, means): mean training count of each truck, in the order of ``trucks``."""
-    means = F.array(*[F.avg(F.col(quoted(t)).cast("double")) for t in trucks])
-    return train.where(F.col("entity").isNotNull()).groupBy("entity").agg(means.alias("means"))
-
-
-def featurise(df: DataFrame, encodings: DataFrame, n_trucks: int, pooled: bool) -> DataFrame:
-    """One feature vector per truck; entities without training rows are left out."""
-    known = encodings.select("entity", *[F.col("means")[i].alias(f"__mean_{i}") for i in range(n_trucks)])
-    out = df.join(known, "entity")
-    for i in range(n_trucks):
-        inputs = [*dates.FEATURES, f"__mean_{i}"] if pooled else list(dates.FEATURES)
-        out = VectorAssembler(inputCols=inputs, outputCol=_features(i)).transform(out)
-    return out
-
-
-def _features(i: int) -> str:
-    return f"{FEATURES_COL}_{i}"
-
-
-def predict(model, features: str, out: str, df: DataFrame) -> DataFrame:
-    """Add the model's prediction from column ``features`` as column ``out``."""
-    if isinstance(model, AdaBoostModel):
-        trees = [tree.copy().setFeaturesCol(features) for tree in model.trees]
-        return AdaBoostModel(trees, model.weights, out).transform(df)
-    return model.copy().setFeaturesCol(features).setPredictionCol(out).transform(df)
-
 
 @dataclass
 class Trained:
     """Fitted models of one side and the candidate chosen for each entity.
 
-    ``choices`` is a table (entity, model, mae) with one row per entity,
-    ``encodings`` one of (entity, means). ``entities`` names the columns of wide results.
+    ``nodes`` is the node table of all models, ``choices`` a table (entity, model, mae) with one
+    row per entity. ``trucks`` and ``entities`` name the columns of wide results.
     """
 
     side: str
     trucks: list[str]
     entities: list[str]
-    models: dict[tuple[str, str, str], object]  # (scope, truck, candidate)
-    encodings: DataFrame
+    nodes: DataFrame
     choices: DataFrame | None = None
     accuracy: DataFrame | None = None  # metrics of each entity's own model on the held-out rows
 
-    def scopes(self) -> list[str]:
-        return sorted({scope for scope, _, _ in self.models})
-
     def candidates(self) -> list[str]:
-        present = {candidate for _, _, candidate in self.models}
+        present = {row.candidate for row in self.nodes.select("candidate").distinct().collect()}  # five at most
         return [c for c in CANDIDATES if c in present]
 
-    def _scoped(self, featured: DataFrame, scope: str) -> DataFrame:
-        return featured if scope == ALL else featured.where(F.col("entity") == F.lit(scope))
-
-    def _long(self, df: DataFrame, keep: list[str], pick: Sequence[str]) -> DataFrame:
-        """Rows (keep..., truck, model, raw forecast) for the candidates ``pick`` names."""
-        if not self.models:
-            raise ValueError(f"side {self.side} has no fitted model: its training window holds no rows")
-        featured = featurise(df, self.encodings, len(self.trucks), ALL in self.scopes())
-        parts = []
-        for scope in self.scopes():
-            wide, cells = self._scoped(featured, scope), []
-            for (s, truck, candidate), model in self.models.items():
-                if s != scope or candidate not in pick:
-                    continue
-                out = f"__raw_{len(cells)}"
-                wide = predict(model, _features(self.trucks.index(truck)), out, wide)
-                cells.append(
-                    F.struct(F.lit(truck).alias("truck"), F.lit(candidate).alias("model"), F.col(out).alias("raw"))
-                )
-            parts.append(
-                wide.select(*[F.col(quoted(k)) for k in keep], F.explode(F.array(cells)).alias("cell")).select(
-                    *[F.col(quoted(k)) for k in keep], "cell.truck", "cell.model", "cell.raw"
-                )
-            )
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
     def backtest(self, holdout: DataFrame, rounded: bool = True) -> DataFrame:
         """Actual and forecast of every candidate on held-out rows of the base table."""
-        keep = ["ship_date", "entity", *self.trucks]
-        rows = self._long(holdout, keep, self.candidates())
-        actual = F.lit(None).cast("double")
-        for truck in self.trucks:
-            actual = F.when(F.col("truck") == F.lit(truck), F.col(quoted(truck)).cast("double")).otherwise(actual)
+        raw = scoring.forecasts(self.nodes, holdout, ["ship_date", "entity"], dates.FEATURES)
+        actuals = abt.long_counts(holdout, self.trucks).select(
+            "ship_date", "entity", "truck", F.col("n_shipments").cast("double").alias("actual")
+        )
         forecast = F.rint("raw") if rounded else F.col("raw")
-        return rows.select("ship_date", "entity", "truck", "model", actual.alias("actual"), forecast.alias("forecast"))
+        return raw.join(actuals, ["ship_date", "entity", "truck"]).select(
+            "ship_date", "entity", "truck", F.col("candidate").alias("model"), "actual", forecast.alias("forecast")
+        )
 
     def score(self, features: DataFrame) -> DataFrame:
         """Whole trucks per day, entity and truck, by each entity's own model.
 
         Entities without a model give no rows; ``forecast.missing_entities`` counts them.
         """
-        own = self.choices.select("entity", "model")
-        # At most as many names as there are candidates; each model sees its own entities only.
-        used = sorted(row.model for row in own.select("model").distinct().collect())
-        parts = []
-        for model in used or self.candidates()[:1]:
-            mine = features.join(own.where(F.col("model") == F.lit(model)).select("entity"), "entity", "left_semi")
-            parts.append(self._long(mine, ["ship_date", "entity"], [model]))
-        if not parts:
-            self._long(features, ["ship_date", "entity"], [])
-        rows = reduce(DataFrame.unionByName, parts)
-        return rows.select("ship_date", "entity", "truck", whole(F.col("raw")).alias("forecast"))
+        own = self.choices.select("entity", F.col("model").alias("candidate"))
+        mine = self.nodes.join(own, ["entity", "candidate"], "left_semi")
+        raw = scoring.forecasts(mine, features, ["ship_date", "entity"], dates.FEATURES)
+        return raw.select("ship_date", "entity", "truck", whole(F.col("raw")).alias("forecast"))
 
     def save(self, path: str, spark: SparkSession) -> None:
-        """One folder per fitted model and a small table that ties them together."""
-        base, entries = f"{path}/{quote(self.side, safe='')}", []
-        for (scope, truck, candidate), model in self.models.items():
-            folder = "/".join(quote(p, safe="") for p in (self.side, scope or "pooled", truck, candidate))
-            if isinstance(model, AdaBoostModel):
-                model.save(f"{path}/{folder}", spark)
-            else:
-                model.write().overwrite().save(f"{path}/{folder}")
-            entries.append((scope, truck, candidate, type(model).__name__, folder))
-        spark.createDataFrame(entries, MODEL_TABLE).write.mode("overwrite").json(f"{base}/models")
-        self.encodings.write.mode("overwrite").json(f"{base}/encodings")
-        names = list(enumerate(self.entities))
-        spark.createDataFrame(names, "i int, entity string").write.mode("overwrite").json(f"{base}/entities")
-        if self.choices is not None:
-            self.choices.write.mode("overwrite").json(f"{base}/choices")
-        if self.accuracy is not None:
-            self.accuracy.write.mode("overwrite").parquet(f"{base}/accuracy")
+        """Publish all tables as one version: readers see it whole or not at all."""
+        entities = spark.createDataFrame(list(enumerate(self.entities)), "i int, name string")
+        trucks = spark.createDataFrame(list(enumerate(self.trucks)), "i int, name string")
+        tables = {"nodes": self.nodes, "entities": entities, "trucks": trucks}
+        optional = {"choices": self.choices, "accuracy": self.accuracy}
+        tables |= {name: table for name, table in optional.items() if table is not None}
+        holds = [(name,) for name in tables]
+        tables["tables"] = spark.createDataFrame(holds, "name string")
+        store.publish(spark, _base(path, self.side), tables)
 
     @staticmethod
     def load(path: str, side: str, spark: SparkSession) -> Trained:
-        base = f"{path}/{quote(side, safe='')}"
-        # One row per fitted model, and the vocabulary of the entity feature.
-        entries = spark.read.schema(MODEL_TABLE).json(f"{base}/models").collect()
-        rows = sorted(spark.read.schema("i int, entity string").json(f"{base}/entities").collect())
-        models = {}
-        for e in entries:
-            where = f"{path}/{e.folder}"
-            kind = _LOADERS.get(e.kind)
-            model = AdaBoostModel.load(where, spark) if kind is None else kind.load(where)
-            models[(e.scope, e.truck, e.candidate)] = model
-        return Trained(
-            side,
-            sorted({e.truck for e in entries}),
-            [r.entity for r in rows],
-            models,
-            spark.read.schema(ENCODING_TABLE).json(f"{base}/encodings"),
-            spark.read.schema(CHOICE_TABLE).json(f"{base}/choices"),
-        )
+        folder = store.current(spark, _base(path, side))
+
+        def table(name: str) -> DataFrame:
+            return spark.read.parquet(f"{folder}/{name}")
+
+        def names(name: str) -> list[str]:
+            return [r.name for r in sorted(table(name).collect())]
+
+        holds = {r.name for r in table("tables").collect()}
+        optional = [table(name) if name in holds else None for name in ("choices", "accuracy")]
+        return Trained(side, names("trucks"), names("entities"), table("nodes"), *optional)
+
+
+def _base(path: str, side: str) -> str:
+    return f"{path}/{quote(side, safe='')}"
+
+
+def training_rows(train: DataFrame, trucks: Sequence[str]) -> DataFrame:
+    """(entity, truck, seed, day, features..., y): one row per unit and day."""
+    long = abt.long_counts(train, list(trucks))
+    numbers = [F.col(f).cast("double").alias(f) for f in dates.FEATURES]
+    y, seed = F.col("n_shipments").cast("double").alias("y"), F.xxhash64("entity", "truck").alias("seed")
+    return long.select("entity", "truck", seed, F.unix_date("ship_date").alias("day"), *numbers, y)
+
+
+def _fit_unit(candidates: Sequence[str], settings: Settings) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("day")
+        features = np.stack([rows[f].to_numpy() for f in dates.FEATURES], axis=1)
+        unit = Unit(features, rows["y"].to_numpy(), rows["seed"][0].as_py())
+        names = [rows[c][0].as_py() for c in ("entity", "truck")]
+        return pa.concat_tables([_table(names, c, CANDIDATES[c](unit, settings)) for c in candidates])
+
+    return run
+
+
+def _table(names: list[str], candidate: str, model: Ensemble) -> pa.Table:
+    """Rows of the node table."""
+    nodes, n = model.nodes, len(model.share)
+    leaf = nodes.feature < 0
+    text = [pa.array([value] * n, pa.string()) for value in (*names, candidate)]
+    level = np.array([int(i).bit_length() - 1 for i in nodes.node.tolist()], np.int32)
+    columns = [
+        *text,
+        pa.array(nodes.tree, pa.int32()),
+        pa.array(nodes.node, pa.int64()),
+        pa.array(level),
+        pa.array(nodes.feature, pa.int32(), mask=leaf),
+        pa.array(nodes.cut, pa.float64(), mask=leaf),
+        pa.array(2 * nodes.node, pa.int64(), mask=leaf),
+        pa.array(2 * nodes.node + 1, pa.int64(), mask=leaf),
+        pa.array(nodes.value, pa.float64()),
+        pa.array(model.share, pa.float64()),
+    ]
+    return pa.Table.from_arrays(columns, [c.split()[0] for c in scoring.NODES.split(", ")])
 
 
 def fit(
@@ -194,31 +144,21 @@ def fit(
     entities: Sequence[str],
     candidates: Sequence[str] = tuple(CANDIDATES),
     settings: Settings = Settings(),
-    per_entity: bool = False,
-    parallel: int = 8,
     is_train: Column | None = None,
 ) -> Trained:
-    """Fit every candidate for every truck on the training rows of ``base_table``."""
+    """Fit every candidate for every entity and truck on the training rows of ``base_table``.
+
+    One job: rows meet by (entity, truck), a series of days, and become the trees of all candidates.
+    """
+    if not trucks:
+        return Trained(side, [], list(entities), base_table.sparkSession.createDataFrame([], scoring.NODES))
     train = base_table.where(_training(is_train) & F.col("entity").isin(list(entities)))
-    encodings = stage_table(encode(train, trucks), f"encodings-{side}")
-    # One scope per entity where each is fitted alone: as many jobs as that asks for.
-    scopes = sorted(r.entity for r in encodings.select("entity").collect()) if per_entity else [ALL]
-    train = featurise(train, encodings, len(trucks), not per_entity)
-    if encodings.isEmpty():
-        return Trained(side, list(trucks), list(entities), {}, encodings)
-    jobs = [(scope, truck, c) for scope in scopes for truck in trucks for c in candidates]
-
-    def run(job: tuple[str, str, str]):
-        scope, truck, candidate = job
-        rows = train if scope == ALL else train.where(F.col("entity") == F.lit(scope))
-        features = F.col(_features(list(trucks).index(truck))).alias(FEATURES_COL)
-        rows = rows.select(features, F.col(quoted(truck)).cast("double").alias("label"))
-        return job, CANDIDATES[candidate](rows, "label", "prediction", settings)
-
-    # Independent Spark jobs; the driver only waits for them.
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        models = dict(pool.map(run, jobs))
-    return Trained(side, list(trucks), list(entities), models, encodings)
+    rows = training_rows(train, trucks)
+    # A unit is little data and much work: AQE must not join units of few bytes into one task.
+    parts = int(base_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = rows.repartition(parts, "entity", "truck").groupBy("entity", "truck")
+    nodes = units.applyInArrow(_fit_unit(tuple(candidates), settings), scoring.NODES)
+    return Trained(side, list(trucks), list(entities), stage_table(nodes, f"nodes-{side}"))
 
 
 def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = None) -> DataFrame:
@@ -226,24 +166,33 @@ def choose(trained: Trained, base_table: DataFrame, is_train: Column | None = No
 
     An entity of the history without held-out rows takes the first candidate.
     """
-    holdout = base_table.where(~_training(is_train))
-    maes = metrics.model_mae(trained.backtest(holdout, rounded=False))
-    best = metrics.select_model(maes, trained.candidates())
+    return choose_by(trained, trained.backtest(base_table.where(~_training(is_train)), rounded=False), base_table)
+
+
+def choose_by(trained: Trained, backtest: DataFrame, base_table: DataFrame) -> DataFrame:
+    """The same from a backtest of raw forecasts."""
+    order = trained.candidates()
+    best = metrics.select_model(metrics.model_mae(backtest), order)
     known = base_table.where(F.col("entity").isin(trained.entities)).select("entity").distinct()
-    first = F.lit(trained.candidates()[0])
-    return known.join(best, "entity", "left").select("entity", F.coalesce("model", first).alias("model"), "mae")
+    return known.join(best, "entity", "left").select("entity", F.coalesce("model", F.lit(order[0])).alias("model"), "mae")
 
 
 def _training(is_train: Column | None) -> Column:
     return metrics.is_training_day(F.col("ship_date")) if is_train is None else is_train
 
 
+def own_accuracy(trained: Trained, backtest: DataFrame) -> DataFrame:
+    """Metrics of each entity's own model on a backtest of raw forecasts, in whole trucks."""
+    own = trained.choices.select("entity", "model")
+    held = backtest.withColumn("forecast", F.rint("forecast")).join(own, ["entity", "model"], "left_semi")
+    return metrics.metric_table(held, clock=True)
+
+
 def train_all(
     history: SideHistory,
     entities: Sequence[str] | None = None,
     settings: Settings = Settings(),
     candidates: Sequence[str] = tuple(CANDIDATES),
-    per_entity: bool = False,
     is_train: Column | None = None,
 ) -> Trained:
     """Fit, compare and choose for every entity of a side.
@@ -255,11 +204,10 @@ def train_all(
     with staged(history.base_table(trucks), f"abt-{side}") as base:
         if entities is None:
             entities = history.kept_entities or filters.names(base, "entity")
-        trained = fit(side, base, trucks, entities, candidates, settings, per_entity, is_train=is_train)
-        if not trained.models:
+        trained = fit(side, base, trucks, entities, candidates, settings, is_train)
+        if not trained.candidates():
             raise ValueError(f"side {side}: the training window holds no rows of its segments")
-        trained.choices = stage_table(choose(trained, base, is_train), f"choice-{side}")
-        own = trained.choices.select("entity", "model")
-        held = trained.backtest(base.where(~_training(is_train))).join(own, ["entity", "model"], "left_semi")
-        trained.accuracy = stage_table(metrics.metric_table(held, clock=True), f"accuracy-{side}")
+        held = stage_table(trained.backtest(base.where(~_training(is_train)), rounded=False), f"backtest-{side}")
+        trained.choices = stage_table(choose_by(trained, held, base), f"choice-{side}")
+        trained.accuracy = stage_table(own_accuracy(trained, held), f"accuracy-{side}")
     return trained

@@ -168,7 +168,7 @@ def test_command_line(spark, tables, tmp_path, monkeypatch, trained):
     cli.main(["--as-of", "2021-06-30", "volumes", *forecast, *models, "--out", f"{tmp_path}/v"])
     assert spark.read.parquet(f"{tmp_path}/v/matrix").count() == 2
     assert spark.read.parquet(f"{tmp_path}/h/volumes").count() == 7
-    assert spark.read.parquet(f"{tmp_path}/models/region/accuracy").count() == 4
+    assert Trained.load(f"{tmp_path}/models", "region", spark).accuracy.count() == 4
     long = spark.read.parquet(f"{tmp_path}/v/fleet")
     assert sorted(long.columns) == sorted(schemas.FLEET_LONG.names) and long.count() == 2 * 2 * 2
 

@@ -4,14 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulcast.functions import dates
-from haulcast.models import training
-from haulcast.models.boosting import AdaBoostModel, weighted_median
+from haulcast.models import scoring, store, training
 from haulcast.models.candidates import CANDIDATES, Settings
 from haulcast.operators import metrics
 from haulcast.plans import forecast
 from haulcast.staging import new_path, stage_table
 
-TINY = Settings(trees=4, depth=4, boost_rounds=10, gbt_rounds=4)
+TINY = Settings(trees=4, depth=8, boost_rounds=10, gbt_rounds=40)
 TRUCKS = ["10T.BOX", "1T"]
 
 
@@ -84,26 +83,143 @@ def test_saved_models_score_the_same(spark, base, trained):
     assert rows_of(loaded.score(base)) == rows_of(trained.score(base))
 
 
-def test_one_fit_per_entity(base):
-    out = training.fit("region", base, TRUCKS, ["EAST COAST", "NORTH"], ["random_forest"], TINY, per_entity=True)
-    assert out.scopes() == ["EAST COAST", "NORTH"]
-    assert out.backtest(base).count() == base.count() * len(TRUCKS)
+def test_one_job_fits_a_thousand_entities_as_each_alone(spark, base):
+    numbered = base.where(F.col("entity") == "NORTH").withColumn("entity", F.explode(F.sequence(F.lit(1), F.lit(1000))))
+    many = numbered.withColumn("entity", F.col("entity").cast("string"))
+    few = many.where(F.col("entity").isin("7", "700"))
+    small = Settings(trees=2, depth=5, boost_rounds=2, gbt_rounds=2)
+    names = [str(i) for i in range(1, 1001)]
+    together = training.fit("region", many.where(F.month("ship_date") == 1), ["1T"], names, settings=small)
+    assert together.nodes.select("entity").distinct().count() == 1000
+    alone = training.fit("region", few.where(F.month("ship_date") == 1).repartition(1), ["1T"], ["7", "700"], settings=small)
+    assert rows_of(together.nodes.where(F.col("entity").isin("7", "700"))) == rows_of(alone.nodes)
 
 
 def test_adaboost_stops_at_a_perfect_tree(spark, base):
     out = training.fit("region", base.withColumn("1T", F.lit(3)), ["1T"], ["EAST COAST", "NORTH"], ["adaboost"], TINY)
-    (model,) = out.models.values()
-    assert isinstance(model, AdaBoostModel)
-    assert len(model.trees) == 1
+    assert out.nodes.select("entity", "tree").distinct().count() == 2
     assert {r.forecast for r in out.backtest(base.withColumn("1T", F.lit(3))).collect()} == {3.0}
 
 
+def hand_made(spark):
+    """Two trees of a forest, three of an AdaBoost, one leaf alone; nodes as (tree, node, feature, cut, value, share)."""
+    trees_of = {
+        ("NORTH", "1T", "random_forest"): [
+            (0, 1, 0, 10.0, 9.9, 0.5), (0, 2, None, None, 1.0, 0.5), (0, 3, 2, 6.0, 9.9, 0.5),
+            (0, 6, None, None, 2.0, 0.5), (0, 7, None, None, 3.0, 0.5), (1, 1, None, None, 5.0, 0.5),
+        ],
+        ("NORTH", "1T", "adaboost"): [
+            (0, 1, None, None, 9.0, 1.0), (1, 1, 3, 5.5, 0.0, 2.5), (1, 2, None, None, 1.0, 2.5), (1, 3, None, None, 4.0, 2.5),
+            (2, 1, None, None, 2.0, 1.0),
+        ],
+        ("EAST COAST", "1T", "random_forest"): [(0, 1, None, None, 7.0, 1.0)],
+    }
+    rows = []
+    for key, nodes in trees_of.items():
+        for tree, node, feature, cut, value, share in nodes:
+            inner = feature is not None
+            rows.append((*key, tree, node, node.bit_length() - 1, feature, cut, 2 * node if inner else None, 2 * node + 1 if inner else None, value, share))
+    return spark.createDataFrame(rows, scoring.NODES)
+
+
+def test_forecasts_of_trees_scored_by_hand(spark):
+    feats = [
+        (date(2021, 3, 1), "NORTH", 10.0, 2021, 3, 1),  # at the cut: left
+        (date(2021, 3, 6), "NORTH", 10.5, 2021, 3, 6),
+        (date(2021, 7, 3), "NORTH", 99.0, 2021, 7, 6),
+        (date(2021, 7, 3), "EAST COAST", 0.0, 2021, 7, 6),
+        (date(2021, 7, 3), "MOON", 0.0, 2021, 7, 6),
+    ]
+    df = spark.createDataFrame(feats, "ship_date date, entity string, total_volume double, year int, month int, weekday int")
+    got = scoring.forecasts(hand_made(spark), df, ["ship_date", "entity"], dates.FEATURES)
+    assert {(r.ship_date, r.entity, r.candidate): r.raw for r in got.collect()} == {
+        (date(2021, 3, 1), "NORTH", "random_forest"): 0.5 * 1 + 0.5 * 5,
+        (date(2021, 3, 6), "NORTH", "random_forest"): 0.5 * 2 + 0.5 * 5,
+        (date(2021, 7, 3), "NORTH", "random_forest"): 0.5 * 3 + 0.5 * 5,
+        (date(2021, 3, 1), "NORTH", "adaboost"): 1.0,
+        (date(2021, 3, 6), "NORTH", "adaboost"): 4.0,
+        (date(2021, 7, 3), "NORTH", "adaboost"): 4.0,
+        (date(2021, 7, 3), "EAST COAST", "random_forest"): 7.0,
+    }
+
+
+def test_forecasts_equal_walking_every_tree(base, trained):
+    """All candidates on all days, against the node table walked row by row."""
+    nodes = {}
+    for r in trained.nodes.collect():
+        nodes.setdefault((r.entity, r.truck, r.candidate), {}).setdefault(r.tree, {})[r.node] = r
+    want = {}
+    days = base.where(F.month("ship_date") == 2).collect()
+    for d in days:
+        numbers = [float(d[f]) for f in dates.FEATURES]
+        for (entity, truck, candidate), forest in nodes.items():
+            if entity != d.entity:
+                continue
+            met = []
+            for _, tree in sorted(forest.items()):
+                at = tree[1]
+                while at.feature is not None:
+                    at = tree[at.right if numbers[at.feature] > at.cut else at.left]
+                met.append((at.value, at.share))
+            if candidate == "adaboost":
+                seen, half = 0.0, sum(s for _, s in met) / 2
+                for value, share in sorted(met):
+                    seen += share
+                    if seen >= half:
+                        break
+                want[d.ship_date, entity, truck, candidate] = value
+            else:
+                want[d.ship_date, entity, truck, candidate] = sum(v * s for v, s in met)
+    got = trained.backtest(base.where(F.month("ship_date") == 2), rounded=False).collect()
+    assert {(r.ship_date, r.entity, r.truck, r.model): pytest.approx(r.forecast, abs=1e-9) for r in got} == want
+    actual = {(d.ship_date, d.entity, t): d[t] for d in days for t in TRUCKS}
+    assert all(r.actual == actual[r.ship_date, r.entity, r.truck] for r in got)
+
+
+def test_plan_of_a_forecast_does_not_grow_with_models(base, trained):
+    def joins(nodes):
+        plan = scoring.forecasts(nodes, base, ["ship_date", "entity"], dates.FEATURES)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join ")
+
+    one = trained.nodes.where((F.col("entity") == "NORTH") & (F.col("truck") == "1T"))
+    assert joins(trained.nodes.where("level < 4")) == joins(one.where("level < 4")) <= 5
+
+
+def test_partitions_do_not_matter(base, trained):
+    again = training.fit("region", base.repartition(7, "total_volume"), TRUCKS, ["EAST COAST", "NORTH"], settings=TINY)
+    assert rows_of(again.nodes) == rows_of(trained.nodes)
+
+
+def test_accuracy_is_stored_and_a_broken_save_changes_nothing(spark, base, trained, monkeypatch):
+    path = new_path(spark, "models")
+    held = trained.backtest(base.where(~metrics.is_training_day(F.col("ship_date"))), rounded=False)
+    trained.accuracy = stage_table(training.own_accuracy(trained, held), "accuracy")
+    trained.save(path, spark)
+    first = training.Trained.load(path, "region", spark)
+    assert rows_of(first.accuracy.drop("date_time")) == rows_of(trained.accuracy.drop("date_time"))
+
+    broken = training.Trained("region", ["9T"], ["X"], trained.nodes, trained.choices.select(F.raise_error(F.lit("cut off")).alias("entity")))
+    with pytest.raises(Exception, match="cut off"):
+        broken.save(path, spark)
+    after = training.Trained.load(path, "region", spark)
+    assert (after.trucks, after.entities) == (first.trucks, first.entities)
+    assert rows_of(after.score(base)) == rows_of(first.score(base))
+
+    training.Trained("region", ["9T"], ["X"], trained.nodes).save(path, spark)
+    newest = training.Trained.load(path, "region", spark)
+    assert (newest.trucks, newest.choices, newest.accuracy) == (["9T"], None, None)
+
+
+def test_nothing_published(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        store.current(spark, f"file://{tmp_path}/none")
+
+
 def test_weighted_median(spark):
-    df = spark.createDataFrame([(1.0, 5.0, 9.0)], "a double, b double, c double")
-    columns = [F.col("c"), F.col("a"), F.col("b")]
-    out = df.select(
-        weighted_median(columns, [1.0, 1.0, 1.0]).alias("even"),
-        weighted_median(columns, [5.0, 1.0, 1.0]).alias("heavy"),
+    met = "array(named_struct('tree', 0, 'value', 9D, 'share', {}), named_struct('tree', 1, 'value', 1D, 'share', 1D), named_struct('tree', 2, 'value', 5D, 'share', 1D))"
+    out = spark.range(1).select(
+        scoring.weighted_median(F.expr(met.format("1D"))).alias("even"),
+        scoring.weighted_median(F.expr(met.format("5D"))).alias("heavy"),
     ).first()
     assert (out.even, out.heavy) == (5.0, 9.0)
 

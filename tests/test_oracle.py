@@ -28,8 +28,15 @@ def test_equals_duckdb(spark, sf_dir, con, name):
     assert oracle.differences(QUERIES[name](spark, sf_dir), con, SQL[name]) == []
 
 
+#: Forecasts, choices and errors of fitted models: no SQL. What they must equal is in test_models.py and test_trees.py.
+OF_MODELS = {
+    "fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "fit_rf_2", "train_all", "train_sides", "accuracy_table",
+    "fleet_region", "fleet_customer", "fleet_history_tail",
+}
+
+
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - set(SQL) == OF_MODELS
 
 
 def test_entry(spark, sf_dir):

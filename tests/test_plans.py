@@ -16,9 +16,7 @@ from haulcast.session import tune
 from haulcast.sources import files, standin
 
 ALL = queries.all_queries()
-FITTED = {"fit_rf", "fit_adaboost", "fit_extratrees", "fit_gbt", "train_all", "fleet_region", "fleet_customer",
-          "fleet_history_tail", "model_store", "train_sides", "fit_coverage", "fleet_coverage", "fit_rf_2",
-          "accuracy_table", "fleet_customer_missing"}
+FITTED = {n for n in ALL if n.startswith(("fit_", "train_", "accuracy_", "fleet_"))} - {"fleet_wide", "fleet_rule_matrix"} | {"model_store"}
 
 
 def plan(df) -> str:
