@@ -179,6 +179,34 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def _csv_types() -> str:
+    """Refused cells of each column of the orders, the forms of the types written out."""
+    forms = {
+        "boolean": "^(?i:true|false)$",
+        "bigint": "^[+-]?[0-9]{1,18}$",
+        "double": "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+        "date": "^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+        "timestamp_ntz": "^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?)?$",
+    }
+    chosen = {
+        "o_orderkey": "bigint",
+        "o_custkey": "bigint",
+        "o_orderstatus": "string",
+        "o_totalprice": "double",
+        "o_orderdate": "timestamp_ntz",
+        "o_orderpriority": "string",
+    }
+    parts = []
+    for column, kind in chosen.items():
+        cell = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f')" if column == "o_orderdate" else f"{column}::VARCHAR"
+        refused = ", ".join(f"count(*) FILTER (NOT regexp_matches({cell}, '{form}')) AS not_{k}" for k, form in forms.items())
+        parts.append(
+            f"""SELECT '{column}' AS column_name, count({column}) AS n_cells, count(*) FILTER ({column} IS NULL) AS n_empty,
+            {refused}, '{kind}' AS chosen FROM orders"""
+        )
+    return " UNION ALL ".join(parts)
+
+
 def all_oracles() -> dict[str, str]:
     r6 = "round_even({0}, 6) AS {1}".format
     load_cases = " ".join(f"WHEN '{t}' THEN {load}" for t, load in LOADS.items())
@@ -223,6 +251,11 @@ def all_oracles() -> dict[str, str]:
               AND d.domain_name LIKE '%BASE/%' AND d.segment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE', 'HOUSEHOLD')
               AND s.start_ts BETWEEN TIMESTAMP '1999-05-01' AND TIMESTAMP '2001-06-01'""",
         ),
+        "csv_types": _csv_types(),
+        "csv_inferred": "SELECT * FROM orders",
+        "csv_headerless": _with(
+            FORECAST, "SELECT CAST(id AS INTEGER) AS id, date_str, segment, cust_region, volume_forecast FROM forecast"
+        ),
         "csv_roundtrip": _with(
             RESOLVED,
             """SELECT shipment_xid, start_ts, ship_date, total_volume, equipment_gid, segment, dest_name, dest_zone2
@@ -375,6 +408,9 @@ def all_oracles() -> dict[str, str]:
         ),
         "metrics_mape": _with(BACKTEST, f"SELECT entity, truck, {r6('mape', 'mape')} FROM stats"),
         "metrics_smape": _with(BACKTEST, f"SELECT entity, truck, {r6('smape', 'smape')} FROM stats"),
+        "metrics_clock": _with(
+            BACKTEST, "SELECT entity, truck, current_date AS day, TRUE AS one_moment FROM stats"
+        ),
         "metrics_table": _with(
             BACKTEST,
             """SELECT entity, truck, round_even(mean, 2) AS mean, round_even(sd, 2) AS sd,
@@ -453,6 +489,7 @@ def all_oracles() -> dict[str, str]:
             EDITED, f"SELECT ship_date, entity, total_volume, {CALENDAR} FROM edited"
         ),
         "what_if_fleet": _with(EDITED, _matrix("edited", V_LOADS)),
+        "what_if_delta": _with(EDITED, _matrix("edited", V_LOADS)),
         "volume_grid": _with(GRID, "SELECT * FROM grid"),
         "rejected_edits": _with(
             GRID,
@@ -543,6 +580,13 @@ def all_oracles() -> dict[str, str]:
             """SELECT ship_date, entity, CAST(2 AS BIGINT) AS n_trucks, CAST(0 AS BIGINT) AS n_wrong
             FROM (SELECT ship_date, entity FROM abt_r ORDER BY 1 DESC, 2 DESC LIMIT 35)""",
         ),
+        "holdout_exact": _with(
+            ABT_R,
+            """SELECT ship_date, entity, total_volume,
+              row_number() OVER (PARTITION BY entity ORDER BY md5('42|' || ship_date::VARCHAR || '|' || entity))
+                <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY entity)) AS is_train FROM abt_r""",
+        ),
+        "reload_daily": _with(ACTUALS, "SELECT ship_date, entity, total_volume, truck, n_shipments FROM actuals"),
         "holdout_split": _with(
             ABT_R,
             """SELECT ship_date, entity, total_volume,

@@ -15,10 +15,10 @@ from haulcast.functions.numbers import quoted, round_all_doubles, round_even, wh
 from haulcast.functions.text import fleet_column_names, truck_short_name
 from haulcast.models import training
 from haulcast.models.candidates import Settings
-from haulcast.operators import abt, filters, joins, metrics, reshape, topk
-from haulcast.plans import batch, forecast, history, volume
+from haulcast.operators import abt, filters, joins, metrics, reshape, split, topk
+from haulcast.plans import batch, forecast, history, reload, volume
 from haulcast.session import tune
-from haulcast.sources import files, sqltext, standin
+from haulcast.sources import files, inference, sqltext, standin
 from haulcast.staging import new_path, stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,6 +187,32 @@ def training_shipments_sql(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def csv_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Types found in a CSV copy of the orders, and how many cells refuse each other type."""
+    path = new_path(spark, "csv")
+    files.write_csv(standin.table(spark, sf, "orders"), path)
+    return inference.column_types(inference.read_text_columns(spark, path))
+
+
+@query
+def csv_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders, read back from CSV without a schema."""
+    path = new_path(spark, "csv")
+    files.write_csv(standin.table(spark, sf, "orders"), path)
+    return inference.read_csv_inferred(spark, path)
+
+
+@query
+def csv_headerless(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast table as exported: nine columns, no header."""
+    rows = standin.volume_forecast(spark, sf)
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.VOLUME_FORECAST.fields if f.name not in rows.columns]
+    path = new_path(spark, "csv")
+    rows.select("*", *more).select(*schemas.VOLUME_FORECAST.names).write.csv(path)
+    return files.read_forecast_csv(spark, path).select(*rows.columns)
+
+
 @query
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = standin.resolved(spark, sf).select(
@@ -474,6 +500,14 @@ def metrics_table(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.metric_table(_backtest(spark, sf, {"rule_40": RULES["rule_40"]}), places=2)
 
 
+@query
+def metrics_clock(spark: SparkSession, sf: str) -> DataFrame:
+    """The moment that a metric table carries: one for all rows, of today."""
+    table = metrics.metric_table(_backtest(spark, sf, {"rule_40": RULES["rule_40"]}), clock=True)
+    one = (F.col("date_time") == F.current_timestamp()).alias("one_moment")
+    return table.select("entity", "truck", F.to_date("date_time").alias("day"), one)
+
+
 @query
 def model_mae(spark: SparkSession, sf: str) -> DataFrame:
     out = metrics.model_mae(_backtest(spark, sf, RULES))
@@ -673,6 +707,16 @@ def what_if_fleet(spark: SparkSession, sf: str) -> DataFrame:
     return forecast.matrix(feats, fleet, standin.REGIONS, list(V_LOADS))
 
 
+@query
+def what_if_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """The same matrix, from the forecast before the edits and the edited cells alone."""
+    grid = _region_grid(spark, sf)
+    changed = volume.changed_cells(grid, _weekend_edits(grid))
+    before = forecast.linear_rule(volume.features(grid), V_LOADS)
+    fleet = forecast.rescored(before, changed, lambda cells: forecast.linear_rule(cells, V_LOADS))
+    return forecast.matrix(volume.features(grid), fleet, standin.REGIONS, list(V_LOADS))
+
+
 @query
 def rejected_edits(spark: SparkSession, sf: str) -> DataFrame:
     return volume.rejected_edits(_weekend_edits(_region_grid(spark, sf)))
@@ -697,6 +741,26 @@ def holdout_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("is_train", metrics.is_training_day(F.col("ship_date")))
 
 
+@query
+def holdout_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each region's days exactly the floor of 80 % train."""
+    rows = _region_abt(spark, sf).select("ship_date", "entity", "total_volume")
+    return split.exact_split(rows, "entity", ["ship_date", "entity"], 0.8, seed=42)
+
+
+@query
+def reload_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts from a store whose last week came in late: first loaded in part, then made anew for its days."""
+    rows, path = _region_rows(spark, sf), new_path(spark, "daily")
+    late = F.col("ship_date").isin(WEEK) & (F.col("shipment_xid") % 2 == 0)
+    every_day = filters.names(rows.select(F.col("ship_date").cast("string").alias("ship_date")), "ship_date")
+    reload.reload_days(spark, path, rows.where(~late), [date.fromisoformat(d) for d in every_day])
+    reload.reload_days(spark, path, rows, WEEK)
+    base = reload.base_table(reload.stored(spark, path), REGION_SIDE)
+    trucks = [c for c in base.columns if c not in ("ship_date", "entity", *dates.FEATURES)]
+    return abt.long_counts(base, trucks).select("ship_date", "entity", "total_volume", "truck", "n_shipments")
+
+
 def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame, DataFrame]:
     """All five candidates of a side, the base table they were fitted on, and all their forecasts for it.
 

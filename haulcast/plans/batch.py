@@ -115,7 +115,7 @@ def _shown(trained: Trained, volumes: DataFrame, overrides: DataFrame | None, re
         rejected = [*rejected, bad, lost]
     edited = stage_table(grid if overrides is None else volume.what_if(grid, overrides), "volumes")
     features = volume.features(edited)
-    fleet = trained.score(features)
+    fleet = stage_table(trained.score(features), "fleet")
     counts = rejected or [edited.sparkSession.createDataFrame([], "reason string, n_rejected long")]
     return FleetForecast(
         edited,
@@ -174,3 +174,22 @@ def from_volumes(
     bad = volume.rejected_dates(uploaded).select(F.lit("unreadable date").alias("reason"), "n_rejected")
     with staged(rows, "uploaded") as volumes:
         return _shown(trained, volumes, overrides, [bad])
+
+
+def edit(shown: FleetForecast, overrides: DataFrame, trained: Trained) -> FleetForecast:
+    """The run that ``shown`` is, after more edits: the written volumes and fleet stay but for the edited cells."""
+    changed = stage_table(volume.changed_cells(shown.volumes, overrides), "changed")
+    volumes = shown.volumes.join(changed, ["ship_date", "entity"], "left_anti").unionByName(changed)
+    volumes = stage_table(volumes, "volumes")
+    fleet = stage_table(forecast.rescored(shown.fleet, changed, trained.score), "fleet")
+    bad = volume.rejected_edits(overrides).select(F.lit("unreadable edit").alias("reason"), "n_rejected")
+    lost = volume.unmatched_edits(shown.volumes, overrides).select(F.lit("edit without a cell"), "n_unmatched")
+    features = volume.features(volumes)
+    return FleetForecast(
+        volumes,
+        reshape.volume_pivot(volumes, filters.names(volumes, "entity")),
+        fleet,
+        forecast.matrix(features, fleet, trained.entities, trained.trucks),
+        forecast.missing_entities(trained, features),
+        stage_table(shown.rejected.unionAll(bad).unionAll(lost), "rejected"),
+    )

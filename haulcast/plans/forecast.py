@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from haulcast.functions.numbers import quoted, whole
 from haulcast.functions.text import fleet_column_names
 from haulcast.models.training import Trained
 from haulcast.operators import reshape
+from haulcast.plans import volume
 
 
 def linear_rule(features: DataFrame, volume_per_truck: Mapping[str, float]) -> DataFrame:
@@ -40,3 +41,10 @@ def missing_entities(trained: Trained, features: DataFrame) -> DataFrame:
     """Entities in the input that no model covers, with their row counts."""
     known = trained.choices.select("entity")
     return features.join(known, "entity", "left_anti").groupBy("entity").agg(F.count("*").alias("n_rows"))
+
+
+def rescored(fleet: DataFrame, changed: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fleet`` with the forecasts of the ``changed`` cells replaced: only those cells are scored."""
+    fresh = score(volume.features(changed))
+    stays = fleet.join(changed.select("ship_date", "entity"), ["ship_date", "entity"], "left_anti")
+    return stays.unionByName(fresh.select(*fleet.columns))

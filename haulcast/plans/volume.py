@@ -51,12 +51,24 @@ def what_if(volumes: DataFrame, overrides: DataFrame) -> DataFrame:
     value per cell first, so a cell edited twice cannot multiply rows: the last
     readable edit by ``edit_no`` where the table has that column, else the largest.
     """
-    edits = _edits(overrides).groupBy("ship_date", "entity").agg(F.max_by("edited", "edit_no").alias("edited"))
-    return volumes.join(edits, ["ship_date", "entity"], "left").select(
+    return volumes.join(_last_edits(overrides), ["ship_date", "entity"], "left").select(
         "ship_date", "entity", F.coalesce("edited", "total_volume").alias("total_volume")
     )
 
 
+def changed_cells(volumes: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The cells of ``volumes`` that the edits give another volume, with that volume."""
+    edits = _last_edits(overrides)
+    other = ~F.col("edited").eqNullSafe(F.col("total_volume"))
+    cells = volumes.join(edits, ["ship_date", "entity"]).where(other)
+    return cells.select("ship_date", "entity", F.col("edited").alias("total_volume"))
+
+
+def _last_edits(overrides: DataFrame) -> DataFrame:
+    """One readable edit per cell."""
+    return _edits(overrides).groupBy("ship_date", "entity").agg(F.max_by("edited", "edit_no").alias("edited"))
+
+
 def _edits(overrides: DataFrame) -> DataFrame:
     """Readable edits: (ship_date, entity, edited, edit_no)."""
     value = edited_number(F.col("volume_text"))

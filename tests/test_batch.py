@@ -69,6 +69,26 @@ def test_pruning_reaches_the_shipment_scan(spark, tables):
     assert "GreaterThanOrEqual(start_ts,2019-05-30T00:00)" in scan
 
 
+def test_an_edit_scores_the_edited_cells_only(spark, tables, trained, monkeypatch):
+    shown = batch.from_volumes(read(spark, tables, "forecast"), ["LOCAL"], trained, AS_OF)
+    edits = spark.createDataFrame(
+        [(date(2021, 7, 1), "South", "400"), (date(2021, 7, 2), "NORTH", "0"), (date(2021, 7, 1), "NORTH", "many"),
+         (date(2021, 7, 1), "NORTH", "30"), (date(2030, 1, 1), "SOUTH", "1")],
+        schemas.OVERRIDES,
+    )
+    whole = batch.from_volumes(read(spark, tables, "forecast"), ["LOCAL"], trained, AS_OF, edits)
+    scored = []
+    plainly = Trained.score
+    monkeypatch.setattr(Trained, "score", lambda self, cells: scored.append(cells) or plainly(self, cells))
+    edited = batch.edit(shown, edits, trained)
+    # One cell gets the volume it had (0 and 30 stay as they are): only the other one is scored.
+    assert [(r.ship_date, r.entity) for c in scored for r in c.collect()] == [(date(2021, 7, 1), "SOUTH")]
+    for part in ("volumes", "fleet", "matrix", "table", "missing"):
+        left, right = getattr(edited, part), getattr(whole, part)
+        assert sorted(map(repr, left.select(*right.columns).collect())) == sorted(map(repr, right.collect()))
+    assert {tuple(r) for r in edited.rejected.collect()} >= {("unreadable edit", 1), ("edit without a cell", 1)}
+
+
 def test_volume_run(spark, tables, trained):
     edits = spark.createDataFrame([(date(2021, 7, 1), "SOUTH", "40")], schemas.OVERRIDES)
     out = batch.from_volumes(read(spark, tables, "forecast"), ["LOCAL"], trained, AS_OF, edits)
