@@ -26,6 +26,9 @@ from haulcast.operators import abt, filters, metrics
 from haulcast.plans.history import SideHistory
 from haulcast.staging import stage_table, staged
 
+#: Entities times trucks that one task fits, at some seconds each.
+UNITS_PER_TASK = 32
+
 
 @dataclass
 class Trained:
@@ -154,8 +157,9 @@ def fit(
         return Trained(side, [], list(entities), base_table.sparkSession.createDataFrame([], scoring.NODES))
     train = base_table.where(_training(is_train) & F.col("entity").isin(list(entities)))
     rows = training_rows(train, trucks)
-    # A unit is little data and much work: AQE must not join units of few bytes into one task.
-    parts = int(base_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A unit is little data and much work: their number, not their bytes, says how many tasks there are.
+    least = int(base_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-len(entities) * len(trucks) // UNITS_PER_TASK))
     units = rows.repartition(parts, "entity", "truck").groupBy("entity", "truck")
     nodes = units.applyInArrow(_fit_unit(tuple(candidates), settings), scoring.NODES)
     return Trained(side, list(trucks), list(entities), stage_table(nodes, f"nodes-{side}"))
