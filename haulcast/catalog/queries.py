@@ -753,8 +753,7 @@ def reload_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Counts from a store whose last week came in late: first loaded in part, then made anew for its days."""
     rows, path = _region_rows(spark, sf), new_path(spark, "daily")
     late = F.col("ship_date").isin(WEEK) & (F.col("shipment_xid") % 2 == 0)
-    every_day = filters.names(rows.select(F.col("ship_date").cast("string").alias("ship_date")), "ship_date")
-    reload.reload_days(spark, path, rows.where(~late), [date.fromisoformat(d) for d in every_day])
+    reload.load_all(path, rows.where(~late))
     reload.reload_days(spark, path, rows, WEEK)
     base = reload.base_table(reload.stored(spark, path), REGION_SIDE)
     trucks = [c for c in base.columns if c not in ("ship_date", "entity", *dates.FEATURES)]

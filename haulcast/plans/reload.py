@@ -34,6 +34,16 @@ def daily_sums(rows: DataFrame) -> DataFrame:
     )
 
 
+def load_all(path: str, rows: DataFrame) -> None:
+    """The first load: every day that has rows."""
+    _by_day(daily_sums(rows)).write.mode("overwrite").partitionBy("ship_date").parquet(path)
+
+
+def _by_day(sums: DataFrame) -> DataFrame:
+    """A day is few rows and a file of its own: writing is spread by the number of days and not by their bytes."""
+    return sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ship_date")
+
+
 def reload_days(spark: SparkSession, path: str, rows: DataFrame, days: Sequence[date]) -> None:
     """Make the given days of the store anew from ``rows``; a day that has no rows any more becomes empty."""
     changed = rows.where(F.col("ship_date").isin(list(days)))
@@ -41,7 +51,7 @@ def reload_days(spark: SparkSession, path: str, rows: DataFrame, days: Sequence[
     marks = spark.createDataFrame([(None, None, 0, None, 0, d) for d in days], STORE)
     columns = [c.split()[0] for c in STORE.split(", ")]
     fresh = daily_sums(changed).select(*columns).unionByName(marks)
-    writer = fresh.hint("rebalance", "ship_date").write.mode("overwrite").partitionBy("ship_date")
+    writer = _by_day(fresh).write.mode("overwrite").partitionBy("ship_date")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

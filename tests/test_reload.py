@@ -49,7 +49,7 @@ def files_of(path):
 
 def test_late_rows_replace_their_days_only(spark):
     path, rows = new_path(spark, "daily"), some_rows()
-    reload.reload_days(spark, path, frame(spark, [r for r in rows if r[0] != DAYS[4]]), DAYS)
+    reload.load_all(path, frame(spark, [r for r in rows if r[0] != DAYS[4]]))
     before = files_of(path)
     corrected = [(d, e, g, x, v + 5 if d == DAYS[2] else v) for d, e, g, x, v in rows]
     reload.reload_days(spark, path, frame(spark, corrected), [DAYS[2], DAYS[4]])
