@@ -1 +1 @@
-"""Operators for training-data corpora: ten numbered operators, their queries and SQL."""
+"""Operators for training-data corpora: thirteen numbered operators, their queries and SQL."""
