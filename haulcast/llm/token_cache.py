@@ -19,6 +19,8 @@ Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 #: Distinct pieces that a task keeps before it starts anew. It only saves work: results don't depend on it.
 KEEP = 1 << 18
+#: The same where little more than the ids of a piece is kept.
+KEEP_IDS = 1 << 20
 #: Pieces that the library encodes in one call.
 AT_ONCE = 1 << 11
 
@@ -26,8 +28,8 @@ AT_ONCE = 1 << 11
 class PieceCache:
     """Numbers distinct pieces; ``grow`` takes the texts of new ones, in the order of their numbers."""
 
-    def __init__(self, grow: Callable[[list[str]], None], forget: Callable[[], None]) -> None:
-        self._grow, self._forget = grow, forget
+    def __init__(self, grow: Callable[[list[str]], None], forget: Callable[[], None], keep: int = KEEP) -> None:
+        self._grow, self._forget, self._keep = grow, forget, keep
         self._clear()
 
     def _clear(self) -> None:
@@ -37,7 +39,7 @@ class PieceCache:
 
     def start(self) -> None:
         """To be called between batches: forgets all pieces when there are many."""
-        if len(self._offsets) > KEEP:
+        if len(self._offsets) > self._keep:
             self._clear()
             self._forget()
 
@@ -79,7 +81,7 @@ class IdCache:
     def __init__(self, encode: Encode) -> None:
         self._encode = encode
         self._clear()
-        self.pieces = PieceCache(self._more, self._clear)
+        self.pieces = PieceCache(self._more, self._clear, KEEP_IDS)
 
     def _clear(self) -> None:
         self.ids = np.zeros(0, np.int64)

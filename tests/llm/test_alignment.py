@@ -55,9 +55,10 @@ def plain():
             for i in range(len(ids[0]))
             for j in range(np.searchsorted(ends[1], starts[0][i], "right"), np.searchsorted(starts[1], ends[0][i], "left"))
         ]
+        place = [{end: k + 1 for k, end in enumerate(e)} for e in ends]
         groups, at = [], [0, 0]
         for cut in sorted(set(ends[0]) & set(ends[1])):
-            to = [e.index(cut) + 1 for e in ends]
+            to = [p[cut] for p in place]
             groups.append("|".join(",".join(map(str, ids[k][at[k] : to[k]])) for k in (0, 1)))
             at = to
         return len(ids[0]), len(ids[1]), groups, links
@@ -96,7 +97,7 @@ def test_hard_texts(spark, docs, plain):
 
 def test_real_texts_in_small_chunks(spark, docs, plain, real, monkeypatch):
     """More chunks than documents: counts are still those of the corpus."""
-    monkeypatch.setattr(alignment, "CHUNK", 10_000)
+    monkeypatch.setattr(alignment, "CHUNK", 40_000)
     out = alignment.align_texts(docs(real).repartition(3), PAIR)
     assert found(out) == plain(real)
 
@@ -111,13 +112,17 @@ def test_no_documents(spark, docs):
     assert alignment.align_texts(docs([]), PAIR).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab .'\n\t1é数▁  x"), max_size=40), min_size=1, max_size=6))
-def test_cut_pieces_give_the_ids_of_whole_texts(texts):
-    pieces = alignment.AlignedPieces(PAIR)
+@pytest.fixture(scope="module")
+def libraries():
     a = Tokenizer.from_file(PAIR.a)
     a.encode_special_tokens = True
-    b = sentencepiece.SentencePieceProcessor(model_file=PAIR.b)
+    return alignment.AlignedPieces(PAIR), a, sentencepiece.SentencePieceProcessor(model_file=PAIR.b)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab .'\n\t1é数▁  x"), max_size=40), min_size=1, max_size=6))
+def test_cut_pieces_give_the_ids_of_whole_texts(libraries, texts):
+    pieces, a, b = libraries
     for text in texts:
         codes = np.frombuffer((" " + text).encode(), np.uint8)
         start, end, _ = alignment._cut(codes, np.array([0, len(codes)]))
