@@ -39,6 +39,7 @@ V_LOADS = {"MEDIUM": 40000.0, "STANDARD": 90000.0}
 
 #: Models of a side are fitted once for a session and its tables, with all candidates.
 _FITTED: dict[tuple[str, str, str], tuple[training.Trained, DataFrame, DataFrame]] = {}
+_ON_TRAINING_DAYS: dict[tuple[str, str], DataFrame] = {}
 
 _REGISTRY: dict[str, Query] = {}
 
@@ -761,7 +762,7 @@ def reload_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.Trained, DataFrame, DataFrame]:
-    """All five candidates of a side, the base table they were fitted on, and all their forecasts for it.
+    """All five candidates of a side, the base table they were fitted on, and all their forecasts for its held-out days.
 
     Fitting is the same work for every query below, so a session does it once per
     side; the written base table and the models are what the queries share.
@@ -772,9 +773,9 @@ def _fitted(spark: SparkSession, sf: str, side: history.Side) -> tuple[training.
         base = stage_table(opened.base_table(), f"abt-{side.name}")
         entities = opened.kept_entities or filters.names(base, "entity")
         trained = training.fit(side.name, base, opened.truck_names(), entities, settings=Settings())
-        forecasts = stage_table(trained.backtest(base, rounded=False), f"backtest-{side.name}")
-        trained.choices = stage_table(training.choose_by(trained, _held(forecasts), base), f"choice-{side.name}")
-        trained.accuracy = stage_table(training.own_accuracy(trained, _held(forecasts)), f"accuracy-{side.name}")
+        forecasts = stage_table(trained.backtest(_held(base), rounded=False), f"backtest-{side.name}")
+        trained.choices = stage_table(training.choose_by(trained, forecasts, base), f"choice-{side.name}")
+        trained.accuracy = stage_table(training.own_accuracy(trained, forecasts), f"accuracy-{side.name}")
         _FITTED[key] = trained, base, forecasts
     return _FITTED[key]
 
@@ -783,6 +784,16 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.where(~metrics.is_training_day(F.col("ship_date")))
 
 
+def _region_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts of every candidate for the days it was fitted on."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ON_TRAINING_DAYS:
+        trained, base, _ = _fitted(spark, sf, REGION_SIDE)
+        days = base.where(metrics.is_training_day(F.col("ship_date")))
+        _ON_TRAINING_DAYS[key] = stage_table(trained.backtest(days, rounded=False), "fit-region")
+    return _ON_TRAINING_DAYS[key]
+
+
 def _against_mean(trained: training.Trained, forecasts: DataFrame, candidate: str) -> DataFrame:
     """Per truck: held-out cells, MAE of the entities' training means there, and whether the candidate learned.
 
@@ -815,7 +826,7 @@ def _fit_digest(candidate: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         """One candidate over every region, against forecasting the mean."""
         trained, _, forecasts = _fitted(spark, sf, REGION_SIDE)
-        return _against_mean(trained, forecasts, candidate)
+        return _against_mean(trained, forecasts.unionByName(_region_fit(spark, sf)), candidate)
 
     return run
 
