@@ -239,3 +239,18 @@ def test_listed_entity_without_history_keeps_zero_columns(spark, base):
     assert matrix.where(F.col("ATLANTIS-1T") != 0).count() == 0
     moved = feats.withColumn("entity", F.lit("ATLANTIS"))
     assert rows_of(forecast.missing_entities(out, moved)) == [("ATLANTIS", 300)]
+
+
+def test_deep_trees_need_no_join_per_level(spark):
+    """A tree of 30 levels: one join in the plan, nothing written on the way, and nulls and NaN where Spark's comparison sends them."""
+    deep = [("NORTH", "1T", "random_forest", 0, 2**k, k, 0, 30.0 - k, 2 ** (k + 1), 2 ** (k + 1) + 1, 9.9, 1.0) for k in range(30)]
+    leaves = [("NORTH", "1T", "random_forest", 0, 2 ** (k + 1) + 1, k + 1, None, None, None, None, 30.0 - k, 1.0) for k in range(30)]
+    last = ("NORTH", "1T", "random_forest", 0, 2**30, 30, None, None, None, None, 0.0, 1.0)
+    nodes = spark.createDataFrame([*deep, *leaves, last], scoring.NODES)
+    volumes = [99.0, 30.0, 17.5, 0.5, None, float("nan")]
+    rows = [(date(2021, 3, 1 + i), "NORTH", v, 2021, 3, 1) for i, v in enumerate(volumes)]
+    df = spark.createDataFrame(rows, "ship_date date, entity string, total_volume double, year int, month int, weekday int")
+    got = scoring.forecasts(nodes, df, ["ship_date", "entity"], dates.FEATURES)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "scored-" not in plan
+    assert [r.raw for r in got.orderBy("ship_date").collect()] == [30.0, 29.0, 17.0, 0.0, 0.0, 30.0]
