@@ -385,8 +385,10 @@ def join_left_dest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def join_two_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders get their destination before the lines meet them: an order's lines share it, and the lines are shuffled once less."""
     locations = standin.locations(spark, sf)
-    out = joins.with_source(joins.with_destination(standin.shipments(spark, sf), locations, "left"), locations)
+    heads = joins.with_destination(standin.order_heads(spark, sf), locations, "left")
+    out = joins.with_source(standin.shipments(spark, sf, heads), locations)
     return out.select("shipment_xid", "source_name", "dest_name", "dest_zone2", "total_volume")
 
 

@@ -35,6 +35,7 @@ SCHEMAS = {
     "l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
+ORDER_COLUMNS = [c.split()[0] for c in SCHEMAS["orders"].split(", ")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +80,19 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shipment row per order line, in the canonical columns."""
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+def order_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with the destination that all their lines share."""
+    return table(spark, sf_dir, "orders").withColumn("dest_location_gid", _gid("CUST", "o_custkey"))
+
+
+def shipments(spark: SparkSession, sf_dir: str, heads: DataFrame | None = None) -> DataFrame:
+    """One shipment row per order line, in the canonical columns.
+
+    ``heads`` are ``order_heads`` with attributes that a join gave them, which every shipment of the order gets.
+    """
+    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders") if heads is None else heads
+    dest = _gid("CUST", "o_custkey") if heads is None else F.col("dest_location_gid")
+    given = [] if heads is None else [c for c in heads.columns if c != "dest_location_gid" and c not in ORDER_COLUMNS]
     lines = table(spark, sf_dir, "lineitem")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -100,7 +111,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
             _gid("VEHICLE", "l_partkey").alias("vehicle_no"),
             (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("total_actual_cost"),
             F.col("l_tax").alias("loaded_distance"),
-            _gid("CUST", "o_custkey").alias("dest_location_gid"),
+            dest.alias("dest_location_gid"),
             _gid("SUPP", "l_suppkey").alias("source_location_gid"),
             F.col("l_returnflag").alias("principal"),
             F.col("o_orderpriority").alias("route"),
@@ -110,6 +121,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_linestatus").alias("perspective"),
             F.col("l_shipdate").alias("start_ts"),
             (F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).alias("end_ts"),
+            *given,
         )
     )
 
