@@ -6,7 +6,11 @@
 2. Tokens of a host with equal vectors form an equivalence class. Classes on
    enough pages are candidates.
 3. A class is valid if its tokens stand in the same order, as often as its vector
-   says, on every page; pages check that and their votes are aggregated.
+   says, on every page, and if it nests with every larger class: on each page the
+   occurrences of one lie between neighbouring tokens of the other. Two classes that
+   interleave in one and the same way on all pages have tokens that differ by their
+   place alone, parts of one class when told apart, and both stay; else the smaller
+   one is chance. Pages check order and nesting and their votes are aggregated.
 4. The largest valid class that occurs once on each page is the root of the
    template; its tokens cut a page into slots, and the other valid classes nest in
    them. Text of template tokens is no content. Of the remaining slots those of
@@ -27,6 +31,7 @@ and cut off markup is read as far as it goes; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,31 +106,64 @@ def _with_classes(pages: DataFrame, classes: DataFrame, how: str) -> DataFrame:
 
 
 def valid_classes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates whose tokens keep one order on all pages of the host."""
+    """The candidates whose tokens keep one order on all pages of the host, and that nest with the larger ones that do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "html"):
-            found: dict[tuple[str, int], list[int]] = {}
+            found: dict[tuple[str, int, int], list[int]] = {}
+            marks: dict[tuple, dict[tuple[int, int], int]] = {}
             for host, html, classes in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "classes"))):
                 tokens = parse(html or "").tokens
                 owner = {t: c["class"] for c in classes for t in c["tokens"]}
+                size = {c["class"]: len(c["tokens"]) for c in classes}
+                mine = [token for token in tokens if token in owner]
                 order: dict[int, list[int]] = {}
-                for token in tokens:
-                    if token in owner:
-                        order.setdefault(owner[token], []).append(token)
-                for c in classes:
-                    if sequence := order.get(c["class"]):
-                        mark = _period(sequence, len(c["tokens"]))
-                        entry = found.setdefault((host, c["class"]), [mark, mark])
-                        entry[:] = min(entry[0], mark), max(entry[1], mark)
+                for token in mine:
+                    order.setdefault(owner[token], []).append(token)
+                votes = {(c, c): _period(sequence, size[c]) for c, sequence in order.items()}
+                # Pages of one layout have one answer.
+                owners = tuple(c for c in map(owner.__getitem__, mine) if votes[c, c] >= 0)
+                if (host, owners) not in marks:
+                    marks[host, owners] = _nesting(owners, size)
+                votes |= marks[host, owners]
+                for (one, other), mark in votes.items():
+                    entry = found.setdefault((host, one, other), [mark, mark])
+                    entry[:] = min(entry[0], mark), max(entry[1], mark)
             keys = list(found)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
+            columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
             columns += [pa.array([found[k][i] for k in keys], pa.int64()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "class", "low", "high"])
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "class", "larger", "low", "high"])
+
+    voted = _with_classes(pages, per_host(candidates), "inner").mapInArrow(
+        run, "host string, class long, larger long, low long, high long"
+    )
+    agreed = stage_table(
+        voted.groupBy("host", "class", "larger").agg(F.min("low").alias("low"), F.max("high").alias("high")), "class-votes"
+    )
+    ordered = agreed.where("class = larger and low = high and low >= 0").select("host", "class")
+    crossing = agreed.where("class != larger and low != high").select("host", "class", "larger")
+    # Only a class that keeps its own order can speak against another.
+    crossing = crossing.join(ordered.withColumnRenamed("class", "larger"), ["host", "larger"], "left_semi")
+    return candidates.join(ordered, ["host", "class"]).join(crossing, ["host", "class"], "left_anti")
+
+
+def _nesting(owners: tuple[int, ...], size: dict[int, int]) -> dict[tuple[int, int], int]:
+    """Per pair (class, larger class) of a page's template tokens: 0 if they nest there, else a hash of how they interleave."""
+    places: dict[int, list[int]] = {}
+    for place, owner in enumerate(owners):
+        places.setdefault(owner, []).append(place)
+    ranked = sorted(places, key=lambda c: (size[c], c))
+    out = {}
+    for i, one in enumerate(ranked):
+        for other in ranked[i + 1 :]:
+            nests = _within(places[one], size[one], places[other]) or _within(places[other], size[other], places[one])
+            out[one, other] = 0 if nests else 1 + (hash(tuple(o == one for o in owners if o in (one, other))) & 0x3FFFFFFFFFFFFFFF)
+    return out
+
 
-    votes = _with_classes(pages, per_host(candidates), "inner").mapInArrow(run, "host string, class long, low long, high long")
-    agreed = votes.groupBy("host", "class").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return candidates.join(agreed.where("low = high and low >= 0").select("host", "class"), ["host", "class"])
+def _within(inner: list[int], size: int, outer: list[int]) -> bool:
+    """Whether no token of ``outer`` stands inside an occurrence of the inner class."""
+    return all(bisect_left(outer, inner[k]) == bisect_left(outer, inner[k + size - 1]) for k in range(0, len(inner), size))
 
 
 def _period(sequence: list[int], size: int) -> int:

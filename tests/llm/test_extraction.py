@@ -203,3 +203,17 @@ def test_classes_equal_a_plain_deduction_over_one_host(spark):
     df = spark.createDataFrame([("h", i, h) for i, h in enumerate(htmls)], "host string, mark long, html string").repartition(3)
     got = extraction.valid_classes(df, extraction.candidate_classes(df)).collect()
     assert {tuple(sorted(r.tokens)): r.once for r in got} == want
+
+
+def test_a_class_that_crosses_a_larger_one_by_chance_is_no_template(spark):
+    """Ordered classes A B and S T: around other tokens of the template on other pages, and always around the same ones."""
+    htmls = []
+    for i in range(8):
+        turned = "A f0 f1 B A f2 B" if i % 2 else "A f0 B f1 A f2 B"
+        blocks = [f"<div class={b if b[1:] else 'x'}>{b}</div>" for b in f"{turned} S g0 T S g1 T S g2 T S g3 T g4".split()]
+        htmls.append(f"<body>{''.join(blocks)}<p>{i}</p></body>")
+    df = spark.createDataFrame([("h", i, h) for i, h in enumerate(htmls)], "host string, mark long, html string").repartition(3)
+    page = parse(htmls[0])
+    text = {page.tokens[b.token]: b.text for b in page.blocks}
+    got = [sorted(text[t] for t in r.tokens if t in text) for r in extraction.valid_classes(df, extraction.candidate_classes(df)).collect()]
+    assert sorted(t for t in got if t) == [["S", "T"], ["f0", "f1", "f2", "g0", "g1", "g2", "g3", "g4"]]
