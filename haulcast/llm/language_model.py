@@ -129,7 +129,7 @@ def teach(code: Code, units: Units, counts: Counts, online: Mixer) -> None:
         first, last = offsets[low], offsets[high]
         inside = offsets[low : high + 1] - first
         bits = Bits.of(code, codes[first:last], inside, units.previous[at[low:high]])
-        mass = np.repeat(n[low:high].astype(np.float64), np.diff(np.append(0, bits.ends)[inside]))
+        mass = bits.of_bytes(np.repeat(n[low:high].astype(np.float64), np.diff(inside)))
         online.learn(bits, counts.guess(bits), mass)
         counts.add(bits, mass)
 

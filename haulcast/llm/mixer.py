@@ -37,37 +37,36 @@ START = 0.3
 
 @dataclass
 class Code:
-    """Paths of the 256 bytes in a tree built for their frequencies."""
+    """A binary tree built for the frequencies of the 256 bytes, its leaves numbered from left to right.
+
+    Below a node lie the leaves ``spans[node]``: from the first number to the second by a zero, from there to the third by a one.
+    """
 
     length: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    rank: np.ndarray
+    spans: np.ndarray
 
     @staticmethod
     def of(counts: np.ndarray) -> Code:
         heap = [(float(c) + 1, i, i) for i, c in enumerate(counts)]
         heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        made = 256
+        below: list[tuple[int, int]] = []
+        size = [1] * 256
         while len(heap) > 1:
             a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
+            made = len(size)
+            below.append((a[2], b[2]))
+            size.append(size[a[2]] + size[b[2]])
             heapq.heappush(heap, (a[0] + b[0], made, made))
-            made += 1
-        paths = []
-        for symbol in range(256):
-            path, at = [], symbol
-            while at in parent:
-                path.append((parent[at][0] - 256, parent[at][1]))
-                at = parent[at][0]
-            paths.append(path[::-1])
-        length = np.array([len(p) for p in paths], np.int64)
-        node = np.zeros((256, length.max()), np.uint32)
-        bit = np.zeros((256, length.max()), np.uint8)
-        for symbol, path in enumerate(paths):
-            for depth, (n, b) in enumerate(path):
-                node[symbol, depth], bit[symbol, depth] = n, b
-        return Code(length, node, bit)
+        depth, first = [0] * len(size), [0] * len(size)
+        spans = np.zeros((len(below), 3), np.int64)
+        for node in range(len(below) - 1, -1, -1):
+            zero, one = below[node]
+            at = 256 + node
+            depth[zero] = depth[one] = depth[at] + 1
+            first[zero], first[one] = first[at], first[at] + size[zero]
+            spans[node] = first[zero], first[one], first[at] + size[at]
+        return Code(np.array(depth[:256], np.int64), np.array(first[:256], np.uint8), spans)
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -108,30 +107,67 @@ def _contexts(codes: np.ndarray, offsets: np.ndarray, previous: np.ndarray) -> l
 
 @dataclass
 class Bits:
-    """Steps of all bytes of a block: tree node, outcome, byte and table slot of each predictor."""
+    """Steps of all bytes of a block, those of a tree node together: node, outcome and table slot of each predictor.
+
+    The bytes lie in the order of the tree's leaves, ``order``, so those below a node are a piece of it, ``low:high``.
+    """
 
     node: np.ndarray
     bit: np.ndarray
-    ends: np.ndarray
+    order: np.ndarray
+    used: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    starts: np.ndarray
     slots: list[np.ndarray]
 
     @staticmethod
     def of(code: Code, codes: np.ndarray, offsets: np.ndarray, previous: np.ndarray) -> Bits:
-        length = code.length[codes]
-        ends = np.cumsum(length)
-        byte = np.repeat(np.arange(len(codes), dtype=np.int32), length)
-        depth = np.arange(len(byte), dtype=np.int32) - np.repeat((ends - length).astype(np.int32), length)
-        at = codes[byte].astype(np.int32) * np.int32(code.node.shape[1]) + depth
-        node = code.node.ravel()[at]
-        salt = node * np.uint32(0x9E3779B1)
-        slots = []
-        for context, bits in zip(_contexts(codes, offsets, previous), TABLE_BITS):
+        rank = code.rank[codes]
+        order = np.argsort(rank, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(rank, minlength=256)))
+        low, middle, high = ends[code.spans].T
+        used = np.flatnonzero(low < high)
+        low, middle, high = low[used], middle[used], high[used]
+        size = high - low
+        outcomes = np.tile(np.array([0, 1], np.uint8), len(used))
+        bit = np.repeat(outcomes, np.stack([middle - low, high - middle], axis=1).ravel())
+        bits = Bits(np.repeat(used, size), bit, order, used, low, high, np.cumsum(size) - size, [])
+        salt = np.repeat(used.astype(np.uint32) * np.uint32(0x9E3779B1), size)
+        for context, width in zip(_contexts(codes, offsets, previous), TABLE_BITS):
             # Contexts are well mixed already: the node moves each to a place of its own.
-            slot = context[byte]
+            slot = bits.of_bytes(context)
             slot += salt
-            slot >>= np.uint32(32 - bits)
-            slots.append(slot)
-        return Bits(node, code.bit.ravel()[at], ends, slots)
+            slot >>= np.uint32(32 - width)
+            bits.slots.append(slot)
+        return bits
+
+    def of_bytes(self, values: np.ndarray) -> np.ndarray:
+        """For each step the value of its byte."""
+        values = values[self.order]
+        return np.concatenate([values[a:b] for a, b in zip(self.low.tolist(), self.high.tolist())])
+
+    def of_nodes(self, values: np.ndarray) -> np.ndarray:
+        """For each step the value of its node."""
+        out = np.empty(len(self.node), values.dtype)
+        for at, size, value in zip(self.starts.tolist(), (self.high - self.low).tolist(), values[self.used]):
+            out[at : at + size] = value
+        return out
+
+    def by_node(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the steps of each node."""
+        out = np.zeros(NODES)
+        out[self.used] = np.add.reduceat(values, self.starts)
+        return out
+
+    def by_byte(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the steps of each byte."""
+        sums = np.zeros(len(self.order))
+        for a, b, at in zip(self.low.tolist(), self.high.tolist(), self.starts.tolist()):
+            sums[a:b] += values[at : at + b - a]
+        out = np.empty_like(sums)
+        out[self.order] = sums
+        return out
 
 
 @dataclass
@@ -143,7 +179,10 @@ class Counts:
     def add(self, bits: Bits, weight: np.ndarray) -> None:
         weight = weight.astype(np.int32)
         for table, slot in zip(self.tables, bits.slots):
-            np.add.at(table, (slot << np.uint32(1)) | bits.bit, weight)
+            place = slot.astype(np.intp)
+            place <<= 1
+            place |= bits.bit
+            np.add.at(table, place, weight)
 
     def guesses(self) -> list[np.ndarray]:
         """Log odds of a one in each slot."""
@@ -153,9 +192,11 @@ class Counts:
         """The same for the slots of some bits only."""
         out = np.empty((PREDICTORS, len(bits.node)), np.float32)
         for k, (t, slot) in enumerate(zip(self.tables, bits.slots)):
-            zeros, ones = (t[2 * slot + b].astype(np.float32) + np.float32(0.4) for b in (0, 1))
-            out[k] = np.log(ones / zeros)
-        return out.clip(-LIMIT, LIMIT)
+            # Both counts of a slot are fetched at once, as one number of eight bytes.
+            both = t.view(np.int64).take(slot, mode="clip").view(t.dtype).astype(np.float32)
+            both += np.float32(0.4)
+            np.log(np.divide(both[1::2], both[::2], out=out[k]), out=out[k])
+        return out.clip(-LIMIT, LIMIT, out=out)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -171,31 +212,37 @@ class Mixer:
     seen: np.ndarray = field(default_factory=lambda: np.full(NODES * STEPS, 8.0))
     total: float = 0.0
 
-    def mixed(self, node: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        out = self.weights[0][node] * guess[0]
+    def mixed(self, bits: Bits, guess: np.ndarray | list[np.ndarray]) -> np.ndarray:
+        out = bits.of_nodes(self.weights[0]) * guess[0]
         for k in range(1, PREDICTORS):
-            out += self.weights[k][node] * guess[k]
+            out += bits.of_nodes(self.weights[k]) * guess[k]
         return np.clip(out, -LIMIT, LIMIT, out=out)
 
     def learn(self, bits: Bits, guess: np.ndarray, weight: np.ndarray) -> None:
         """One online step: move the weights along the gradient of the bits' cost, and note what happened."""
-        dot = self.mixed(bits.node, guess)
+        dot = self.mixed(bits, guess)
         error = (bits.bit - _squash(dot)) * weight
-        mass = np.bincount(bits.node, weight, NODES) + 30.0
+        mass = bits.by_node(weight) + 30.0
         for k in range(PREDICTORS):
-            step = np.bincount(bits.node, error * guess[k], NODES) / mass
+            step = bits.by_node(error * guess[k]) / mass
             self.weights[k] += (LEARN * step).astype(np.float32)
         cell, part = _cells(bits.node, dot)
-        for at, share in ((cell, 1 - part), (cell + 1, part)):
-            self.seen += np.bincount(at, share * weight, len(self.seen))
-            self.ones += np.bincount(at, share * weight * bits.bit, len(self.ones))
+        # The outcomes' cells lie one table after the other, so that one pass counts both.
+        at = cell + bits.bit * np.intp(len(self.seen))
+        whole = np.bincount(at, weight, 2 * len(self.seen))
+        upper = np.bincount(at, part * weight, 2 * len(self.seen))
+        whole -= upper
+        whole[1:] += upper[:-1]
+        zeros, ones = whole.reshape(2, -1)
+        self.seen += zeros + ones
+        self.ones += ones
         self.total += float(weight.sum())
 
 
 def _cells(node: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = (dot + np.float32(LIMIT)) * np.float32((STEPS - 1) / (2 * LIMIT))
     low = np.minimum(at.astype(np.int32), STEPS - 2)
-    return node.astype(np.int32) * np.int32(STEPS) + low, at - low
+    return node * STEPS + low, at - low
 
 
 def _start_of_refinement() -> np.ndarray:
@@ -219,12 +266,11 @@ class Model:
             first, last = offsets[low], offsets[high]
             inside = offsets[low : high + 1] - first
             bits = Bits.of(self.code, codes[first:last], inside, previous[low:high])
-            dot = mixer.mixed(bits.node, [table[slot] for table, slot in zip(self.guesses, bits.slots)])
+            dot = mixer.mixed(bits, [table.take(slot, mode="clip") for table, slot in zip(self.guesses, bits.slots)])
             cell, part = _cells(bits.node, dot)
-            refined = self.refined[cell] * (1 - part) + self.refined[cell + 1] * part
+            refined = self.refined.take(cell, mode="clip") * (1 - part) + self.refined.take(cell + 1, mode="clip") * part
             chance = ((_squash(dot) + refined) / 2).clip(1e-6, 1 - 1e-6)
             cost = np.log(np.where(bits.bit == 1, chance, 1 - chance))
-            sums = np.append(0.0, np.cumsum(cost, dtype=np.float64))
-            ends = np.append(0, bits.ends)[inside]
-            out[low:high] = np.diff(sums[ends]) / np.log(10)
+            sums = np.append(0.0, np.cumsum(bits.by_byte(cost)))
+            out[low:high] = np.diff(sums[inside]) / np.log(10)
         return out

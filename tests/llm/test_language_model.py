@@ -130,3 +130,24 @@ def test_every_unit_teaches_the_mixer():
     LM.teach(code, units, counts, online)
     assert len(units.codes) > 4 * mixer.BLOCK
     assert online.total == counts.tables[0].sum() == code.length[units.codes].sum()
+
+
+def test_steps_of_a_node_lie_together_and_sum_as_on_the_paths():
+    code = mixer.Code.of(np.arange(256) ** 2)
+    units, offsets = np.frombuffer(b"the cat sat \xff", np.uint8), np.array([0, 4, 8, 12, 13])
+    bits = mixer.Bits.of(code, units, offsets, np.array([0, 3, 9, 5]))
+    assert (np.diff(bits.node) >= 0).all() and len(bits.node) == code.length[units].sum()
+    paths = []
+    for at, rank in enumerate(code.rank[units].tolist()):
+        for node, (low, middle, high) in enumerate(code.spans.tolist()):
+            if low <= rank < high:
+                paths.append((node, int(rank >= middle), at))
+    found = list(zip(bits.node.tolist(), bits.bit.tolist(), bits.of_bytes(np.arange(len(units))).tolist()))
+    assert sorted(found) == sorted(paths)
+    weight = np.arange(len(found)) + 1.0
+    by_node, by_byte = np.zeros(mixer.NODES), np.zeros(len(units))
+    for (node, _, at), w in zip(found, weight):
+        by_node[node] += w
+        by_byte[at] += w
+    assert (bits.by_node(weight) == by_node).all() and (bits.by_byte(weight) == by_byte).all()
+    assert bits.of_nodes(np.arange(mixer.NODES)).tolist() == bits.node.tolist()
