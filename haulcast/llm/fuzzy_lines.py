@@ -8,7 +8,7 @@
    fetched once, and pairs are confirmed on their full shingle sets.
 4. Confirmed pairs become components by union-find: a forest inside each task,
    then alternating stars between tasks. What buckets left open is finished
-   exactly, as in operator 1.
+   exactly, as in operator 1, by a shared order of shingles that is about the rarest first.
 5. Of each component the earliest line (smallest document id, then line number)
    stays; all others, exact copies included, go.
 
@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcast.llm.components import components
+from haulcast.llm.decontaminate import summed
 from haulcast.llm.minhash import MinHash
-from haulcast.llm.neardup import full_sets, hub_pairs, open_members, open_pairs, rarest, similar
+from haulcast.llm.neardup import hub_pairs, open_members, open_pairs, similar
 from haulcast.llm.substrings import NULL_ID, _packed, _unpacked, bucket_of
 from haulcast.llm.tables import only, spread
 from haulcast.llm.words import KEEP_CASE, bytes_of, signed, span_hash, span_hash_bytes, span_sums, steps, strings, text_buffer, words_of
@@ -48,6 +49,8 @@ CHUNK = 1 << 14
 LOAD = 12 << 20
 #: Bytes of text taken at once.
 STEP = 1 << 20
+#: Places that count shingles together. They only order the shingles: any order finds the same pairs, a good one meets few others.
+RARITY_BITS = 22
 
 
 class Lines:
@@ -284,6 +287,42 @@ def confirmed_lines(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long")
 
 
+def first_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, place): the first shingles of each line, as many as ``percent`` lets differ and one, about the rarest first.
+
+    ``place`` is the shingle's place (from 1) in its line's set of ``n``, in one order of shingles for all lines.
+    """
+    shift = np.uint64(64 - RARITY_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        seen = np.zeros(1 << RARITY_BITS)
+        for batch in steps(batches, "text", STEP):
+            found, _ = shingles(*text_buffer(batch.column("text")))
+            np.add.at(seen, (found >> shift).astype(np.intp), 1.0)
+        return seen
+
+    often = summed(texts, count, 1 << RARITY_BITS).clip(0, 2**32 - 1).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text", STEP):
+            found, starts = shingles(*text_buffer(batch.column("text")))
+            line = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            order = np.lexsort((found, often[(found >> shift).astype(np.intp)], line))
+            found, line = found[order], line[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (line[1:] != line[:-1])
+            found, line = found[new], line[new]
+            size = np.bincount(line, minlength=batch.num_rows)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + 1
+            least = -(-size * percent // 100)
+            sent = place <= (size - least + 1)[line]
+            id_ = batch.column("id").take(pa.array(line[sent]))
+            columns = [pa.array(signed(found[sent])), id_, pa.array(size[line[sent]]), pa.array(place[sent])]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "place"])
+
+    return texts.mapInArrow(run, "key long, id long, n long, place long")
+
+
 def line_components(named: DataFrame, lines: DataFrame, percent: int, hashes: MinHash, buckets: int) -> DataFrame:
     """(node, root) of the line classes that are similar to another one."""
     shared = stage_table(shared_keys(named, hashes, buckets), "line-buckets")
@@ -292,8 +331,8 @@ def line_components(named: DataFrame, lines: DataFrame, percent: int, hashes: Mi
     roots = stage_table(components(forests(found)), "line-roots")
     left = stage_table(open_members(shared, roots), "line-open")
     if not left.isEmpty():
-        some = texts.join(left.select("id"), "id", "left_semi").dropDuplicates(["id"])
-        rare = rarest(full_sets(some, _sets, STEP // 4), percent)
+        some = stage_table(texts.join(left.select("id"), "id", "left_semi").dropDuplicates(["id"]), "line-rest")
+        rare = first_shingles(some, percent)
         more = stage_table(confirmed_lines(open_pairs(rare, left, percent), texts, percent), "line-links")
         if not more.isEmpty():
             stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))

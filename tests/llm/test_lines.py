@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from haulcast.llm import fuzzy_lines as L
 
@@ -74,3 +75,27 @@ def test_texts_without_the_removed_lines(docs):
     out = L.remove_lines(docs(rows))
     assert out.columns == docs(rows).columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 2: "first\n\nlast", 3: None}
+
+
+def test_first_shingles_are_few_and_similar_lines_share_one(spark):
+    draw = random.Random(3)
+    texts = {}
+    for i in range(0, 60, 2):
+        base = "".join(draw.choice("abcdefgh é") for _ in range(draw.randrange(60, 200)))
+        texts[i], texts[i + 1] = base + " as all lines end", base[:-3] + "xyz as all lines end"
+    texts[60] = "short"
+    lines = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    rows = L.first_shingles(lines, 80).collect()
+    sets = {i: {x[a : a + L.SHINGLE] for a in range(max(len(x) - L.SHINGLE + 1, 1))} for i, x in texts.items()}
+    mine = {i: {r.place: r.key for r in rows if r.id == i} for i in texts}
+    for i, elements in sets.items():
+        n = len(elements)
+        assert {r.n for r in rows if r.id == i} == {n}
+        assert sorted(mine[i]) == list(range(1, n + 2 + (-n * 80 // 100)))
+    for i in sets:
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                assert set(mine[i].values()) & set(mine[j].values())
+    # What all lines hold comes last, so that it makes no pairs.
+    assert max(Counter(r.key for r in rows).values()) <= 4
