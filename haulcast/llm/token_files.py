@@ -10,7 +10,7 @@ be read alone and a lost task is written again whole. Reading checks every frame
 
 Words between ASCII white space never influence each other's ids in the
 tokenizers this is made for (white space is dropped before words are split);
-each distinct word is encoded once per task.
+each distinct word is encoded once per task, many of them in one call.
 
 Defined cases: a null or empty text is its end id alone; a null id comes first,
 as in an ascending sort; rows that repeat an id follow each other in the order of
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from haulcast.llm import id_coder
 from haulcast.llm.tables import only
-from haulcast.llm.token_cache import IdCache, json_encoder
+from haulcast.llm.token_cache import IdCache, word_encoder
 from haulcast.llm.words import KEEP_CASE, SPACES, steps, words_of
 
 MAGIC = b"HCT1"
@@ -84,7 +84,7 @@ class _Waiting:
 
 def _write(form: Format) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = IdCache(json_encoder(form.tokenizer))
+        cache = IdCache(word_encoder(form.tokenizer))
         part = TaskContext.get().partitionId()
         ids, n_ids, first = [], 0, 0  # waiting ids, and the place of the first of them in the part
         doc_ids, doc_firsts, doc_counts = pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from haulcast.llm import id_coder, token_files
+from haulcast.llm import id_coder, token_cache, token_files
 from haulcast.llm.token_files import Format
 from haulcast.staging import new_path
 from pyspark.errors import PySparkException
@@ -124,3 +124,14 @@ def test_crc_of_joined_pieces():
     a, b = b"some bytes", b"and some more of them" * 9
     moved = token_files.crc_before(np.array([zlib.crc32(a), zlib.crc32(b)]), np.array([len(b), 0]))
     assert moved[0] ^ moved[1] == zlib.crc32(a + b)
+
+
+def test_words_in_one_text_get_the_ids_of_words_alone():
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abeé'7ß数😀.\u0301") for _ in range(draw.randrange(1, 12))) for _ in range(3000)]
+    words += ["a\x01b", "\x01", "\u0301abc", "<|endoftext|>", "x<|startoftext|>y", "don't", "'s", "ΑΣ", "a\u00a0b", "\u2003", "x" * 3000]
+    joined = token_cache.word_encoder(FORM.tokenizer)
+    for some in (words, words[-11:], words[:1], []):
+        ids, counts = joined(some)
+        plain, sizes = token_cache.json_encoder(FORM.tokenizer)(some)
+        assert ids.tolist() == plain.tolist() and counts.tolist() == sizes.tolist()
