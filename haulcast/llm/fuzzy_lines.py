@@ -1,11 +1,12 @@
 """Operator 5: fuzzy line dedup by MinHash.
 
 1. Every line is lower-cased and its white space joined; equal lines are one
-   class, known by a hash. A task sends each class of its load once.
+   class, known by a hash. A task hashes and sends each class of its load once.
 2. The minima of a line's character shingles make band keys, which go to buckets
    in packed form; buckets report keys that several classes share.
 3. In each shared bucket one hub meets the others; texts of the classes met are
-   fetched once, and pairs are confirmed on their full shingle sets.
+   fetched once, and pairs are confirmed on their full shingle sets; bits of the
+   lines rule out most other pairs before.
 4. Confirmed pairs become components by union-find: a forest inside each task,
    then alternating stars between tasks. What buckets left open is finished
    exactly, as in operator 1, by a shared order of shingles that is about the rarest first.
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 from haulcast.llm.components import components
 from haulcast.llm.decontaminate import summed
 from haulcast.llm.minhash import MinHash
-from haulcast.llm.neardup import hub_pairs, open_members, open_pairs, similar
+from haulcast.llm.neardup import hub_pairs, open_members, open_pairs
 from haulcast.llm.substrings import NULL_ID, _packed, _unpacked, bucket_of
 from haulcast.llm.tables import only, spread
-from haulcast.llm.words import KEEP_CASE, bytes_of, signed, span_hash, span_hash_bytes, span_sums, steps, strings, text_buffer, words_of
+from haulcast.llm.words import KEEP_CASE, bytes_of, signed, span_hash, span_hash_bytes, steps, strings, text_buffer, window_sums, words_of
 from haulcast.staging import stage_table
 
 SHINGLE = 8
@@ -51,6 +52,8 @@ LOAD = 12 << 20
 STEP = 1 << 20
 #: Places that count shingles together. They only order the shingles: any order finds the same pairs, a good one meets few others.
 RARITY_BITS = 22
+#: Bits that tell apart most lines which are not similar, before their sets are compared.
+MARKS = 1 << 11
 
 
 class Lines:
@@ -58,9 +61,9 @@ class Lines:
 
     def __init__(self, column: pa.Array) -> None:
         words = words_of(pc.utf8_lower(column), fold=KEEP_CASE)
-        breaks = np.flatnonzero(words.codes == 0x0A)
-        before = np.searchsorted(breaks, words.offsets[:-1])
-        number = np.searchsorted(breaks, words.start) - before[words.doc]
+        breaks = np.zeros(len(words.codes) + 1, np.int32)
+        np.cumsum(words.codes == 0x0A, dtype=np.int32, out=breaks[1:])
+        number = breaks[words.start] - breaks[words.offsets[:-1]][words.doc]
         new = np.ones(len(words.start), bool)
         new[1:] = (words.doc[1:] != words.doc[:-1]) | (number[1:] != number[:-1])
         self.words, self.first = words, np.flatnonzero(new)
@@ -89,47 +92,34 @@ def _text_marks(column: pa.Array) -> np.ndarray:
     return span_hash_bytes(codes, offsets[:-1], offsets[1:])
 
 
-def line_table(named: DataFrame) -> DataFrame:
-    """(id, mark, numbers, lines) of frame (id, text): hashes of each row's lines and their numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", STEP):
-            lines = Lines(batch.column("text"))
-            ends = pa.array(np.append(0, np.cumsum(lines.n)).astype(np.int32))
-            columns = [
-                batch.column("id"),
-                pa.array(signed(_text_marks(batch.column("text")))),
-                pa.ListArray.from_arrays(ends, pa.array(lines.number.astype(np.int32))),
-                pa.ListArray.from_arrays(ends, pa.array(signed(lines.hash))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "numbers", "lines"])
-
-    return named.mapInArrow(run, "id long, mark long, numbers array<int>, lines array<long>")
-
-
 #: A random number per character, the same in every task.
 _VALUES = np.random.default_rng(77).integers(1, 1 << 64, 1 << 16, dtype=np.uint64)
 
 
 def shingles(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE characters of the lines, and where each line's begin."""
+    """Hashes of all runs of SHINGLE characters of the lines, none of them empty, and where each line's begin."""
     lead = (codes & 0xC0) != 0x80
     chars = np.frombuffer(codes.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     sizes = np.add.reduceat(lead, offsets[:-1], dtype=np.int64) if len(offsets) > 1 else np.zeros(0, np.int64)
     ends = np.append(0, np.cumsum(sizes))
-    many = np.maximum(sizes - SHINGLE + 1, 1)
-    starts = np.append(0, np.cumsum(many))
-    at = np.arange(starts[-1]) - np.repeat(starts[:-1] - ends[:-1], many)
-    stop = np.minimum(at + SHINGLE, np.repeat(ends[1:], many))
-    return span_sums(_VALUES[chars & 0xFFFF] + (chars >> 16), at, stop), starts
+    starts = np.append(0, np.cumsum(np.maximum(sizes - SHINGLE + 1, 1)))
+    return window_sums(_VALUES[chars & 0xFFFF] + (chars >> 16), ends, SHINGLE), starts
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """Shingle set of each normalised line."""
-    codes, offsets = text_buffer(column)
-    found, starts = shingles(codes, offsets)
-    for i in range(len(column)):
-        yield np.unique(found[starts[i] : starts[i + 1]])
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """Shingle set of each normalised line; lines that occur several times share one."""
+    coded = column.dictionary_encode()
+    found, starts = shingles(*text_buffer(coded.dictionary))
+    sets = [np.unique(found[low:high]) for low, high in zip(starts[:-1], starts[1:])]
+    return [sets[i] for i in coded.indices.to_pylist()]
+
+
+def _overlap(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sets that are sorted and not empty."""
+    union = np.concatenate([first, second])
+    union.sort()
+    shared = int((union[1:] == union[:-1]).sum())
+    return 100 * shared >= percent * (len(union) - shared)
 
 
 def minima(found: np.ndarray, starts: np.ndarray, hashes: MinHash) -> np.ndarray:
@@ -151,41 +141,71 @@ def minima(found: np.ndarray, starts: np.ndarray, hashes: MinHash) -> np.ndarray
 _KEYS = pa.schema([("key", pa.int32()), ("id", pa.int64())])
 
 
-def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
-    """(key, id, size): classes of lines that share a band key with another class."""
+def line_table(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
+    """Two kinds of rows from one reading of frame (id, text).
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    (id, mark, numbers, lines): hashes of each row's lines and their numbers.
+    (bucket, keys), the others null: packed band keys of the distinct lines of a load.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
+        known: set[int] = set()
 
         def blobs() -> Iterator[pa.RecordBatch]:
             if not ids:
                 return
-            id_, first = np.unique(np.concatenate(ids), return_index=True)
-            key = np.concatenate(keys)[first].reshape(-1)
-            id_ = np.repeat(id_, hashes.bands)
+            key = np.concatenate(keys).reshape(-1)
+            id_ = np.repeat(np.concatenate(ids), hashes.bands)
             bucket = bucket_of(key, buckets)
             key = (key >> 32).astype(np.int32)
             order = np.lexsort((key, bucket))
             key, id_, bucket = key[order], id_[order], bucket[order]
             cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            for low, high in zip(cut[:-1], cut[1:]):
-                blob = _packed(pa.table([pa.array(key[low:high]), pa.array(id_[low:high])], schema=_KEYS))
-                columns = [pa.array([int(bucket[low])]), pa.array([blob], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "keys"])
+            parts = [pa.table([pa.array(key[a:b]), pa.array(id_[a:b])], schema=_KEYS) for a, b in zip(cut[:-1], cut[1:])]
+            yield _line_rows(len(parts), bucket=pa.array(bucket[cut[:-1]]), keys=pa.array([_packed(x) for x in parts], pa.binary()))
 
         for batch in steps(batches, "text", STEP):
             lines = Lines(batch.column("text"))
+            ends = pa.array(np.append(0, np.cumsum(lines.n)).astype(np.int32))
+            yield _line_rows(
+                batch.num_rows,
+                id=batch.column("id"),
+                mark=pa.array(signed(_text_marks(batch.column("text")))),
+                numbers=pa.ListArray.from_arrays(ends, pa.array(lines.number.astype(np.int32))),
+                lines=pa.ListArray.from_arrays(ends, pa.array(signed(lines.hash))),
+            )
             id_, first = np.unique(signed(lines.hash), return_index=True)
-            codes, offsets = lines.text(first)
+            new = np.array([x not in known for x in id_.tolist()], bool)
+            id_, first = id_[new], first[new]
             if len(id_):
+                known.update(id_.tolist())
+                codes, offsets = lines.text(first)
                 keys.append(signed(hashes.band_keys(minima(*shingles(codes, offsets), hashes))))
                 ids.append(id_)
             held += len(lines.words.codes)
             if held >= LOAD:
                 yield from blobs()
                 keys, ids, held = [], [], 0
+                known.clear()
         yield from blobs()
 
+    return named.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _LINE_ROWS.items()))
+
+
+_LINE_ROWS = {"id": "long", "mark": "long", "numbers": "array<int>", "lines": "array<long>", "bucket": "long", "keys": "binary"}
+_LINE_KINDS = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+
+
+def _line_rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of which some columns are given."""
+    whole = [columns.get(name, pa.nulls(n, kind)) for name, kind in zip(_LINE_ROWS, _LINE_KINDS)]
+    return pa.RecordBatch.from_arrays(whole, names=list(_LINE_ROWS))
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, id, size): classes of lines that share a band key with another class, from packed rows (bucket, keys)."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bucket = [], None
         for batch in batches:
@@ -198,8 +218,8 @@ def shared_keys(named: DataFrame, hashes: MinHash, buckets: int) -> DataFrame:
         if parts:
             yield _meeting(pa.concat_tables(parts), bucket)
 
-    rows = named.mapInArrow(send, "bucket long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(meet, "key long, id long, size long")
+    met = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(meet, "key long, id long, size long")
 
 
 def _meeting(rows: pa.Table, bucket: int) -> pa.RecordBatch:
@@ -247,8 +267,31 @@ def forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _marked(codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """MARKS bits of each line, those at the places of its shingles."""
+    blobs = []
+    for at in range(0, len(offsets) - 1, 1 << 10):
+        ends = offsets[at : at + (1 << 10) + 1]
+        found, starts = shingles(codes[ends[0] : ends[-1]], ends - ends[0])
+        bits = np.zeros((len(ends) - 1, MARKS), bool)
+        bits[np.repeat(np.arange(len(ends) - 1), np.diff(starts)), (found >> np.uint64(32)) % np.uint64(MARKS)] = True
+        blobs += map(bytes, np.packbits(bits, axis=1))
+    return pa.array(blobs, pa.binary())
+
+
+def may_be_similar(batch: pa.RecordBatch, percent: int) -> np.ndarray:
+    """Whether the bits of two lines allow the similarity. Lines that differ in d shingles differ in d bits at most."""
+    if not batch.num_rows:
+        return np.zeros(0, bool)
+    bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, MARKS // 64) for c in ("m_a", "m_b")]
+    differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+    size = [np.maximum(pc.utf8_length(batch.column(c)).to_numpy() - SHINGLE + 1, 1) for c in ("t_a", "t_b")]
+    # Of u in the union at most u * (100 - percent) / 100 differ, and the sizes sum to u and what is shared.
+    return differ * (100 + percent) <= (100 - percent) * (size[0].astype(np.int64) + size[1])
+
+
 def _class_texts(named: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of classes: each normalised line once, read from the first row that has it."""
+    """(id, text, marks) of classes: each normalised line once with its bits, read from the first row that has it."""
     at = F.struct("doc", "mark", "number")
     first = lines.join(wanted, lines["line"] == wanted["id"]).groupBy("id").agg(F.min(at).alias("at"))
     places = first.groupBy(F.col("at.doc").alias("doc_")).agg(F.collect_list(F.struct("id", "at.mark", "at.number")).alias("places"))
@@ -267,24 +310,29 @@ def _class_texts(named: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataF
                         index.append(at[doc, place["number"]])
             index = np.array(index, np.int64)
             codes, offsets = found.text(index)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), strings(codes, offsets)], names=["id", "text"])
+            columns = [pa.array(ids, pa.int64()), strings(codes, offsets), _marked(codes, offsets)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "marks"])
 
-    return keyed.join(places, "doc_").select("text", "places").mapInArrow(run, "id long, text string")
+    return keyed.join(places, "doc_").select("text", "places").mapInArrow(run, "id long, text string, marks binary")
 
 
 def confirmed_lines(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose shingle sets are similar, as edges (u, v). Texts travel: they are an eighth of their sets."""
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"))
+    """Pairs (a, b) whose shingle sets are similar, as edges (u, v). Texts travel: they are an eighth of their sets.
+
+    The sets are compared where the bits of the lines leave it open.
+    """
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("t_a"), F.col("marks").alias("m_a"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("t_b"), F.col("marks").alias("m_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "t_a", STEP // 4):
+            batch = batch.filter(pa.array(may_be_similar(batch, percent)))
             sides = zip(_sets(batch.column("t_a")), _sets(batch.column("t_b")))
-            keep = [similar(x, y, percent) for x, y in sides]
+            keep = [_overlap(x, y, percent) for x, y in sides]
             edges = [batch.column("a"), batch.column("b")]
             yield pa.RecordBatch.from_arrays(edges, names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "u long, v long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b", "m_a", "m_b").mapInArrow(run, "u long, v long")
 
 
 def first_shingles(texts: DataFrame, percent: int) -> DataFrame:
@@ -323,9 +371,9 @@ def first_shingles(texts: DataFrame, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, id long, n long, place long")
 
 
-def line_components(named: DataFrame, lines: DataFrame, percent: int, hashes: MinHash, buckets: int) -> DataFrame:
+def line_components(named: DataFrame, lines: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the line classes that are similar to another one."""
-    shared = stage_table(shared_keys(named, hashes, buckets), "line-buckets")
+    shared = stage_table(shared_keys(keys), "line-buckets")
     texts = stage_table(_class_texts(named, lines, shared.select("id").distinct()), "line-texts")
     found = confirmed_lines(hub_pairs(shared), texts, percent)
     roots = stage_table(components(forests(found)), "line-roots")
@@ -350,11 +398,12 @@ def judge_lines(
 ) -> DataFrame:
     """(key, mark, n_lines, removed): lines with a word of every row, and the numbers (from 0) of those to remove."""
     named = only(df, id=key, text=text).withColumn("id", F.col("id").cast("long"))
-    rows = stage_table(line_table(named), "lines")
+    found = stage_table(line_table(named, hashes, buckets or 4 * spread(df)), "lines")
+    rows, keys = found.where("bucket is null").drop("bucket", "keys"), found.where("bucket is not null").select("bucket", "keys")
     one = rows.select(
         F.coalesce("id", F.lit(int(NULL_ID))).alias("doc"), "mark", F.explode(F.arrays_zip("numbers", "lines")).alias("x")
     ).select("doc", "mark", F.col("x.numbers").alias("number"), F.col("x.lines").alias("line"))
-    roots = line_components(named, one, percent, hashes, buckets or 4 * spread(df))
+    roots = line_components(named, one, keys, percent)
     placed = one.join(roots, one["line"] == roots["node"], "left").withColumn("root", F.coalesce("root", "line"))
     first = placed.groupBy("root").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = placed.join(first, "root").where(F.struct("doc", "number") != F.col("first"))

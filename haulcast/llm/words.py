@@ -18,7 +18,7 @@ import pyarrow as pa
 
 #: Bytes of text that one step works on, unless a single text is longer.
 STEP = 4 << 20
-PIECE = 1 << 19
+PIECE = 1 << 16
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -125,7 +125,8 @@ class Words:
 def words_of(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = LOWER) -> Words:
     """Maximal runs of bytes that are no separators; ``fold`` maps bytes first (letter case)."""
     codes, offsets = text_buffer(column)
-    codes = fold[codes]
+    if fold is not KEEP_CASE:
+        codes = fold[codes]
     inside = ~separators[codes]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins = inside.copy()
@@ -136,7 +137,7 @@ def words_of(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray
     lasts = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     ends[lasts] = inside[lasts]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    doc = np.searchsorted(offsets, start, "right") - 1
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
     return Words(codes, offsets, start, end, doc, _hashes(codes, start, end))
 
 
@@ -196,6 +197,25 @@ def span_sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
+def window_sums(values: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """``span_sums`` of all runs of ``n`` numbers inside the spans between ``ends``; a shorter span, not empty, is one run."""
+    t, many = _tables(len(values) + 1), len(values)
+    sums = np.zeros(many + 1, np.uint64)
+    np.cumsum(values * t.up[:many], out=sums[1:])
+    whole = max(many - n + 1, 0)
+    out = np.zeros(many, np.uint64)
+    np.subtract(sums[n:], sums[: whole], out=out[:whole])
+    out[:whole] *= t.down[:whole]
+    size = np.diff(ends)
+    short = np.flatnonzero(size < n)
+    first = ends[short]
+    out[first] = (sums[ends[short + 1]] - sums[first]) * t.down[first]
+    kept = np.ones(many, bool)
+    for back in range(1, n):
+        kept[ends[1:][size > back] - back] = False
+    return out[kept]
+
+
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the numbers ``start:end`` in order, for many spans that may overlap."""
     return mix(span_sums(values, start, end) + (end - start).astype(np.uint64))

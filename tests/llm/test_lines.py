@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from haulcast.llm import fuzzy_lines as L
 
 
@@ -99,3 +101,48 @@ def test_first_shingles_are_few_and_similar_lines_share_one(spark):
                 assert set(mine[i].values()) & set(mine[j].values())
     # What all lines hold comes last, so that it makes no pairs.
     assert max(Counter(r.key for r in rows).values()) <= 4
+
+
+class Plain:
+    """Runs a function on batches without Spark."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_equal_lines_of_a_load_are_hashed_once(monkeypatch):
+    hashed, minima = [], L.minima
+    monkeypatch.setattr(L, "minima", lambda found, starts, hashes: hashed.append(len(starts) - 1) or minima(found, starts, hashes))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["one line here\nanother line", "ONE  line here"]})
+    rows = Plain(batch, batch, batch)
+    out = L.line_table(rows, L.HASHES, 4)
+    assert hashed == [2]
+    assert sum(b.num_rows - b.column("bucket").null_count for b in out) <= 4
+    assert sum(b.column("bucket").null_count for b in out) == 6
+
+
+def test_bits_rule_out_far_lines_and_no_similar_ones():
+    draw = random.Random(8)
+    pairs = []
+    for _ in range(400):
+        one = "".join(draw.choice("abcdefgh é") for _ in range(draw.randrange(1, 900))).strip() or "a"
+        two = list(one)
+        for _ in range(draw.randrange(0, 1 + len(one) // 20)):
+            two[draw.randrange(len(two))] = draw.choice("xyz")
+        pairs.append((one, "".join(two)))
+    sides = [pa.array(x) for x in zip(*pairs)]
+    marks = [L._marked(np.frombuffer(b"".join(t.encode() for t in x), np.uint8), np.cumsum([0, *[len(t.encode()) for t in x]])) for x in zip(*pairs)]
+    batch = pa.RecordBatch.from_arrays([*sides, *marks], names=["t_a", "t_b", "m_a", "m_b"])
+    may = L.may_be_similar(batch, 80)
+    far = []
+    for (one, two), kept in zip(pairs, may):
+        x, y = ({t[a : a + L.SHINGLE] for a in range(max(len(t) - L.SHINGLE + 1, 1))} for t in (one, two))
+        alike = len(x & y) / len(x | y)
+        assert kept or alike < 0.8
+        assert L._overlap(*(L._sets(pa.array([t]))[0] for t in (one, two)), 80) == (alike >= 0.8)
+        if alike < 0.6:
+            far.append(kept)
+    assert len(far) > 50 and np.mean(far) < 0.2

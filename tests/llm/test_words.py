@@ -57,3 +57,12 @@ def test_steps_cover_all_rows():
     parts = list(W.steps(iter([batch]), "text", 20))
     assert sum(p.num_rows for p in parts) == 5
     assert pa.Table.from_batches(parts)["text"].to_pylist() == batch["text"].to_pylist()
+
+
+def test_window_sums_are_span_sums():
+    draw = np.random.default_rng(4)
+    for _ in range(50):
+        ends = np.append(0, np.cumsum(draw.integers(1, 20, draw.integers(1, 9))))
+        values = draw.integers(0, 1 << 60, ends[-1], dtype=np.uint64)
+        spans = [(a, min(a + 8, high)) for low, high in zip(ends, ends[1:]) for a in range(low, max(high - 7, low + 1))]
+        assert (W.window_sums(values, ends, 8) == W.span_sums(values, *np.array(spans).T)).all()
