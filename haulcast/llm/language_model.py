@@ -37,13 +37,15 @@ from haulcast.llm.decontaminate import summed
 from haulcast.llm.mixer import END, PREVIOUS, Bits, Code, Counts, Mixer, Model
 from haulcast.llm.substrings import _packed, _unpacked
 from haulcast.llm.tables import only, spread
-from haulcast.llm.words import LOWER, SPACES, bytes_of, mix, span_hash_bytes, steps, strings, text_buffer
+from haulcast.llm.words import LOWER, SPACES, bytes_of, gathered, mix, span_hash_bytes, steps, strings, text_buffer
 from haulcast.staging import stage_table
 
 #: Words with a larger share of the training tokens are frequent: fewer than 1 / FREQUENT.
 FREQUENT = 1 / 20_000
 #: Bytes of text of a step: repeated units of it are handled once.
 STEP = 12 << 20
+#: The same where texts are scored: batches are put together, as no result depends on how texts are cut.
+SCORED_STEP = 8 << 20
 LOAD = 24 << 20
 HELD_OUT = 1
 FOLDS = 5
@@ -319,7 +321,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", buckets:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = _Load(model_of.value, frequent, counts, buckets)
         number = TaskContext.get().partitionId() << 24
-        for batch in steps(batches, "text", STEP):
+        for batch in gathered(batches, "text", SCORED_STEP):
             load.add(batch)
             if load.held >= LOAD:
                 yield from load.sent(number)

@@ -182,7 +182,10 @@ class Counts:
             place = slot.astype(np.intp)
             place <<= 1
             place |= bits.bit
-            np.add.at(table, place, weight)
+            if len(table) <= 2 * len(slot):
+                table += np.bincount(place, weight, len(table)).astype(np.int32)
+            else:
+                np.add.at(table, place, weight)
 
     def guesses(self) -> list[np.ndarray]:
         """Log odds of a one in each slot."""
@@ -192,6 +195,12 @@ class Counts:
         """The same for the slots of some bits only."""
         out = np.empty((PREDICTORS, len(bits.node)), np.float32)
         for k, (t, slot) in enumerate(zip(self.tables, bits.slots)):
+            if len(t) <= 2 * len(slot):
+                # Fewer slots than steps: the odds of each slot are worked out once.
+                whole = t.astype(np.float32)
+                whole += np.float32(0.4)
+                np.log(whole[1::2] / whole[::2]).take(slot, mode="clip", out=out[k])
+                continue
             # Both counts of a slot are fetched at once, as one number of eight bytes.
             both = t.view(np.int64).take(slot, mode="clip").view(t.dtype).astype(np.float32)
             both += np.float32(0.4)

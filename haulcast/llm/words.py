@@ -105,6 +105,20 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP) ->
             at = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Steps of about ``limit`` bytes of text, several batches put together if they are smaller."""
+    held, size = [], 0
+    for step in steps(batches, column, limit):
+        _, offsets = text_buffer(step.column(column))
+        if held and size + offsets[-1] > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(step)
+        size += int(offsets[-1])
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Words:
     """Words of a batch in order: bytes ``start:end`` of ``codes`` belong to text ``doc``."""

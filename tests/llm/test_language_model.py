@@ -151,3 +151,20 @@ def test_steps_of_a_node_lie_together_and_sum_as_on_the_paths():
         by_byte[at] += w
     assert (bits.by_node(weight) == by_node).all() and (bits.by_byte(weight) == by_byte).all()
     assert bits.of_nodes(np.arange(mixer.NODES)).tolist() == bits.node.tolist()
+
+
+def test_few_slots_are_worked_out_and_counted_as_a_whole():
+    code = mixer.Code.of(np.arange(256) ** 2)
+    codes = np.random.default_rng(6).integers(97, 123, 1 << 16).astype(np.uint8)
+    bits = mixer.Bits.of(code, codes, np.arange(0, len(codes) + 1, 8), np.zeros(len(codes) // 8, np.int64))
+    weight = np.arange(len(bits.node)) % 5.0 + 1
+    assert any(len(bits.slots[k]) >= 1 << b for k, b in enumerate(mixer.TABLE_BITS))
+    plain = [np.zeros(2 << b, np.int32) for b in mixer.TABLE_BITS]
+    for table, slot in zip(plain, bits.slots):
+        np.add.at(table, 2 * slot.astype(np.int64) + bits.bit, weight.astype(np.int32))
+    counts = mixer.Counts()
+    counts.add(bits, weight)
+    assert all((a == b).all() for a, b in zip(counts.tables, plain))
+    for table, slot, guess in zip(counts.guesses(), bits.slots, counts.guess(bits)):
+        assert np.abs(table[slot] - guess).max() < 1e-5
+

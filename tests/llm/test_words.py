@@ -59,6 +59,13 @@ def test_steps_cover_all_rows():
     assert pa.Table.from_batches(parts)["text"].to_pylist() == batch["text"].to_pylist()
 
 
+def test_small_batches_are_gathered_up_to_the_limit():
+    batches = [pa.RecordBatch.from_pydict({"n": [i], "text": ["x" * 10]}) for i in range(10)]
+    large = pa.RecordBatch.from_pydict({"n": [10, 11, 12], "text": ["y" * 25, None, "z" * 31]})
+    found = list(W.gathered(iter([*batches, large]), "text", 30))
+    assert [b.column("n").to_pylist() for b in found] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9], [10, 11], [12]]
+
+
 def test_window_sums_are_span_sums():
     draw = np.random.default_rng(4)
     for _ in range(50):
