@@ -9,7 +9,8 @@
    lines rule out most other pairs before.
 4. Confirmed pairs become components by union-find: a forest inside each task,
    then alternating stars between tasks. What buckets left open is finished
-   exactly, as in operator 1, by a shared order of shingles that is about the rarest first.
+   exactly, as in operator 1, by a shared order of shingles that is about the rarest first;
+   bits of the shingles that follow rule out most pairs inside the join.
 5. Of each component the earliest line (smallest document id, then line number)
    stays; all others, exact copies included, go.
 
@@ -54,6 +55,8 @@ STEP = 1 << 20
 RARITY_BITS = 22
 #: Bits that tell apart most lines which are not similar, before their sets are compared.
 MARKS = 1 << 11
+#: Words of the same for the exact finish: a bit tells whether the shingles after a place of the order that stand for it are odd in number.
+PARITY = [f"odd{i}" for i in range(4)]
 
 
 class Lines:
@@ -335,10 +338,23 @@ def confirmed_lines(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "t_a", "t_b", "m_a", "m_b").mapInArrow(run, "u long, v long")
 
 
+def parity_after(found: np.ndarray, line: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """For each shingle that is sent, words of bits of its line's shingles after it, one row per word.
+
+    A shingle flips one bit, so that what follows in two lines differs in no fewer shingles than bits.
+    """
+    bit = (found >> np.uint64(32)) % np.uint64(64 * len(PARITY))
+    flips = np.zeros((len(PARITY), len(found)), np.uint64)
+    flips[(bit >> np.uint64(6)).astype(np.intp), np.arange(len(found))] = np.uint64(1) << (bit & np.uint64(63))
+    seen = np.bitwise_xor.accumulate(flips, axis=1)
+    last = np.searchsorted(line, line[sent], "right") - 1
+    return (seen[:, last] ^ seen[:, sent]).view(np.int64)
+
+
 def first_shingles(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, place): the first shingles of each line, as many as ``percent`` lets differ and one, about the rarest first.
+    """(key, id, n, place, PARITY): the first shingles of each line, as many as ``percent`` lets differ and one, about the rarest first.
 
-    ``place`` is the shingle's place (from 1) in its line's set of ``n``, in one order of shingles for all lines.
+    ``place`` is the shingle's place (from 1) in its line's set of ``n``, in one order of shingles for all lines; PARITY is of those after it.
     """
     shift = np.uint64(64 - RARITY_BITS)
 
@@ -364,11 +380,13 @@ def first_shingles(texts: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + 1
             least = -(-size * percent // 100)
             sent = place <= (size - least + 1)[line]
-            id_ = batch.column("id").take(pa.array(line[sent]))
-            columns = [pa.array(signed(found[sent])), id_, pa.array(size[line[sent]]), pa.array(place[sent])]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "place"])
+            odd = parity_after(found, line, sent)
+            found, line, place = found[sent], line[sent], place[sent]
+            columns = [pa.array(signed(found)), batch.column("id").take(pa.array(line)), pa.array(size[line]), pa.array(place)]
+            columns += [pa.array(word) for word in odd]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "place", *PARITY])
 
-    return texts.mapInArrow(run, "key long, id long, n long, place long")
+    return texts.mapInArrow(run, ", ".join(f"{name} long" for name in ["key", "id", "n", "place", *PARITY]))
 
 
 def line_components(named: DataFrame, lines: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
@@ -381,7 +399,7 @@ def line_components(named: DataFrame, lines: DataFrame, keys: DataFrame, percent
     if not left.isEmpty():
         some = stage_table(texts.join(left.select("id"), "id", "left_semi").dropDuplicates(["id"]), "line-rest")
         rare = first_shingles(some, percent)
-        more = stage_table(confirmed_lines(open_pairs(rare, left, percent), texts, percent), "line-links")
+        more = stage_table(confirmed_lines(open_pairs(rare, left, percent, PARITY), texts, percent), "line-links")
         if not more.isEmpty():
             stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
             roots = stage_table(components(forests(stars.unionAll(more))), "line-roots")

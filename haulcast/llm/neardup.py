@@ -26,7 +26,9 @@ linked with nothing, has no component and is kept; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -209,25 +211,35 @@ def rarest(whole: DataFrame, percent: int) -> DataFrame:
     return held.withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("key", "id", "n", "place")
 
 
-def open_pairs(rare: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def open_pairs(rare: DataFrame, members: DataFrame, percent: int, parity: Sequence[str] = ()) -> DataFrame:
     """Pairs (a, b) of different components that can be similar, without those inside an element's largest component.
 
     Similar sets have a first common element, in the order of ``place``; all further ones stand after it in both.
+    ``parity`` names columns of words of which each element after ``place`` flips one bit. At the first common element all
+    earlier ones differ, and of the later ones no fewer than bits; further common elements need not let the pair pass.
     """
     inside = stage_table(rare.join(members, "id"), "rare")
     sizes = inside.groupBy("key", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"), F.count("*").alias("roots"))
     mixed = inside.join(largest.where("roots > 1").drop("roots"), "key")
     one = mixed.where("root <> largest").select(
-        "key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px")
+        "key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"),
+        *[F.col(c).alias(f"{c}_x") for c in parity],
     )
     two = mixed.select(
-        "key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"), "largest"
+        "key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"), "largest",
+        *[F.col(c).alias(f"{c}_y") for c in parity],
     )
     across = F.expr("rx <> ry and (ry = largest or x < y)")
     most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) + 1
     enough = most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    met = one.join(two, (one["key"] == two["key"]) & across & enough)
+    met_if = (one["key"] == two["key"]) & across & enough
+    if parity:
+        differ = reduce(add, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in parity))
+        # Of u in the union at most u * (100 - percent) / 100 differ, and the sizes sum to u and what is shared.
+        differ += F.col("px") + F.col("py") - 2
+        met_if &= differ * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    met = one.join(two, met_if)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

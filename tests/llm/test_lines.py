@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from haulcast.llm import fuzzy_lines as L
+from haulcast.llm.neardup import open_pairs
 
 
 def brute(rows):
@@ -146,3 +147,39 @@ def test_bits_rule_out_far_lines_and_no_similar_ones():
         if alike < 0.6:
             far.append(kept)
     assert len(far) > 50 and np.mean(far) < 0.2
+
+
+def test_nearly_similar_lines_make_few_pairs(spark):
+    """A family of lines that are 0.5 to 0.75 alike, and a few that are similar to one of them."""
+    draw = random.Random(4)
+    base = "".join(draw.choice("abcdefgh é") for _ in range(400))
+    texts = {}
+    for i in range(60):
+        line = list(base)
+        for at in draw.sample(range(400), 6):
+            line[at] = draw.choice("xyz")
+        texts[i] = "".join(line)
+        if i % 10 == 0:
+            texts[100 + i] = texts[i][:390] + "0123456789"
+    sets = {i: {x[a : a + L.SHINGLE] for a in range(len(x) - L.SHINGLE + 1)} for i, x in texts.items()}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    wanted = {pair for pair, x in alike.items() if x >= 0.8}
+    near = [pair for pair, x in alike.items() if 0.5 <= x < 0.75]
+    lines = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    members = lines.selectExpr("id", "id as root")
+    got = {(r.a, r.b) for r in open_pairs(L.first_shingles(lines, 80), members, 80, L.PARITY).collect()}
+    assert wanted <= got
+    assert len(wanted) >= 6 and len(near) > 1000
+    assert len(got - wanted) < len(near) / 10
+
+
+def test_bits_after_a_place_are_those_of_the_shingles_after_it():
+    found = np.random.default_rng(6).integers(0, 1 << 64, 50, dtype=np.uint64)
+    line = np.repeat([0, 1, 2], [30, 1, 19])
+    sent = np.arange(50) % 3 == 0
+    got = L.parity_after(found, line, sent)
+    for column, i in enumerate(np.flatnonzero(sent)):
+        odd = Counter(int(x >> np.uint64(32)) % 256 for x, at in zip(found[i + 1 :], line[i + 1 :]) if at == line[i])
+        bits = {64 * w + b for w in range(4) for b in range(64) if int(got[w, column]) >> b & 1}
+        assert bits == {b for b, n in odd.items() if n % 2}
+    assert L.parity_after(found[:0], line[:0], sent[:0]).shape == (4, 0)
